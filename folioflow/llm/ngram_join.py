@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import checkpointed
 from folioflow.llm.components import components
-from folioflow.llm.shingles import _band_starts, part_signatures, set_key, shingle_sets
+from folioflow.llm.shingles import _ODD, _band_starts, mix64, part_signatures, set_key, shingle_sets
 
 CHUNK = 2_000_000
-SALTS = 1024
+SALTS = 64
+CLASSES = 8
 SHARED_SALTS = 32
 BROADCAST_IDS = 1_000_000
 BLOCK = 256
@@ -73,16 +74,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, grams binary")
 
 
+def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(b, salt, part, a, grams) in blocks: the column document b (part 0) and then a share of its row documents."""
+    placed = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt"))
+    rows = placed.join(sets, placed["a"] == sets["doc_id"]).select("b", "salt", F.lit(1).alias("part"), "a", "grams")
+    heads = placed.select("b", "salt").distinct().join(sets, F.col("b") == F.col("doc_id")).select("b", "salt", F.lit(0).alias("part"), F.col("b").alias("a"), "grams")
+    return heads.union(rows).repartition("b", "salt").sortWithinPartitions("b", "salt", "part")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose similarity reaches percent / 100, by a blocked sparse product.
 
     A block holds one column document b and a share of its row documents a. The block's column vocabulary stays in
     memory while the rows stream past; up to BLOCK rows at a time are multiplied with it, which accumulates overlap
     counts. Rows whose size alone rules a link out are discarded before."""
-    placed = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt"))
-    rows = placed.join(sets, placed["a"] == sets["doc_id"]).select("b", "salt", F.lit(1).alias("part"), "a", "grams")
-    heads = placed.select("b", "salt").distinct().join(sets, F.col("b") == F.col("doc_id")).select("b", "salt", F.lit(0).alias("part"), F.col("b").alias("a"), "grams")
-    blocks = heads.union(rows).repartition("b", "salt").sortWithinPartitions("b", "salt", "part")
+    blocks = _blocks(pairs, sets)
 
     def product(column: np.ndarray, held: list) -> list:
         sizes = np.array([len(g) for _, g in held])
@@ -120,6 +126,66 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def delta_marks(column: np.ndarray, row: np.ndarray, b: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of a row document relative to a column document b, in the roles of the smaller and of the larger delta.
+
+    delta(x) is what x and b do not share. Two documents x, y differ in |delta(x) ^ delta(y)| shingles, which a link
+    bounds by d = (n_x + n_y) (100 - percent) / (100 + percent), so that their deltas of sizes s <= t share at least
+    o = (s + t - d) / 2 shingles, and each delta's first (size - o + 1) in a common order hold a shared one. Shingles that b
+    lacks come first: they are rare, while what was taken from b is missing from many copies. Marks name b, the classes
+    of both sizes and a shingle, or no shingle where the bound allows to share none."""
+    extra, gone = np.setdiff1d(row, column, assume_unique=True), np.setdiff1d(column, row, assume_unique=True)
+    ordered = mix64(np.concatenate((np.zeros(1, np.uint64), extra, gone)) + np.uint64(1))
+    size = len(ordered) - 1
+    bound = (len(row) + len(row) * 100 // percent) * (100 - percent) // (100 + percent)
+    width = max(1, 2 * len(column) * (100 - percent) // (100 + percent) // CLASSES)
+    seed = mix64(np.array([b], np.int64).view(np.uint64) + np.uint64(7))[0]
+    out: tuple[list, list] = ([], [])
+    for role in (0, 1):
+        low, high = (size, size + bound) if role == 0 else (max(0, size - bound), size)
+        for other in range(low // width, high // width + 1):
+            least = other * width
+            overlap = -((bound - size - max(least, low)) // 2)
+            first = 1 if overlap > 0 else 0
+            take = ordered[first : max(0, size - max(overlap, 1) + 1) + 1]
+            pair = (size // width, other) if role == 0 else (other, size // width)
+            out[role].append(mix64(take ^ seed) * _ODD + np.uint64((pair[0] << 32) + pair[1]))
+    return tuple(mix64(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out)
+
+
+def delta_candidates(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with different labels that meet a common hub and may link, by their delta marks."""
+    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    named = spokes.select("a", "b").join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    mixed = named.groupBy("b").agg(F.least(F.min("la"), F.min("lb")).alias("x"), F.greatest(F.max("la"), F.max("lb")).alias("y")).where("x <> y").select("b")
+    blocks = _blocks(checkpointed(named.join(mixed, "b").select("a", "b")), sets)
+
+    def run(batches):
+        key, column = None, None
+        for batch in batches:
+            docs, marks, roles = [], [], []
+            for b, salt, part, a, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = np.frombuffer(grams, dtype=np.uint64)
+                if part == 0:
+                    key, column = (b, salt), grams
+                elif (b, salt) == key:
+                    for role, found in enumerate(delta_marks(column, grams, b, percent)):
+                        docs.append(np.full(len(found), a))
+                        marks.append(found.view(np.int64))
+                        roles.append(np.full(len(found), role, np.int32))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, marks, roles)], names=["doc_id", "mark", "role"])
+
+    marks = blocks.mapInArrow(run, "doc_id long, mark long, role int")
+    both = marks.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.bit_or(F.col("role") + 1).alias("roles")).where("x <> y and roles = 3")
+    own = labels.select(F.col("node").alias("doc_id"), "label")
+    shared = checkpointed(marks.join(both.select("mark"), "mark").join(own, "doc_id", "left").select("mark", "role", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    l, r = shared.where("role = 0").alias("l"), shared.where("role = 1").alias("r")
+    met = l.join(r, (F.col("l.mark") == F.col("r.mark")) & (F.col("l.label") != F.col("r.label")))
+    return met.select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b")).distinct()
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends have different labels; a node without one is its own."""
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
@@ -133,9 +199,10 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     Documents link when 100 * |intersection| >= percent * |union| of their k-word shingle sets; component_id is the
     smallest doc_id reachable. Equal sets are one node. Different sets that may link share a part signature
     (shingles.part_signatures), without exception. Candidate pairs are not all pairs of a signature: first each
-    document meets the smallest document with which it shares most signatures, then, where they are not in one component
-    yet, the smallest of each signature; at last the pairs of a signature whose components still differ. A pair
-    is left untested only when both ends are in one component already, so no link is lost.
+    document meets the smallest document (the hub) with which it shares most signatures, then, where they are not in one
+    component yet, the hub of each signature; at last documents of one hub whose components still differ meet if what each
+    does not share with the hub allows a link (delta_marks). A pair is left untested only when both ends are in one
+    component already or a bound rules its link out, so no link is lost.
 
     Null or blank texts have empty sets, are linked with nothing and are their own component. Rows that share a
     doc_id are one document node; rows without a doc_id link nothing and get the smallest doc_id with their set,
@@ -157,17 +224,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     links = checkpointed(links.union(linked(rest, sets, percent)))
     labels = components(links)
 
-    members = shared.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("mark", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    mixed = members.groupBy("mark").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("mark")
-    open_ = checkpointed(members.join(mixed, "mark"))
-    left, right = open_.alias("l"), open_.alias("r")
-    cross = (
-        left.join(right, (F.col("l.mark") == F.col("r.mark")) & (F.col("l.label") < F.col("r.label")))
-        .select(F.least("l.doc_id", "r.doc_id").alias("b"), F.greatest("l.doc_id", "r.doc_id").alias("a"))
-        .distinct()
-        .join(spokes, ["a", "b"], "left_anti")
-        .select("a", "b")
-    )
+    cross = checkpointed(delta_candidates(spokes, labels, sets, percent).join(spokes, ["a", "b"], "left_anti").select("a", "b"))
     more = checkpointed(linked(cross, sets, percent))
     if more.take(1):
         labels = components(links.union(more))
