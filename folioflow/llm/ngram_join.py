@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import checkpointed
 from folioflow.llm.components import components
-from folioflow.llm.shingles import _ODD, _band_starts, mix64, part_signatures, set_key, shingle_sets
+from folioflow.llm.shingles import _ODD, _band_starts, mix64, part_signatures, set_key, shingle_sets, sketch
 
 CHUNK = 2_000_000
 SALTS = 64
@@ -59,7 +59,7 @@ def describe_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc_id, grams binary) for the wanted ids. Their ids are broadcast while they are few, and joined beyond."""
+    """(doc_id, n, grams binary, sketch) for the wanted ids. Their ids are broadcast while they are few, and joined beyond."""
     ids = wanted.select("doc_id").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -67,11 +67,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for own, texts in _runs(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=["doc_id", "grams"]
-                )
+                found = shingle_sets(texts, k)
+                columns = [
+                    pa.array(own, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()),
+                    _longs([sketch(s).view(np.uint64) for s in found]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "grams", "sketch"])
 
-    return chosen.mapInArrow(run, "doc_id long, grams binary")
+    return chosen.mapInArrow(run, "doc_id long, n long, grams binary, sketch array<long>")
 
 
 def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -154,7 +157,8 @@ def delta_marks(column: np.ndarray, row: np.ndarray, b: int, percent: int) -> tu
 
 
 def delta_candidates(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with different labels that meet a common hub and may link, by their delta marks."""
+    """Pairs (a, b) with different labels that meet a common hub and may link, by their delta marks; sketches rule most others out
+    inside the join."""
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     named = spokes.select("a", "b").join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
@@ -180,9 +184,12 @@ def delta_candidates(spokes: DataFrame, labels: DataFrame, sets: DataFrame, perc
     marks = blocks.mapInArrow(run, "doc_id long, mark long, role int")
     both = marks.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.bit_or(F.col("role") + 1).alias("roles")).where("x <> y and roles = 3")
     own = labels.select(F.col("node").alias("doc_id"), "label")
-    shared = checkpointed(marks.join(both.select("mark"), "mark").join(own, "doc_id", "left").select("mark", "role", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    known = sets.select("doc_id", "n", "sketch").join(own, "doc_id", "left")
+    shared = checkpointed(marks.join(both.select("mark"), "mark").join(known, "doc_id").select("mark", "role", "doc_id", "n", "sketch", F.coalesce("label", "doc_id").alias("label")))
     l, r = shared.where("role = 0").alias("l"), shared.where("role = 1").alias("r")
-    met = l.join(r, (F.col("l.mark") == F.col("r.mark")) & (F.col("l.label") != F.col("r.label")))
+    differ = sum((F.bit_count(F.col("l.sketch")[i].bitwiseXOR(F.col("r.sketch")[i])) for i in range(8)), F.lit(0))
+    allowed = (F.col("l.n") + F.col("r.n")) * (100 - percent) / F.lit(100 + percent)
+    met = l.join(r, (F.col("l.mark") == F.col("r.mark")) & (F.col("l.label") != F.col("r.label")) & (differ <= allowed))
     return met.select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b")).distinct()
 
 
@@ -193,6 +200,15 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
+def _salt(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SHARED_SALTS))
+
+
+def _salted(classes: DataFrame) -> DataFrame:
+    """Classes of several rows, once for each salt, so that a class with a third of all rows is met by many tasks."""
+    return classes.select(F.col("set_key").alias("k"), "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARED_SALTS - 1).cast("long"))).alias("salt"))
+
+
 def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
@@ -210,7 +226,9 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = checkpointed(describe_sets(docs, k, percent))
     classes = described.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    nodes = described.where("n > 0 and doc_id is not null").select("doc_id", "marks").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    several = checkpointed(classes.where("rows > 1").select("set_key", "rep"))
+    equal = described.select("doc_id", "set_key").join(_salted(several), [F.col("set_key") == F.col("k"), _salt("doc_id") == F.col("salt")]).where("doc_id <> rep").select("doc_id")
+    nodes = described.where("n > 0 and doc_id is not null").select("doc_id", "marks").join(checkpointed(equal), "doc_id", "left_anti")
     marks = nodes.select("doc_id", F.explode("marks").alias("mark"))
     stars = marks.groupBy("mark").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("mark", "hub")
     shared = checkpointed(marks.join(stars, "mark"))
@@ -229,11 +247,9 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     if more.take(1):
         labels = components(links.union(more))
 
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SHARED_SALTS))
-    several = classes.where("rows > 1").select("set_key", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARED_SALTS - 1).cast("long"))).alias("salt"))
     return (
-        described.select("doc_id", "n", "set_key", salt.alias("salt"))
-        .join(several, ["set_key", "salt"], "left")
+        described.select("doc_id", "n", "set_key")
+        .join(_salted(several), [F.col("set_key") == F.col("k"), _salt("doc_id") == F.col("salt")], "left")
         .withColumn("node", F.coalesce("rep", "doc_id"))
         .join(labels, "node", "left")
         .select(

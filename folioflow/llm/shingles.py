@@ -68,15 +68,26 @@ def shingle_sets(texts: list[str | None], k: int = 3) -> list[np.ndarray]:
 
 
 def _band_starts(percent: int) -> list[int]:
-    """First size of each band: sets that may reach the similarity lie in the same or in neighbouring bands."""
-    starts = [1, 2]
+    """First size of each band. A band spans three steps of the largest ratio of sizes that a link allows."""
+    starts = [1]
     while starts[-1] < 1 << 40:
-        starts.append(max(starts[-1] + 1, (starts[-1] - 1) * 100 // percent + 1))
+        top = starts[-1]
+        for _ in range(3):
+            top = max(top + 1, (top - 1) * 100 // percent + 1)
+        starts.append(top)
     return starts
 
 
+def sketch(shingles: np.ndarray, words: int = 8) -> np.ndarray:
+    """Parities of the shingles by 64 x words cells. The bits in which two sketches differ are at most as many as the
+    shingles in which the sets differ."""
+    cell = np.bincount((mix64(shingles + np.uint64(3)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(cell.astype(np.uint8)).view(np.int64)
+
+
 def part_signatures(shingles: np.ndarray, bands: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures for both levels at which the set can meet a similar one.
+    """Signatures for the levels at which the set can meet a similar one: that of its band and, where a link to a larger set of
+    the next band is possible, that of the next.
 
     Two sets of at most M shingles whose Jaccard similarity is at least percent / 100 differ in at most
     d = 2 M (100 - percent) / (100 + percent) shingles. With shingles dealt by hash into d + 1 + SPARE parts, at least
@@ -86,7 +97,7 @@ def part_signatures(shingles: np.ndarray, bands: np.ndarray, percent: int) -> np
     band = int(np.searchsorted(bands, n, side="right")) - 1
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(shingles + _ODD), dtype=np.uint64)))
     out = []
-    for level in (band, band + 1):
+    for level in (band, band + 1) if n * 100 // percent >= bands[band + 1] else (band,):
         most = int(bands[level + 1]) - 1
         differ = 2 * most * (100 - percent) // (100 + percent)
         if differ == 0:
