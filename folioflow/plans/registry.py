@@ -1,6 +1,20 @@
-"""Registered queries and their SQL."""
+"""Registered queries and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a callable (spark, sf_dir) -> DataFrame under its name, with the SQL of the same result."""
+
+    def add(function: Callable) -> Callable:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
