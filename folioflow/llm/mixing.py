@@ -13,7 +13,8 @@ MOST = 2
 BITS = 60
 STEP = 10
 SALTS = 32
-FILLS = 3
+FILLS = 6
+CLOSE = 0.002
 
 
 def n_words(text: str = "text") -> Column:
@@ -115,8 +116,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
     Sizes are counted in words (a null text has none). Sources share share x all words by weight (source_targets).
     A source takes every row floor(target / size) times; the rest of its target is met by rows whose draw, a hash of
-    id and text, lies below a threshold (fill_threshold). What whole rows leave open there, at most one row's size,
-    is met by up to `fills` - 1 further thresholds among the later rows that still fit it.
+    id and text, lies below a threshold (fill_threshold). What whole rows leave open there, at most one row's size, is met
+    by up to `fills` - 1 further thresholds among the later rows that still fit it, while it exceeds CLOSE x target.
 
     Returns doc_id, source, draw, size, source_size, target, copies, taken; every input row gives one, repeated rows
     share a draw and are taken together, a null source is a source of its own, sources without words take nothing,
@@ -132,15 +133,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     state = checkpointed(
         targets.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    chosen = F.lit(False)
-    plan = state.select("source", "need", F.array().cast("array<struct<low:bigint,below:bigint,most:double>>").alias("picks"), F.lit(0).cast("long").alias("low"))
+    plan = state.select("source", "target", "need", F.array().cast("array<struct<low:bigint,below:bigint,most:double>>").alias("picks"), F.lit(0).cast("long").alias("low"))
     for _ in range(fills):
-        fitting = _meet(items, plan.select("source", "need", "low")).where((F.col("draw") >= F.col("low")) & (F.col("size") > 0) & (F.col("size") <= F.col("need")))
-        found = fill_threshold(fitting.select("source", "draw", "size"), plan.where("need >= 1").select("source", "need"))
+        open_ = plan.where((F.col("need") >= 1) & (F.col("need") >= CLOSE * F.col("target")))
+        if not open_.take(1):
+            break
+        fitting = _meet(items, open_.select("source", "need", "low")).where((F.col("draw") >= F.col("low")) & (F.col("size") > 0) & (F.col("size") <= F.col("need")))
+        found = fill_threshold(fitting.select("source", "draw", "size"), open_.select("source", "need"))
         found = found.select(F.col("source").alias("s"), "below", "got", F.lit(True).alias("met"))
         plan = checkpointed(
             plan.join(found, plan["source"].eqNullSafe(F.col("s")) & F.col("met"), "left").select(
-                "source",
+                "source", "target",
                 (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"),
                 F.when(F.col("met"), F.concat("picks", F.array(F.struct("low", "below", F.col("need").alias("most"))))).otherwise(F.col("picks")).alias("picks"),
                 F.coalesce(F.greatest("low", "below"), F.col("low")).alias("low"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, fingerprints, language, main_text, mixing, neighbours, ngram_join, pii, toxicity, warc
 from folioflow.llm.common import table
+from folioflow.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -55,12 +56,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica in which crc32 of the id picks pages whose first byte is flipped and
-    others that are lost; the audit must find exactly those."""
+    """The archive of all pages against a replica in which a rule on the id picks pages whose first byte is flipped and others
+    that are lost; the audit must find exactly those."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    crc = F.crc32(F.col("page_id").cast("string").cast("binary"))
-    flipped = F.when((crc % 53 == 7) & F.col("html").startswith("<"), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    replica = warc.record_index(pages.withColumn("html", flipped)).where(crc % 97 != 5)
+    mark = F.col("page_id") * 7919 + 13
+    flipped = F.when((mark % 53 == 7) & F.col("html").startswith("<"), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    replica = warc.record_index(pages.withColumn("html", flipped)).where(mark % 97 != 5)
     return warc.audit(warc.record_index(pages), replica).select(
         "file_id", "page_id", "start", "expected_size", "found_size", "expected", "found", "status"
     )
@@ -84,4 +85,3 @@ QUERIES = {
         op1_fingerprints, op2_mixing, op3_pii, op4_main_text, op5_neighbours, op6_language, op7_ngram_join, op8_toxicity, op9_fixity, op10_bpe, pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
