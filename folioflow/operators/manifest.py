@@ -94,7 +94,7 @@ def parse_ranges(df: DataFrame, spec: str = "spec", total: str = "total", dialec
     runs to the end; a start beyond the total or a backward range is bad; ends are clipped. lenient: `-3` and `5-` are open
     ranges, ends are clipped, bad parts are ignored. swap: reversed bounds are swapped, out-of-range ones are bad."""
     text, n = F.trim(F.col(spec)), F.col(total).cast("long")
-    pieces = F.transform(F.split(text, r"[,;\s]+" if dialect == "open" else ","), F.trim)
+    pieces = F.transform(F.split(text, r"[,;\s]+" if dialect == "open" else ","), lambda x: F.trim(x))
     if dialect != "strict":
         pieces = F.filter(pieces, lambda p: p != "")
 

@@ -45,7 +45,7 @@ def apply_metadata(files: DataFrame, edits: DataFrame) -> DataFrame:
     kept = F.map_filter("info", lambda k, v: ~F.map_contains_key(F.col("good"), k))
     merged = F.map_concat(kept, F.map_filter("good", lambda k, v: F.trim(v) != ""))
     out = e.withColumn("good", good).withColumn("info", merged)
-    words = F.filter(F.transform(F.split(F.element_at("info", "Keywords"), "[,;]"), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split(F.element_at("info", "Keywords"), "[,;]"), lambda x: F.trim(x)), lambda w: w != "")
     return out.select("file_id", "info", F.coalesce(words, F.array().cast("array<string>")).alias("keywords"))
 
 

@@ -48,7 +48,7 @@ def _letters_sql(n: str) -> str:
 
 
 @query(
-    f"""WITH {MANIFEST}, b AS (SELECT file_id, page, file_id + page AS n, n_pages AS t, lpad((file_id + page)::VARCHAR, greatest(3, length((file_id + page)::VARCHAR)), '0') AS p FROM manifest WHERE file_id + page > 0)
+    f"""WITH {MANIFEST}, b AS (SELECT file_id, page, file_id + page AS n, n_pages AS t, lpad((file_id + page)::VARCHAR, greatest(3, length((file_id + page)::VARCHAR))::INTEGER, '0') AS p FROM manifest WHERE file_id + page > 0)
       SELECT file_id, page, p AS f0, 'Page ' || p AS f1, p || ' of ' || t AS f2, 'Page ' || p || ' of ' || t AS f3, p || ' / ' || t AS f4, '- ' || p || ' -' AS f5,
         CASE WHEN n BETWEEN 1 AND 3999 THEN {_roman_sql('n')} ELSE n::VARCHAR END AS f6, CASE WHEN n BETWEEN 1 AND 3999 THEN upper({_roman_sql('n')}) ELSE n::VARCHAR END AS f7,
         {_letters_sql('n')} AS f8, 'p.' || p || '/' || t AS f9 FROM b"""

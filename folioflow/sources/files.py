@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def scan_html_tree(spark: SparkSession, path: str) -> DataFrame:
     """(path, html) of every .html file below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 
 
