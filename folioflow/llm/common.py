@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -29,9 +30,17 @@ def _shared_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table written into the shared folder, which survives a lost executor. Unlike a plan that goes
     through checkpoint(), a table read back has the size of its files as its size estimate, also after many rounds."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:  # the shuffle files of this write serve nothing else
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 

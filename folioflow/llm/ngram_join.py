@@ -7,13 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import checkpointed
+from folioflow.llm.common import checkpointed, release
 from folioflow.llm.components import components
 from folioflow.llm.shingles import _ODD, _band_starts, mix64, part_signatures, set_key, shingle_sets, sketch
 
 CHUNK = 2_000_000
 SALTS = 64
 CLASSES = 8
+SMALL_GROUP = 64
 SHARED_SALTS = 32
 BROADCAST_IDS = 1_000_000
 BLOCK = 256
@@ -157,13 +158,25 @@ def delta_marks(column: np.ndarray, row: np.ndarray, b: int, percent: int) -> tu
 
 
 def delta_candidates(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with different labels that meet a common hub and may link, by their delta marks; sketches rule most others out
-    inside the join."""
+    """Pairs (a, b) with different labels that meet a common hub and may link. In groups of up to SMALL_GROUP documents they meet
+    directly, in larger ones by their delta marks; sketches rule most others out inside the joins."""
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     named = spokes.select("a", "b").join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-    mixed = named.groupBy("b").agg(F.least(F.min("la"), F.min("lb")).alias("x"), F.greatest(F.max("la"), F.max("lb")).alias("y")).where("x <> y").select("b")
-    blocks = _blocks(checkpointed(named.join(mixed, "b").select("a", "b")), sets)
+    mixed = checkpointed(
+        named.groupBy("b").agg(F.least(F.min("la"), F.min("lb")).alias("x"), F.greatest(F.max("la"), F.max("lb")).alias("y"), F.count("*").alias("size"))
+        .where("x <> y").select("b", "size")
+    )
+    own = labels.select(F.col("node").alias("doc_id"), "label")
+    known = sets.select("doc_id", "n", "sketch").join(own, "doc_id", "left").select("doc_id", "n", "sketch", F.coalesce("label", "doc_id").alias("label"))
+    differ = sum((F.bit_count(F.col("l.sketch")[i].bitwiseXOR(F.col("r.sketch")[i])) for i in range(8)), F.lit(0))
+    allowed = (F.col("l.n") + F.col("r.n")) * (100 - percent) / F.lit(100 + percent)
+    may = (F.col("l.label") != F.col("r.label")) & (differ <= allowed)
+
+    few = checkpointed(named.join(mixed.where(F.col("size") <= SMALL_GROUP), "b").select("b", F.col("a").alias("doc_id")).join(known, "doc_id"))
+    met = few.alias("l").join(few.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.doc_id") > F.col("r.doc_id")) & may)
+    direct = met.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
+    blocks = _blocks(checkpointed(named.join(mixed.where(F.col("size") > SMALL_GROUP), "b").select("a", "b")), sets)
 
     def run(batches):
         key, column = None, None
@@ -183,14 +196,9 @@ def delta_candidates(spokes: DataFrame, labels: DataFrame, sets: DataFrame, perc
 
     marks = blocks.mapInArrow(run, "doc_id long, mark long, role int")
     both = marks.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.bit_or(F.col("role") + 1).alias("roles")).where("x <> y and roles = 3")
-    own = labels.select(F.col("node").alias("doc_id"), "label")
-    known = sets.select("doc_id", "n", "sketch").join(own, "doc_id", "left")
-    shared = checkpointed(marks.join(both.select("mark"), "mark").join(known, "doc_id").select("mark", "role", "doc_id", "n", "sketch", F.coalesce("label", "doc_id").alias("label")))
-    l, r = shared.where("role = 0").alias("l"), shared.where("role = 1").alias("r")
-    differ = sum((F.bit_count(F.col("l.sketch")[i].bitwiseXOR(F.col("r.sketch")[i])) for i in range(8)), F.lit(0))
-    allowed = (F.col("l.n") + F.col("r.n")) * (100 - percent) / F.lit(100 + percent)
-    met = l.join(r, (F.col("l.mark") == F.col("r.mark")) & (F.col("l.label") != F.col("r.label")) & (differ <= allowed))
-    return met.select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b")).distinct()
+    shared = checkpointed(marks.join(both.select("mark"), "mark").join(known, "doc_id").select("mark", "role", "doc_id", "n", "sketch", "label"))
+    met = shared.where("role = 0").alias("l").join(shared.where("role = 1").alias("r"), (F.col("l.mark") == F.col("r.mark")) & may)
+    return direct.union(met.select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b"))).distinct()
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -246,6 +254,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     more = checkpointed(linked(cross, sets, percent))
     if more.take(1):
         labels = components(links.union(more))
+    release(shared, spokes, sets, links, cross, more)
 
     return (
         described.select("doc_id", "n", "set_key")

@@ -169,7 +169,8 @@ def test_main_text_cases(spark):
 
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    x = rng.standard_normal((3000, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(3000 + i, [float(v) for v in x[20]]) for i in range(40)]
     rows += [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, [1.0]), (9080, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"key": F.lit("k"), "part": F.lit(0)})
