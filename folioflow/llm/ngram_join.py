@@ -13,8 +13,8 @@ from folioflow.llm.shingles import _ODD, _band_starts, mix64, part_signatures, s
 
 CHUNK = 2_000_000
 SALTS = 64
-CLASSES = 8
-SMALL_GROUP = 64
+CLASSES = 4
+SMALL_GROUP = 512
 SHARED_SALTS = 32
 BROADCAST_IDS = 1_000_000
 BLOCK = 256
