@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from folioflow.llm.chunks import cuts
 from folioflow.llm.ngram_join import _runs
 
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
 KEPT_CHUNKS = 60_000
 GROUP = 4096
 
@@ -38,9 +38,15 @@ class Kept(dict):
         self[key] = value
 
 
+# Signs that stand alone behind a letter or digit: the tokenizer splits there whatever comes before.
+TAIL = b".,!?;:#*$%&()=+-"
+
+
 class Coder:
     """Encodes texts piece by piece. A piece is a run without spaces and line feeds: the tokenizer turns white space
-    into one space and splits there, so pieces are encoded alike wherever they stand."""
+    into one space and splits there, so pieces are encoded alike wherever they stand. Signs behind a letter or digit are a
+    piece of their own, and ASCII letters are lower-cased, as the tokenizer does both; pieces with the start of a special token are
+    left as they are."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -49,97 +55,120 @@ class Coder:
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = [t["content"].encode("utf-8") for t in spec["added_tokens"]]
         fixed = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
         self.between = (fixed[0]["content"], fixed[0]["id"]) if fixed else None
         self.plain = spec.get("decoder") is None
+        self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.words, self.chunks = Kept(KEPT_WORDS), Kept(KEPT_CHUNKS)
 
-    def learn(self, pieces: set) -> dict:
-        """piece -> (ids as bytes, token strings). Pieces are encoded together, with a special token between them, which
-        is split off before anything else happens; a piece that holds such a token is encoded alone."""
-        out, alone, group = {}, [], []
-        for p in pieces:
-            known = self.words.find(p)
-            if known is not None:
-                out[p] = known
-            elif self.between is None or any(s in p for s in self.special):
-                alone.append(p)
-            else:
-                group.append(p)
-        for p in alone:
-            e = self.tokenizer.encode(p, add_special_tokens=False)
-            out[p] = (np.array(e.ids, np.int32).tobytes(), " ".join(e.tokens))
-        for i in range(0, len(group), GROUP):
-            part = group[i : i + GROUP]
-            e = self.tokenizer.encode(self.between[0].join(part), add_special_tokens=False)
-            ids, tokens = np.array(e.ids, np.int32), e.tokens
-            at = np.concatenate(([-1], np.flatnonzero(ids == self.between[1]), [len(ids)])).tolist()
-            for p, a, b in zip(part, at[:-1], at[1:], strict=True):
-                out[p] = (ids[a + 1 : b].tobytes(), " ".join(tokens[a + 1 : b]))
-        for p in [*alone, *group]:
-            self.words.put(p, out[p])
+    def learn(self, pieces: list) -> list:
+        """Ids (as bytes) of each piece. New ones are encoded together, with a special token between them, which is split off before
+        anything else happens; a piece that holds such a token is encoded alone."""
+        find = self.words.find
+        out = [find(p) for p in pieces]
+        new = [i for i, known in enumerate(out) if known is None]
+        alone = [i for i in new if self.between is None or b"<|" in pieces[i] and any(t in pieces[i] for t in self.special)]
+        lonely = set(alone)
+        group = [i for i in new if i not in lonely]
+        for i in alone:
+            out[i] = np.array(self.tokenizer.encode(pieces[i].decode("utf-8"), add_special_tokens=False).ids, np.int32).tobytes()
+        for a in range(0, len(group), GROUP):
+            part = group[a : a + GROUP]
+            text = self.between[0].join([pieces[i].decode("utf-8") for i in part])
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            ends = np.concatenate((np.flatnonzero(ids == self.between[1]), [len(ids)])) * 4
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(part, ends.tolist(), strict=True):
+                out[i] = raw[start:end]
+                start = end + 4
+        for i in new:
+            self.words.put(pieces[i], out[i])
         return out
 
     def encode(self, texts: list) -> list:
-        """(ids as bytes, decoded text) of each text.
+        """Ids (as bytes) of each text.
 
         A chunk seen before gives its inner pieces at once. Its first and last piece may go on in the next chunk: what
         stands around a join is put together until white space ends it and is encoded anew as one piece, so that
         the result is that of the whole text."""
-        plans, fresh, wanted = [], {}, set()
-        held = {}
+        number: dict = {}  # word -> its place in `made`
+        made: list = []  # places of each word's pieces
+        known: dict = {}  # piece -> its place in `pieces`
+        pieces: list = []
+        parts: dict = {}  # chunk -> (head, unit, tail); a unit is a place in `units`, -1 without white space
+        units: list = []  # ids as bytes, or the places of words
+        plans = []
+        get = number.get
+
+        def place(word: bytes) -> int:
+            """Split a word that is new in these texts into pieces."""
+            body = word.rstrip(TAIL)
+            if b"<|" in word:
+                split = [word]
+            elif len(body) != len(word) and body and (body[-1:].isalnum() or body[-1] > 127 and body.decode("utf-8")[-1].isalpha()):
+                split = [body.lower(), word[len(body) :]]
+            else:
+                split = [word.lower()]
+            for i, x in enumerate(split):
+                if x not in known:
+                    known[x] = len(pieces)
+                    pieces.append(x)
+                split[i] = known[x]
+            number[word] = len(made)
+            made.append(split)
+            return len(made) - 1
+
         for text in texts:
             raw = (text or "").encode("utf-8")
             plan, pending, start = [], b"", 0
             for end in cuts(raw):
-                chunk, start = raw[start:end], end
-                known = held.get(chunk) or fresh.get(chunk)
-                if known is None:
-                    known = self.chunks.find(chunk)
-                    if known is not None:
-                        held[chunk] = known
+                chunk = raw[start:end]
+                start = end
+                part = parts.get(chunk)
+                if part is None:
+                    held = self.chunks.find(chunk)
+                    if held is not None:
+                        part = (held[0], len(units), held[2])
+                        units.append(held[1])
                     else:
                         flat = chunk.replace(b"\n", b" ")
-                        first = flat.find(b" ")
+                        first, last = flat.find(b" "), flat.rfind(b" ")
                         if first < 0:
-                            known = (chunk, None, b"")
+                            part = (chunk, -1, b"")
                         else:
-                            last = flat.rfind(b" ")
-                            inner = flat[first:last].decode("utf-8").split(" ")
-                            known = (chunk[:first], [w for w in inner if w], chunk[last + 1 :])
-                            wanted.update(known[1])
-                        fresh[chunk] = known
-                head, inner, tail = known
-                if inner is None:
+                            part = (chunk[:first], len(units), chunk[last + 1 :])
+                            words = flat[first + 1 : last].split(b" ") if last > first else []
+                            at = [get(w) for w in words]
+                            if None in at:
+                                at = [get(w) if get(w) is not None else place(w) for w in words if w]
+                            units.append(at)
+                    parts[chunk] = part
+                head, unit, tail = part
+                if unit < 0:
                     pending += head
                     continue
-                pending += head
-                if pending:
-                    piece = pending.decode("utf-8")
-                    wanted.add(piece)
-                    plan.append(piece)
-                plan.append(chunk)
+                if pending or head:
+                    word = pending + head
+                    n = get(word)
+                    plan.append(~(place(word) if n is None else n))
+                plan.append(unit)
                 pending = tail
             if pending:
-                piece = pending.decode("utf-8")
-                wanted.add(piece)
-                plan.append(piece)
+                n = get(pending)
+                plan.append(~(place(pending) if n is None else n))
             plans.append(plan)
-        coded = self.learn(wanted)
-        cores = {c: k[1] for c, k in held.items()}
-        for chunk, (head, inner, tail) in fresh.items():
-            if inner is not None:
-                got = [coded[w] for w in inner]
-                core = (b"".join(g[0] for g in got), " ".join(g[1] for g in got if g[1]))
-                cores[chunk] = core
-                self.chunks.put(chunk, (head, core, tail))
-        out = []
-        for plan in plans:
-            got = [coded[p] if isinstance(p, str) else cores[p] for p in plan]
-            ids = b"".join(g[0] for g in got)
-            out.append((ids, " ".join(g[1] for g in got if g[0]) if self.plain else self.tokenizer.decode(np.frombuffer(ids, np.int32).tolist(), skip_special_tokens=False)))
-        return out
+        ids = self.learn(pieces)
+        word = [ids[m[0]] if len(m) == 1 else ids[m[0]] + ids[m[1]] for m in made]
+        done = [u if isinstance(u, bytes) else b"".join([word[i] for i in u]) for u in units]
+        for chunk, (head, unit, tail) in parts.items():
+            if unit >= 0 and not isinstance(units[unit], bytes):
+                self.chunks.put(chunk, (head, done[unit], tail))
+        return [b"".join([done[u] if u >= 0 else word[~u] for u in plan]) for plan in plans]
+
+    def decode(self, ids: list) -> str:
+        """The library's decode() of ids with special tokens kept: without a decoder, the tokens with spaces between."""
+        return " ".join([self.names[i] for i in ids]) if self.plain else self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, keep: tuple = ()) -> DataFrame:
@@ -159,13 +188,13 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, keep: tuple = ()) -> Dat
             done = 0
             for rows, part in _runs(range(len(texts)), texts):
                 coded = coder.encode(part)
-                ids = [np.frombuffer(i, np.int32) for i, _ in coded]
+                ids = [np.frombuffer(i, np.int32) for i in coded]
                 sizes = np.array([0, *map(len, ids)], np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(ids)))
                 same = batch.slice(done, len(part))
                 done += len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [*same.columns, pa.array(sizes[1:].astype(np.int64)), lists, pa.array([d for _, d in coded], pa.string())],
+                    [*same.columns, pa.array(sizes[1:].astype(np.int64)), lists, pa.array([coder.decode(i.tolist()) for i in ids], pa.string())],
                     names=[*batch.schema.names, "n_tokens", "ids", "decoded"],
                 )
 
