@@ -238,7 +238,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     equal = described.select("doc_id", "set_key").join(_salted(several), [F.col("set_key") == F.col("k"), _salt("doc_id") == F.col("salt")]).where("doc_id <> rep").select("doc_id")
     nodes = described.where("n > 0 and doc_id is not null").select("doc_id", "marks").join(checkpointed(equal), "doc_id", "left_anti")
     marks = nodes.select("doc_id", F.explode("marks").alias("mark"))
-    stars = marks.groupBy("mark").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("mark", "hub")
+    stars = checkpointed(marks.groupBy("mark").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("mark", "hub"))
     shared = checkpointed(marks.join(stars, "mark"))
     spokes = checkpointed(shared.where("doc_id <> hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("common")))
     sets = checkpointed(sets_of(docs, shared.select("doc_id"), k))
