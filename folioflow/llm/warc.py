@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import checkpointed
+
 RECORDS_PER_FILE = 256
 RANGE_BITS = 16
 FAN_BITS = 3
@@ -39,48 +41,47 @@ def _joined(digests: Column) -> Column:
 
 
 def tree_levels(index: DataFrame) -> list[DataFrame]:
-    """Nodes (file_id, node, digest, n) from the leaves up. A leaf covers the records that start in one range of
-    2^16 bytes of a file; a node of the next level covers 8 neighbours; the last level is the file's root. No
-    group holds more than the records of one range or the nodes under one parent."""
+    """Nodes (side, file_id, node, digest) from the leaves up. A leaf covers the records that start in one range of 2^16 bytes
+    of a file; a node of the next level covers 8 neighbours; the last level is the file's root. No group holds more than the records
+    of one range or the nodes under one parent. Levels are written, for the audit reads each on its way down."""
     item = F.struct(F.col("start").alias("place"), F.concat_ws("/", F.col("size").cast("string"), "digest").alias("digest"))
-    level = index.groupBy("file_id", F.shiftright("start", RANGE_BITS).alias("node")).agg(_joined(F.collect_list(item)).alias("digest"), F.count("*").alias("n"))
+    level = checkpointed(index.groupBy("side", "file_id", F.shiftright("start", RANGE_BITS).alias("node")).agg(_joined(F.collect_list(item)).alias("digest")))
     out = [level]
     for i in range(LEVELS):
         up = F.lit(0).cast("long") if i == LEVELS - 1 else F.shiftright("node", FAN_BITS)
         child = F.struct(F.col("node").alias("place"), "digest")
-        level = level.groupBy("file_id", up.alias("node")).agg(_joined(F.collect_list(child)).alias("digest"), F.sum("n").alias("n"))
+        level = checkpointed(level.groupBy("side", "file_id", up.alias("node")).agg(_joined(F.collect_list(child)).alias("digest")))
         out.append(level)
     return out
 
 
+def _below(rows: DataFrame, suspects: DataFrame, up: Column) -> DataFrame:
+    s = suspects.select(F.col("file_id").alias("s_file"), F.col("node").alias("s_node"))
+    return rows.join(s, rows["file_id"].eqNullSafe(s["s_file"]) & (up == s["s_node"]), "left_semi")
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Records in which two indexes (file_id, start, size, digest, page_id) of the same archive differ: file_id,
     page_id, start, expected_size, found_size, expected, found and status (changed, missing or extra).
 
     Roots are compared by file; below a root that differs, or is on one side only, its children are compared, and so on
     down to ranges; records are compared in the ranges that differ. Equal archives give no rows."""
-    trees = list(zip(tree_levels(primary), tree_levels(replica)))
+    columns = ["file_id", "page_id", "start", "size", "digest"]
+    index = checkpointed(
+        primary.select(F.lit(0).alias("side"), *columns).unionByName(replica.select(F.lit(1).alias("side"), *columns))
+    )
     suspects = None
-    for depth, (a, b) in enumerate(reversed(trees)):
+    for depth, level in enumerate(reversed(tree_levels(index))):
         if suspects is not None:
-            up = F.lit(0).cast("long") if depth == 1 else F.shiftright("node", FAN_BITS)
-            s = suspects.select(F.col("file_id").alias("s_file"), F.col("node").alias("s_node"))
-            a, b = (t.join(s, t["file_id"].eqNullSafe(s["s_file"]) & (up == s["s_node"]), "left_semi") for t in (a, b))
-        x, y = a.alias("x"), b.alias("y")
-        met = x.join(y, F.col("x.file_id").eqNullSafe(F.col("y.file_id")) & (F.col("x.node") == F.col("y.node")), "full")
-        suspects = met.where(~F.col("x.digest").eqNullSafe(F.col("y.digest"))).select(
-            F.coalesce("x.file_id", "y.file_id").alias("file_id"), F.coalesce("x.node", "y.node").alias("node")
-        )
-    s = suspects.select(F.col("file_id").alias("s_file"), F.col("node").alias("s_node"))
-    a, b = (
-        t.join(s, t["file_id"].eqNullSafe(s["s_file"]) & (F.shiftright("start", RANGE_BITS) == s["s_node"]), "left_semi") for t in (primary, replica)
-    )
-    x, y = a.alias("x"), b.alias("y")
-    met = x.join(y, F.col("x.file_id").eqNullSafe(F.col("y.file_id")) & (F.col("x.start") == F.col("y.start")), "full")
-    both = F.col("x.digest").isNotNull() & F.col("y.digest").isNotNull()
-    return met.where(~(both & (F.col("x.digest") == F.col("y.digest")) & (F.col("x.size") == F.col("y.size")))).select(
-        F.coalesce("x.file_id", "y.file_id").alias("file_id"), F.coalesce("x.page_id", "y.page_id").alias("page_id"),
-        F.coalesce("x.start", "y.start").alias("start"), F.col("x.size").alias("expected_size"), F.col("y.size").alias("found_size"),
-        F.col("x.digest").alias("expected"), F.col("y.digest").alias("found"),
-        F.when(both, "changed").when(F.col("y.digest").isNull(), "missing").otherwise("extra").alias("status"),
+            level = _below(level, suspects, F.lit(0).cast("long") if depth == 1 else F.shiftright("node", FAN_BITS))
+        sides = level.groupBy("file_id", "node").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.count("*").alias("n"))
+        suspects = checkpointed(sides.where("x <> y or n = 1").select("file_id", "node"))
+
+    def of(side: int, column: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+
+    met = _below(index, suspects, F.shiftright("start", RANGE_BITS)).groupBy("file_id", "start").agg(
+        F.max("page_id").alias("page_id"), of(0, "size").alias("expected_size"), of(1, "size").alias("found_size"), of(0, "digest").alias("expected"), of(1, "digest").alias("found")
     )
+    status = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("changed")
+    return met.where(~(F.col("expected").eqNullSafe(F.col("found")) & F.col("expected_size").eqNullSafe(F.col("found_size")))).withColumn("status", status)

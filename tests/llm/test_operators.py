@@ -47,8 +47,7 @@ def test_chunks_resist_shifts():
 
 
 def test_fingerprints(spark, odd):
-    got = fingerprints.compare_with_edits(odd, ranges=4) if False else fingerprints.compare_with_edits(odd)
-    rows = got.collect()
+    rows = fingerprints.compare_with_edits(odd).collect()
     assert len(rows) == odd.count()
     order = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want = {}
