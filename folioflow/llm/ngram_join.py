@@ -86,13 +86,27 @@ def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return heads.union(rows).repartition("b", "salt").sortWithinPartitions("b", "salt", "part")
 
 
+def _may_link(percent: int):
+    """Whether rows l and r with n and sketch may link: by their sizes, and by the bits in which their sketches differ."""
+    differ = sum((F.bit_count(F.col("l.sketch")[i].bitwiseXOR(F.col("r.sketch")[i])) for i in range(8)), F.lit(0))
+    sizes = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
+    return sizes & (differ <= (F.col("l.n") + F.col("r.n")) * (100 - percent) / F.lit(100 + percent))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and sketches do not rule out; whole sets travel for these alone."""
+    own = sets.select("doc_id", "n", "sketch")
+    met = pairs.alias("p").join(own.alias("l"), F.col("p.a") == F.col("l.doc_id")).join(own.alias("r"), F.col("p.b") == F.col("r.doc_id"))
+    return met.where(_may_link(percent)).select("p.a", "p.b")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose similarity reaches percent / 100, by a blocked sparse product.
 
     A block holds one column document b and a share of its row documents a. The block's column vocabulary stays in
     memory while the rows stream past; up to BLOCK rows at a time are multiplied with it, which accumulates overlap
     counts. Rows whose size alone rules a link out are discarded before."""
-    blocks = _blocks(pairs, sets)
+    blocks = _blocks(checkpointed(_possible(pairs, sets, percent)), sets)
 
     def product(column: np.ndarray, held: list) -> list:
         sizes = np.array([len(g) for _, g in held])
@@ -157,9 +171,10 @@ def delta_marks(column: np.ndarray, row: np.ndarray, b: int, percent: int) -> tu
     return tuple(mix64(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out)
 
 
-def delta_candidates(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with different labels that meet a common hub and may link. In groups of up to SMALL_GROUP documents they meet
-    directly, in larger ones by their delta marks; sketches rule most others out inside the joins."""
+def delta_candidates(shared: DataFrame, spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with different labels that share a signature and may link. Documents of one hub meet directly where they are at
+    most SMALL_GROUP; else those of one signature do; and where these are more, by their delta marks. Sizes and sketches rule
+    most pairs out inside the joins."""
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     named = spokes.select("a", "b").join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
@@ -169,14 +184,21 @@ def delta_candidates(spokes: DataFrame, labels: DataFrame, sets: DataFrame, perc
     )
     own = labels.select(F.col("node").alias("doc_id"), "label")
     known = sets.select("doc_id", "n", "sketch").join(own, "doc_id", "left").select("doc_id", "n", "sketch", F.coalesce("label", "doc_id").alias("label"))
-    differ = sum((F.bit_count(F.col("l.sketch")[i].bitwiseXOR(F.col("r.sketch")[i])) for i in range(8)), F.lit(0))
-    allowed = (F.col("l.n") + F.col("r.n")) * (100 - percent) / F.lit(100 + percent)
-    may = (F.col("l.label") != F.col("r.label")) & (differ <= allowed)
+    may = (F.col("l.label") != F.col("r.label")) & _may_link(percent)
+
+    def meet(rows: DataFrame, key: str) -> DataFrame:
+        met = rows.alias("l").join(rows.alias("r"), (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.doc_id") > F.col("r.doc_id")) & may)
+        return checkpointed(met.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct())
 
     few = checkpointed(named.join(mixed.where(F.col("size") <= SMALL_GROUP), "b").select("b", F.col("a").alias("doc_id")).join(known, "doc_id"))
-    met = few.alias("l").join(few.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.doc_id") > F.col("r.doc_id")) & may)
-    direct = met.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
-    blocks = _blocks(checkpointed(named.join(mixed.where(F.col("size") > SMALL_GROUP), "b").select("a", "b")), sets)
+    direct = meet(few, "b")
+    crowd = shared.where("doc_id <> hub").join(mixed.where(F.col("size") > SMALL_GROUP).select(F.col("b").alias("hub")), "hub").join(known.select("doc_id", "label"), "doc_id")
+    buckets = checkpointed(crowd.groupBy("mark").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("mark", "size"))
+    some = checkpointed(crowd.join(buckets.where(F.col("size") <= SMALL_GROUP), "mark").select("mark", "doc_id").join(known, "doc_id"))
+    direct = direct.union(meet(some, "mark"))
+    many = crowd.join(buckets.where(F.col("size") > SMALL_GROUP), "mark").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    release(few, some)
+    blocks = _blocks(checkpointed(many), sets)
 
     def run(batches):
         key, column = None, None
@@ -196,8 +218,8 @@ def delta_candidates(spokes: DataFrame, labels: DataFrame, sets: DataFrame, perc
 
     marks = blocks.mapInArrow(run, "doc_id long, mark long, role int")
     both = marks.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.bit_or(F.col("role") + 1).alias("roles")).where("x <> y and roles = 3")
-    shared = checkpointed(marks.join(both.select("mark"), "mark").join(known, "doc_id").select("mark", "role", "doc_id", "n", "sketch", "label"))
-    met = shared.where("role = 0").alias("l").join(shared.where("role = 1").alias("r"), (F.col("l.mark") == F.col("r.mark")) & may)
+    rows = checkpointed(marks.join(both.select("mark"), "mark").join(known, "doc_id").select("mark", "role", "doc_id", "n", "sketch", "label"))
+    met = rows.where("role = 0").alias("l").join(rows.where("role = 1").alias("r"), (F.col("l.mark") == F.col("r.mark")) & may)
     return direct.union(met.select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b"))).distinct()
 
 
@@ -250,7 +272,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     links = checkpointed(links.union(linked(rest, sets, percent)))
     labels = components(links)
 
-    cross = checkpointed(delta_candidates(spokes, labels, sets, percent).join(spokes, ["a", "b"], "left_anti").select("a", "b"))
+    cross = checkpointed(delta_candidates(shared, spokes, labels, sets, percent).join(spokes, ["a", "b"], "left_anti").select("a", "b"))
     more = checkpointed(linked(cross, sets, percent))
     if more.take(1):
         labels = components(links.union(more))
