@@ -242,8 +242,9 @@ def families():
     return out + out[-4:]
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
-def test_jaccard_groups(spark, k, percent):
+@pytest.mark.parametrize("k,percent,small", [(3, 90, 512), (5, 80, 512), (3, 90, 4)])
+def test_jaccard_groups(spark, monkeypatch, k, percent, small):
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", small)
     docs = families()
     sets = {i * 3: shingles(t, k) for i, t in enumerate(docs)}
     root = {i: i for i in sets}
