@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import checkpointed, release
 from folioflow.llm.components import components
-from folioflow.llm.shingles import _ODD, _band_starts, mix64, part_signatures, set_key, shingle_sets, sketch
+from folioflow.llm.shingles import _ODD, SKETCHES, _band_starts, mix64, part_signatures, set_key, shingle_sets, sketch
 
 CHUNK = 2_000_000
 SALTS = 64
 CLASSES = 4
 SMALL_GROUP = 512
 SHARED_SALTS = 32
+SKETCH_NAMES = [f"sketch{words}" for words, _ in SKETCHES]
 BROADCAST_IDS = 1_000_000
 BLOCK = 256
 
@@ -60,7 +61,7 @@ def describe_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, grams binary, sketch) for the wanted ids. Their ids are broadcast while they are few, and joined beyond."""
+    """(doc_id, n, grams binary, sketches) for the wanted ids. Their ids are broadcast while they are few, and joined beyond."""
     ids = wanted.select("doc_id").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -71,11 +72,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 found = shingle_sets(texts, k)
                 columns = [
                     pa.array(own, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()),
-                    _longs([sketch(s).view(np.uint64) for s in found]),
+                    *[_longs([sketch(s, words).view(np.uint64) if len(s) >= least else s[:0] for s in found]) for words, least in SKETCHES],
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "grams", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "grams", *SKETCH_NAMES])
 
-    return chosen.mapInArrow(run, "doc_id long, n long, grams binary, sketch array<long>")
+    return chosen.mapInArrow(run, "doc_id long, n long, grams binary, " + ", ".join(f"{c} array<long>" for c in SKETCH_NAMES))
 
 
 def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -88,14 +89,19 @@ def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _may_link(percent: int):
     """Whether rows l and r with n and sketch may link: by their sizes, and by the bits in which their sketches differ."""
-    differ = sum((F.bit_count(F.col("l.sketch")[i].bitwiseXOR(F.col("r.sketch")[i])) for i in range(8)), F.lit(0))
+    def bits(name: str):
+        return F.aggregate(F.zip_with(f"l.{name}", f"r.{name}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+
+    differ = bits(SKETCH_NAMES[0])
+    for (_, least), name in zip(SKETCHES[1:], SKETCH_NAMES[1:]):  # the longest that both have
+        differ = F.when(F.least("l.n", "r.n") >= least, bits(name)).otherwise(differ)
     sizes = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
     return sizes & (differ <= (F.col("l.n") + F.col("r.n")) * (100 - percent) / F.lit(100 + percent))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and sketches do not rule out; whole sets travel for these alone."""
-    own = sets.select("doc_id", "n", "sketch")
+    own = sets.select("doc_id", "n", *SKETCH_NAMES)
     met = pairs.alias("p").join(own.alias("l"), F.col("p.a") == F.col("l.doc_id")).join(own.alias("r"), F.col("p.b") == F.col("r.doc_id"))
     return met.where(_may_link(percent)).select("p.a", "p.b")
 
@@ -183,7 +189,7 @@ def delta_candidates(shared: DataFrame, spokes: DataFrame, labels: DataFrame, se
         .where("x <> y").select("b", "size")
     )
     own = labels.select(F.col("node").alias("doc_id"), "label")
-    known = sets.select("doc_id", "n", "sketch").join(own, "doc_id", "left").select("doc_id", "n", "sketch", F.coalesce("label", "doc_id").alias("label"))
+    known = sets.select("doc_id", "n", *SKETCH_NAMES).join(own, "doc_id", "left").select("doc_id", "n", *SKETCH_NAMES, F.coalesce("label", "doc_id").alias("label"))
     may = (F.col("l.label") != F.col("r.label")) & _may_link(percent)
 
     def meet(rows: DataFrame, key: str) -> DataFrame:
@@ -218,7 +224,7 @@ def delta_candidates(shared: DataFrame, spokes: DataFrame, labels: DataFrame, se
 
     marks = blocks.mapInArrow(run, "doc_id long, mark long, role int")
     both = marks.groupBy("mark").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.bit_or(F.col("role") + 1).alias("roles")).where("x <> y and roles = 3")
-    rows = checkpointed(marks.join(both.select("mark"), "mark").join(known, "doc_id").select("mark", "role", "doc_id", "n", "sketch", "label"))
+    rows = checkpointed(marks.join(both.select("mark"), "mark").join(known, "doc_id").select("mark", "role", "doc_id", "n", *SKETCH_NAMES, "label"))
     met = rows.where("role = 0").alias("l").join(rows.where("role = 1").alias("r"), (F.col("l.mark") == F.col("r.mark")) & may)
     return direct.union(met.select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b"))).distinct()
 

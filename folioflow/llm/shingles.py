@@ -78,9 +78,14 @@ def _band_starts(percent: int) -> list[int]:
     return starts
 
 
+# Words of 64 bits of a sketch, and the set size from which a set has one of that length; a link to a set of 1.25 times the
+# size or less never leaves both sides without a common length that suits them.
+SKETCHES = ((8, 0), (64, 320), (512, 3200))
+
+
 def sketch(shingles: np.ndarray, words: int = 8) -> np.ndarray:
-    """Parities of the shingles by 64 x words cells. The bits in which two sketches differ are at most as many as the
-    shingles in which the sets differ."""
+    """Parities of the shingles by 64 x words cells. The bits in which two sketches of one length differ are at most as many as
+    the shingles in which the sets differ."""
     cell = np.bincount((mix64(shingles + np.uint64(3)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(cell.astype(np.uint8)).view(np.int64)
 
