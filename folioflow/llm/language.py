@@ -240,5 +240,8 @@ def identify(docs: DataFrame, field: Field | None = None, keep: tuple = ()) -> D
 
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The rows of docs whose language is identified: not `und`, with a score of `least` or more. Columns stay."""
-    found = identify(docs, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select(*docs.columns)
+    names = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    renamed = docs.select("doc_id", "text", *[F.col(c).alias(k) for c, k in names.items()])
+    field = learn_languages(docs)
+    found = identify(renamed, field, keep=("text", *names.values())).where((F.col("lang_pred") != NONE) & (F.col("score") >= least))
+    return found.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

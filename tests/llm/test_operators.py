@@ -278,7 +278,7 @@ def test_components_of_a_path(spark):
 
 
 def test_toxicity(spark, odd):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn_toxicity(docs, labels)
     rows = toxicity.score_toxicity(docs, model=model).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.93
