@@ -134,6 +134,14 @@ def test_pii_terms(spark):
     assert "Zorblatt" not in texts(pii.sanitize(df))[0] and "[TERM]" in texts(pii.sanitize(df))[0]
 
 
+def test_pii_terms_of_a_value_seen_once(spark):
+    rows = [f"plain words of row {i % 7} and no more" for i in range(100)] + ["plain words Quillfeather ab@corp.org and no more"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [rows[r.doc_id][s.s : s.e] for s in r.spans if s.kind == "term"] for r in pii.find_pii(df).collect()}
+    assert found.pop(100) == ["Quillfeather"] and not any(found.values())
+    assert texts(pii.sanitize(df))[100] == "plain words [TERM] [EMAIL] and no more"
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(60):
