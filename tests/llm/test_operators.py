@@ -142,6 +142,29 @@ def test_pii_terms_of_a_value_seen_once(spark):
     assert texts(pii.sanitize(df))[100] == "plain words [TERM] [EMAIL] and no more"
 
 
+def test_pii_terms_far_from_the_value(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n))
+    wide = "Zorblatt" + " " * 200 + "zz@corp.org"
+    rows = [f"Zorblatt {words(30)} {wide} {words(300)} Zorblatt {words(30)}, Zorblatt."] * 2 + [f"{words(20)} zz@corp.org {words(30)} Zorblatt"]
+    rows += [words(40) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        want = [m.span() for m in re.finditer("Zorblatt", rows[r.doc_id])]
+        assert [(s.s, s.e) for s in r.spans if s.kind == "term"] == want
+    assert not any("Zorblatt" in t for t in texts(pii.sanitize(df)).values())
+
+
+def test_pii_words_that_spans_overlap(spark):
+    rows = ["é+44 20 7946 0958é x a.b@c.de,b@c.dex 10.0.0.1 b 2345678 c"] + [f"x b c d é de {i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    one = df.where("doc_id = 0").select(F.col("doc_id").alias("dk"), "text", pii.base_spans().alias("spans"))
+    laid = [(r.place, rows[0][r.s : r.e]) for r in pii._laid_out(one).where("term is not null").orderBy("s").collect()]
+    spans = plain_spans(rows[0])
+    free = [m for m in re.finditer(r"[^\W_]+", rows[0]) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
+    assert laid == [(i + 1, m.group()) for i, m in enumerate(free)]
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(60):
