@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from folioflow.llm.common import checkpointed, release
 from folioflow.llm.components import components
@@ -297,8 +298,48 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; of rows with the same doc_id one stays
-    unless its text is blank, in which case all stay."""
+    """The rows of docs without those whose component has a smaller doc_id. Repeated rows of one doc_id and rows without a
+    doc_id all stay; keep_one_row_each drops them too."""
     groups = jaccard_groups(docs, k, percent)
     gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def _with_set_key(docs: DataFrame, k: int) -> DataFrame:
+    """The rows of docs with repeat_key, the digest of their shingle set; null for blank texts."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keys = [set_key(s) if len(s) else None for _, part in _runs(texts, texts) for s in shingle_sets(part, k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*names, "repeat_key"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("repeat_key", BinaryType())]))
+
+
+def drop_repeated_rows(docs: DataFrame, k: int = 3) -> DataFrame:
+    """docs with one row of each doc_id and shingle set, and of rows without a doc_id one of each set, none if a row with
+    an id has that set. Of several the smallest stays. Rows of blank or null texts all stay.
+
+    Only rows without an id or with an id that occurs again are looked at; copies are aggregated in each task first, so
+    that no group is gathered."""
+    again = checkpointed(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("again_n")).where("again_n > 1").select("again_id"))
+    hit = docs["doc_id"] == again["again_id"]
+    looked = _with_set_key(docs.where("doc_id is null").union(docs.join(again, hit, "left_semi")), k)
+    of_no_id = docs.where("doc_id is null").take(1)
+    if not of_no_id and not again.take(1):
+        return docs
+    one = looked.where("repeat_key is not null").groupBy("doc_id", "repeat_key").agg(F.min(F.struct(*docs.columns)).alias("one"))
+    if of_no_id:
+        known = _with_set_key(docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")), k)
+        known = known.where("repeat_key is not null").select(F.col("repeat_key").alias("known_key")).distinct()
+        one = one.join(known, one["doc_id"].isNull() & (one["repeat_key"] == known["known_key"]), "left_anti")
+    alone = docs.where("doc_id is not null").join(again, hit, "left_anti")
+    return alone.union(looked.where("repeat_key is null").select(*docs.columns)).union(one.select("one.*"))
+
+
+def keep_one_row_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """One row of each group of near copies, also where rows are repeated or have no doc_id."""
+    return keep_one_each(drop_repeated_rows(docs, k), k, percent)

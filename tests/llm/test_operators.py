@@ -303,6 +303,19 @@ def test_jaccard_odd_rows(spark, odd):
     assert sorted(str(r.doc_id) for r in ngram_join.keep_one_each(odd).collect()) == sorted(["3", "1", "2", "None", "5", "6", "6", "8", "9"])
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark, odd):
+    import corpus_pipeline
+
+    copies = odd.where("doc_id in (6, 7)").withColumn("doc_id", F.lit(None).cast("long"))
+    lone = odd.where("doc_id is null")
+    docs = odd.union(copies).union(lone.withColumn("source", F.lit("s9"))).union(odd.where("doc_id = 6").withColumn("text", F.lit("another text of six words here")))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), (r.text or "")[:7]) for r in kept.collect()) == sorted(
+        [("3", "Mr. A w"), ("1", ""), ("2", ""), ("None", "no id h"), ("5", "word wo"), ("6", "same te"), ("6", "another"), ("8", "é😀 日本語 "), ("9", " \t\n")]
+    )
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.label) for r in components.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
