@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -71,15 +72,31 @@ def _fold(rows: pd.DataFrame, state: tuple, step, with_action: bool) -> tuple[li
     return out, state
 
 
-def batch_rule(events: DataFrame, rule: str, step, with_action: bool = False) -> DataFrame:
-    """Verdict of each event (key, event_id, at, action); one group a key, whose events are folded in order."""
+def _verdicts(events: DataFrame, start: tuple, step, with_action: bool, schema: str) -> DataFrame:
+    """event_id, key and verdict of each event. A task reads its keys' events in order, batch by batch, and carries nothing but
+    the state of the present key from one batch to the next, so a key may have any number of events."""
+    columns = ["key", "at", "event_id", *(["action"] if with_action else [])]
+    as_text = schema.endswith("string")
+
+    def run(batches):
+        present, state = object(), start
+        for batch in batches:
+            out = []
+            keys, instants, ids, *rest = (c.to_pylist() for c in batch.columns)
+            for i, key in enumerate(keys):
+                if key != present:
+                    present, state = key, start
+                state, verdict = step(state, instants[i], rest[0][i]) if with_action else step(state, instants[i])
+                out.append(str(verdict).lower() if as_text and isinstance(verdict, bool) else verdict)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(out, pa.string() if as_text else pa.bool_())], names=["event_id", "key", "verdict"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"])
-        verdicts, _ = _fold(rows, EMPTY[rule], step, with_action)
-        return rows.assign(verdict=verdicts)[["event_id", "key", "verdict"]]
+    placed = events.select(*columns).repartition("key").sortWithinPartitions("key", "at", "event_id")
+    return placed.mapInArrow(run, schema)
 
-    return events.groupBy("key").applyInPandas(run, "event_id long, key string, verdict string")
+
+def batch_rule(events: DataFrame, rule: str, step, with_action: bool = False) -> DataFrame:
+    """Verdict of each event (key, event_id, at, action), by a fold over each key's events in order."""
+    return _verdicts(events, EMPTY[rule], step, with_action, "event_id long, key string, verdict string")
 
 
 def stream_rule(events: DataFrame, rule: str, step, with_action: bool = False, keep: str = "2 hours") -> DataFrame:
@@ -108,22 +125,9 @@ otp_reset = partial(otp_step, reset_flow=True)
 
 
 def rate_limit_native(events: DataFrame, n: int, window: int) -> DataFrame:
-    """The rate rule as a fold over each key's sorted instants, without Python: for keys whose history fits one row."""
-    at = F.array_sort(F.collect_list(F.struct("at", "event_id")))
-    kind = "struct<reset:double,used:int,out:array<struct<event_id:bigint,accepted:boolean>>>"
-    start = F.expr(f"cast(named_struct('reset', null, 'used', 0, 'out', array()) as {kind})")
-
-    def step(acc, e):
-        new = acc["reset"].isNull() | (acc["reset"] < e["at"])
-        ok = new | (acc["used"] < n)
-        return F.struct(
-            F.when(new, e["at"] + float(window)).otherwise(acc["reset"]).alias("reset"),
-            F.when(new, F.lit(1)).when(ok, acc["used"] + 1).otherwise(acc["used"]).cast("int").alias("used"),
-            F.array_append(acc["out"], F.struct(e["event_id"].alias("event_id"), ok.alias("accepted"))).alias("out"),
-        ).cast(kind)
-
-    folded = events.groupBy("key").agg(at.alias("e")).select("key", F.aggregate("e", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("key", F.explode("out").alias("o")).select("key", "o.event_id", "o.accepted")
+    """Whether the rate rule accepts each event, by the same fold."""
+    step = partial(rate_step, n=n, window=float(window))
+    return _verdicts(events, EMPTY["rate"], step, False, "event_id long, key string, verdict boolean").select("key", "event_id", F.col("verdict").alias("accepted"))
 
 
 def usage_counts(events: DataFrame, window: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:

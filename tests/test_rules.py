@@ -112,3 +112,23 @@ def test_rewrites_are_idempotent(spark):
     assert web.stamp_assets(once, "7").first().html == once.first().html
     defer = web.defer_scripts(pages, ["c.d"])
     assert defer.first().changed and not web.defer_scripts(defer, ["c.d"]).first().changed
+
+
+def test_rules_carry_state_over_batches(spark):
+    rows = [(k, i * 100 + j, float(i * 7), "send" if i % 9 == 0 else "wrong") for i in range(300) for j, k in enumerate(("a", "b", None))]
+    events = spark.createDataFrame(rows, "key string, event_id long, at double, action string").repartition(3, "event_id")
+    want, rate, otp = {}, {}, {}
+    for k, e, at, action in sorted(rows, key=lambda r: r[1]):
+        rate[k], ok = S.rate_limit(rate.get(k, S.EMPTY["rate"]), at)
+        otp[k], said = S.otp_signup(otp.get(k, S.EMPTY["otp"]), at, action)
+        want[e] = (ok, str(ok).lower(), said)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        native, grouped, verify = S.rate_limit_native(events, 3, 3600), S.batch_rule(events, "rate", S.rate_limit), S.batch_rule(events, "otp", S.otp_signup, with_action=True)
+        got = [{r.event_id: r[c] for r in df.collect()} for df, c in ((native, "accepted"), (grouped, "verdict"), (verify, "verdict"))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {e: tuple(g[e] for g in got) for e in want} == want
+    for df in (native, grouped, verify):  # no key's events are gathered in a row or a group
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "FlatMapGroups" not in plan and "MapInArrow" in plan
