@@ -206,15 +206,18 @@ def resolve_inherited(nodes: DataFrame, most: int = 12) -> DataFrame:
     return state.select("node", "value", F.col("depth").cast("int").alias("depth"))
 
 
-def prune_outline(outline: DataFrame, deleted: DataFrame, most: int = 12) -> DataFrame:
-    """Outline nodes (node, parent, page) that stay: alive ones, and those with an alive node below them."""
-    alive = outline.join(deleted, "page", "left_anti").select("node", "parent")
-    kept, up = alive.select("node"), alive.select(F.col("parent").alias("node"))
-    for _ in range(most):
-        parents = outline.join(up, "node", "left_semi").select("node", "parent")
-        kept = kept.union(parents.select("node"))
-        up = parents.select(F.col("parent").alias("node"))
-    return outline.join(kept.distinct(), "node", "left_semi")
+def prune_outline(outline: DataFrame, deleted: DataFrame, checkpointed) -> DataFrame:
+    """Outline nodes (node, parent, page) that stay: alive ones, and those with an alive node below them at any depth. Each
+    round goes one parent up and is checkpointed, until none is new."""
+    kept = checkpointed(outline.join(deleted, "page", "left_anti").select("node", "parent"))
+    front = kept
+    while True:
+        up = outline.join(front.select(F.col("parent").alias("node")), "node", "left_semi").select("node", "parent")
+        front = checkpointed(up.join(kept.select("node"), "node", "left_anti").distinct())
+        if not front.take(1):
+            break
+        kept = checkpointed(kept.union(front))
+    return outline.join(kept.select("node").distinct(), "node", "left_semi")
 
 
 def best_under_budget(df: DataFrame, by: str, target: int) -> DataFrame:

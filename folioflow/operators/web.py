@@ -265,12 +265,13 @@ def resolve_assets(refs: DataFrame, assets: DataFrame) -> DataFrame:
     return rows.join(by_path, "p", "left").join(by_name, "b", "left").select(*refs.columns, F.coalesce("by_path", "by_name").alias("asset_id"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, dead: DataFrame, checkpointed, most: int = 50) -> DataFrame:
-    """Nodes reached from the roots without passing a dead node; each round goes one edge further and is checkpointed."""
+def reachable(edges: DataFrame, roots: DataFrame, dead: DataFrame, checkpointed) -> DataFrame:
+    """Nodes reached from the roots without passing a dead node; each round goes one edge further and is checkpointed, until
+    none is new."""
     live = edges.join(dead.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
     seen = checkpointed(roots.join(dead, "node", "left_anti").select("node").distinct())
     front = seen
-    for _ in range(most):
+    while True:
         front = checkpointed(live.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
         if not front.take(1):
             break

@@ -225,9 +225,11 @@ def j17_resolve_inherited(spark, sf_dir):
       k(node, parent) AS (SELECT node, parent FROM alive UNION SELECT o.node, o.parent FROM k JOIN o ON o.node = k.parent) SELECT DISTINCT node FROM k"""
 )
 def j18_prune_outline(spark, sf_dir):
+    from folioflow.sources.scratch import written
+
     page = F.length("node") * 7 % 5 + F.ascii(F.right("node", F.lit(1))) % 7
     deleted = spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in range(1, 7)])).alias("page"))
-    return R.prune_outline(_tree(spark, sf_dir).select("node", "parent", page.alias("page")), deleted, most=4).select("node")
+    return R.prune_outline(_tree(spark, sf_dir).select("node", "parent", page.alias("page")), deleted, written).select("node")
 
 
 _STEPS = "s AS (SELECT * FROM (VALUES (1, 180), (2, 144), (3, 110), (4, 90), (5, 72), (6, 60)) v(ord, dpi), (VALUES (9), (7), (5)) w(q))"

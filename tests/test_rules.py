@@ -132,3 +132,14 @@ def test_rules_carry_state_over_batches(spark):
     for df in (native, grouped, verify):  # no key's events are gathered in a row or a group
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "collect_list" not in plan and "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+def test_deep_graphs_are_walked_to_the_end(spark):
+    from folioflow.sources.scratch import written
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(54)] + [(54, 3)], "src long, dst long").coalesce(1)
+    node = spark.createDataFrame([(0,)], "node long")
+    assert {r.node for r in web.reachable(edges, node, node.limit(0), written).collect()} == set(range(55))
+    outline = spark.createDataFrame([(i, i - 1 if i else None, i) for i in range(18)] + [(100, 5, 100)], "node long, parent long, page long").coalesce(1)
+    deleted = outline.where("page <> 17").select("page")
+    assert {r.node for r in relational.prune_outline(outline, deleted, written).collect()} == set(range(18))
