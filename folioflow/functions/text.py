@@ -29,7 +29,7 @@ LOOSE_EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 STRICT_EMAIL = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9-]+(\.[a-zA-Z0-9-]+)+$"
 CONTROL_KEPT = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 CONTROL = r"[\x00-\x1F\x7F]"
-NAMED_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rarr;", "→"))
+NAMED_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rarr;", "→"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"))
 FONT_RULES = (
     ("times|tinos|liberationserif|nimbusrom", "Times New Roman"),
     ("arial|helvetica|arimo|liberationsans|nimbussan", "Arial"),
@@ -57,7 +57,8 @@ def tokens(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Words in lower case: letters, marks and digits, joined by apostrophes, dots, hyphens or digit separators."""
-    return F.transform(F.regexp_extract_all(col, F.lit(WORD), F.lit(0)), F.lower)
+    # possessive: nothing follows the group, and a word of many joins takes no stack
+    return F.transform(F.regexp_extract_all(col, F.lit(WORD + "+"), F.lit(0)), F.lower)
 
 
 def graphemes(col: Column) -> Column:
@@ -123,17 +124,19 @@ def clean_field(col: Column) -> Column:
 
 
 def decode_entities(col: Column) -> Column:
-    """Named, decimal and hexadecimal character references; &amp; last, so that nothing is decoded twice."""
+    """Named, decimal and hexadecimal character references of every code point; &amp; last, so that nothing is decoded twice. A number
+    that is no code point stays as it is."""
     for name, value in NAMED_ENTITIES:
         col = F.replace(col, F.lit(name), F.lit(value))
     parts = F.split(col, "&#")
 
     def one(piece: Column) -> Column:
-        number = F.regexp_extract(piece, r"^([xX][0-9a-fA-F]+|[0-9]+);", 1)
+        number = F.regexp_extract(piece, r"^([xX]0*[0-9a-fA-F]{1,8}|0*[0-9]{1,8});", 1)
         base16 = number.rlike("^[xX]")
-        code = F.when(base16, F.conv(F.substring(number, 2, 8), 16, 10)).otherwise(number).cast("long")
-        plain = F.concat(F.char(code), F.substring(piece, F.length(number) + 2, 1 << 30))
-        return F.when((number != "") & (code < 128), plain).otherwise(F.concat(F.lit("&#"), piece))
+        code = F.when(base16, F.conv(F.substring(number, 2, 1 << 30), 16, 10)).otherwise(number).try_cast("long")
+        known = (number != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(63)), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(sign, F.substring(piece, F.length(number) + 2, 1 << 30))).otherwise(F.concat(F.lit("&#"), piece))
 
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
     joined = F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
@@ -238,7 +241,7 @@ def page_label(n: Column, total: Column, kind: str, pad: int = 0, template: str
 
 
 def valid_email(col: Column, strict: bool = False) -> Column:
-    return F.coalesce(col.rlike(STRICT_EMAIL if strict else LOOSE_EMAIL), F.lit(False))
+    return F.coalesce(col.rlike(STRICT_EMAIL.replace("]+)+$", "]++)++$") if strict else LOOSE_EMAIL), F.lit(False))
 
 
 def voter_key(salt: str, ip: Column, agent: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,10 +132,27 @@ def request_audit(df: DataFrame, page: str, kind: str, text: str, ignore: str) -
     )
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters with accents, by their decomposition, and the letters without."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, d[0]) for c, d in pairs if c == c.lower() and len(d) > 1 and d[0].isascii() and d[0].isalpha()]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+ACCENTED, PLAIN = _plain_letters()
+
+
 def natural_key(col: Column) -> Column:
-    """Sort key in which runs of digits compare as numbers and case and accents do not count."""
-    parts = F.regexp_extract_all(F.lower(col), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.ltrim(F.lit("0"), p), 20, "0")).otherwise(p)), "")
+    """Sort key in which runs of digits compare as numbers and case and accents do not count: a number is preceded by its number of
+    digits without leading zeros."""
+    folded = F.translate(F.regexp_replace(F.lower(col), r"\p{M}+", ""), ACCENTED, PLAIN)
+    parts = F.regexp_extract_all(folded, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def one(part: Column) -> Column:
+        digits = F.ltrim(part, F.lit("0"))
+        return F.when(part.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, one), "")
 
 
 def recent_docs(events: DataFrame, client: str, cap: int, show: int, needle: str) -> DataFrame:

@@ -63,18 +63,42 @@ def audit_report(failures: DataFrame, pages: DataFrame) -> DataFrame:
     return n.join(F.broadcast(summary)).select(F.to_json(F.struct("pages", "failed", "kinds")).alias("report"))  # one row each
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with / without its `.` and `..` parts; a path that ends in one ends in /."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")) - 1)
+    joined = F.aggregate(
+        parts, F.lit(""),
+        lambda a, p: F.when(p == "..", F.regexp_replace(a, "/[^/]*$", "")).when(p == ".", a).otherwise(F.concat(a, F.lit("/"), p)),
+    )
+    return F.when(path.rlike(r"(?:^|/)\.\.?$"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def absolute(url: Column) -> Column:
+    """An http address with its scheme and host in lower case, no default port, a path and no dot parts in it."""
+    site = F.regexp_replace(F.lower(F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]*)", 1)), r"^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
+    path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    return F.concat(site, without_dots(F.when(path == "", F.lit("/")).otherwise(path)), F.regexp_extract(url, r"^[^?#]*((?s:.*))$", 1))
+
+
 def resolve_link(base: Column, href: Column) -> Column:
-    """Absolute http target of a link on a page; null for other schemes, fragments and empty links."""
+    """Absolute http target of a link on a page, resolved as a browser does; null for other schemes and empty links. A bare query or
+    fragment belongs to the page itself."""
     site = F.regexp_extract(base, BASE, 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    asked = F.regexp_extract(base, r"^([^#]*)", 1)
     folder = F.regexp_extract(base, r"^(https?://[^?#]*/)[^/?#]*", 1)
     root = F.when(F.length(folder) > F.length(site), folder).otherwise(F.concat(site, F.lit("/")))
-    return (
-        F.when(href.rlike(r"(?i)^https?://[^/]"), href)
-        .when(href.rlike(r"^//"), F.concat(F.lit("https:"), href))
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | href.rlike("^#") | (href == ""), F.lit(None))
-        .when(href.startswith("/"), F.concat(site, href))
-        .otherwise(F.concat(root, href))
+    h = F.trim(href)
+    whole = (
+        F.when(h.rlike(r"(?i)^https?://[^/]"), h)
+        .when(h.rlike(r"^//[^/]"), F.concat(F.regexp_extract(base, "^(https?:)", 1), h))
+        .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (h == "") | (site == ""), F.lit(None))
+        .when(h.startswith("#"), F.concat(asked, h))
+        .when(h.startswith("?"), F.concat(page, h))
+        .when(h.startswith("/"), F.concat(site, h))
+        .otherwise(F.concat(root, h))
     )
+    return absolute(whole)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:

@@ -107,14 +107,16 @@ def a13_request_audit(spark, sf_dir):
 
 
 @query(
-    r"""WITH n AS (SELECT p_partkey, p_brand, p_type || ' img' || p_partkey % 200 AS name FROM part),
-      k AS (SELECT *, array_to_string(list_transform(regexp_extract_all(lower(name), '(\d+|\D+)'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(ltrim(p, '0'), 20, '0') ELSE p END), '') AS k FROM n)
+    r"""WITH n AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'É' ELSE 'e' END || p_type || ' img' || CASE WHEN p_partkey % 7 = 0 THEN '00' ELSE '' END || p_partkey % 200 AS name FROM part),
+      k AS (SELECT *, array_to_string(list_transform(regexp_extract_all(strip_accents(lower(name)), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(len(ltrim(p, '0'))::VARCHAR, 9, '0') || ltrim(p, '0') ELSE p END), '') AS k FROM n)
       SELECT p_partkey, name, row_number() OVER (PARTITION BY p_brand ORDER BY k, p_partkey) AS place FROM k"""
 )
 def o10_natural_sort(spark, sf_dir):
     from pyspark.sql import Window
 
-    p = load(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat("p_type", F.lit(" img"), (F.col("p_partkey") % 200).cast("string")).alias("name"))
+    head = F.when(F.col("p_partkey") % 3 == 0, F.lit("É")).otherwise("e")
+    zeros = F.when(F.col("p_partkey") % 7 == 0, F.lit("00")).otherwise("")
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat(head, "p_type", F.lit(" img"), zeros, (F.col("p_partkey") % 200).cast("string")).alias("name"))
     place = F.row_number().over(Window.partitionBy("p_brand").orderBy(R.natural_key(F.col("name")), "p_partkey"))
     return p.select("p_partkey", "name", place.cast("long").alias("place"))
 

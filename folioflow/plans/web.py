@@ -24,10 +24,22 @@ FAILURES = f"""{HEAD}, f AS (SELECT page_id, unnest(list_filter([CASE WHEN title
   CASE WHEN canonical IS NOT NULL AND canonical <> url THEN 'canonical' END, CASE WHEN h1_count <> 1 THEN 'h1' END,
   CASE WHEN lower(robots) LIKE '%noindex%' THEN 'noindex' END, CASE WHEN no_alt > 0 THEN 'alt' END], lambda x: x IS NOT NULL)) AS failure FROM head)"""
 _SITE = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
-LINKS = f"""hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{W.HREF}', 1)) AS href, generate_subscripts(regexp_extract_all(html, '{W.HREF}', 1), 1) - 1 AS "at" FROM pages),
-  links AS (SELECT page_id, "at"::BIGINT AS "at", href, CASE WHEN regexp_matches(href, '(?i)^https?://[^/]') THEN href WHEN regexp_matches(href, '^//') THEN 'https:' || href
-    WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(href, '^#') OR href = '' THEN NULL WHEN href LIKE '/%' THEN {_SITE} || href
-    ELSE CASE WHEN length(regexp_extract(url, '^(https?://[^?#]*/)[^/?#]*', 1)) > length({_SITE}) THEN regexp_extract(url, '^(https?://[^?#]*/)[^/?#]*', 1) ELSE {_SITE} || '/' END || href END AS target FROM hrefs)"""
+LINKS = f"""linked_pages AS (SELECT page_id, url, {{more}} AS html FROM pages),
+  hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{W.HREF}', 1)) AS href, generate_subscripts(regexp_extract_all(html, '{W.HREF}', 1), 1) - 1 AS "at" FROM linked_pages),
+  whole AS (SELECT page_id, "at"::BIGINT AS "at", href, CASE WHEN regexp_matches(href, '(?i)^https?://[^/]') THEN href WHEN regexp_matches(href, '^//[^/]') THEN regexp_extract(url, '^(https?:)', 1) || href
+    WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR href = '' OR {_SITE} = '' THEN NULL WHEN href LIKE '#%' THEN regexp_extract(url, '^([^#]*)', 1) || href
+    WHEN href LIKE '?%' THEN regexp_extract(url, '^([^?#]*)', 1) || href WHEN href LIKE '/%' THEN {_SITE} || href
+    ELSE CASE WHEN length(regexp_extract(url, '^(https?://[^?#]*/)[^/?#]*', 1)) > length({_SITE}) THEN regexp_extract(url, '^(https?://[^?#]*/)[^/?#]*', 1) ELSE {_SITE} || '/' END || href END AS w FROM hrefs),
+  parted AS (SELECT *, lower(regexp_extract(w, '^([A-Za-z]+://[^/?#]*)', 1)) AS host, coalesce(nullif(regexp_extract(w, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, regexp_extract(w, '^[^?#]*(.*)$', 1) AS tail FROM whole WHERE w IS NOT NULL),
+  links AS (SELECT page_id, "at", href, regexp_replace(regexp_replace(host, '^(http://[^/]*):80$', '\\1'), '^(https://[^/]*):443$', '\\1') || list_reduce([''] || string_split(path, '/')[2:], lambda a, p: CASE WHEN p = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN p = '.' THEN a ELSE a || '/' || p END)
+    || CASE WHEN regexp_matches(path, '(?:^|/)\\.\\.?$') THEN '/' ELSE '' END || tail AS target FROM parted)"""
+# Links that a page gets besides its own, so that each way to write a target occurs.
+MORE_LINKS = '<a href="../up/./x.html#f"></a><a href="?q=1"></a><a href="#top"></a><a href="//CDN.Example.com:443/a/b/../"></a><a href="mailto:a@b.c"></a><a href="../../../.."></a>'
+LINKS = LINKS.replace("{more}", f"html || '{MORE_LINKS}'")
+
+
+def _linked_pages(spark, sf_dir):
+    return _pages(spark, sf_dir).withColumn("html", F.concat("html", F.lit(MORE_LINKS)))
 
 
 @query(f"WITH {HEAD} SELECT * FROM head")
@@ -56,7 +68,7 @@ def s2_scan_html_tree(spark, sf_dir):
 
 @query(f"WITH {LINKS} SELECT * FROM links WHERE target IS NOT NULL")
 def g6_extract_links(spark, sf_dir):
-    return W.extract_links(_pages(spark, sf_dir))
+    return W.extract_links(_linked_pages(spark, sf_dir))
 
 
 @query(
@@ -65,7 +77,7 @@ def g6_extract_links(spark, sf_dir):
       SELECT site, path, coalesce(n, 0)::BIGINT AS inbound FROM k LEFT JOIN t USING (site, path)"""
 )
 def a9_inbound_links(spark, sf_dir):
-    p = _pages(spark, sf_dir)
+    p = _linked_pages(spark, sf_dir)
     sites = p.select(F.regexp_extract("url", W.BASE, 1).alias("site")).distinct()
     known = sites.withColumn("path", F.explode(F.array(F.lit("/the"), F.lit("/The"))))
     return W.inbound_links(W.extract_links(p), known)
@@ -278,15 +290,15 @@ def j6_match_headers(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LINKS}, a AS (SELECT page_id AS asset_id, CASE WHEN page_id % 2 = 0 THEN '/The' ELSE 'x/y/../and' END AS path FROM pages WHERE page_id < 6),
+    f"""WITH {LINKS}, a AS (SELECT page_id AS asset_id, CASE WHEN page_id % 2 = 0 THEN '/The' ELSE 'x/y/../and' END AS path FROM pages),
       n AS (SELECT min(asset_id) FILTER (WHERE path = '/The') AS the, min(asset_id) FILTER (WHERE path <> '/The') AS x_and FROM a)
       SELECT page_id, "at", href AS ref, CASE WHEN regexp_matches(href, '(?i)^(https?:|data:|//)') THEN NULL
         WHEN lower(list_filter(string_split(href, '/'), lambda x: x NOT IN ('', '.'))[-1]) = 'the' THEN the WHEN lower(list_filter(string_split(href, '/'), lambda x: x NOT IN ('', '.'))[-1]) = 'and' THEN x_and END AS asset_id
       FROM links, n WHERE target IS NOT NULL"""
 )
 def j15_resolve_assets(spark, sf_dir):
-    p = _pages(spark, sf_dir)
-    assets = p.where("page_id < 6").select(F.col("page_id").alias("asset_id"), F.when(F.col("page_id") % 2 == 0, "/The").otherwise("x/y/../and").alias("path"))
+    p = _linked_pages(spark, sf_dir)
+    assets = p.select(F.col("page_id").alias("asset_id"), F.when(F.col("page_id") % 2 == 0, "/The").otherwise("x/y/../and").alias("path"))
     return W.resolve_assets(W.extract_links(p).select("page_id", "at", F.col("href").alias("ref")), assets)
 
 
