@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import RTL
+
 PAGE = ("doc_id", "page")
 
 
@@ -41,12 +43,16 @@ def cluster_lines_exact(items: DataFrame, share: float = 0.45) -> DataFrame:
 
 
 def line_text(lines: DataFrame, gap: float = 0.18) -> DataFrame:
-    """Text of each line from left to right, with a space where the gap exceeds gap x size."""
-    w = Window.partitionBy(*PAGE, "line").orderBy("x", "seq")
-    apart = F.col("x") - (F.lag("x").over(w) + F.lag("w").over(w))
-    piece = F.concat(F.when(apart > gap * F.col("size"), " ").otherwise(""), F.col("str"))
-    rows = lines.withColumn("piece", piece)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "seq", "piece"))), lambda s: s["piece"]), "")
+    """Text of each line in reading direction, with a space where the gap exceeds gap x size and neither side has one. Lines whose
+    items are mostly right-to-left are read from the right."""
+    per_line = Window.partitionBy(*PAGE, "line")
+    rtl = F.avg(F.col("str").rlike(RTL).cast("int")).over(per_line) > 0.5
+    rows = lines.withColumn("rtl", rtl).withColumn("start", F.when(F.col("rtl"), -(F.col("x") + F.col("w"))).otherwise(F.col("x")))
+    rows = rows.withColumn("end", F.when(F.col("rtl"), -F.col("x")).otherwise(F.col("x") + F.col("w")))
+    w = per_line.orderBy("start", "seq")
+    apart = (F.col("start") - F.lag("end").over(w) > gap * F.col("size")) & ~F.lag("str").over(w).endswith(" ") & ~F.col("str").startswith(" ")
+    rows = rows.withColumn("piece", F.concat(F.when(apart, " ").otherwise(""), F.col("str")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq", "piece"))), lambda s: s["piece"]), "")
     return rows.groupBy(*PAGE, "line").agg(text.alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"))
 
 
@@ -58,34 +64,47 @@ def merge_superscripts(lines: DataFrame) -> DataFrame:
     return lines.withColumn("into", F.when(raised, nxt).otherwise(F.col("line")))
 
 
-def fragments(lines: DataFrame) -> DataFrame:
-    """Pieces of a line that gaps wider than max(6, size) part."""
+def fragments(lines: DataFrame, tight: bool = False) -> DataFrame:
+    """Pieces of a line that gaps wider than max(6, size) part, if tight than max(3, 0.6 x size), with the median height of the
+    largest items as base."""
     w = Window.partitionBy(*PAGE, "line").orderBy("x", "seq")
     right = F.max(F.col("x") + F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("x") - right > F.greatest(F.lit(6.0), F.col("size")), F.lit(True))
+    least = F.greatest(F.lit(3.0), F.col("size") * 0.6) if tight else F.greatest(F.lit(6.0), F.col("size"))
+    new = F.coalesce(F.col("x") - right > least, F.lit(True))
     rows = lines.withColumn("frag", F.sum(new.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*PAGE, "line", "frag").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"), F.count("*").alias("n"))
+    rows = rows.withColumn("large", F.when(F.col("size") == F.max("size").over(Window.partitionBy(*PAGE, "line", "frag")), F.col("y")))
+    base = F.expr("percentile_disc(0.5) within group (order by large)")
+    return rows.groupBy(*PAGE, "line", "frag").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"), F.count("*").alias("n"), base.alias("base"))
 
 
-def gutters(frags: DataFrame, bins: int = 200, width: float = 612.0) -> DataFrame:
-    """Column gaps of pages with 8 lines or more: runs of 2 bins or more within 20 to 80 % of the width that few lines cover."""
-    lines = frags.groupBy(*PAGE).agg(F.countDistinct("line").alias("n_lines")).where("n_lines >= 8")
+def gutters(frags: DataFrame, bins: int = 200, width: float = 612.0, side: float = 0.2) -> DataFrame:
+    """Column gaps of pages with 8 lines or more: runs of 2 bins or more within 20 to 80 % of the width that few lines cover, with a
+    share of `side` of the page's items or more, by their fragments' centres, left and right of their middle."""
+    lines = frags.groupBy(*PAGE).agg(F.countDistinct("line").alias("n_lines"), F.sum("n").alias("items")).where("n_lines >= 8")
     to_bin = lambda c: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(c / width * bins))).cast("int")
     cover = frags.select(*PAGE, F.explode(F.sequence(to_bin(F.col("x0")), to_bin(F.col("x1")))).alias("bin")).groupBy(*PAGE, "bin").agg(F.count("*").alias("n"))
     every = lines.withColumn("bin", F.explode(F.sequence(F.lit(bins // 5), F.lit(bins * 4 // 5))))
     low = every.join(cover, [*PAGE, "bin"], "left").where(F.coalesce("n", F.lit(0)) <= F.greatest(F.lit(2.0), F.col("n_lines") * 0.25))
     island = F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))
-    runs = low.withColumn("g", island).groupBy(*PAGE, "g").agg(F.min("bin").alias("bin0"), F.max("bin").alias("bin1"))
-    return runs.where("bin1 > bin0").select(*PAGE, F.col("bin0").cast("long").alias("bin0"), F.col("bin1").cast("long").alias("bin1"))
-
-
-def reading_order(frags: DataFrame, split: float, full: float) -> DataFrame:
-    """Place of each fragment: those wider than `full` stay; between them columns (left of split first) are read one by one."""
-    wide = (F.col("x1") - F.col("x0")) > full
-    w = Window.partitionBy(*PAGE).orderBy("y", "x0")
-    band = F.sum(wide.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = frags.withColumn("band", band).withColumn("col", F.when(wide, -1).when(F.col("x0") < split, 0).otherwise(1))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("band", "col", "y", "x0")).cast("long"))
+    runs = low.withColumn("g", island).groupBy(*PAGE, "g", "items").agg(F.min("bin").alias("bin0"), F.max("bin").alias("bin1")).where("bin1 > bin0")
+    runs = runs.withColumn("middle", (F.col("bin0") + F.col("bin1") + 1) / 2 * width / bins)
+    left = F.sum(F.when((F.col("x0") + F.col("x1")) / 2 < F.col("middle"), F.col("n")).otherwise(0))
+    both = runs.join(frags.select(*PAGE, "x0", "x1", "n"), list(PAGE)).groupBy(*PAGE, "bin0", "bin1", "middle", "items").agg(left.alias("left"))
+    good = both.where((F.col("left") >= side * F.col("items")) & (F.col("items") - F.col("left") >= side * F.col("items")))
+    return good.select(*PAGE, F.col("bin0").cast("long").alias("bin0"), F.col("bin1").cast("long").alias("bin1"), "middle")
+
+
+def reading_order(frags: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Place of each fragment: those that cross a column gap stay where they are; between them the columns are read one by one. Pages
+    without a gap have one column. A page has fewer gaps than bins."""
+    per_page = gaps.groupBy(*PAGE).agg(F.collect_list("middle").alias("gaps"))
+    rows = frags.join(per_page, list(PAGE), "left").withColumn("gaps", F.coalesce("gaps", F.array().cast("array<double>")))
+    wide = F.exists("gaps", lambda g: (F.col("x0") < g) & (F.col("x1") > g))
+    column = F.size(F.filter("gaps", lambda g: g < (F.col("x0") + F.col("x1")) / 2))
+    w = Window.partitionBy(*PAGE).orderBy("y", "x0", "line", "frag")
+    rows = rows.withColumn("wide", wide).withColumn("col", F.when(F.col("wide"), -1).otherwise(column))
+    rows = rows.withColumn("band", F.sum(F.col("wide").cast("long")).over(w))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("band", "col", "y", "x0", "line", "frag")).cast("long"))
 
 
 def table_runs(frags: DataFrame, least_cells: int, pitch: float, least_rows: int) -> DataFrame:
@@ -98,23 +117,76 @@ def table_runs(frags: DataFrame, least_cells: int, pitch: float, least_rows: int
     return marked.groupBy(*PAGE, "run").agg(F.count("*").alias("rows"), F.min("cells").alias("min_cells"), F.min("y").alias("y0"), F.max("y").alias("y1")).where(F.col("rows") >= least_rows)
 
 
-def block_text(lines: DataFrame, tight: float = 1.45, loose: float = 2.2) -> DataFrame:
-    """Text of each page's lines: a paragraph break where the gap exceeds tight x the median gap or loose x size."""
+def detect_tables(frags: DataFrame, pitch: float = 3.2, gap: float = 6.0, most: int = 12, share: float = 0.6) -> DataFrame:
+    """Tables: runs of neighbouring rows of two fragments or more with a pitch below pitch x size, of three rows, or of two whose
+    rows all have three. Its columns are parted where nothing covers `gap` points or more of its width, in 1 to `most` places, and
+    `share` of its rows or more have two cells. One row a table: rows, columns, edges and the median pitch."""
+    rows = frags.groupBy(*PAGE, "line").agg(F.count("*").alias("cells"), F.min("y").alias("top"), F.max("size").alias("row_size"))
+    w = Window.partitionBy(*PAGE).orderBy("top", "line")
+    good = F.col("cells") >= 2
+    step = F.col("top") - F.lag("top").over(w)
+    joined = good & F.lag(good).over(w) & (step < pitch * F.col("row_size"))
+    marked = rows.withColumn("joined", F.coalesce(joined, F.lit(False))).withColumn("step", F.when(F.col("joined"), step))
+    marked = marked.withColumn("run", F.sum((~F.col("joined")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(good)
+    runs = marked.groupBy(*PAGE, "run").agg(
+        F.count("*").alias("rows"), F.min("cells").alias("min_cells"), F.min("top").alias("y0"), F.max("top").alias("y1"), F.expr("percentile_disc(0.5) within group (order by step)").alias("pitch")
+    ).where("rows >= 3 or (rows >= 2 and min_cells >= 3)")
+    inner = frags.join(marked.select(*PAGE, "line", "run"), [*PAGE, "line"]).join(runs.select(*PAGE, "run"), [*PAGE, "run"])
+    across = Window.partitionBy(*PAGE, "run").orderBy("x0", "x1", "line", "frag")
+    right = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    cells = inner.withColumn("right", right).withColumn("gap_at", F.when(F.col("x0") - F.col("right") >= gap, (F.col("x0") + F.col("right")) / 2))
+    # every place that parts columns lies left of the fragments that follow it, so a running count is a fragment's column
+    cells = cells.withColumn("col", F.count("gap_at").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    per_row = cells.groupBy(*PAGE, "run", "line").agg(F.countDistinct("col").alias("cols"))
+    full = per_row.groupBy(*PAGE, "run").agg(F.count_if(F.col("cols") >= 2).alias("full"))
+    edges = cells.groupBy(*PAGE, "run").agg(F.max("col").alias("parted"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    out = runs.join(edges, [*PAGE, "run"]).join(full, [*PAGE, "run"])
+    out = out.where((F.col("parted") >= 1) & (F.col("parted") <= most) & (F.col("full") >= share * F.col("rows")))
+    return out.select(*PAGE, "run", "rows", "min_cells", (F.col("parted") + 1).alias("columns"), "x0", "x1", "y0", "y1", "pitch")
+
+
+def block_text(lines: DataFrame, tight: float = 1.45, loose: float = 2.2, dehyphenate: bool = False) -> DataFrame:
+    """Text of each page's lines: a paragraph break where the gap exceeds tight x the median gap or loose x size; if asked for, a word
+    that a hyphen parts at a line end is joined with its rest in lower case."""
     w = Window.partitionBy(*PAGE).orderBy("y", "line")
     gap = F.col("y") - F.lag("y").over(w)
     rows = lines.withColumn("gap", gap)
     rows = rows.withColumn("median", F.expr("percentile_disc(0.5) within group (order by gap)").over(Window.partitionBy(*PAGE)))
-    rows = rows.withColumn("piece", F.concat(F.when(F.col("gap").isNull(), "").when((F.col("gap") > tight * F.col("median")) | (F.col("gap") > loose * F.col("size")), "\n\n").otherwise(" "), F.col("text")))
+    rows = rows.withColumn("sep", F.when(F.col("gap").isNull(), "").when((F.col("gap") > tight * F.col("median")) | (F.col("gap") > loose * F.col("size")), "\n\n").otherwise(" "))
+    if dehyphenate:
+        cut = lambda text, after: text.rlike(r"\p{L}-$") & after.rlike(r"^\p{Ll}")
+        rows = rows.withColumn("goes_on", F.coalesce(cut(F.col("text"), F.lead("text").over(w)) & (F.lead("sep").over(w) == " "), F.lit(False)))
+        rows = rows.withColumn("sep", F.when(F.lag("goes_on").over(w), "").otherwise(F.col("sep")))
+        rows = rows.withColumn("text", F.when(F.col("goes_on"), F.regexp_replace("text", "-$", "")).otherwise(F.col("text")))
+    rows = rows.withColumn("piece", F.concat("sep", "text"))
     return rows.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "line", "piece"))), lambda s: s["piece"]), "").alias("text"))
 
 
-def running_headers(lines: DataFrame, share: float = 0.6, most: int = 120) -> DataFrame:
-    """First lines, with digits as #, that repeat on max(2, share x pages) pages of a document of several pages."""
-    first = lines.groupBy(*PAGE).agg(F.min_by("text", "y").alias("text")).where(F.length("text") <= most)
+def _edge_lines(lines: DataFrame, height: float, most: int) -> DataFrame:
+    """The first line of a page in its top tenth, and the last in its bottom tenth, with their key."""
+    first, last = F.min(F.struct("y", "line")).alias("e"), F.max(F.struct("y", "line")).alias("e")
+    ends = lines.groupBy(*PAGE).agg(first).where(F.col("e.y") <= 0.1 * height).select(*PAGE, F.lit("header").alias("kind"), F.col("e.line").alias("line"))
+    ends = ends.unionByName(lines.groupBy(*PAGE).agg(last).where(F.col("e.y") >= 0.9 * height).select(*PAGE, F.lit("footer").alias("kind"), F.col("e.line").alias("line")))
     key = F.regexp_replace(F.lower("text"), "[0-9]+", "#")
+    return ends.join(lines.select(*PAGE, "line", "text", "x0", "x1"), [*PAGE, "line"]).where(F.length("text") <= most).withColumn("key", key)
+
+
+def running_headers(lines: DataFrame, share: float = 0.6, most: int = 120, height: float = 792.0, width: float = 612.0) -> DataFrame:
+    """Headers and footers: first and last lines in the top and bottom tenth of the pages, with digits as #, that repeat on
+    max(2, share x pages) pages of a document of several pages, aligned by their mean centre at 38 and 62 % of the width."""
     pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages")).where("pages >= 2")
-    counts = first.groupBy("doc_id", key.alias("key")).agg(F.count("*").alias("n"))
-    return counts.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * share))).select("doc_id", "key", "n", "pages")
+    centre = F.avg((F.col("x0") + F.col("x1")) / 2) / width
+    counts = _edge_lines(lines, height, most).groupBy("doc_id", "kind", "key").agg(F.count("*").alias("n"), centre.alias("centre"))
+    found = counts.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * share)))
+    align = F.when(F.col("centre") < 0.38, "left").when(F.col("centre") > 0.62, "right").otherwise("centre")
+    return found.select("doc_id", "kind", "key", "n", "pages", align.alias("align"))
+
+
+def without_running(lines: DataFrame, share: float = 0.6, most: int = 120, height: float = 792.0, width: float = 612.0) -> DataFrame:
+    """The lines without running headers and footers."""
+    found = running_headers(lines, share, most, height, width).select("doc_id", "kind", "key")
+    gone = _edge_lines(lines, height, most).join(found, ["doc_id", "kind", "key"], "left_semi").select(*PAGE, "line")
+    return lines.join(gone, [*PAGE, "line"], "left_anti")
 
 
 def stitch_columns(blocks: DataFrame) -> DataFrame:
@@ -217,13 +289,17 @@ def build_paragraphs(lines: DataFrame, body: float = 12.0) -> DataFrame:
     return lines.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, para long, text string, level long")
 
 
-def designed_pages(frags: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Pages that look designed: below 900 items and short fragments (below 35 / 6 words on average) beside three boxes or more; a
-    document is exact when half of its pages are."""
-    pages = frags.groupBy(*PAGE).agg(F.sum("n").alias("items"), F.avg("n").alias("mean"))
-    marked = pages.join(boxes.groupBy(*PAGE).agg(F.count("*").alias("boxes")), list(PAGE), "left")
-    designed = (F.col("items") < 900) & (F.col("mean") < 35 / 6) & (F.coalesce("boxes", F.lit(0)) >= 3)
-    rows = marked.select(*PAGE, designed.alias("designed"))
+def designed_pages(frags: DataFrame, boxes: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
+    """Pages that look designed: below 900 items and short fragments (below 35 / 6 words on average) beside three boxes or more or boxes
+    over more than 8 % of the page, or half of the lines or more parted into short columns side by side; a document is exact when
+    half of its pages are. boxes has x0, y0, x1, y1."""
+    short = F.col("n") < 35 / 6
+    lines = frags.groupBy(*PAGE, "line").agg(F.count("*").alias("frags"), F.min(short).alias("short"), F.sum("n").alias("n"))
+    pages = lines.groupBy(*PAGE).agg(F.sum("n").alias("items"), (F.sum("n") / F.sum("frags")).alias("mean"), F.avg(((F.col("frags") >= 2) & F.col("short")).cast("int")).alias("beside"))
+    area = F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))) / (width * height)
+    marked = pages.join(boxes.groupBy(*PAGE).agg(F.count("*").alias("boxes"), area.alias("area")), list(PAGE), "left")
+    boxed = (F.col("mean") < 35 / 6) & ((F.coalesce("boxes", F.lit(0)) >= 3) | (F.coalesce("area", F.lit(0.0)) > 0.08))
+    rows = marked.select(*PAGE, ((F.col("items") < 900) & (boxed | (F.col("beside") >= 0.5))).alias("designed"))
     return rows.withColumn("exact", F.avg(F.col("designed").cast("int")).over(Window.partitionBy("doc_id")) >= 0.5)
 
 

@@ -12,11 +12,27 @@ from folioflow.sources.tables import ITEMS, PIXELS, items, load, pixels
 
 LINES = f"""{ITEMS}, st AS (SELECT *, y - lag(y) OVER w AS step, least(size, lag(size) OVER w) AS sm FROM items WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x, seq)),
   lines AS (SELECT * EXCLUDE (step, sm), sum(CASE WHEN step IS NULL OR step > 0.45::DOUBLE * sm THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y, x, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM st)"""
-TEXT = f"""{LINES}, pc AS (SELECT *, CASE WHEN x - lag(x + w) OVER (PARTITION BY doc_id, page, line ORDER BY x, seq) > 0.18::DOUBLE * size THEN ' ' ELSE '' END || str AS piece FROM lines),
-  texts AS (SELECT doc_id, page, line, string_agg(piece, '' ORDER BY x, seq) AS text, min(x) AS x0, max(x + w) AS x1, min(y) AS y, max(size) AS size FROM pc GROUP BY ALL)"""
-FRAGS = f"""{LINES}, rt AS (SELECT *, x - max(x + w) OVER (PARTITION BY doc_id, page, line ORDER BY x, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM lines),
-  fr AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > greatest(6.0, size) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line ORDER BY x, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS frag FROM rt),
-  frags AS (SELECT doc_id, page, line, frag, min(x) AS x0, max(x + w) AS x1, min(y) AS y, max(size) AS size, count(*)::BIGINT AS n FROM fr GROUP BY ALL)"""
+TEXT = f"""{LINES}, rt0 AS (SELECT *, avg(regexp_matches(str, '{L.RTL}')::INTEGER) OVER (PARTITION BY doc_id, page, line) > 0.5 AS rtl FROM lines),
+  se AS (SELECT *, CASE WHEN rtl THEN -(x + w) ELSE x END AS st, CASE WHEN rtl THEN -x ELSE x + w END AS en FROM rt0),
+  pc AS (SELECT *, CASE WHEN st - lag(en) OVER w > 0.18::DOUBLE * size AND NOT ends_with(lag(str) OVER w, ' ') AND NOT starts_with(str, ' ') THEN ' ' ELSE '' END || str AS piece FROM se WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY st, seq)),
+  texts AS (SELECT doc_id, page, line, string_agg(piece, '' ORDER BY st, seq) AS text, min(x) AS x0, max(x + w) AS x1, min(y) AS y, max(size) AS size FROM pc GROUP BY ALL)"""
+
+
+def _frags_sql(least: str = "greatest(6.0, size)") -> str:
+    return f"""{LINES}, rt AS (SELECT *, x - max(x + w) OVER (PARTITION BY doc_id, page, line ORDER BY x, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM lines),
+  fr AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {least} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line ORDER BY x, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS frag FROM rt),
+  fl AS (SELECT *, CASE WHEN size = max(size) OVER (PARTITION BY doc_id, page, line, frag) THEN y END AS large FROM fr),
+  frags AS (SELECT doc_id, page, line, frag, min(x) AS x0, max(x + w) AS x1, min(y) AS y, max(size) AS size, count(*)::BIGINT AS n, quantile_disc(large, 0.5) AS base FROM fl GROUP BY ALL)"""
+
+
+FRAGS = _frags_sql()
+GUTTERS = f"""{FRAGS}, nl AS (SELECT doc_id, page, count(DISTINCT line) AS n_lines, sum(n) AS items FROM frags GROUP BY 1, 2 HAVING count(DISTINCT line) >= 8),
+      cv AS (SELECT doc_id, page, bin, count(*) AS n FROM (SELECT doc_id, page, unnest(range(least(199, greatest(0, floor(x0 / 612.0::DOUBLE * 200)))::BIGINT, least(199, greatest(0, floor(x1 / 612.0::DOUBLE * 200)))::BIGINT + 1)) AS bin FROM frags) GROUP BY ALL),
+      ev AS (SELECT doc_id, page, n_lines, items, unnest(range(40, 161)) AS bin FROM nl), lo AS (SELECT ev.* FROM ev LEFT JOIN cv USING (doc_id, page, bin) WHERE coalesce(n, 0) <= greatest(2.0, n_lines * 0.25::DOUBLE)),
+      g AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS g FROM lo),
+      gr AS (SELECT doc_id, page, items, min(bin) AS bin0, max(bin) AS bin1, (min(bin) + max(bin) + 1) / 2.0::DOUBLE * 612.0::DOUBLE / 200 AS middle FROM g GROUP BY doc_id, page, items, g HAVING max(bin) > min(bin)),
+      gutters AS (SELECT doc_id, page, bin0, bin1, middle FROM gr JOIN (SELECT doc_id, page, x0, x1, n FROM frags) USING (doc_id, page) GROUP BY doc_id, page, bin0, bin1, middle, items
+        HAVING sum(CASE WHEN (x0 + x1) / 2 < middle THEN n ELSE 0 END) >= 0.2::DOUBLE * items AND items - sum(CASE WHEN (x0 + x1) / 2 < middle THEN n ELSE 0 END) >= 0.2::DOUBLE * items)"""
 
 
 def _lines(spark, sf_dir):
@@ -55,23 +71,25 @@ def l4_fragments(spark, sf_dir):
     return _frags(spark, sf_dir)
 
 
-@query(
-    f"""WITH {FRAGS}, nl AS (SELECT doc_id, page, count(DISTINCT line) AS n_lines FROM frags GROUP BY 1, 2 HAVING count(DISTINCT line) >= 8),
-      cv AS (SELECT doc_id, page, bin, count(*) AS n FROM (SELECT doc_id, page, unnest(range(least(199, greatest(0, floor(x0 / 612.0::DOUBLE * 200)))::BIGINT, least(199, greatest(0, floor(x1 / 612.0::DOUBLE * 200)))::BIGINT + 1)) AS bin FROM frags) GROUP BY ALL),
-      ev AS (SELECT doc_id, page, n_lines, unnest(range(40, 161)) AS bin FROM nl), lo AS (SELECT ev.* FROM ev LEFT JOIN cv USING (doc_id, page, bin) WHERE coalesce(n, 0) <= greatest(2.0, n_lines * 0.25::DOUBLE)),
-      g AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS g FROM lo)
-      SELECT doc_id, page, min(bin) AS bin0, max(bin) AS bin1 FROM g GROUP BY doc_id, page, g HAVING max(bin) > min(bin)"""
-)
+@query(f"WITH {_frags_sql('greatest(3.0, size * 0.6::DOUBLE)')} SELECT * FROM frags")
+def l4_fragments_tight(spark, sf_dir):
+    return L.fragments(_lines(spark, sf_dir), tight=True)
+
+
+@query(f"WITH {GUTTERS} SELECT * FROM gutters")
 def l5_gutters(spark, sf_dir):
     return L.gutters(_frags(spark, sf_dir))
 
 
 @query(
-    f"""WITH {FRAGS}, b AS (SELECT *, sum(CASE WHEN x1 - x0 > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y, x0 ROWS UNBOUNDED PRECEDING) AS band, CASE WHEN x1 - x0 > 300 THEN -1 WHEN x0 < 350 THEN 0 ELSE 1 END AS col FROM frags)
-      SELECT doc_id, page, line, frag, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, col, y, x0) AS place FROM b"""
+    f"""WITH {GUTTERS}, pg AS (SELECT doc_id, page, list(middle) AS gaps FROM gutters GROUP BY 1, 2),
+      a AS (SELECT frags.*, coalesce(len(list_filter(gaps, lambda g: x0 < g AND x1 > g)), 0) > 0 AS wide, coalesce(len(list_filter(gaps, lambda g: g < (x0 + x1) / 2)), 0) AS c FROM frags LEFT JOIN pg USING (doc_id, page)),
+      b AS (SELECT *, sum(wide::INTEGER) OVER (PARTITION BY doc_id, page ORDER BY y, x0, line, frag) AS band, CASE WHEN wide THEN -1 ELSE c END AS col FROM a)
+      SELECT doc_id, page, line, frag, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, col, y, x0, line, frag) AS place FROM b"""
 )
 def l6_reading_order(spark, sf_dir):
-    return L.reading_order(_frags(spark, sf_dir), 350.0, 300.0).select("doc_id", "page", "line", "frag", "place")
+    f = _frags(spark, sf_dir)
+    return L.reading_order(f, L.gutters(f)).select("doc_id", "page", "line", "frag", "place")
 
 
 @query()
@@ -91,9 +109,20 @@ def l8_table_like(spark, sf_dir):
     return L.table_runs(_frags(spark, sf_dir), 3, 3.0, 3)
 
 
-@query(_runs_sql(2, 3.2, 3))
+@query(
+    f"""WITH {FRAGS}, r AS (SELECT doc_id, page, line, count(*)::BIGINT AS cells, min(y) AS top, max(size) AS rs FROM frags GROUP BY ALL),
+      j AS (SELECT *, coalesce(cells >= 2 AND lag(cells) OVER w >= 2 AND top - lag(top) OVER w < 3.2::DOUBLE * rs, false) AS joined, top - lag(top) OVER w AS step FROM r WINDOW w AS (PARTITION BY doc_id, page ORDER BY top, line)),
+      m AS (SELECT *, sum((NOT joined)::INTEGER) OVER (PARTITION BY doc_id, page ORDER BY top, line ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM j),
+      q AS (SELECT doc_id, page, run, count(*)::BIGINT AS rows, min(cells) AS min_cells, min(top) AS y0, max(top) AS y1, quantile_disc(CASE WHEN joined THEN step END, 0.5) AS pitch FROM m WHERE cells >= 2 GROUP BY 1, 2, 3 HAVING count(*) >= 3 OR (count(*) >= 2 AND min(cells) >= 3)),
+      i AS (SELECT frags.*, run FROM frags JOIN (SELECT doc_id, page, line, run FROM m WHERE cells >= 2) USING (doc_id, page, line) JOIN (SELECT doc_id, page, run FROM q) USING (doc_id, page, run)),
+      h AS (SELECT *, coalesce(x0 - max(x1) OVER (PARTITION BY doc_id, page, run ORDER BY x0, x1, line, frag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 6, false) AS parts FROM i),
+      c AS (SELECT *, sum(parts::INTEGER) OVER (PARTITION BY doc_id, page, run ORDER BY x0, x1, line, frag ROWS UNBOUNDED PRECEDING)::BIGINT AS col FROM h),
+      f AS (SELECT doc_id, page, run, count(*) FILTER (WHERE cols >= 2) AS "full" FROM (SELECT doc_id, page, run, line, count(DISTINCT col) AS cols FROM c GROUP BY ALL) GROUP BY 1, 2, 3),
+      e AS (SELECT doc_id, page, run, max(col) AS parted, min(x0) AS x0, max(x1) AS x1 FROM c GROUP BY 1, 2, 3)
+      SELECT doc_id, page, run, rows, min_cells, parted + 1 AS columns, x0, x1, y0, y1, pitch FROM q JOIN e USING (doc_id, page, run) JOIN f USING (doc_id, page, run) WHERE parted BETWEEN 1 AND 12 AND "full" >= 0.6::DOUBLE * rows"""
+)
 def l9_detect_tables(spark, sf_dir):
-    return L.table_runs(_frags(spark, sf_dir), 2, 3.2, 3)
+    return L.detect_tables(_frags(spark, sf_dir))
 
 
 @query()
@@ -111,12 +140,34 @@ def l11_block_text(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TEXT}, f AS (SELECT doc_id, page, arg_min(text, y) AS text FROM texts GROUP BY 1, 2), pg AS (SELECT doc_id, count(DISTINCT page)::BIGINT AS pages FROM texts GROUP BY 1 HAVING count(DISTINCT page) >= 2),
-      c AS (SELECT doc_id, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS key, count(*)::BIGINT AS n FROM f WHERE length(text) <= 120 GROUP BY 1, 2)
-      SELECT doc_id, key, n, pages FROM c JOIN pg USING (doc_id) WHERE n >= greatest(2, ceil(pages * 0.6::DOUBLE))"""
+    f"""WITH {TEXT}, h AS (SELECT doc_id, page, line, y, size, text || CASE WHEN line % 3 = 0 THEN '-' ELSE '' END AS text FROM texts), g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y, line) AS gap FROM h),
+      m AS (SELECT doc_id, page, quantile_disc(gap, 0.5) AS med FROM g GROUP BY 1, 2),
+      p AS (SELECT g.*, CASE WHEN gap IS NULL THEN '' WHEN gap > 1.45::DOUBLE * med OR gap > 2.2::DOUBLE * size THEN chr(10) || chr(10) ELSE ' ' END AS sep FROM g JOIN m USING (doc_id, page)),
+      c AS (SELECT *, coalesce(regexp_matches(text, '\\p{{L}}-$') AND regexp_matches(lead(text) OVER w, '^\\p{{Ll}}') AND lead(sep) OVER w = ' ', false) AS goes_on FROM p WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, line)),
+      d AS (SELECT *, CASE WHEN lag(goes_on) OVER (PARTITION BY doc_id, page ORDER BY y, line) THEN '' ELSE sep END || CASE WHEN goes_on THEN regexp_replace(text, '-$', '') ELSE text END AS piece FROM c)
+      SELECT doc_id, page, string_agg(piece, '' ORDER BY y, line) AS text FROM d GROUP BY 1, 2"""
 )
+def l11_block_text_dehyphenated(spark, sf_dir):
+    t = L.line_text(_lines(spark, sf_dir)).withColumn("text", F.concat("text", F.when(F.col("line") % 3 == 0, "-").otherwise("")))
+    return L.block_text(t, dehyphenate=True)
+
+
+RUNNING = f"""{TEXT}, nd AS (SELECT doc_id, page, 'header' AS kind, arg_min(line, (y, line)) AS line FROM texts GROUP BY 1, 2 HAVING min(y) <= 0.1::DOUBLE * 768
+      UNION ALL SELECT doc_id, page, 'footer', arg_max(line, (y, line)) FROM texts GROUP BY 1, 2 HAVING max(y) >= 0.9::DOUBLE * 768),
+      ed AS (SELECT nd.*, text, x0, x1, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS key FROM nd JOIN texts USING (doc_id, page, line) WHERE length(text) <= 120),
+      pgs AS (SELECT doc_id, count(DISTINCT page)::BIGINT AS pages FROM texts GROUP BY 1 HAVING count(DISTINCT page) >= 2),
+      running AS (SELECT doc_id, kind, key, n, pages, CASE WHEN centre < 0.38::DOUBLE THEN 'left' WHEN centre > 0.62::DOUBLE THEN 'right' ELSE 'centre' END AS align
+        FROM (SELECT doc_id, kind, key, count(*)::BIGINT AS n, avg((x0 + x1) / 2) / 612 AS centre FROM ed GROUP BY 1, 2, 3) JOIN pgs USING (doc_id) WHERE n >= greatest(2, ceil(pages * 0.6::DOUBLE)))"""
+
+
+@query(f"WITH {RUNNING} SELECT * FROM running")
 def l12_running_headers(spark, sf_dir):
-    return L.running_headers(L.line_text(_lines(spark, sf_dir)))
+    return L.running_headers(L.line_text(_lines(spark, sf_dir)), height=768.0)
+
+
+@query(f"WITH {RUNNING} SELECT doc_id, page, line FROM texts t WHERE NOT EXISTS (SELECT 1 FROM ed JOIN running USING (doc_id, kind, key) WHERE ed.doc_id = t.doc_id AND ed.page = t.page AND ed.line = t.line)")
+def l12_without_running(spark, sf_dir):
+    return L.without_running(L.line_text(_lines(spark, sf_dir)), height=768.0).select("doc_id", "page", "line")
 
 
 @query(
@@ -132,7 +183,7 @@ def l13_stitch_columns(spark, sf_dir):
 
 @query()
 def l15_designed_page(spark, sf_dir):
-    boxes = items(spark, sf_dir).where("seq % 100 = 7").select("doc_id", "page")
+    boxes = items(spark, sf_dir).where("seq % 100 = 7").select("doc_id", "page", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 90).alias("x1"), (F.col("y") + 60).alias("y1"))
     return L.designed_pages(_frags(spark, sf_dir), boxes)
 
 
