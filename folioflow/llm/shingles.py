@@ -1,4 +1,4 @@
-"""Shingle sets as sorted 64-bit hashes, and part signatures that two similar sets must share."""
+"""Shingle sets as sorted 64-bit hashes, and parity sketches of them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import numpy as np
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
-SPARE = 3
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -67,17 +66,6 @@ def shingle_sets(texts: list[str | None], k: int = 3) -> list[np.ndarray]:
     return out
 
 
-def _band_starts(percent: int) -> list[int]:
-    """First size of each band. A band spans three steps of the largest ratio of sizes that a link allows."""
-    starts = [1]
-    while starts[-1] < 1 << 40:
-        top = starts[-1]
-        for _ in range(3):
-            top = max(top + 1, (top - 1) * 100 // percent + 1)
-        starts.append(top)
-    return starts
-
-
 # Words of 64 bits of a sketch, and the set size from which a set has one of that length; a link to a set of 1.25 times the
 # size or less never leaves both sides without a common length that suits them.
 SKETCHES = ((8, 0), (64, 320), (512, 3200))
@@ -90,31 +78,5 @@ def sketch(shingles: np.ndarray, words: int = 8) -> np.ndarray:
     return np.packbits(cell.astype(np.uint8)).view(np.int64)
 
 
-def part_signatures(shingles: np.ndarray, bands: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures for the levels at which the set can meet a similar one: that of its band and, where a link to a larger set of
-    the next band is possible, that of the next.
-
-    Two sets of at most M shingles whose Jaccard similarity is at least percent / 100 differ in at most
-    d = 2 M (100 - percent) / (100 + percent) shingles. With shingles dealt by hash into d + 1 + SPARE parts, at least
-    1 + SPARE parts are equal. Signatures of empty parts are left out unless the set has more than SPARE of them,
-    so that two similar sets always share one that is kept."""
-    n = len(shingles)
-    band = int(np.searchsorted(bands, n, side="right")) - 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(shingles + _ODD), dtype=np.uint64)))
-    out = []
-    for level in (band, band + 1) if n * 100 // percent >= bands[band + 1] else (band,):
-        most = int(bands[level + 1]) - 1
-        differ = 2 * most * (100 - percent) // (100 + percent)
-        if differ == 0:
-            continue
-        parts = differ + 1 + SPARE
-        borders = (np.arange(1, parts, dtype=np.uint64) * (_U((1 << 64) // parts) + _U(1)))
-        at = np.concatenate(([0], np.searchsorted(shingles, borders), [n]))
-        marks = mix64(mix64(sums[at[1:]] - sums[at[:-1]]) + (np.arange(parts, dtype=np.uint64) + _U(level << 40)) * _ODD)
-        empty = at[1:] == at[:-1]
-        out.append(marks if empty.sum() > SPARE else marks[~empty])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
 def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
