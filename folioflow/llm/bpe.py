@@ -3,179 +3,236 @@
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from folioflow.llm.chunks import cuts
-from folioflow.llm.ngram_join import _runs
+from folioflow.llm.chunks import rolling
+from folioflow.llm.common import runs
 
-KEPT_WORDS = 400_000
-KEPT_CHUNKS = 60_000
+BLOCK_CHARS = 1_500_000
+CHUNK_BITS = 11
+KEPT_PIECES = 150_000
 GROUP = 4096
-
-
-class Kept(dict):
-    """A dict that forgets: beyond `most` entries it starts anew and keeps the entries before as a second layer."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def find(self, key):
-        value = self.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key, value):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
-# Signs that stand alone behind a letter or digit: the tokenizer splits there whatever comes before.
-TAIL = b".,!?;:#*$%&()=+-"
+SPACES = " \t\n\v\f\r"
+# Signs at the end of a word that may be parted from it, where the tokenizer does so.
+TAIL = ".,!?;:#*$%&()=+-"
+_SPACE = np.zeros(256, bool)
+_SPACE[[ord(c) for c in SPACES]] = True
+WINDOW = 32
+
+
+def chunk_ends(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of texts laid end to end in data. A chunk begins with the first word after a place where the rolling
+    hash of the WINDOW bytes before has its top CHUNK_BITS bits zero; the text's start and the bytes near it do not matter."""
+    if not len(data):
+        return np.unique(ends)
+    space = _SPACE[data]
+    begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    marks = np.flatnonzero(rolling(data) < np.uint32(1 << (32 - CHUNK_BITS))) + 1
+    at = np.searchsorted(begins, marks)
+    starts = np.concatenate(([0], ends))
+    found = np.searchsorted(ends, marks, side="right")
+    deep = (at < len(begins)) & (marks - starts[np.minimum(found, len(starts) - 1)] >= WINDOW)
+    return np.unique(np.concatenate((begins[at[deep]], ends)))
+
+
+def taken(values: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of values that offsets bound, one after the other in the order chosen, and their sizes."""
+    sizes = np.diff(offsets)[chosen]
+    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return values[np.repeat(offsets[:-1][chosen], sizes) + inner], sizes
 
 
 class Coder:
-    """Encodes texts piece by piece. A piece is a run without spaces and line feeds: the tokenizer turns white space
-    into one space and splits there, so pieces are encoded alike wherever they stand. Signs behind a letter or digit are a
-    piece of their own, and ASCII letters are lower-cased, as the tokenizer does both; pieces with the start of a special token are
-    left as they are."""
+    """Encodes and decodes texts with a file of the tokenizers library."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(model)
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t["content"].encode("utf-8") for t in spec["added_tokens"]]
-        fixed = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
-        self.between = (fixed[0]["content"], fixed[0]["id"]) if fixed else None
+        spec = json.loads(model)
         self.plain = spec.get("decoder") is None
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.words, self.chunks = Kept(KEPT_WORDS), Kept(KEPT_CHUNKS)
-
-    def learn(self, pieces: list) -> list:
-        """Ids (as bytes) of each piece. New ones are encoded together, with a special token between them, which is split off before
-        anything else happens; a piece that holds such a token is encoded alone."""
-        find = self.words.find
-        out = [find(p) for p in pieces]
-        new = [i for i, known in enumerate(out) if known is None]
-        alone = [i for i in new if self.between is None or b"<|" in pieces[i] and any(t in pieces[i] for t in self.special)]
+        added = spec.get("added_tokens", [])
+        fixed = [t for t in added if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
+        self.between = (fixed[0]["content"], fixed[0]["id"]) if fixed else None
+        self.starts = "".join({t["content"][0] for t in added})
+        self.known: dict[str, tuple[bytes, str]] = {}  # pieces -> ids as bytes, decoded
+        self.tails: dict[str, bool] = {}
+        self.by_words = self.plain and self.parts_at_spaces()
+        letters = [chr(c) for c in range(65, 91)]
+        self.lowers = self.by_words and self.ids_of([f"{c}a{c}" for c in letters]) == self.ids_of([f"{c}a{c}".lower() for c in letters])
+        # whether runs of a to z reach the model as they are
+        tried = [c * n for c in map(str.lower, letters) for n in (1, 2, 3, 20)] + [n for n in self.names if n and n.isascii() and n.isalpha() and n.islower()][:2000]
+        self.straight = self.by_words and self.ids_of(tried) == [self.model_ids(t) for t in tried]
+
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def model_ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+
+    def parts_at_spaces(self) -> bool:
+        """Whether white space parts texts for this tokenizer: tried with every ASCII space, alone and in runs, between, before and
+        behind letters, digits, signs, marks and the added tokens."""
+        sides = ["a", "B", "é", "日", "9", ".", "'", "'s", "s", "-", "#", "́", "x" * 9, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        between = [*SPACES, "  ", " \n", "\t\t\t"]
+        alone = dict(zip(sides, self.ids_of(sides)))
+        tried = [(a + s + b, alone[a] + alone[b]) for a in sides for b in sides for s in between]
+        tried += [(s + a + s, alone[a]) for a in sides for s in between] + [(s, []) for s in between]
+        return self.ids_of([t for t, _ in tried]) == [want for _, want in tried]
+
+    def parts_tail(self, tail: str) -> bool:
+        """Whether these signs behind a letter or digit have the ids of their own, tried once for each kind of tail."""
+        good = self.tails.get(tail)
+        if good is None:
+            sides = ["a", "z", "é", "日", "9", "of"]
+            alone = self.ids_of([*sides, tail])
+            good = self.ids_of([x + tail for x in sides]) == [x + alone[-1] for x in alone[:-1]]
+            self.tails[tail] = good
+        return good
+
+    def pieces_of(self, word: str) -> tuple[str, ...]:
+        """A word without what the tokenizer parts from it and, if ASCII, in lower case, where the tokenizer does so."""
+        for c in self.starts:
+            if c in word:  # may hold an added token
+                return (word,)
+        body = word.rstrip(TAIL)
+        tail = word[len(body) :]
+        if tail and not (body and body[-1].isalnum() and self.parts_tail(tail)):
+            body, tail = word, ""
+        if self.lowers and body.isascii():
+            body = body.lower()
+        return (body, tail) if tail else (body,)
+
+    def learn(self, pieces: set) -> None:
+        """Encode pieces that are not known yet: runs of a to z by the library's model alone where this gives the same, the others
+        many together with an added token between them, which the library splits off before
+        anything else; pieces that may hold such a token are encoded alone."""
+        new = [p for p in pieces if p not in self.known]
+        if self.straight:
+            tokenize, names = self.tokenizer.model.tokenize, self.names
+            for p in [p for p in new if p.isalpha() and p.isascii() and p.islower()]:
+                ids = [t.id for t in tokenize(p)]
+                self.known[p] = (array("i", ids).tobytes(), " ".join([names[i] for i in ids]))
+            new = [p for p in new if p not in self.known]
+        alone = [p for p in new if self.between is None or any(c in p for c in self.starts)]
         lonely = set(alone)
-        group = [i for i in new if i not in lonely]
-        for i in alone:
-            out[i] = np.array(self.tokenizer.encode(pieces[i].decode("utf-8"), add_special_tokens=False).ids, np.int32).tobytes()
+        found = [np.array(x, np.int32) for x in self.ids_of(alone)]
+        group = [p for p in new if p not in lonely]
         for a in range(0, len(group), GROUP):
             part = group[a : a + GROUP]
-            text = self.between[0].join([pieces[i].decode("utf-8") for i in part])
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-            ends = np.concatenate((np.flatnonzero(ids == self.between[1]), [len(ids)])) * 4
-            raw, start = ids.tobytes(), 0
-            for i, end in zip(part, ends.tolist(), strict=True):
-                out[i] = raw[start:end]
-                start = end + 4
-        for i in new:
-            self.words.put(pieces[i], out[i])
-        return out
-
-    def encode(self, texts: list) -> list:
-        """Ids (as bytes) of each text.
-
-        A chunk seen before gives its inner pieces at once. Its first and last piece may go on in the next chunk: what
-        stands around a join is put together until white space ends it and is encoded anew as one piece, so that
-        the result is that of the whole text."""
-        number: dict = {}  # word -> its place in `made`
-        made: list = []  # places of each word's pieces
-        known: dict = {}  # piece -> its place in `pieces`
-        pieces: list = []
-        parts: dict = {}  # chunk -> (head, unit, tail); a unit is a place in `units`, -1 without white space
-        units: list = []  # ids as bytes, or the places of words
-        plans = []
-        get = number.get
-
-        def place(word: bytes) -> int:
-            """Split a word that is new in these texts into pieces."""
-            body = word.rstrip(TAIL)
-            if b"<|" in word:
-                split = [word]
-            elif len(body) != len(word) and body and (body[-1:].isalnum() or body[-1] > 127 and body.decode("utf-8")[-1].isalpha()):
-                split = [body.lower(), word[len(body) :]]
-            else:
-                split = [word.lower()]
-            for i, x in enumerate(split):
-                if x not in known:
-                    known[x] = len(pieces)
-                    pieces.append(x)
-                split[i] = known[x]
-            number[word] = len(made)
-            made.append(split)
-            return len(made) - 1
-
-        for text in texts:
-            raw = (text or "").encode("utf-8")
-            plan, pending, start = [], b"", 0
-            for end in cuts(raw):
-                chunk = raw[start:end]
-                start = end
-                part = parts.get(chunk)
-                if part is None:
-                    held = self.chunks.find(chunk)
-                    if held is not None:
-                        part = (held[0], len(units), held[2])
-                        units.append(held[1])
-                    else:
-                        flat = chunk.replace(b"\n", b" ")
-                        first, last = flat.find(b" "), flat.rfind(b" ")
-                        if first < 0:
-                            part = (chunk, -1, b"")
-                        else:
-                            part = (chunk[:first], len(units), chunk[last + 1 :])
-                            words = flat[first + 1 : last].split(b" ") if last > first else []
-                            at = [get(w) for w in words]
-                            if None in at:
-                                at = [get(w) if get(w) is not None else place(w) for w in words if w]
-                            units.append(at)
-                    parts[chunk] = part
-                head, unit, tail = part
-                if unit < 0:
-                    pending += head
-                    continue
-                if pending or head:
-                    word = pending + head
-                    n = get(word)
-                    plan.append(~(place(word) if n is None else n))
-                plan.append(unit)
-                pending = tail
-            if pending:
-                n = get(pending)
-                plan.append(~(place(pending) if n is None else n))
-            plans.append(plan)
-        ids = self.learn(pieces)
-        word = [ids[m[0]] if len(m) == 1 else ids[m[0]] + ids[m[1]] for m in made]
-        done = [u if isinstance(u, bytes) else b"".join([word[i] for i in u]) for u in units]
-        for chunk, (head, unit, tail) in parts.items():
-            if unit >= 0 and not isinstance(units[unit], bytes):
-                self.chunks.put(chunk, (head, done[unit], tail))
-        return [b"".join([done[u] if u >= 0 else word[~u] for u in plan]) for plan in plans]
-
-    def decode(self, ids: list) -> str:
-        """The library's decode() of ids with special tokens kept: without a decoder, the tokens with spaces between."""
-        return " ".join([self.names[i] for i in ids]) if self.plain else self.tokenizer.decode(ids, skip_special_tokens=False)
+            ids = np.array(self.ids_of([self.between[0].join(part)])[0], np.int32)
+            bounds = [-1, *np.flatnonzero(ids == self.between[1]).tolist(), len(ids)]
+            found += [ids[x + 1 : y] for x, y in zip(bounds, bounds[1:])]
+        for p, x in zip([*alone, *group], found, strict=True):
+            self.known[p] = (x.tobytes(), " ".join([self.names[i] for i in x.tolist()]))
+
+    def words_of(self, words: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids as bytes, and decoded, of each word. What is kept of pieces is bounded by KEPT_PIECES and what one run needs."""
+        split = [self.pieces_of(w) for w in words]
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        self.learn({p for s in split for p in s})
+        known = self.known
+        told = [known[s[0]] if len(s) == 1 else (known[s[0]][0] + known[s[1]][0], known[s[0]][1] + " " + known[s[1]][1]) for s in split]
+        return [t[0] for t in told], [t[1] for t in told]
+
+    def code(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of all texts one after the other, their number in each text, and the decoded texts."""
+        return self.by_chunks(texts) if self.by_words else self.whole(texts)
+
+    def whole(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """By the library; equal texts once."""
+        told = texts.dictionary_encode()
+        ids = self.ids_of(told.dictionary.to_pylist())
+        decoded = pa.array([" ".join([self.names[i] for i in x]) if self.plain else self.tokenizer.decode(x, skip_special_tokens=False) for x in ids], pa.string())
+        offsets = np.cumsum([0, *map(len, ids)])
+        flat, sizes = taken(np.array([i for x in ids for i in x], np.int32), offsets, told.indices.to_numpy())
+        return flat, sizes, decoded.take(told.indices)
+
+    def by_chunks(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Equal chunks are encoded once: their words, each different one once, by the library.
+
+        A join of two chunks is checked by encoding what stands around it, the last word before and the first behind, as
+        one. Where the ids are not those of both, the window is widened to the whole texts with this join, which the
+        library encodes."""
+        texts = pa.array(texts.to_pylist(), pa.string()) if texts.offset else texts
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1)
+        buffer = texts.buffers()[2] or pa.py_buffer(b"")
+        data = np.frombuffer(buffer, np.uint8, int(offsets[-1]))
+        ends = chunk_ends(data, offsets[1:].astype(np.int64))
+        ends = ends[ends > 0]
+        bounds = np.concatenate(([0], ends)).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(ends), pa.py_buffer(bounds.tobytes()), buffer).dictionary_encode()
+        which = chunks.indices.to_numpy()
+        split = pc.ascii_split_whitespace(chunks.dictionary)
+        words = split.flatten().dictionary_encode()
+        ids, told = self.words_of(words.dictionary.to_pylist())
+        id_bounds = np.cumsum([0, *map(len, ids)]) // 4
+        flat, decoded = np.frombuffer(b"".join(ids), np.int32), pa.array(told, pa.string())
+        counts = np.diff(id_bounds)
+        word_of, full = words.indices.to_numpy(), counts[words.indices.to_numpy()] > 0
+        kept_before = np.concatenate(([0], np.cumsum(full)))
+        word_bounds = kept_before[split.offsets.to_numpy() - split.offsets[0].as_py()]  # of the words with ids in each chunk
+        sequence, per_chunk = taken(word_of[full], word_bounds, which)
+
+        text_of = np.searchsorted(offsets[1:], ends - 1, side="right")
+        joins = np.flatnonzero(text_of[1:] == text_of[:-1])  # chunk j goes on in chunk j + 1
+        wrong = self._joins_that_differ(joins, bounds, data, words.dictionary, word_of, split, which, ids)
+        per_text = np.bincount(text_of, per_chunk, len(texts)).astype(np.int64) if len(text_of) else np.zeros(len(texts), np.int64)
+        out, sizes = taken(flat, id_bounds, sequence)
+        at = np.cumsum(np.concatenate(([0], per_text)))
+        ids_before = np.concatenate(([0], np.cumsum(sizes)))[at]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), decoded.take(pa.array(sequence))), " ")
+        if not len(wrong):
+            return out, np.diff(ids_before), joined
+        again = np.unique(text_of[wrong])
+        repaired = self.ids_of([texts[int(i)].as_py() for i in again])
+        parts = [out[a:b] for a, b in zip(ids_before[:-1], ids_before[1:])]
+        texts_told = joined.to_pylist()
+        for i, x in zip(again.tolist(), repaired):
+            parts[i], texts_told[i] = np.array(x, np.int32), " ".join([self.names[k] for k in x])
+        return np.concatenate(parts), np.array([len(p) for p in parts]), pa.array(texts_told, pa.string())
+
+    def _joins_that_differ(self, joins, bounds, data, words, word_of, split, which, ids) -> np.ndarray:
+        """The joins at which the words around, encoded as one with the space between them, have other ids than each for itself."""
+        if not len(joins):
+            return joins
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        texts = words.to_pylist()
+        left, right = which[joins], which[joins + 1]
+        behind = bounds[joins + 1]  # the space before this place parts the words
+        tried: dict = {}
+        for l, r, at in zip(left.tolist(), right.tolist(), behind.tolist()):
+            a = first[l + 1] - 1
+            while a >= first[l] and not texts[word_of[a]]:
+                a -= 1
+            b = first[r]
+            while b < first[r + 1] - 1 and not texts[word_of[b]]:
+                b += 1
+            w = at
+            while w > 0 and _SPACE[data[w - 1]]:
+                w -= 1
+            tried[(l, r)] = (int(word_of[a]) if a >= first[l] else -1, data[w:at].tobytes().decode("ascii"), int(word_of[b]))
+        kinds = list(set(tried.values()))
+        got = self.ids_of([(texts[a] if a >= 0 else "") + s + texts[b] for a, s, b in kinds])
+        good = {k: np.array(x, np.int32).tobytes() == (ids[k[0]] if k[0] >= 0 else b"") + ids[k[2]] for k, x in zip(kinds, got)}
+        return joins[[not good[tried[p]] for p in zip(left.tolist(), right.tolist())]]
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, keep: tuple = ()) -> DataFrame:
     """n_tokens, ids (array<int>) and decoded (string) of every row of docs(doc_id, text), with the columns of `keep`.
 
     The ids are those of the tokenizers library for the file at tokenizer_path without special tokens, truncation
-    or padding; decoded is its decode() of them with special tokens kept. Chunks are reused within a task. A null
+    or padding; decoded is its decode() of them with special tokens kept. Chunks are reused within a task for tokenizers that
+    part texts at white space, which is tried (parts_at_spaces); others get the texts whole. A null
     or empty text has no ids and decodes to ''. Repeated rows each give a row; an empty table gives none."""
     with open(tokenizer_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
@@ -184,19 +241,13 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, keep: tuple = ()) -> Dat
     def run(batches):
         coder = Coder(model.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            done = 0
-            for rows, part in _runs(range(len(texts)), texts):
-                coded = coder.encode(part)
-                ids = [np.frombuffer(i, np.int32) for i in coded]
-                sizes = np.array([0, *map(len, ids)], np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(ids)))
-                same = batch.slice(done, len(part))
-                done += len(part)
+            for start, texts in runs(batch.column(1), BLOCK_CHARS):
+                flat, sizes, decoded = coder.code(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [*same.columns, pa.array(sizes[1:].astype(np.int64)), lists, pa.array([coder.decode(i.tolist()) for i in ids], pa.string())],
-                    names=[*batch.schema.names, "n_tokens", "ids", "decoded"],
+                    [*batch.slice(start, len(texts)).columns, pa.array(sizes.astype(np.int64)), lists, decoded], names=[*batch.schema.names, "n_tokens", "ids", "decoded"]
                 )
+                pa.default_memory_pool().release_unused()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return base.mapInArrow(run, f"{fields}, n_tokens long, ids array<int>, decoded string").drop(*([] if "text" in keep else ["text"]))

@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GAP = r"[\x20\x09-\x0D]+"
+RUN_CHARS = 3_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where the session names none and all runs in one process."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -56,6 +62,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def set_apart(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with all columns but the used ones renamed, so that none clashes with what an operator adds, and their new names."""
+    names = {c: f"own_column_{i}" for i, c in enumerate(df.columns) if c not in used}
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns]), names
+
+
+def given_back(df: DataFrame, columns: list[str], names: dict[str, str]) -> DataFrame:
+    """The columns of a table that set_apart() renamed, by their names."""
+    return df.select(*[F.col(names.get(c, c)).alias(c) for c in columns])
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id written as text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -71,3 +88,15 @@ def sample_by_class(df: DataFrame, label: str, key: Column, per_class: int) -> D
     for value in sorted(counts):
         chosen = chosen | ((F.col(label) == F.lit(value)) & (draw < F.lit(min(1.0, per_class / counts[value]))))
     return df.where(chosen)
+
+
+def runs(texts: pa.Array, limit: int = RUN_CHARS):
+    """Slices (start, texts) of a column of texts of about `limit` bytes each; null is ''."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + limit)))
+        yield start, texts.slice(start, end - start)
+        start = end
