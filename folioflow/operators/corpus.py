@@ -87,10 +87,12 @@ def storage_usage(df: DataFrame, col: str, by: str, cap: int = 5 * 1024 * 1024)
 
 
 def duplicate_values(df: DataFrame, key: str, cols: tuple) -> DataFrame:
-    """Groups of rows that share a non-blank value in one of the columns, with their members in order."""
+    """The rows that share a non-blank value in one of the columns with another row, one for each, with the number that do; a value may
+    have any number of members."""
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in cols])
     rows = df.select(key, F.explode(pairs).alias("x")).select(key, "x.field", "x.value").where(F.col("value").isNotNull() & (F.col("value") != ""))
-    return rows.groupBy("field", "value").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col(key))), ",").alias("members")).where("n > 1")
+    counts = rows.groupBy("field", "value").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(counts, ["field", "value"])
 
 
 def triage(df: DataFrame, text: str, cover: str, text_min: int = 20) -> DataFrame:

@@ -35,12 +35,12 @@ SHIPPING = r"(?i)ship to|deliver to|awb"
 
 def courier(text: Column) -> Column:
     """The first courier of the list that the text names."""
-    out = None
-    for name in COURIERS:
-        hit = text.rlike("(?i)(^|[^A-Za-z])" + name.replace(" ", r"\s*") + "([^A-Za-z]|$)")
-        value = ALIASES.get(name, name)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    plain = [name.lower().replace(" ", "") for name in COURIERS]
+    either = r"(?i)(?<![A-Za-z])(?:" + "|".join(name.replace(" ", r"\s*") for name in COURIERS) + ")(?![A-Za-z])"
+    place = F.create_map(*[F.lit(x) for name in dict.fromkeys(plain) for x in (name, plain.index(name))])
+    named = F.regexp_extract_all(text, F.lit(either), F.lit(0))
+    first = F.array_min(F.transform(named, lambda n: F.element_at(place, F.lower(F.regexp_replace(n, r"\s+", "")))))
+    return F.when(F.size(named) > 0, F.get(F.array(*[F.lit(ALIASES.get(name, name)) for name in COURIERS]), first))
 
 
 def label_fields(labels: DataFrame, text: str = "text") -> DataFrame:
@@ -213,16 +213,26 @@ def read_flags(notes: DataFrame, read: DataFrame, key: str) -> DataFrame:
     return notes.join(read.select(key).distinct().withColumn("r", F.lit(True)), key, "left").select(*notes.columns, F.col("r").isNotNull().alias("is_read"))
 
 
-def resolve_inherited(nodes: DataFrame, most: int = 12) -> DataFrame:
-    """Each node's own value, or the nearest one up its chain of parents (node, parent, value)."""
-    state = nodes.select("node", F.col("parent").alias("at"), "value", F.when(F.col("value").isNotNull(), 0).alias("depth"))
-    up = nodes.select(F.col("node").alias("at"), F.col("parent").alias("next"), F.col("value").alias("found"))
-    for step in range(1, most + 1):
-        state = state.join(up, "at", "left").select(
-            "node", F.when(F.col("value").isNull(), F.col("next")).alias("at"), F.coalesce("value", "found").alias("value"),
-            F.when(F.col("depth").isNotNull(), F.col("depth")).when(F.col("found").isNotNull(), step).alias("depth"),
+def resolve_inherited(nodes: DataFrame, checkpointed) -> DataFrame:
+    """Each node's own value, or the nearest one up its chain of parents (node, parent, value), and how far up it stands.
+
+    Every round an open node takes over what the node it points to knows, its value or where that one points, so that rounds grow with
+    the logarithm of the longest chain; each is checkpointed. Nodes that are left when chains of all nodes would have ended
+    stand in a circle and have no value."""
+    own = F.col("value").isNotNull()
+    state = checkpointed(nodes.select("node", F.when(~own, F.col("parent")).alias("at"), F.when(own, 0).otherwise(1).cast("long").alias("depth"), "value"))
+    for _ in range(state.count().bit_length() + 1):
+        if not state.where("at is not null").take(1):
+            break
+        up = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("value").alias("found"))
+        is_open = F.col("at").isNotNull()
+        state = checkpointed(
+            state.join(up, "at", "left").select(
+                "node", F.when(is_open, F.col("next")).alias("at"),
+                F.when(is_open, F.col("depth") + F.coalesce("more", F.lit(0))).otherwise(F.col("depth")).alias("depth"), F.coalesce("value", "found").alias("value"),
+            )
         )
-    return state.select("node", "value", F.col("depth").cast("int").alias("depth"))
+    return state.select("node", "value", F.when(F.col("value").isNotNull(), F.col("depth")).cast("int").alias("depth"))
 
 
 def prune_outline(outline: DataFrame, deleted: DataFrame, checkpointed) -> DataFrame:

@@ -224,10 +224,12 @@ def s1_admit_files(spark, sf_dir):
 
 
 @query(
-    """SELECT source, string_agg('--- Page ' || doc_id || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE trim(text) <> '' GROUP BY source"""
+    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page, unnest(string_split(text, chr(10))) AS line FROM documents)
+      SELECT doc_id, string_agg('--- Page ' || page || ' ---' || chr(10) || line, chr(10) || chr(10) ORDER BY page) AS text FROM l WHERE trim(line) <> '' GROUP BY doc_id"""
 )
 def s6_assemble_text(spark, sf_dir):
-    return C.assemble_text(_docs(spark, sf_dir), "source", "doc_id", "text", banner=True)
+    pages = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return C.assemble_text(pages.withColumn("page", F.col("at") + 1), "doc_id", "page", "line", banner=True)
 
 
 @query(

@@ -61,13 +61,13 @@ def p17_page_label(spark, sf_dir):
 
 @query(
     f"""WITH {MANIFEST}, n AS (SELECT file_id, page, 'name' || (page % 3) || CASE WHEN page % 5 = 0 THEN '-2' ELSE '' END AS name FROM manifest),
-      a AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_id * 100 + page) AS k FROM n), b AS (SELECT *, CASE WHEN k = 1 THEN name ELSE name || '-' || k END AS given FROM a),
-      c AS (SELECT *, row_number() OVER (PARTITION BY given ORDER BY k, file_id * 100 + page) AS j FROM b)
+      a AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_id * 1000000 + page) AS k FROM n), b AS (SELECT *, CASE WHEN k = 1 THEN name ELSE name || '-' || k END AS given FROM a),
+      c AS (SELECT *, row_number() OVER (PARTITION BY given ORDER BY k, file_id * 1000000 + page) AS j FROM b)
       SELECT file_id, page, name, CASE WHEN j = 1 THEN given ELSE given || '-' || j END AS unique_name FROM c"""
 )
 def o3_dedupe_names(spark, sf_dir):
     m = manifest(spark, sf_dir).withColumn("name", F.concat(F.lit("name"), (F.col("page") % 3).cast("string"), F.when(F.col("page") % 5 == 0, "-2").otherwise("")))
-    m = m.withColumn("ord", F.col("file_id") * 100 + F.col("page")).select("file_id", "page", "name", "ord")
+    m = m.withColumn("ord", F.col("file_id") * 1000000 + F.col("page")).select("file_id", "page", "name", "ord")
     return M.dedupe_names(m, "name", "ord").select("file_id", "page", "name", "unique_name")
 
 

@@ -219,7 +219,9 @@ def _tree(spark, sf_dir):
       SELECT node, max(value) AS value, CASE WHEN max(value) IS NOT NULL THEN max(depth) END::INTEGER AS depth FROM up GROUP BY node"""
 )
 def j17_resolve_inherited(spark, sf_dir):
-    return R.resolve_inherited(_tree(spark, sf_dir), most=4)
+    from folioflow.sources.scratch import written
+
+    return R.resolve_inherited(_tree(spark, sf_dir), written)
 
 
 @query(

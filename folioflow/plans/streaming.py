@@ -12,9 +12,9 @@ from folioflow.sources.tables import load
 from folioflow.streaming import stateful as S
 
 
-def _requests(spark, sf_dir, spacing: int) -> DataFrame:
+def _requests(spark, sf_dir, spacing: float) -> DataFrame:
     e = load(spark, sf_dir, "events")
-    return e.select((F.col("user_id") % 20).cast("string").alias("key"), "event_id", (F.col("event_id") * spacing).cast("double").alias("at"))
+    return e.select(F.col("user_id").cast("string").alias("key"), "event_id", (F.col("event_id") * F.lit(spacing)).alias("at"))
 
 
 def _seconds(e: DataFrame) -> DataFrame:
@@ -37,43 +37,67 @@ def _finished(spark, df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def _rate_sql(spacing: int, n: int, window: int) -> str:
-    return f"""WITH RECURSIVE e AS (SELECT (user_id % 20)::VARCHAR AS key, event_id, event_id * {spacing}::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS rn FROM events),
+def _rate_sql(spacing: float, n: int, window: int) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, event_id * {spacing}::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
       f AS (SELECT key, event_id, rn, tm + {window} AS reset, 1 AS used, true AS ok FROM e WHERE rn = 1
         UNION ALL SELECT e.key, e.event_id, e.rn, CASE WHEN f.reset < e.tm THEN e.tm + {window} ELSE f.reset END, CASE WHEN f.reset < e.tm THEN 1 WHEN f.used < {n} THEN f.used + 1 ELSE f.used END, f.reset < e.tm OR f.used < {n}
         FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)"""
 
 
-@query(_rate_sql(60, 3, 3600) + " SELECT key, event_id, ok AS accepted FROM f")
+@query(_rate_sql(2.0, 3, 3600) + " SELECT key, event_id, ok AS accepted FROM f")
 def t1_rate_limit(spark, sf_dir):
-    return S.rate_limit_native(_requests(spark, sf_dir, 60), 3, 3600)
+    return S.rate_limit_native(_requests(spark, sf_dir, 2.0), 3, 3600)
 
 
-@query(_rate_sql(60, 3, 3600) + " SELECT key, event_id, ok::VARCHAR AS verdict FROM f")
+@query(_rate_sql(2.0, 3, 3600) + " SELECT key, event_id, ok::VARCHAR AS verdict FROM f")
 def t1_rate_limit_grouped(spark, sf_dir):
-    return S.batch_rule(_requests(spark, sf_dir, 60), "rate", S.rate_limit)
+    return S.batch_rule(_requests(spark, sf_dir, 2.0), "rate", S.rate_limit)
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT (user_id % 20)::VARCHAR AS key, event_id, event_id * 1::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS rn FROM events),
+    """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, event_id * 0.2::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
       f AS (SELECT key, event_id, rn, tm AS last, true AS ok FROM e WHERE rn = 1 UNION ALL SELECT e.key, e.event_id, e.rn, CASE WHEN e.tm - f.last >= 30 THEN e.tm ELSE f.last END, e.tm - f.last >= 30 FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)
       SELECT key, event_id, ok::VARCHAR AS verdict FROM f"""
 )
 def t2_throttle(spark, sf_dir):
-    return S.batch_rule(_requests(spark, sf_dir, 1), "throttle", S.throttle)
-
-
-@query()
+    return S.batch_rule(_requests(spark, sf_dir, 0.2), "throttle", S.throttle)
+
+
+def _otp_sql(reset: bool) -> str:
+    """The fold with one row a step: state s(sent, tries, locked, verified) and a verdict of every event."""
+    end = "NULL" if not reset else "f.sent"
+    right = "'verified'" if not reset else "'token'"
+    live = "f.sent IS NOT NULL AND NOT (f.locked IS NOT NULL AND e.tm < f.locked)"
+    return f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, (event_id * 3)::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+        CASE event_type WHEN 'signup' THEN 'send' WHEN 'click' THEN 'wrong' WHEN 'purchase' THEN 'right' ELSE 'none' END AS act FROM events),
+      f AS (SELECT user_id::VARCHAR AS key, NULL::BIGINT AS event_id, 0::BIGINT AS rn, NULL::DOUBLE AS sent, 0 AS tries, NULL::DOUBLE AS locked, NULL::VARCHAR AS verdict FROM (SELECT DISTINCT user_id FROM events)
+        UNION ALL SELECT e.key, e.event_id, e.rn,
+          CASE WHEN act = 'send' THEN CASE WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN f.sent ELSE e.tm END WHEN act IN ('right', 'wrong') AND {live} THEN CASE WHEN e.tm > f.sent + {S.OTP_LIFE} THEN NULL WHEN act = 'wrong' THEN f.sent ELSE {end} END ELSE f.sent END,
+          CASE WHEN act = 'send' THEN CASE WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN f.tries ELSE 0 END WHEN act IN ('right', 'wrong') AND {live} THEN CASE WHEN e.tm > f.sent + {S.OTP_LIFE} THEN 0 WHEN act = 'wrong' THEN f.tries + 1 ELSE {"f.tries" if reset else "0"} END ELSE f.tries END,
+          CASE WHEN act = 'send' THEN CASE WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN f.locked ELSE NULL END WHEN act IN ('right', 'wrong') AND {live} THEN CASE WHEN e.tm > f.sent + {S.OTP_LIFE} THEN NULL WHEN act = 'wrong' AND f.tries + 1 >= {S.MOST_TRIES} THEN e.tm + {S.OTP_LOCK} ELSE NULL END ELSE f.locked END,
+          CASE WHEN act = 'send' THEN CASE WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN 'locked' ELSE 'sent' END WHEN act NOT IN ('right', 'wrong') THEN 'ignored' WHEN f.sent IS NULL THEN 'none' WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN 'locked'
+            WHEN e.tm > f.sent + {S.OTP_LIFE} THEN 'expired' WHEN act = 'wrong' THEN CASE WHEN f.tries + 1 >= {S.MOST_TRIES} THEN 'locked now' ELSE 'wrong' END ELSE {right} END
+        FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)
+      SELECT key, event_id, verdict FROM f WHERE rn > 0"""
+
+
+@query(_otp_sql(False))
 def t3_otp_verify(spark, sf_dir):
     return S.batch_rule(_otp(spark, sf_dir), "otp", S.otp_signup, with_action=True)
 
 
-@query()
+@query(_otp_sql(True))
 def t3_otp_reset(spark, sf_dir):
     return S.batch_rule(_otp(spark, sf_dir), "otp", S.otp_reset, with_action=True)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, (event_id * 3)::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, event_type = 'signup' AS issue FROM events),
+      f AS (SELECT user_id::VARCHAR AS key, NULL::BIGINT AS event_id, 0::BIGINT AS rn, NULL::DOUBLE AS issued, NULL::VARCHAR AS verdict FROM (SELECT DISTINCT user_id FROM events)
+        UNION ALL SELECT e.key, e.event_id, e.rn, CASE WHEN issue THEN e.tm END, CASE WHEN issue THEN 'issued' WHEN f.issued IS NULL THEN 'invalid' WHEN e.tm <= f.issued + {S.TOKEN_LIFE} THEN 'reset' ELSE 'expired' END
+        FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)
+      SELECT key, event_id, verdict FROM f WHERE rn > 0"""
+)
 def t4_reset_session(spark, sf_dir):
     e = _otp(spark, sf_dir).withColumn("action", F.when(F.col("action") == "send", "issue").otherwise("reset"))
     return S.batch_rule(e, "session", S.session_step, with_action=True)
@@ -102,10 +126,10 @@ def _stream(spark, sf_dir) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query(_rate_sql(60, 3, 3600) + " SELECT key, event_id, ok::VARCHAR AS verdict FROM f")
+@query(_rate_sql(2.0, 3, 3600) + " SELECT key, event_id, ok::VARCHAR AS verdict FROM f")
 def t1_rate_limit_stream(spark, sf_dir):
-    at = F.timestamp_seconds(F.col("event_id") * 60 + 3600)
-    e = _stream(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("key"), "event_id", (F.col("event_id") * 60).cast("double").alias("at"), at.alias("ts")).withWatermark("ts", "10 minutes")
+    at = F.timestamp_seconds(F.col("event_id") * 2 + 3600)
+    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "event_id", (F.col("event_id") * F.lit(2.0)).alias("at"), at.alias("ts")).withWatermark("ts", "10 minutes")
     return _finished(spark, S.stream_rule(e, "rate", S.rate_limit)).select("key", "event_id", "verdict")
 
 
@@ -116,9 +140,7 @@ def t1_rate_limit_stream(spark, sf_dir):
 def t5_live_ratings(spark, sf_dir):
     from folioflow.sources.scratch import folder
 
-    out = f"{folder(spark)}/votes-{uuid.uuid4().hex}"
+    store = S.VoteStore(f"{folder(spark)}/votes-{uuid.uuid4().hex}")
     v = _stream(spark, sf_dir).select(F.col("event_type").alias("tool"), F.col("user_id").alias("voter"), (F.col("event_id") % 6 + 1).alias("score"), "ts", "event_id")
-    upsert = lambda batch, epoch: batch.write.mode("append").parquet(f"{out}/rows")
-    S.live_ratings(v, upsert).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{out}/rows").groupBy("tool", "voter").agg(F.max_by("score", F.struct("ts", "event_id")).alias("score"))
-    return last.groupBy("tool").agg(F.avg("score").alias("average"), F.count("*").alias("votes"))
+    S.live_ratings(v, store.upsert).option("checkpointLocation", f"{store.path}/state").trigger(availableNow=True).start().awaitTermination()
+    return store.votes(spark).groupBy("tool").agg(F.avg("score").alias("average"), F.count("*").alias("votes"))

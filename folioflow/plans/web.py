@@ -85,7 +85,7 @@ def a9_inbound_links(spark, sf_dir):
 
 @query(
     f"""WITH {HEAD}, u AS (SELECT page_id, 'title' AS field, title AS value FROM head UNION ALL SELECT page_id, 'site', {_SITE} FROM pages)
-      SELECT field, value, count(*)::BIGINT AS n, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS members FROM u WHERE value IS NOT NULL AND value <> '' GROUP BY 1, 2 HAVING count(*) > 1"""
+      SELECT field, value, n, page_id FROM (SELECT *, count(*) OVER (PARTITION BY field, value)::BIGINT AS n FROM u WHERE value IS NOT NULL AND value <> '') WHERE n > 1"""
 )
 def a8_duplicate_values(spark, sf_dir):
     from folioflow.operators.corpus import duplicate_values
@@ -302,13 +302,30 @@ def j15_resolve_assets(spark, sf_dir):
     return W.resolve_assets(W.extract_links(p).select("page_id", "at", F.col("href").alias("ref")), assets)
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT user_id AS src, (user_id * 7 + event_id % 3) % 150 AS dst FROM events), r(node) AS (SELECT 1::BIGINT UNION SELECT dst FROM e JOIN r ON e.src = r.node WHERE dst % 11 <> 0)
-      SELECT node FROM r"""
-)
-def j19_reachable(spark, sf_dir):
+# Each page links to up to three pages by a rule on the ids of all pages; every eleventh page is dead.
+_REACHED = """WITH RECURSIVE e AS (SELECT page_id AS src, (page_id * 7 + k * 13 + 1) % (SELECT count(*) FROM pages) AS dst FROM pages, (VALUES (0), (1), (2)) v(k) WHERE (page_id + k) % 4 <> 0),
+  r(node) AS (SELECT 1::BIGINT UNION SELECT dst FROM e JOIN r ON e.src = r.node WHERE dst % 11 <> 0)"""
+
+
+def _reached(spark, sf_dir):
     from folioflow.sources.scratch import written
 
-    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % 150).alias("dst"))
+    p = _pages(spark, sf_dir).select(F.col("page_id").alias("src"))
+    n = p.count()
+    e = p.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where((F.col("src") + F.col("k")) % 4 != 0)
+    e = e.select("src", ((F.col("src") * 7 + F.col("k") * 13 + 1) % n).alias("dst"))
     dead = e.select(F.col("dst").alias("node")).where("node % 11 = 0").distinct()
     return W.reachable(e.distinct(), spark.range(1).select(F.lit(1).cast("long").alias("node")), dead, written)
+
+
+@query(
+    _REACHED + " SELECT DISTINCT node FROM r"
+)
+def j19_reachable(spark, sf_dir):
+    return _reached(spark, sf_dir)
+
+
+@query(_REACHED + " SELECT page_id AS node FROM pages WHERE page_id NOT IN (SELECT node FROM r)")
+def j19_orphans(spark, sf_dir):
+    """Pages that no path of links from page 1 reaches."""
+    return _pages(spark, sf_dir).select(F.col("page_id").alias("node")).join(_reached(spark, sf_dir), "node", "left_anti")

@@ -14,10 +14,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a page of each document: an output per source, files by doc_id, pages of 500 characters, 20 at most."""
+    """One row a page of each document: an output per source, files by doc_id, pages of 500 characters."""
     pages = load(spark, sf_dir, "documents").select(
         F.col("source").alias("out_id"), F.col("doc_id").alias("file_id"),
-        (F.lit(1) + F.least(F.floor(F.col("n_chars") / 500), F.lit(19))).cast("long").alias("n_pages"),
+        (F.lit(1) + F.floor(F.col("n_chars") / 500)).cast("long").alias("n_pages"),
     )
     m = pages.withColumn("page", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_pages"))))
     odd = F.col("file_id") % 7 == 0
@@ -32,7 +32,7 @@ MANIFEST = """manifest AS (
   SELECT source AS out_id, doc_id AS file_id, p.page, n_pages, 90 * ((doc_id + p.page) % 4) AS rot,
          CASE WHEN doc_id % 7 = 0 THEN 792.0::DOUBLE ELSE 612.0::DOUBLE END AS w, CASE WHEN doc_id % 7 = 0 THEN 612.0::DOUBLE ELSE 792.0::DOUBLE END AS h,
          (doc_id + p.page) % 3 = 0 AS selected
-  FROM (SELECT *, 1 + least(n_chars // 500, 19) AS n_pages FROM documents) d, LATERAL (SELECT unnest(range(1, n_pages + 1)) AS page) p)"""
+  FROM (SELECT *, 1 + n_chars // 500 AS n_pages FROM documents) d, LATERAL (SELECT unnest(range(1, n_pages + 1)) AS page) p)"""
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
