@@ -262,6 +262,14 @@ def normalize_path(path: Column) -> Column:
     )
 
 
+def is_bold(name: Column) -> Column:
+    return F.regexp_replace(name, r"^[A-Z]{6}\+", "").rlike("(?i)bold|black|heavy|semibold|demi")
+
+
+def is_italic(name: Column) -> Column:
+    return F.regexp_replace(name, r"^[A-Z]{6}\+", "").rlike("(?i)italic|oblique")
+
+
 def font_family(name: Column, generic: Column) -> Column:
     """Family by the first rule that matches the name without its subset prefix, else by the generic family."""
     plain = F.lower(F.regexp_replace(name, r"^[A-Z]{6}\+", ""))

@@ -104,6 +104,19 @@ def triage(df: DataFrame, text: str, cover: str, text_min: int = 20) -> DataFram
     return df.select(*df.columns, route.alias("route"))
 
 
+def triage_with(df: DataFrame, mode: str, by: str, order: str, text: str = "text", cover: str = "cover", failed: str = "failed", text_min: int = 20, most: int = 50) -> DataFrame:
+    """The route of each page under a mode: `auto` as triage() has it, with a bad font told by the column bad_font counting as garbled,
+    `all` recognises every page and `off` none. At most `most` pages of a group, in order, are recognised, the others are skipped;
+    a page whose recognition failed says so."""
+    n = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s", ""))
+    auto = ((n < text_min) & (F.col(cover) >= 0.1)) | T.garbled(F.col(text)) | F.col("bad_font")
+    wanted = {"auto": auto, "all": F.lit(True), "off": F.lit(False)}[mode]
+    rows = df.withColumn("wanted", F.coalesce(wanted, F.lit(False)))
+    place = F.sum(F.col("wanted").cast("long")).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    route = F.when(F.col("wanted") & (place > most), "skipped").when(F.col("wanted") & F.col(failed), "ocr failed").when(F.col("wanted"), "ocr").when(n > 0, "text").otherwise("none")
+    return rows.withColumn("route", route).drop("wanted")
+
+
 def verify_integrity(before: DataFrame, after: DataFrame, key: str, col: str) -> DataFrame:
     """Digest and length of each source before and after; rows missing on a side or changed are not intact."""
 

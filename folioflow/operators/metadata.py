@@ -140,11 +140,11 @@ def xmp_value(xml: Column, key: str) -> Column:
 
 
 def unlock_outcome(files: DataFrame) -> DataFrame:
-    """What an attempt to unlock ends in, and which permissions it frees."""
+    """What an attempt to unlock ends in (a copy without pages has failed), and which permissions it frees."""
     perms = decode_permissions(F.col("perm_word"), F.col("rev"))
     outcome = (
         F.when(~F.col("encrypted"), "clear").when(F.col("filter") != "Standard", "certificate").when((F.col("open_state") == "locked") & F.col("password").isNull(), "password needed")
-        .when((F.col("open_state") == "locked") & (F.col("password") != "right"), "password wrong").otherwise("done")
+        .when((F.col("open_state") == "locked") & (F.col("password") != "right"), "password wrong").when(F.coalesce("pages", F.lit(0)) == 0, "failed").otherwise("done")
     )
     freed = F.array_join(F.array_sort(F.map_keys(F.map_filter(perms, lambda k, v: v != "yes"))), ",")
     return files.select("file_id", outcome.alias("outcome"), F.when(outcome == "done", freed).alias("freed"))

@@ -282,33 +282,67 @@ def age_report(df: DataFrame, born: Column, as_of: Column) -> DataFrame:
 
 
 # Upper bounds of the body mass classes.
-BMI_CLASSES = ((16.0, "severe thinness"), (17.0, "moderate thinness"), (18.5, "mild thinness"), (25.0, "normal"), (30.0, "overweight"), (35.0, "obese class I"))
-
-
-def bmi_report(df: DataFrame, kg: str, cm: str) -> DataFrame:
-    """Body mass index, class, ideal range and distance to it; rows out of range carry an error."""
-    bad = ~F.col(kg).between(2, 500) | ~F.col(cm).between(50, 275)
-    m2 = (F.col(cm) / 100) * (F.col(cm) / 100)
-    bmi = F.when(~bad, F.col(kg) / m2)
+# Upper bounds of the classes of the body mass index, in order.
+BMI_CLASSES = ((16.0, "severely underweight"), (18.5, "underweight"), (25.0, "normal"), (30.0, "overweight"), (35.0, "obese class I"), (40.0, "obese class II"))
+BMI_LAST = "obese class III"
+POUND, INCH, POUNDS = 0.453592, 0.0254, 2.205
+
+
+def bmi_report(df: DataFrame, weight: str, height: str, imperial: bool = False) -> DataFrame:
+    """Body mass index, class, ideal range (18.5 to 24.9, one decimal) and distance to it with a verb, from kilograms and centimetres or
+    from pounds and inches; rows out of range carry an error. Distances below half a kilogram are none."""
+    w, h = F.col(weight), F.col(height)
+    kg, metres = (w * POUND, h * INCH) if imperial else (w, h / 100)
+    bad = (F.coalesce(w, F.lit(0)) <= 0) | ~F.coalesce(h.between(20, 120), F.lit(False)) if imperial else ~F.coalesce(w.between(1, 500) & h.between(50, 300), F.lit(False))
+    m2 = metres * metres
+    bmi = F.when(~bad, kg / m2)
     kind = None
     for top, name in BMI_CLASSES:
         kind = F.when(bmi < top, name) if kind is None else kind.when(bmi < top, name)
-    low, high = 18.5 * m2, 24.9 * m2
-    delta = F.when(F.col(kg) < low, low - F.col(kg)).when(F.col(kg) > high, F.col(kg) - high).otherwise(0.0)
+    tenth = lambda c: F.floor(c * 10 + 0.5) / 10
+    low, high = tenth(18.5 * m2), tenth(24.9 * m2)
+    delta = F.when(kg < low, low - kg).when(kg > high, kg - high).otherwise(0.0)
+    shown = F.when(delta < 0.5, 0.0).otherwise(tenth(delta * POUNDS) if imperial else tenth(delta))
+    verb = F.when(delta < 0.5, "keep").when(kg < low, "gain").otherwise("lose")
     return df.select(
-        *df.columns, bmi.alias("bmi"), F.when(~bad, kind.otherwise("obese class II")).alias("class"), F.when(~bad, delta).alias("delta"),
-        F.when(~bad, F.when(F.col(kg) < low, "gain").when(F.col(kg) > high, "lose").otherwise("keep")).alias("verb"), F.when(bad, "range").alias("error"),
+        *df.columns, bmi.alias("bmi"), F.when(~bad, kind.otherwise(BMI_LAST)).alias("class"), F.when(~bad, low).alias("ideal_low"), F.when(~bad, high).alias("ideal_high"),
+        F.when(~bad, shown).alias("delta"), F.when(~bad, verb).alias("verb"), F.when(bad, "range").alias("error"),
     )
 
 
-def price_report(df: DataFrame, by: str) -> DataFrame:
-    """Totals of price, saving and tax by group; rows with a discount or tax outside 0 to 1 count as errors."""
-    bad = ~F.col("discount").between(0, 1) | (F.col("tax") < 0) | (F.col("price") < 0)
-    net = F.col("price") * (1 - F.col("discount"))
-    return df.groupBy(by).agg(
-        F.sum(F.when(~bad, F.col("price") - net)).alias("saved"), F.sum(F.when(~bad, net * F.col("tax"))).alias("tax"),
-        F.sum(F.when(~bad, net * (1 + F.col("tax")))).alias("total"), F.count_if(bad).alias("errors"),
-    )
+def bmi_distribution(report: DataFrame) -> DataFrame:
+    """Rows of each class, all classes kept."""
+    names = F.array(*[F.lit(n) for _, n in BMI_CLASSES], F.lit(BMI_LAST))
+    every = report.sparkSession.range(1).select(F.posexplode(names).alias("ord", "class"))
+    counts = report.where("error is null").groupBy("class").agg(F.count("*").alias("n"))
+    return every.join(counts, "class", "left").select(F.col("ord").cast("long").alias("ord"), "class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def price_rows(df: DataFrame, mode: str) -> DataFrame:
+    """saved, tax, pct, total and error of each row. Modes: `discount` (price, amount = percent off), `percent` (price, amount = final
+    price) and `tax` (price, amount = rate in percent); a row with an error has nothing else."""
+    price, amount = F.col("price"), F.col("amount")
+    bad_price = price.isNull() | (price <= 0)
+    none = F.lit(None).cast("double")
+    if mode == "discount":
+        error = F.when(bad_price, "price").when(amount.isNull() | ~amount.between(0, 100), "discount")
+        saved, tax, pct = price * amount / 100, none, amount
+        total = price - saved
+    elif mode == "percent":
+        error = F.when(bad_price, "price").when(amount.isNull() | (amount <= 0), "final").when(amount > price, "above")
+        saved, tax, total = price - amount, none, amount
+        pct = saved / price * 100
+    else:
+        error = F.when(bad_price, "price").when(amount.isNull() | (amount < 0), "tax")
+        saved, tax, pct = none, price * amount / 100, amount
+        total = price + tax
+    good = error.isNull()
+    return df.select(*df.columns, *[F.when(good, c).alias(n) for n, c in (("saved", saved), ("tax", tax), ("pct", pct), ("total", total))], error.alias("error"))
+
+
+def price_report(rows: DataFrame, by: str) -> DataFrame:
+    """Totals of saving, tax and price by group, and the rows with an error."""
+    return rows.groupBy(by).agg(F.sum("saved").alias("saved"), F.sum("tax").alias("tax"), F.sum("total").alias("total"), F.count("error").alias("errors"))
 
 
 def load_json_state(df: DataFrame, col: str, fields: dict[str, tuple[str, object]]) -> DataFrame:

@@ -241,6 +241,28 @@ def l14_triage_pages(spark, sf_dir):
     return C.triage(d, "text", "cover").select("doc_id", "route")
 
 
+def _triage_sql(wanted: str) -> str:
+    return rf"""WITH c AS (SELECT *, len(regexp_extract_all(text, '[\x{{E000}}-\x{{F8FF}}\x{{FFFD}}\x00-\x08\x0B-\x1F]')) AS bad, len(regexp_extract_all(text, '[^ \n\t]')) AS tot, (doc_id % 10) / 20.0::DOUBLE AS cover, length(regexp_replace(text, '\s', '', 'g')) AS n FROM documents),
+      w AS (SELECT *, {wanted} AS wanted FROM c), p AS (SELECT *, sum(wanted::INTEGER) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS place FROM w)
+      SELECT doc_id, CASE WHEN wanted AND place > 50 THEN 'skipped' WHEN wanted AND doc_id % 13 = 5 THEN 'ocr failed' WHEN wanted THEN 'ocr' WHEN n > 0 THEN 'text' ELSE 'none' END AS route FROM p"""
+
+
+def _triage(spark, sf_dir, mode: str):
+    k = F.col("doc_id")
+    d = _docs(spark, sf_dir).withColumns({"cover": (k % 10) / F.lit(20.0), "failed": k % 13 == 5, "bad_font": k % 6 == 1})
+    return C.triage_with(d, mode, "source", "doc_id").select("doc_id", "route")
+
+
+@query(_triage_sql("(n < 20 AND cover >= 0.1) OR (tot > 30 AND bad::DOUBLE / tot > 0.3) OR doc_id % 6 = 1"))
+def l14_triage_auto(spark, sf_dir):
+    return _triage(spark, sf_dir, "auto")
+
+
+@query(_triage_sql("true"))
+def l14_triage_all(spark, sf_dir):
+    return _triage(spark, sf_dir, "all")
+
+
 @query(
     """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 31 <> 0)
       SELECT doc_id, length(d.text)::BIGINT AS n_before, length(a.text)::BIGINT AS n_after, sha256(d.text) IS NOT DISTINCT FROM sha256(a.text) AS intact

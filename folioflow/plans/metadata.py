@@ -158,9 +158,9 @@ def m13_xmp_value(spark, sf_dir):
 
 @query(
     f"""WITH {SECURITY}, o AS (SELECT *, CASE WHEN NOT encrypted THEN 'clear' WHEN filter <> 'Standard' THEN 'certificate' WHEN open_state = 'locked' AND file_id % 4 = 0 THEN 'password needed'
-        WHEN open_state = 'locked' AND file_id % 4 = 1 THEN 'password wrong' ELSE 'done' END AS outcome FROM file_security)
+        WHEN open_state = 'locked' AND file_id % 4 = 1 THEN 'password wrong' WHEN file_id % 10 = 0 THEN 'failed' ELSE 'done' END AS outcome FROM file_security)
       SELECT file_id, outcome, CASE WHEN outcome = 'done' THEN array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {sql} <> 'yes' THEN '{k}' END" for k, sql in _PERMS.items())}], lambda x: x IS NOT NULL)), ',') END AS freed FROM o"""
 )
 def m14_unlock_outcome(spark, sf_dir):
     f = file_security(spark, sf_dir)
-    return M.unlock_outcome(f.withColumn("password", F.when(F.col("file_id") % 4 == 0, None).when(F.col("file_id") % 4 == 1, "wrong").otherwise("right")))
+    return M.unlock_outcome(f.withColumn("password", F.when(F.col("file_id") % 4 == 0, None).when(F.col("file_id") % 4 == 1, "wrong").otherwise("right")).withColumn("pages", F.col("file_id") % 10))

@@ -275,28 +275,83 @@ def p23_age_report(spark, sf_dir):
     return R.age_report(o, F.col("b"), F.lit("2026-03-01").cast("date")).drop("b")
 
 
-_BMI = """b AS (SELECT c_custkey, (40 + c_custkey % 470)::DOUBLE AS kg, (140 + c_custkey % 150)::DOUBLE AS cm FROM customer),
-  m AS (SELECT *, kg NOT BETWEEN 2 AND 500 OR cm NOT BETWEEN 50 AND 275 AS bad, (cm / 100) * (cm / 100) AS m2 FROM b)"""
+def _bmi_sql(imperial: bool) -> str:
+    kg, m = (f"w * {R.POUND}::DOUBLE", f"h * {R.INCH}::DOUBLE") if imperial else ("w", "h / 100")
+    bad = "coalesce(w, 0) <= 0 OR NOT coalesce(h BETWEEN 20 AND 120, false)" if imperial else "NOT coalesce(w BETWEEN 1 AND 500 AND h BETWEEN 50 AND 300, false)"
+    rows = "(80 + c_custkey % 300)::DOUBLE AS w, (10 + c_custkey % 115)::DOUBLE AS h" if imperial else "(c_custkey % 510)::DOUBLE AS w, (140 + c_custkey % 165)::DOUBLE AS h"
+    classes = " ".join(f"WHEN bmi < {t} THEN '{n}'" for t, n in R.BMI_CLASSES)
+    shown = f"delta * {R.POUNDS}::DOUBLE" if imperial else "delta"
+    return f"""b AS (SELECT c_custkey, {rows} FROM customer), k AS (SELECT *, {kg} AS kg, ({m}) * ({m}) AS m2, {bad} AS bad FROM b),
+  i AS (SELECT *, CASE WHEN NOT bad THEN kg / m2 END AS bmi, floor(18.5::DOUBLE * m2 * 10 + 0.5) / 10 AS low, floor(24.9::DOUBLE * m2 * 10 + 0.5) / 10 AS high FROM k),
+  d AS (SELECT *, CASE WHEN kg < low THEN low - kg WHEN kg > high THEN kg - high ELSE 0.0 END AS delta FROM i),
+  bmi AS (SELECT c_custkey, bmi, CASE WHEN bad THEN NULL {classes} ELSE '{R.BMI_LAST}' END AS class, CASE WHEN NOT bad THEN low END AS ideal_low, CASE WHEN NOT bad THEN high END AS ideal_high,
+    CASE WHEN bad THEN NULL WHEN delta < 0.5 THEN 0.0 ELSE floor({shown} * 10 + 0.5) / 10 END AS delta, CASE WHEN bad THEN NULL WHEN delta < 0.5 THEN 'keep' WHEN kg < low THEN 'gain' ELSE 'lose' END AS verb, CASE WHEN bad THEN 'range' END AS error FROM d)"""
+
+
+def _bmi(spark, sf_dir, imperial: bool):
+    k = F.col("c_custkey")
+    w, h = (80 + k % 300, 10 + k % 115) if imperial else (k % 510, 140 + k % 165)
+    c = load(spark, sf_dir, "customer").select("c_custkey", w.cast("double").alias("w"), h.cast("double").alias("h"))
+    return R.bmi_report(c, "w", "h", imperial).drop("w", "h")
 
 
-@query(
-    f"""WITH {_BMI} SELECT c_custkey, CASE WHEN NOT bad THEN kg / m2 END AS bmi, CASE WHEN bad THEN NULL WHEN kg / m2 < 16 THEN 'severe thinness' WHEN kg / m2 < 17 THEN 'moderate thinness' WHEN kg / m2 < 18.5 THEN 'mild thinness'
-      WHEN kg / m2 < 25 THEN 'normal' WHEN kg / m2 < 30 THEN 'overweight' WHEN kg / m2 < 35 THEN 'obese class I' ELSE 'obese class II' END AS class,
-      CASE WHEN bad THEN NULL WHEN kg < 18.5::DOUBLE * m2 THEN 18.5::DOUBLE * m2 - kg WHEN kg > 24.9::DOUBLE * m2 THEN kg - 24.9::DOUBLE * m2 ELSE 0.0 END AS delta,
-      CASE WHEN bad THEN NULL WHEN kg < 18.5::DOUBLE * m2 THEN 'gain' WHEN kg > 24.9::DOUBLE * m2 THEN 'lose' ELSE 'keep' END AS verb, CASE WHEN bad THEN 'range' END AS error FROM m"""
-)
+@query(f"WITH {_bmi_sql(False)} SELECT * FROM bmi")
 def p24_bmi_report(spark, sf_dir):
-    k = F.col("c_custkey")
-    c = load(spark, sf_dir, "customer").select("c_custkey", (F.lit(40) + k % 470).cast("double").alias("kg"), (F.lit(140) + k % 150).cast("double").alias("cm"))
-    return R.bmi_report(c, "kg", "cm").drop("kg", "cm")
+    return _bmi(spark, sf_dir, False)
+
+
+@query(f"WITH {_bmi_sql(True)} SELECT * FROM bmi")
+def p24_bmi_report_imperial(spark, sf_dir):
+    return _bmi(spark, sf_dir, True)
 
 
 @query(
-    """SELECT l_returnflag, sum(l_extendedprice - l_extendedprice * (1 - l_discount)) AS saved, sum(l_extendedprice * (1 - l_discount) * l_tax) AS tax, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total, 0::BIGINT AS errors FROM lineitem GROUP BY 1"""
+    f"""WITH {_bmi_sql(False)}, c AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate([*(n for _, n in R.BMI_CLASSES), R.BMI_LAST]))}) v(ord, class))
+      SELECT ord::BIGINT AS ord, class, count(b.class)::BIGINT AS n FROM c LEFT JOIN bmi b USING (class) GROUP BY 1, 2"""
 )
+def p24_bmi_distribution(spark, sf_dir):
+    return R.bmi_distribution(_bmi(spark, sf_dir, False))
+
+
+_PRICE_MODES = {
+    "discount": ("l_discount * 100 + CASE WHEN l_orderkey % 50 = 0 THEN 95 ELSE 0 END", "amount IS NULL OR amount NOT BETWEEN 0 AND 100", "discount", "price * amount / 100", "NULL", "amount", "price - price * amount / 100"),
+    "percent": ("l_extendedprice * (1 - l_discount) + CASE WHEN l_orderkey % 50 = 0 THEN 1e6 ELSE 0 END - CASE WHEN l_orderkey % 50 = 1 THEN 1e6 ELSE 0 END", "amount IS NULL OR amount <= 0", "final", "price - amount", "NULL", "(price - amount) / price * 100", "amount"),
+    "tax": ("l_tax * 100 - CASE WHEN l_orderkey % 50 = 0 THEN 10 ELSE 0 END", "amount IS NULL OR amount < 0", "tax", "NULL", "price * amount / 100", "amount", "price + price * amount / 100"),
+}
+
+
+def _price_sql(mode: str) -> str:
+    amount, bad, name, saved, tax, pct, total = _PRICE_MODES[mode]
+    above = " WHEN amount > price THEN 'above'" if mode == "percent" else ""
+    return f"""p AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_orderkey % 70 = 0 THEN 0.0 ELSE l_extendedprice END::DOUBLE AS price, ({amount})::DOUBLE AS amount FROM lineitem),
+  e AS (SELECT *, CASE WHEN price IS NULL OR price <= 0 THEN 'price' WHEN {bad} THEN '{name}'{above} END AS error FROM p),
+  priced AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN error IS NULL THEN {saved} END::DOUBLE AS saved, CASE WHEN error IS NULL THEN {tax} END::DOUBLE AS tax, CASE WHEN error IS NULL THEN {pct} END::DOUBLE AS pct, CASE WHEN error IS NULL THEN {total} END::DOUBLE AS total, error FROM e)"""
+
+
+def _priced(spark, sf_dir, mode: str):
+    price = F.when(F.col("l_orderkey") % 70 == 0, 0.0).otherwise(F.col("l_extendedprice")).cast("double")
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", price.alias("price"), F.expr(_PRICE_MODES[mode][0]).cast("double").alias("amount"))
+    return R.price_rows(li, mode).drop("price", "amount")
+
+
+@query(f"WITH {_price_sql('discount')} SELECT * FROM priced")
+def p25_price_rows_discount(spark, sf_dir):
+    return _priced(spark, sf_dir, "discount")
+
+
+@query(f"WITH {_price_sql('percent')} SELECT * FROM priced")
+def p25_price_rows_percent(spark, sf_dir):
+    return _priced(spark, sf_dir, "percent")
+
+
+@query(f"WITH {_price_sql('tax')} SELECT * FROM priced")
+def p25_price_rows_tax(spark, sf_dir):
+    return _priced(spark, sf_dir, "tax")
+
+
+@query(f"WITH {_price_sql('discount')} SELECT l_returnflag, sum(saved) AS saved, sum(tax) AS tax, sum(total) AS total, count(error)::BIGINT AS errors FROM priced GROUP BY 1")
 def p25_price_report(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    return R.price_report(li, "l_returnflag")
+    return R.price_report(_priced(spark, sf_dir, "discount"), "l_returnflag")
 
 
 @query(
@@ -355,13 +410,13 @@ def a11_corner_error(spark, sf_dir):
 
 
 @query(
-    rf"""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'ABCDEF+' ELSE '' END || ['Times-Roman', 'Arial-BoldMT', 'CMR10', 'NimbusSans-Bold', 'Mystery', 'Garamond', 'DejaVuSansMono'][p_partkey % 7 + 1] AS name, ['serif', 'monospace', 'sans-serif'][p_partkey % 3 + 1] AS gen FROM part),
+    rf"""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'ABCDEF+' ELSE '' END || ['Times-Roman', 'Arial-BoldMT', 'CMR10', 'NimbusSans-BoldOblique', 'Mystery-Italic', 'Garamond', 'DejaVuSansMono'][p_partkey % 7 + 1] AS name, ['serif', 'monospace', 'sans-serif'][p_partkey % 3 + 1] AS gen FROM part),
       l AS (SELECT *, lower(regexp_replace(name, '^[A-Z]{{6}}\+', '')) AS t FROM n)
-      SELECT p_partkey, CASE {' '.join(f"WHEN regexp_matches(t, '{a}') THEN '{b}'" for a, b in T.FONT_RULES)} WHEN gen = 'monospace' THEN 'Courier New' WHEN gen = 'serif' THEN 'Times New Roman' ELSE 'Arial' END AS family FROM l"""
+      SELECT p_partkey, CASE {' '.join(f"WHEN regexp_matches(t, '{a}') THEN '{b}'" for a, b in T.FONT_RULES)} WHEN gen = 'monospace' THEN 'Courier New' WHEN gen = 'serif' THEN 'Times New Roman' ELSE 'Arial' END AS family, regexp_matches(t, 'bold|black|heavy|semibold|demi') AS bold, regexp_matches(t, 'italic|oblique') AS italic FROM l"""
 )
 def p26_font_family(spark, sf_dir):
     k = F.col("p_partkey")
-    names = F.array(*[F.lit(x) for x in ("Times-Roman", "Arial-BoldMT", "CMR10", "NimbusSans-Bold", "Mystery", "Garamond", "DejaVuSansMono")])
+    names = F.array(*[F.lit(x) for x in ("Times-Roman", "Arial-BoldMT", "CMR10", "NimbusSans-BoldOblique", "Mystery-Italic", "Garamond", "DejaVuSansMono")])
     name = F.concat(F.when(k % 3 == 0, "ABCDEF+").otherwise(""), F.element_at(names, (k % 7 + 1).cast("int")))
     gen = F.element_at(F.array(F.lit("serif"), F.lit("monospace"), F.lit("sans-serif")), (k % 3 + 1).cast("int"))
-    return load(spark, sf_dir, "part").select("p_partkey", T.font_family(name, gen).alias("family"))
+    return load(spark, sf_dir, "part").select("p_partkey", T.font_family(name, gen).alias("family"), T.is_bold(name).alias("bold"), T.is_italic(name).alias("italic"))
