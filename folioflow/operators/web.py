@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,31 @@ def audit_pages(head: DataFrame) -> DataFrame:
     return head.select("page_id", F.explode(broken).alias("failure"))
 
 
+def audit_schema(pages: DataFrame, is_article: Column, author: str) -> DataFrame:
+    """One row for each JSON-LD rule that a page breaks: broken blocks, and on article pages one Article, one BreadcrumbList and an
+    author whose address is the given one."""
+    blocks = pages.select("page_id", is_article.alias("is_article"), F.regexp_extract_all("html", F.lit(JSON_LD), F.lit(1)).alias("blocks"))
+    rows = blocks.select("page_id", "is_article", F.posexplode_outer("blocks").alias("block", "json")).withColumn("v", F.try_parse_json("json"))
+    graph = F.coalesce(F.try_variant_get("v", "$['@graph']", "array<variant>"), F.when(F.col("v").isNotNull(), F.array("v")))
+    nodes = rows.select("page_id", "is_article", "block", (F.col("json").isNotNull() & F.col("v").isNull()).alias("broken"), F.posexplode_outer(graph).alias("node", "n"))
+    kind, url = F.try_variant_get("n", "$['@type']", "string"), F.try_variant_get("n", "$.author.url", "string")
+    counts = nodes.groupBy("page_id", "is_article").agg(
+        F.max("broken").alias("broken"), F.count_if(kind == "Article").alias("articles"), F.count_if(kind == "BreadcrumbList").alias("crumbs"),
+        F.min(F.when(kind == "Article", F.struct("block", "node", url.alias("url")))).alias("first"),
+    )
+    rules = {
+        "json-ld": F.col("broken"), "article": F.col("is_article") & (F.col("articles") != 1), "breadcrumb": F.col("is_article") & (F.col("crumbs") != 1),
+        "author": F.col("is_article") & ~F.coalesce(F.col("first.url") == author, F.lit(False)),
+    }
+    broken = F.filter(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()]), lambda x: x.isNotNull())
+    return counts.select("page_id", F.explode(broken).alias("failure"))
+
+
+def audit_sitemap(sitemap: DataFrame) -> DataFrame:
+    """Addresses (loc) of a sitemap that stand in it several times."""
+    return sitemap.groupBy("loc").agg(F.count("*").alias("n")).where("n > 1").select("loc", F.lit("duplicate").alias("failure"))
+
+
 def audit_report(failures: DataFrame, pages: DataFrame) -> DataFrame:
     """One JSON row: pages, failures and the count of each failure."""
     n = pages.agg(F.count("*").alias("pages"))
@@ -172,6 +199,47 @@ def fill_head_tags(head: DataFrame) -> DataFrame:
     return head.where("title is not null").select("page_id", F.array_join(F.filter(tags, lambda x: x.isNotNull()), "\n").alias("added"))
 
 
+def _after(html: Column, anchor: Column, added: Column) -> Column:
+    """html with a text put after the first place of an anchor text."""
+    end = F.instr(html, anchor) + F.length(anchor) - 1
+    return F.concat(F.substring(html, F.lit(1), end), added, F.substring(html, end + 1, F.length(html)))
+
+
+def fill_head(pages: DataFrame, site_name: str, image: str, is_article: Column) -> DataFrame:
+    """Pages with the head tags that they lack: a canonical address after the description or title, and after that alternate languages and the
+    Open Graph and Twitter tags. The description falls back to the title; pages without a title stay. The flags tell what was
+    added."""
+    h, esc = F.col("html"), lambda c: F.replace(c, F.lit('"'), F.lit("&quot;"))
+    title, described = F.regexp_extract(h, r"(?is)<title>.*?</title>", 0), F.regexp_extract(h, r"""(?is)<meta\s+name=["']description["'].*?>""", 0)
+    rows = pages.select(
+        "page_id", "url", "html", is_article.alias("is_article"), F.trim(F.regexp_extract(h, r"(?is)<title>(.*?)</title>", 1)).alias("title"),
+        F.regexp_extract(h, r"""(?is)<meta\s+name=["']description["']\s+content=["'](.*?)["']\s*/?>""", 1).alias("description"),
+        F.when(described != "", described).otherwise(title).alias("anchor"), (~h.rlike(r"""(?i)rel=["']canonical["']""")).alias("canonical_added"),
+        (~h.rlike("(?i)hreflang=")).alias("hreflang_added"), (~h.rlike(r"""(?i)property=["']og:""")).alias("og_added"),
+    )
+    known = F.col("title") != ""
+    rows = rows.withColumns({c: known & F.col(c) for c in ("canonical_added", "hreflang_added", "og_added")})
+    canonical = F.concat(F.lit('\n<link rel="canonical" href="'), F.col("url"), F.lit('">'))
+    rows = rows.withColumn("new", F.when(F.col("canonical_added"), _after(F.col("html"), F.col("anchor"), canonical)).otherwise(F.col("html")))
+    line = F.regexp_extract("new", r"""(?i)<link\s+rel=["']canonical["'][^>]*>""", 0)
+    rows = rows.withColumn("anchor", F.when(line != "", line).otherwise(F.col("anchor")))
+    languages = F.concat(*[F.concat(F.lit(f'\n<link rel="alternate" hreflang="{lang}" href="'), F.col("url"), F.lit('">')) for lang in ("en", "x-default")])
+    shown = esc(F.when(F.col("description") != "", F.col("description")).otherwise(F.col("title")))
+    kind = F.when(F.col("is_article"), "article").otherwise("website")
+    graph = [("og:type", kind), ("og:site_name", F.lit(site_name)), ("og:url", F.col("url")), ("og:title", esc(F.col("title"))), ("og:description", shown), ("og:image", F.lit(image))]
+    cards = [("twitter:card", F.lit("summary_large_image")), ("twitter:title", esc(F.col("title"))), ("twitter:description", shown), ("twitter:image", F.lit(image))]
+    tags = [F.concat(F.lit(f'\n<meta property="{n}" content="'), v, F.lit('">')) for n, v in graph] + [F.concat(F.lit(f'\n<meta name="{n}" content="'), v, F.lit('">')) for n, v in cards]
+    added = F.concat(F.when(F.col("hreflang_added"), languages).otherwise(""), F.when(F.col("og_added"), F.concat(*tags)).otherwise(""))
+    new = F.when(known & (added != ""), _after(F.col("new"), F.col("anchor"), added)).otherwise(F.col("new"))
+    return rows.select("page_id", new.alias("html"), "canonical_added", "hreflang_added", "og_added", (~known).alias("no_title"))
+
+
+def head_report(filled: DataFrame) -> DataFrame:
+    """How many pages got what."""
+    flags = ("canonical_added", "hreflang_added", "og_added", "no_title")
+    return filled.agg(F.count("*").alias("pages"), *[F.count_if(F.col(c)).alias(c) for c in flags])
+
+
 def stamp_assets(pages: DataFrame, version: str) -> DataFrame:
     """Local style sheet and script references get ?v=version; external ones stay; the references are counted."""
     ref = r'((?:href|src)="/?[A-Za-z0-9_][A-Za-z0-9_./-]*\.(?:css|js))(?:\?v=[^"]*)?"'
@@ -181,9 +249,24 @@ def stamp_assets(pages: DataFrame, version: str) -> DataFrame:
 
 
 def strip_retired(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """Links to retired ids go, and `removed` counts them."""
+    """Links to retired ids go, and `removed` counts them; blank lines that are left become one."""
     link = rf'<li><a href="/(?:{"|".join(ids)})">[^<]*</a></li>'
-    return pages.select("page_id", F.regexp_replace("html", link, "").alias("html"), F.regexp_count("html", F.lit(link)).cast("long").alias("removed"))
+    clean = F.regexp_replace(F.regexp_replace("html", link, ""), r"\n{3,}", "\n\n")
+    return pages.select("page_id", clean.alias("html"), F.regexp_count("html", F.lit(link)).cast("long").alias("removed"))
+
+
+def drop_retired_lines(files: DataFrame, text: str, ids: list[str]) -> DataFrame:
+    """A text (a sitemap or list) without the lines that name a retired id's page."""
+    named = F.lit(False)
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda x: ~functools.reduce(lambda a, i: a | x.contains(f"/{i}.html"), ids, named))
+    clean = F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")
+    return files.withColumns({text: clean, "dropped": (F.size(lines) - F.size(kept)).cast("long")})
+
+
+def retired_redirects(retired: DataFrame, target: str) -> DataFrame:
+    """A permanent redirect row of each retired id."""
+    return retired.select(F.concat(F.lit("/tools/"), F.col("id"), F.lit(".html")).alias("source"), F.lit(target).alias("target"), F.lit(301).alias("status"))
 
 
 def touch_sitemap(sitemap: DataFrame, changed: DataFrame, date: str) -> DataFrame:
@@ -235,6 +318,60 @@ def normalize_article(pages: DataFrame, publisher: str) -> DataFrame:
     return pages.where("title is not null").select("page_id", F.to_json(node).alias("article"))
 
 
+def rewrite_articles(pages: DataFrame, name: str, site: str) -> DataFrame:
+    """Pages (page_id, url, html) whose first JSON-LD block of an Article is written anew as a graph of the canonical article, with author,
+    publisher and the date part of its modified_time, and a breadcrumb list; later blocks of articles go. Pages without one stay."""
+    block = r'(?is)<script type="application/ld\+json">.*?</script>'
+    arts = F.filter(F.regexp_extract_all("html", F.lit(block), F.lit(0)), lambda b: b.rlike(r'"@type"\s*:\s*"Article"'))
+    rows = pages.withColumn("arts", arts).withColumn("first", F.get("arts", F.lit(0)))
+    inner = F.regexp_extract("first", JSON_LD, 1)
+    headline = F.coalesce(F.get_json_object(inner, "$.headline"), F.get_json_object(inner, "$['@graph'][0].headline"))
+    modified = F.nullif(F.substring(F.regexp_extract("html", r'(?i)<meta\s+property="article:modified_time"\s+content="([^"]+)"', 1), 1, 10), F.lit(""))
+    item = lambda i, label, at: F.struct(F.lit("ListItem").alias("@type"), F.lit(i).alias("position"), label.alias("name"), at.alias("item"))
+    org = lambda *more: F.struct(F.lit("Organization").alias("@type"), *more)
+    article = F.struct(
+        F.lit("Article").alias("@type"), F.concat("url", F.lit("#article")).alias("@id"), F.col("url"), headline.alias("headline"),
+        org(F.lit(f"{name} Editorial Team").alias("name"), F.lit(f"{site}/about.html").alias("url")).alias("author"), org(F.lit(name).alias("name"), F.lit(site).alias("url")).alias("publisher"),
+        F.lit("en").alias("inLanguage"), modified.alias("dateModified"),
+    )
+    crumbs = F.struct(
+        F.lit("BreadcrumbList").alias("@type"), F.concat("url", F.lit("#breadcrumb")).alias("@id"),
+        F.array(item(1, F.lit("Home"), F.lit(f"{site}/")), item(2, F.lit("Blog"), F.lit(f"{site}/blog/index.html")), item(3, headline, F.col("url"))).alias("itemListElement"),
+    )
+    graph = F.concat(F.lit('{"@context":"https://schema.org","@graph":['), F.to_json(article), F.lit(","), F.to_json(crumbs), F.lit("]}"))
+    fresh = F.concat(F.lit('<script type="application/ld+json">'), graph, F.lit("</script>"))
+    at = F.instr("html", F.col("first"))
+    before, after = F.substring("html", F.lit(1), at - 1), F.substring("html", at + F.length("first"), F.length("html"))
+    rest = F.aggregate(F.slice("arts", 2, F.greatest(F.size("arts") - 1, F.lit(1))), after, lambda a, b: F.replace(a, b, F.lit("")))
+    new = F.when(F.size("arts") > 0, F.concat(before, fresh, rest)).otherwise(F.col("html"))
+    return rows.select("page_id", new.alias("html"), (F.size("arts") > 0).alias("changed"))
+
+
+def replace_section(pages: DataFrame, rendered: DataFrame, section: str) -> DataFrame:
+    """Pages (page_id, tool, html) whose first part that the pattern finds becomes the tool's rendered text; pages without such a part or a
+    tool without a text are skipped and stay."""
+    rows = pages.join(rendered.select("tool", F.col("html").alias("made")), "tool", "left").withColumn("old", F.regexp_extract("html", section, 0))
+    good = (F.col("old") != "") & F.col("made").isNotNull()
+    at = F.instr("html", F.col("old"))
+    new = F.concat(F.substring("html", F.lit(1), at - 1), F.col("made"), F.substring("html", at + F.length("old"), F.length("html")))
+    return rows.select("page_id", F.when(good, new).otherwise(F.col("html")).alias("html"), F.when(good, "updated").otherwise("skipped").alias("state"))
+
+
+def update_schema(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pages whose first FAQPage block has the new answers (question, answer) in it; `changed` counts them. Pages without such a block stay."""
+    kind = "struct<`@context`:string,`@type`:string,mainEntity:array<struct<`@type`:string,name:string,acceptedAnswer:struct<`@type`:string,text:string>>>>"
+    block = F.filter(F.regexp_extract_all("html", F.lit(JSON_LD), F.lit(1)), lambda b: b.contains('"FAQPage"'))
+    rows = pages.select("page_id", "html", F.get(block, F.lit(0)).alias("json")).withColumn("faq", F.from_json("json", kind))
+    asked = rows.select("page_id", F.posexplode("faq.mainEntity").alias("at", "e")).join(answers.select(F.col("question").alias("q"), F.col("answer").alias("new_answer")), F.col("e.name") == F.col("q"), "left")
+    text = F.struct(F.lit("Answer").alias("@type"), F.coalesce("new_answer", "e.acceptedAnswer.text").alias("text"))
+    entity = F.struct("at", F.struct(F.lit("Question").alias("@type"), F.col("e.name").alias("name"), text.alias("acceptedAnswer")).alias("e"))
+    made = asked.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(entity)), lambda x: x["e"]).alias("entities"), F.count("new_answer").alias("changed"))
+    fresh = F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("FAQPage").alias("@type"), F.col("entities").alias("mainEntity")))
+    out = rows.join(made, "page_id", "left")
+    new = F.when(F.coalesce("changed", F.lit(0)) > 0, F.replace(F.col("html"), F.col("json"), fresh)).otherwise(F.col("html"))
+    return out.select("page_id", new.alias("html"), F.coalesce("changed", F.lit(0)).alias("changed"))
+
+
 def render_faq(tools: DataFrame, base: DataFrame, special: DataFrame) -> DataFrame:
     """One FAQ block a tool: base questions, its own, joined in order; `base` is a handful of template rows."""
     rows = tools.join(F.broadcast(base)).select("tool", "ord", F.replace(F.col("q"), F.lit("{tool}"), F.col("tool")).alias("q"), F.replace(F.col("a"), F.lit("{tool}"), F.col("tool")).alias("a"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
@@ -66,6 +68,29 @@ def s2_scan_html_tree(spark, sf_dir):
     return _pages(spark, sf_dir).where("html is not null and startswith(html, '<!DOCTYPE html')").select("url")
 
 
+@query("SELECT url AS loc, CASE WHEN page_id % 3 <> 0 THEN '2020-01-0' || page_id % 3 END AS lastmod FROM pages")
+def s3_scan_sitemap(spark, sf_dir):
+    """A sitemap of all pages, written as XML files and read again."""
+    from folioflow.sources.files import scan_sitemap
+    from folioflow.sources.scratch import folder
+
+    path = f"{folder(spark)}/sitemap-{uuid.uuid4().hex}"
+    lastmod = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("2020-01-0"), (F.col("page_id") % 3).cast("string")))
+    _pages(spark, sf_dir).select(F.col("url").alias("loc"), lastmod.alias("lastmod")).write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return scan_sitemap(spark, path)
+
+
+@query("SELECT 'part_' || page_id % 7 AS part_name, count(*)::BIGINT AS n, sum(length(url))::BIGINT AS chars FROM pages GROUP BY 1")
+def s7_write_parts(spark, sf_dir):
+    """Pages written as one folder a part, and the parts read again."""
+    from folioflow.sources.files import write_parts
+    from folioflow.sources.scratch import folder
+
+    path = f"{folder(spark)}/parts-{uuid.uuid4().hex}"
+    write_parts(_pages(spark, sf_dir).select("page_id", "url", F.concat(F.lit("part_"), (F.col("page_id") % 7).cast("string")).alias("part_name")), path)
+    return spark.read.parquet(path).groupBy("part_name").agg(F.count("*").alias("n"), F.sum(F.length("url")).alias("chars"))
+
+
 @query(f"WITH {LINKS} SELECT * FROM links WHERE target IS NOT NULL")
 def g6_extract_links(spark, sf_dir):
     return W.extract_links(_linked_pages(spark, sf_dir))
@@ -160,6 +185,87 @@ def w5_fill_head_tags(spark, sf_dir):
     return W.fill_head_tags(W.page_head(p).join(flags, "page_id"))
 
 
+_ARTICLES = """<script type="application/ld+json">{"@type":"Article","headline":"H' || page_id || '","author":{"url":"' || CASE WHEN page_id % 5 = 0 THEN 'https://x.example' ELSE 'https://example.com/about.html' END || '"}}</script>"""
+_SCHEMA = f"""arts AS (SELECT page_id, url, '<html><head>' || CASE WHEN page_id % 4 <> 1 THEN '{_ARTICLES}' ELSE '' END || CASE WHEN page_id % 4 = 2 THEN '{_ARTICLES}' ELSE '' END
+  || CASE WHEN page_id % 3 <> 0 THEN '<script type="application/ld+json">{{"@graph":[{{"@type":"BreadcrumbList"}}]}}</script>' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN '<script type="application/ld+json">{{broken</script>' ELSE '' END
+  || CASE WHEN page_id % 2 = 0 THEN '<meta property="article:modified_time" content="2024-05-06T01:02:03Z">' ELSE '' END || '</head></html>' AS html FROM pages)"""
+
+
+def _article_pages(spark, sf_dir):
+    """Pages with none, one or two article blocks, with and without breadcrumbs, some with a broken block."""
+    k = F.col("page_id")
+    author = F.when(k % 5 == 0, "https://x.example").otherwise("https://example.com/about.html")
+    art = F.concat(F.lit('<script type="application/ld+json">{"@type":"Article","headline":"H'), k.cast("string"), F.lit('","author":{"url":"'), author, F.lit('"}}</script>'))
+    crumb = F.lit('<script type="application/ld+json">{"@graph":[{"@type":"BreadcrumbList"}]}</script>')
+    parts = [
+        F.when(k % 4 != 1, art).otherwise(""), F.when(k % 4 == 2, art).otherwise(""), F.when(k % 3 != 0, crumb).otherwise(""), F.when(k % 7 == 0, '<script type="application/ld+json">{broken</script>').otherwise(""),
+        F.when(k % 2 == 0, '<meta property="article:modified_time" content="2024-05-06T01:02:03Z">').otherwise(""),
+    ]
+    return _pages(spark, sf_dir).select("page_id", "url", F.concat(F.lit("<html><head>"), *parts, F.lit("</head></html>")).alias("html"))
+
+
+@query(
+    """WITH f AS (SELECT page_id, unnest(list_filter([CASE WHEN page_id % 7 = 0 THEN 'json-ld' END, CASE WHEN page_id % 11 <> 0 AND page_id % 4 IN (1, 2) THEN 'article' END, CASE WHEN page_id % 11 <> 0 AND page_id % 3 = 0 THEN 'breadcrumb' END,
+      CASE WHEN page_id % 11 <> 0 AND (page_id % 4 = 1 OR page_id % 5 = 0) THEN 'author' END], lambda x: x IS NOT NULL)) AS failure FROM pages) SELECT page_id, failure FROM f"""
+)
+def w2_audit_schema(spark, sf_dir):
+    return W.audit_schema(_article_pages(spark, sf_dir), F.col("page_id") % 11 != 0, "https://example.com/about.html")
+
+
+@query("SELECT url AS loc, 'duplicate' AS failure FROM (SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 6 = 0) GROUP BY 1 HAVING count(*) > 1")
+def w2_audit_sitemap(spark, sf_dir):
+    p = _pages(spark, sf_dir).select("page_id", F.col("url").alias("loc"))
+    return W.audit_sitemap(p.union(p.where("page_id % 6 = 0")))
+
+
+def _w10_sql() -> str:
+    crumb = """'{"@type":"BreadcrumbList","@id":' || to_json(url || '#breadcrumb') || ',"itemListElement":[{"@type":"ListItem","position":1,"name":"Home","item":"https://example.com/"},{"@type":"ListItem","position":2,"name":"Blog","item":"https://example.com/blog/index.html"},{"@type":"ListItem","position":3,"name":"H' || page_id || '","item":' || to_json(url) || '}]}'"""
+    article = """'{"@type":"Article","@id":' || to_json(url || '#article') || ',"url":' || to_json(url) || ',"headline":"H' || page_id || '","author":{"@type":"Organization","name":"Example Editorial Team","url":"https://example.com/about.html"},"publisher":{"@type":"Organization","name":"Example","url":"https://example.com"},"inLanguage":"en"' || CASE WHEN page_id % 2 = 0 THEN ',"dateModified":"2024-05-06"' ELSE '' END || '}'"""
+    fresh = f"""'<script type="application/ld+json">{{"@context":"https://schema.org","@graph":[' || {article} || ',' || {crumb} || ']}}</script>'"""
+    return f"""WITH {_SCHEMA} SELECT page_id, CASE WHEN page_id % 4 <> 1 THEN replace(html, CASE WHEN page_id % 4 = 2 THEN '{_ARTICLES}' || '{_ARTICLES}' ELSE '{_ARTICLES}' END, {fresh}) ELSE html END AS html, page_id % 4 <> 1 AS changed FROM arts"""
+
+
+@query(_w10_sql())
+def w10_rewrite_articles(spark, sf_dir):
+    return W.rewrite_articles(_article_pages(spark, sf_dir), "Example", "https://example.com")
+
+
+_FILLED = """t AS (SELECT page_id, url, html, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, regexp_extract(html, '(?is)<title>.*?</title>') AS tag FROM pages),
+  m AS (SELECT *, chr(10) || '<link rel="canonical" href="' || url || '">' || chr(10) || '<link rel="alternate" hreflang="en" href="' || url || '">' || chr(10) || '<link rel="alternate" hreflang="x-default" href="' || url || '">'
+    || chr(10) || '<meta property="og:type" content="' || CASE WHEN page_id % 3 = 0 THEN 'article' ELSE 'website' END || '">' || chr(10) || '<meta property="og:site_name" content="Example">' || chr(10) || '<meta property="og:url" content="' || url || '">'
+    || chr(10) || '<meta property="og:title" content="' || replace(title, '"', '&quot;') || '">' || chr(10) || '<meta property="og:description" content="' || replace(title, '"', '&quot;') || '">' || chr(10) || '<meta property="og:image" content="https://example.com/i.png">'
+    || chr(10) || '<meta name="twitter:card" content="summary_large_image">' || chr(10) || '<meta name="twitter:title" content="' || replace(title, '"', '&quot;') || '">' || chr(10) || '<meta name="twitter:description" content="' || replace(title, '"', '&quot;') || '">' || chr(10) || '<meta name="twitter:image" content="https://example.com/i.png">' AS added FROM t),
+  filled AS (SELECT page_id, CASE WHEN title <> '' THEN substr(html, 1, strpos(html, tag) + length(tag) - 1) || added || substr(html, strpos(html, tag) + length(tag)) ELSE html END AS html, title <> '' AS canonical_added, title <> '' AS hreflang_added, title <> '' AS og_added, title = '' AS no_title FROM m)"""
+
+
+@query(f"WITH {_FILLED} SELECT * FROM filled")
+def w5_fill_head(spark, sf_dir):
+    return W.fill_head(_pages(spark, sf_dir), "Example", "https://example.com/i.png", F.col("page_id") % 3 == 0)
+
+
+@query(f"WITH {_FILLED} SELECT count(*)::BIGINT AS pages, count(*) FILTER (WHERE canonical_added)::BIGINT AS canonical_added, count(*) FILTER (WHERE hreflang_added)::BIGINT AS hreflang_added, count(*) FILTER (WHERE og_added)::BIGINT AS og_added, count(*) FILTER (WHERE no_title)::BIGINT AS no_title FROM filled")
+def w5_head_report(spark, sf_dir):
+    return W.head_report(W.fill_head(_pages(spark, sf_dir), "Example", "https://example.com/i.png", F.col("page_id") % 3 == 0))
+
+
+@query(
+    """WITH l AS (SELECT site, string_agg('<url>' || site || '/tool' || page_id % 9 || '.html</url>', chr(10) ORDER BY page_id) AS text, count(*) AS n, count(*) FILTER (WHERE page_id % 9 IN (2, 5))::BIGINT AS dropped,
+        string_agg('<url>' || site || '/tool' || page_id % 9 || '.html</url>', chr(10) ORDER BY page_id) FILTER (WHERE page_id % 9 NOT IN (2, 5)) AS kept FROM (SELECT *, page_id // 50 AS site FROM pages) GROUP BY site)
+      SELECT site, coalesce(kept, '') AS text, dropped FROM l"""
+)
+def w8_drop_lines(spark, sf_dir):
+    p = _pages(spark, sf_dir).select("page_id", F.floor(F.col("page_id") / 50).cast("long").alias("site"))
+    line = F.concat(F.lit("<url>"), F.col("site").cast("string"), F.lit("/tool"), (F.col("page_id") % 9).cast("string"), F.lit(".html</url>"))
+    files = p.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return W.drop_retired_lines(files, "text", ["tool2", "tool5"])
+
+
+@query("SELECT DISTINCT '/tools/' || lower(p_brand) || '.html' AS source, '/tools.html' AS target, 301 AS status FROM part WHERE p_partkey % 3 = 0")
+def w8_redirects(spark, sf_dir):
+    retired = load(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.lower("p_brand").alias("id")).distinct()
+    return W.retired_redirects(retired, "/tools.html")
+
+
 _ASSETS = """assets AS (SELECT page_id, '<link href="/css/a' || page_id % 3 || '.css"><script src="js/b.js?v=1"></script><script src="https://cdn.example.com/c.js"></script>' AS html FROM pages)"""
 
 
@@ -229,6 +335,33 @@ def w13_render_faq(spark, sf_dir):
     return W.render_faq(tools, base, special)
 
 
+@query(
+    """WITH t AS (SELECT DISTINCT p_brand AS tool FROM part), m AS (SELECT tool, '<dt>What is ' || tool || '?</dt><dd>A tool.</dd>' AS made FROM t WHERE tool LIKE '%1' OR tool LIKE '%2'),
+      b AS (SELECT p_partkey AS page_id, p_brand AS tool, 'a' || CASE WHEN p_partkey % 4 <> 0 THEN '<section class="faq">old ' || p_partkey || '</section>' ELSE '' END || 'b' AS html FROM part)
+      SELECT page_id, CASE WHEN made IS NOT NULL AND page_id % 4 <> 0 THEN 'a' || made || 'b' ELSE html END AS html, CASE WHEN made IS NOT NULL AND page_id % 4 <> 0 THEN 'updated' ELSE 'skipped' END AS state FROM b LEFT JOIN m USING (tool)"""
+)
+def w13_replace_faq(spark, sf_dir):
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("tool"))
+    old = F.when(F.col("page_id") % 4 != 0, F.concat(F.lit('<section class="faq">old '), F.col("page_id").cast("string"), F.lit("</section>"))).otherwise("")
+    base = spark.range(1).select(F.lit(1).alias("ord"), F.lit("What is {tool}?").alias("q"), F.lit("A tool.").alias("a"))
+    tools = part.select("tool").distinct().where("tool like '%1' or tool like '%2'")
+    none = base.where("false").select(F.lit("").alias("tool"), "ord", "q", "a")
+    return W.replace_section(part.withColumn("html", F.concat(F.lit("a"), old, F.lit("b"))), W.render_faq(tools, base, none), '(?s)<section class="faq">.*?</section>')
+
+
+@query(
+    f"""WITH {_FAQ_SQL}, n AS (SELECT DISTINCT question, 'new: ' || length(question) AS answer FROM qa WHERE page_id % 3 = 0 AND question <> '' AND answer <> ''), u AS (SELECT page_id, "at", qa.question, coalesce(n.answer, qa.answer) AS answer, n.answer IS NOT NULL AS hit FROM qa LEFT JOIN n USING (question) WHERE qa.question <> '' AND qa.answer <> '')
+      SELECT page_id, '{{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || string_agg('{{"@type":"Question","name":' || to_json(question) || ',"acceptedAnswer":{{"@type":"Answer","text":' || to_json(answer) || '}}}}', ',' ORDER BY "at") || ']}}' AS schema, count(*) FILTER (WHERE hit)::BIGINT AS changed FROM u GROUP BY 1"""
+)
+def w15_update_schema(spark, sf_dir):
+    pages = faq_pages(spark, sf_dir)
+    faqs = W.extract_faqs(pages)
+    new = faqs.where("page_id % 3 = 0").select("question").distinct().withColumn("answer", F.concat(F.lit("new: "), F.length("question").cast("string")))
+    done = W.update_schema(W.sync_faq_schema(pages).select("page_id", "html"), new)
+    block = F.filter(F.regexp_extract_all("html", F.lit(W.JSON_LD), F.lit(1)), lambda b: b.contains('"FAQPage"'))
+    return done.join(faqs.select("page_id").distinct(), "page_id", "left_semi").select("page_id", F.get(block, F.lit(0)).alias("schema"), "changed")
+
+
 @query(
     f"""WITH {_FAQ_SQL}, n AS (SELECT DISTINCT question, 'new: ' || length(question) AS answer FROM qa WHERE page_id % 3 = 0)
       SELECT page_id, "at"::BIGINT AS "at", qa.question, coalesce(n.answer, qa.answer) AS answer, NULL::VARCHAR AS error FROM qa LEFT JOIN n USING (question) WHERE qa.question <> '' AND qa.answer <> ''
