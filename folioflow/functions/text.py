@@ -173,6 +173,16 @@ def is_rtl(col: Column) -> Column:
     return F.regexp_count(col, F.lit(RTL)) > F.regexp_count(col, F.lit("[A-Za-z]"))
 
 
+def item_is_rtl(col: Column) -> Column:
+    """Whether an item has any right-to-left character."""
+    return F.coalesce(col.rlike(RTL), F.lit(False))
+
+
+def line_is_rtl(items: Column) -> Column:
+    """Whether more than half of a line's items (an array) are right-to-left."""
+    return F.size(F.filter(items, item_is_rtl)) * 2 > F.size(items)
+
+
 def dehyphenate(col: Column) -> Column:
     """Words cut at a line end are joined; other line ends inside a paragraph become spaces."""
     c = F.regexp_replace(col, r"(\p{L})-\n(\p{Ll})", "$1$2")

@@ -392,23 +392,29 @@ def update_answers(faqs: DataFrame, answers: DataFrame) -> DataFrame:
 
 def resolve_redirects(urls: DataFrame, rules: DataFrame, most: int = 8) -> DataFrame:
     """Follow (host, path) through ordered rules (ord, host, pattern, kind exact or prefix, destination, status) until none
-    matches or `most` steps; a rule with status 410 ends at once. The rule table is a configuration of a few hundred rows."""
-    state = urls.select("key", "host", "path", F.lit(0).alias("steps"), F.lit(200).alias("status"), F.lit(False).alias("done"))
-    small = F.broadcast(rules.select(F.col("ord"), F.col("host").alias("r_host"), "pattern", "kind", "destination", F.col("status").alias("r_status")))
+    matches or `most` steps; a rule with status 410 ends at once. The steps are followed once for each host and path, however many keys
+    have them. A path meets the exact rules and the prefix rules by equality, of itself or of its beginnings that are as long as
+    some prefix, so that no address is compared with all rules."""
+    small = rules.select(F.col("ord"), F.col("host").alias("r_host"), "pattern", "kind", "destination", F.col("status").alias("r_status"))
+    lengths = sorted(r["n"] for r in rules.where("kind = 'prefix'").select(F.length("pattern").alias("n")).distinct().collect())  # a number a length
+    state = urls.select("host", "path").distinct().select(F.col("host").alias("host0"), F.col("path").alias("path0"), "host", "path", F.lit(0).alias("steps"), F.lit(200).alias("status"), F.lit(False).alias("done"))
+    starts = F.filter(F.array(F.lit(0), *[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     for _ in range(most):
-        matches = (F.col("r_host").isNull() | (F.col("r_host") == F.col("host"))) & (
-            ((F.col("kind") == "exact") & (F.col("path") == F.col("pattern"))) | ((F.col("kind") == "prefix") & F.expr("startswith(path, pattern)"))
-        )
-        hit = state.join(small, matches & ~F.col("done"), "left")
-        best = F.min(F.struct("ord", "destination", "r_status"))
-        state = hit.groupBy("key", "host", "path", "steps", "status", "done").agg(best.alias("b")).select(
-            "key", "host",
+        tried = F.transform(starts, lambda n: F.struct(F.when(n == 0, "exact").otherwise("prefix").alias("kind"), F.when(n == 0, F.col("path")).otherwise(F.substring(F.col("path"), F.lit(1), n)).alias("pattern")))
+        asked = state.where(~F.col("done")).select("host", "path").distinct().select("host", "path", F.explode(tried).alias("t")).select("host", "path", "t.kind", "t.pattern")
+        met = asked.join(small, ["kind", "pattern"]).where(F.col("r_host").isNull() | (F.col("r_host") == F.col("host")))
+        best = met.groupBy(F.col("host").alias("m_host"), F.col("path").alias("m_path")).agg(F.min(F.struct("ord", "destination", "r_status")).alias("b"))
+        hit = state.join(best, F.col("host").eqNullSafe(F.col("m_host")) & (F.col("path") == F.col("m_path")) & ~F.col("done"), "left")
+        state = hit.select(
+            "host0", "path0", "host",
             F.when(F.col("b.r_status") == 410, F.col("path")).otherwise(F.coalesce("b.destination", "path")).alias("path"),
             (F.col("steps") + F.col("b.ord").isNotNull().cast("int")).alias("steps"),
             F.coalesce("b.r_status", "status").alias("status"),
             (F.col("done") | F.col("b.ord").isNull() | F.coalesce(F.col("b.r_status") == 410, F.lit(False))).alias("done"),
         )
-    return state.select("key", "path", "steps", F.when(~F.col("done"), 508).otherwise(F.col("status")).alias("status"))
+    ends = state.select("host0", "path0", F.col("path").alias("end"), "steps", F.when(~F.col("done"), 508).otherwise(F.col("status")).alias("status"))
+    out = urls.join(ends, F.col("host").eqNullSafe(F.col("host0")) & (F.col("path") == F.col("path0")))
+    return out.select("key", F.col("end").alias("path"), "steps", "status")
 
 
 def match_headers(urls: DataFrame, rules: DataFrame) -> DataFrame:

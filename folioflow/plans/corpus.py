@@ -132,6 +132,17 @@ def p13_is_rtl(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.is_rtl(F.col("text")).alias("rtl"))
 
 
+# Every third word of a document is given a Hebrew letter in front.
+_RTL_WORDS = "list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i + doc_id) % 3 = 0 OR doc_id % 4 = 0 THEN chr(1488) || w ELSE w END)"
+
+
+@query(f"WITH w AS (SELECT doc_id, {_RTL_WORDS} AS ws FROM documents) SELECT doc_id, len(list_filter(ws, lambda x: regexp_matches(x, '{T.RTL}')))::INTEGER AS rtl_items, len(list_filter(ws, lambda x: regexp_matches(x, '{T.RTL}'))) * 2 > len(ws) AS rtl_line FROM w")
+def p13_rtl_items(spark, sf_dir):
+    words = F.transform(F.split("text", " "), lambda w, i: F.when(((i + 1 + F.col("doc_id")) % 3 == 0) | (F.col("doc_id") % 4 == 0), F.concat(F.lit(chr(1488)), w)).otherwise(w))
+    d = _docs(spark, sf_dir).select("doc_id", words.alias("ws"))
+    return d.select("doc_id", F.size(F.filter("ws", T.item_is_rtl)).alias("rtl_items"), T.line_is_rtl(F.col("ws")).alias("rtl_line"))
+
+
 @query("SELECT doc_id, text AS folded FROM documents")
 def p14_fold_presentation_forms(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.fold_presentation_forms(F.col("text")).alias("folded"))

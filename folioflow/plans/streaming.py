@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.plans.registry import query
+from folioflow.plans.registry import ORACLES, query
 from folioflow.sources.tables import load
 from folioflow.streaming import stateful as S
 
@@ -133,6 +133,60 @@ def t1_rate_limit_stream(spark, sf_dir):
     return _finished(spark, S.stream_rule(e, "rate", S.rate_limit)).select("key", "event_id", "verdict")
 
 
+def _complete(spark, df: DataFrame) -> DataFrame:
+    """The result table of a streaming aggregation when all that is there has been read; every micro-batch replaces it."""
+    from folioflow.sources.scratch import folder
+
+    base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    keep = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out")
+    df.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def _event_keys(spark, sf_dir, spacing: float) -> DataFrame:
+    at = F.timestamp_seconds(F.col("event_id") + 3600)
+    e = _stream(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("event_id") * F.lit(spacing)).alias("at"), at.alias("ts"))
+    return e.withColumn("key", F.col("user_id").cast("string")).withWatermark("ts", "10 minutes")
+
+
+@query(ORACLES["t2_throttle"])
+def t2_throttle_stream(spark, sf_dir):
+    e = _event_keys(spark, sf_dir, 0.2).select("key", "event_id", "at", "ts")
+    return _finished(spark, S.stream_rule(e, "throttle", S.throttle)).select("key", "event_id", "verdict")
+
+
+@query(ORACLES["t3_otp_verify"])
+def t3_otp_verify_stream(spark, sf_dir):
+    action = F.when(F.col("event_type") == "signup", "send").when(F.col("event_type") == "click", "wrong").when(F.col("event_type") == "purchase", "right").otherwise("none")
+    e = _event_keys(spark, sf_dir, 3.0).select("key", "event_id", "at", "ts", action.alias("action"))
+    return _finished(spark, S.stream_rule(e, "otp", S.otp_signup, with_action=True)).select("key", "event_id", "verdict")
+
+
+@query(ORACLES["t4_reset_session"])
+def t4_reset_session_stream(spark, sf_dir):
+    action = F.when(F.col("event_type") == "signup", "issue").otherwise("reset")
+    e = _event_keys(spark, sf_dir, 3.0).select("key", "event_id", "at", "ts", action.alias("action"))
+    return _finished(spark, S.stream_rule(e, "session", S.session_step, with_action=True)).select("key", "event_id", "verdict")
+
+
+@query(ORACLES["t6_usage_counts"])
+def t6_usage_counts_stream(spark, sf_dir):
+    return _complete(spark, S.usage_counts(_stream(spark, sf_dir), "1 hour")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT user_id AS session, event_id % 4 AS page FROM events WHERE regexp_matches(event_type, 'click|purchase')")
+def t7_first_use_stream(spark, sf_dir):
+    """Which session used which page; the event that came first depends on arrival and is left out. The stream's time is one of arrival, within
+    its watermark."""
+    e = _stream(spark, sf_dir).select(F.timestamp_seconds(F.lit(3600)).alias("ts"), "event_type", F.col("user_id").alias("session"), (F.col("event_id") % 4).alias("page"))
+    return _finished(spark, S.first_use(e, "click|purchase").select("session", "page"))
+
+
+@query(ORACLES["t9_progress"])
+def t9_progress_stream(spark, sf_dir):
+    return _complete(spark, S.progress(_stream(spark, sf_dir).select((F.col("user_id") % 50).alias("batch"), F.col("event_type").alias("status"))))
+
+
 @query(
     """WITH v AS (SELECT event_type AS tool, user_id AS voter, arg_max(event_id % 6 + 1, (ts, event_id)) AS score FROM events WHERE event_id % 6 + 1 <= 5 GROUP BY 1, 2)
       SELECT tool, avg(score) AS average, count(*)::BIGINT AS votes FROM v GROUP BY 1"""
