@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import checkpointed
 
-FIT_ROWS = 4096
-PARTS = 32
+FIT_ROWS = 128
+PARTS, MOST_PARTS = 32, 128
+PART_ROWS = 4096
 GRAPH_K = 12
 MASS = 0.98
 LEAST_PROBES = 4
 BLOCK_ROWS = 4096
+QUERY_ROWS = 256
 SALTS = 16
 
 
@@ -120,7 +122,7 @@ def route(router: dict, x: np.ndarray) -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, vector) of the rows that take part: not null, of the most frequent length, with finite components that are
     not all zero, and with an id."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector")).where(
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(
         "vec_id is not null and vector is not null and size(vector) > 0"
     )
     finite = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
@@ -134,12 +136,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, fit_rows: int = FIT_ROWS, parts: int = PARTS, mass: float = MASS) -> DataFrame:
+def best_of(scores: np.ndarray, base: np.ndarray, q: np.ndarray, ids: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best ids of one query among entries, ties to smaller ids. scores are those of a matrix product, whose
+    last bits depend on its blocks: all entries about as near as the k-th one are measured again, each by itself."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        near = np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(least)))
+    else:
+        near = np.arange(len(scores))
+    exact = (base[near] * q).sum(axis=1)
+    sizes = np.diff(bounds)[near]
+    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own, exact = ids[np.repeat(bounds[:-1][near], sizes) + inner], np.repeat(exact, sizes)
+    order = np.lexsort((own, -exact))[:k]
+    return exact[order], own[order]
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, fit_rows: int = FIT_ROWS, parts: int | None = None, mass: float = MASS) -> DataFrame:
     """query_id, rank, vec_id, score: for every usable row that meets `queries`, the k rows found with the largest inner
     product, in double precision on the original vectors, without the row itself; ties go to the smaller vec_id.
 
     Equal vectors are one entry of the index, with their k + 1 smallest ids, which is all that a result can hold; equal
-    queries are searched once. The router is fitted on about fit_rows entries, drawn by hash; every entry is then
+    queries are searched once. There is a part for about PART_ROWS entries, PARTS at least and MOST_PARTS at most. The router is fitted
+    on about fit_rows entries a part, drawn by hash; every entry is then
     indexed in its most probable part. A query goes to its most probable parts until they have `mass` of its
     probability (LEAST_PROBES at least), where it meets every entry, in blocks. Rows that take no part (usable) are
     neither queries nor candidates; with k or fewer other rows all that the query meets are returned; an empty table
@@ -154,10 +173,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, fit_rows: int = FI
     )
     asked = keyed.where(queries).select(F.col("vec_id").alias("query_id"), "key")
     total = entries.count()
+    parts = parts or min(MOST_PARTS, max(PARTS, 1 << (total // PART_ROWS).bit_length()))
     draw = F.shiftrightunsigned(F.xxhash64("key"), 1) / F.lit(float(1 << 63))
-    fitted = entries.where(draw < min(1.0, fit_rows / max(total, 1))).select("key", "vector").collect()
+    fitted = entries.where(draw < min(1.0, fit_rows * parts / max(total, 1))).select("key", "vector").collect()  # fit_rows x MOST_PARTS at most
     x = np.array([r["vector"] for r in sorted(fitted, key=lambda r: r["key"])], np.float32)
-    shipped = vectors.sparkSession.sparkContext.broadcast(fit_router(x, parts) if len(x) else {"parts": 1})  # of fixed size
+    shipped = vectors.sparkSession.sparkContext.broadcast(fit_router(x, parts) if len(x) else {"parts": 1})  # of bounded size
 
     def place(batches):
         for batch in batches:
@@ -173,56 +193,54 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, fit_rows: int = FI
             lists = [r[c].tolist() for r, c in zip(ranked, chosen)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
 
-    placed = entries.select("key", "ids", "vector").mapInArrow(place, "key string, ids array<long>, vector array<float>, part int")
-    n_blocks = max(1, -(-total // (BLOCK_ROWS * parts)))
-    block = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(n_blocks)).cast("int")
-    candidates = placed.select("part", block.alias("block"), F.lit(0).alias("side"), "key", "ids", "vector")
+    placed = entries.select("key", "ids", "vector").mapInArrow(place, "key string, ids array<long>, vector array<double>, part int")
+    placed = checkpointed(placed)
+    blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))  # a row a part
+    block = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
+    candidates = placed.join(F.broadcast(blocks), "part").select("part", block.alias("block"), F.lit(0).alias("side"), "key", "ids", "vector")
     wanted = asked.select("key").distinct()
     looking = (
         entries.join(wanted, "key", "left_semi").select("key", "vector")
-        .mapInArrow(probe, "key string, vector array<float>, parts array<int>")
-        .withColumn("part", F.explode("parts"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        .mapInArrow(probe, "key string, vector array<double>, parts array<int>")
+        .withColumn("part", F.explode("parts")).join(F.broadcast(blocks), "part")
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("part", "block", F.lit(1).alias("side"), "key", F.lit(None).cast("array<long>").alias("ids"), "vector")
     )
     dealt = candidates.union(looking).repartition("part", "block").sortWithinPartitions("part", "block", "side")
 
     def search(batches):
-        at, ids, held = None, [], []
+        at, ids, held, base, bounds = None, [], [], None, None
         for batch in batches:
             place_ = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            matrix = _matrix(batch.column("vector")).astype(np.float64)
+            matrix = _matrix(batch.column("vector"))
             start = 0
             while start < len(place_):
                 end = start
                 while end < len(place_) and place_[end] == place_[start]:
                     end += 1
                 if place_[start][:2] != at:
-                    at, ids, held = place_[start][:2], [], []
+                    at, ids, held, base = place_[start][:2], [], [], None
                 some = batch.slice(start, end - start)
                 if place_[start][2] == 0:
                     ids += some.column("ids").to_pylist()
                     held.append(matrix[start:end])
                 elif ids:
-                    base = np.concatenate(held)
-                    held = [base]
-                    for a in range(start, end, 256):
-                        q = matrix[a : min(a + 256, end)]
-                        rough = q @ base.T
-                        keep = min(2 * k + 4, len(base))
-                        near = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-                        exact = (base[near] * q[:, None, :]).sum(2)
-                        out = []
-                        for r in range(len(q)):
-                            pairs = sorted((-float(s), i) for s, n in zip(exact[r], near[r].tolist()) for i in ids[n])[: k + 1]
-                            out.append([{"d": d, "id": i} for d, i in pairs])
+                    if base is None:
+                        base, bounds, flat = np.concatenate(held), np.cumsum([0, *map(len, ids)]), np.array([i for x in ids for i in x], np.int64)
+                    for a in range(start, end, QUERY_ROWS):
+                        q = matrix[a : min(a + QUERY_ROWS, end)]
+                        found = [best_of(s, base, v, flat, bounds, k + 1) for s, v in zip(q @ base.T, q)]
+                        sizes = [len(i) for _, i in found]
+                        keys = batch.column("key").slice(a, len(q)).take(pa.array(np.repeat(np.arange(len(q)), sizes)))
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column("key").slice(a, len(q)), pa.array(out, pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))], names=["key", "found"]
+                            [keys, pa.array(np.concatenate([s for s, _ in found])), pa.array(np.concatenate([i for _, i in found]))], names=["key", "score", "vec_id"]
                         )
                 start = end
 
-    found = dealt.mapInArrow(search, "key string, found array<struct<d:double,id:long>>")
-    best = found.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
+    found = dealt.mapInArrow(search, "key string, score double, vec_id long").distinct()
+    nearest_first = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("at", F.row_number().over(nearest_first)).where(F.col("at") <= k + 1)
+    best = checkpointed(best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), F.col("vec_id").alias("id")))).alias("found")))
     salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return (
         asked.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
