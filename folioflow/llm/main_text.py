@@ -10,12 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import runs
 from folioflow.llm.mincut import min_cut
 
-_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
-_LOOSE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>()()()|[^<]+|<""", re.S)
+# A tag has up to 400 quoted values of up to 10,000 characters; one with more, or with a quote that does not end, ends at the next >.
+_PIECE = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]{0,10000}"|'[^']{0,10000}'){0,800}+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S
+)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 
 # Fixed values of HTML.
 BLOCKS = frozenset(
@@ -27,7 +31,8 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-# Log-odds for an enclosing element, by its tag, role, and the words of its class and id.
+# Log-odds for an enclosing element, by its tag, its role, and the names in its class and id. A name of several words counts with the
+# mean of its words.
 AWAY = {
     "nav": -7, "menu": -6, "header": -4, "footer": -7, "aside": -6, "form": -6, "button": -6, "dialog": -6, "fieldset": -6,
     "navigation": -7, "navbar": -7, "breadcrumb": -6, "breadcrumbs": -6, "pagination": -6, "pager": -6, "banner": -5, "contentinfo": -7,
@@ -38,38 +43,42 @@ AWAY = {
     "skip": -5, "hidden": -8, "alert": -5, "disclaimer": -5, "tags": -4,
 }
 TOWARD = {"article": 4, "main": 4, "content": 3, "post": 3, "entry": 3, "story": 3, "body": 2, "text": 2, "articlebody": 4}
-ADJACENT = 0.6
-SIBLING = 0.4
-BORDER = 0.4
+STRONG = -5
+ADJACENT = 1.6
+SIBLING = 1.2
+BORDER = 0.25
 SCALE = 1000
 
 
 class Element:
-    __slots__ = ("tag", "up", "depth", "odds", "away", "unseen")
+    __slots__ = ("tag", "up", "depth", "toward", "away", "unseen")
 
-    def __init__(self, tag: str, up, words: set, hidden: bool):
+    def __init__(self, tag: str, up, names: list, hidden: bool):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
         plain = tag in ("html", "body")
-        names = {tag} if plain else words | {tag}
-        away = min((AWAY[w] for w in names if w in AWAY), default=0)
-        inside = up.odds if up else 0
-        if tag == "header" and away == AWAY["header"] and inside > 0 and not (up and up.away):
+        told = [(0, 0) if plain else (AWAY.get(tag, 0), TOWARD.get(tag, 0))]
+        for parts in [] if plain else names:
+            told.append((sum(AWAY.get(w, 0) for w in parts) / len(parts), sum(TOWARD.get(w, 0) for w in parts) / len(parts)))
+        away, toward = min(a for a, _ in told), max(t for _, t in told)
+        inside = up.toward if up else 0
+        if tag == "header" and away == AWAY["header"] and inside > 0 and not up.away:
             away = 0  # an article's own heading
         self.away = min(away, up.away if up else 0)
-        toward = 0 if plain else max((TOWARD[w] for w in names if w in TOWARD), default=0)
-        self.odds = self.away if self.away else max(inside, toward)
+        # what is clearly no content is not content for standing in an article
+        self.toward = 0 if self.away <= STRONG else max(inside, toward)
         self.unseen = hidden or tag in UNSEEN or bool(up and up.unseen)
 
 
-def _attributes(text: str) -> tuple[set, bool]:
-    words, hidden = set(), False
+def _attributes(text: str) -> tuple[list, bool]:
+    """The names in class, id and role, each as its words, and whether the element is hidden."""
+    names, hidden = [], False
     for name, a, b, c in _ATTRIBUTE.findall(text):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            words.update(_PART.findall(value))
-            words.update(w.replace("-", "").replace("_", "") for w in value.split())
+            names += [parts for token in value.split() if (parts := _PART.findall(_CAMEL.sub(r"\1 \2", token).lower()))]
+        value = value.lower()
         hidden |= name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")) or (name == "aria-hidden" and value == "true")
-    return words, hidden
+    return names, hidden
 
 
 def blocks_of(page: str | None) -> list[tuple]:
@@ -89,16 +98,15 @@ def blocks_of(page: str | None) -> list[tuple]:
             held.clear()
         linked = 0
 
-    at = broken = 0
+    at = 0
     last = source.rfind(">")
     while at < len(source):
         if at > last:  # no tag ends any more
             held.append(source[at:])
             break
-        m = (_PIECE if broken < 8 else _LOOSE).match(source, at)
+        m = _PIECE.match(source, at)
         at = m.end()
         piece = m.group()
-        broken += m.group(5) is not None  # a quote that never ends is looked for a few times only
         tag = m.group(2) or m.group(5)
         if tag is None:
             if not piece.startswith(("<!", "<?")):
@@ -136,8 +144,8 @@ def blocks_of(page: str | None) -> list[tuple]:
             if tag == "body":
                 while here and here.tag != "html":
                     here = here.up
-            words, hidden = _attributes(rest) if rest.strip() else (set(), False)
-            here = Element(tag, here, words, hidden)
+            names, hidden = _attributes(rest) if rest.strip() else ([], False)
+            here = Element(tag, here, names, hidden)
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
@@ -153,19 +161,18 @@ def blocks_of(page: str | None) -> list[tuple]:
 
 
 def _odds(text: str, element, linked: int, marked: bool) -> float:
-    """The classifier: log-odds that a block is content."""
-    words = text.count(" ") + 1
-    z = 0.5 * math.log1p(words) - 0.3
+    """The classifier: log-odds that a block is content. Words count by their logarithm, from -1.5 to 2.5; on pages that mark their
+    article, blocks outside are less likely content, on others all start somewhat above even."""
+    z = max(-1.5, min(2.5, 0.9 * math.log((text.count(" ") + 1) / 8)))
     z -= 4.0 * linked / len(text)
     if text[-1] in ".!?:;\"'”»…":
         z += 0.4
     if element is None:
-        return z - (2.0 if marked else 0.0)
+        return z - (2.0 if marked else -1.0)
     if element.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"):
         z += 0.5
-    if marked and element.odds <= 0:
-        z -= 2.0
-    return z + element.odds
+    z += -2.0 if marked and element.toward <= 0 else 0.0 if marked else 1.0
+    return z + element.toward + element.away
 
 
 def _nearness(a, b) -> float:
@@ -184,24 +191,34 @@ def _nearness(a, b) -> float:
     return (x.depth + 1) / (max(a.depth, b.depth) + 1)
 
 
-def main_text(page: str | None) -> str:
-    """The page's content blocks, joined by empty lines."""
-    blocks = blocks_of(page)
-    marked = any(e is not None and e.odds > 0 for _, e, _ in blocks)
+def labels(blocks: list[tuple]) -> tuple[list[int], list[bool]]:
+    """Each block's log-odds, scaled, and whether it is content by the minimum cut.
+
+    Neighbours in the page are tied the stronger the more ancestors they share, and siblings with the same tag to the last one before;
+    ties are weaker between a block that its elements tell to be no content and one that they do not."""
+    marked = any(e is not None and e.toward > 0 for _, e, _ in blocks)
     gain = [round(SCALE * _odds(t, e, k, marked)) for t, e, k in blocks]
     edges, last = [], {}
     for i, (_, e, _) in enumerate(blocks):
         if i:
             before = blocks[i - 1][1]
             near = _nearness(before, e)
-            if bool(before and before.away) != bool(e and e.away):
-                near *= BORDER
-            edges.append((i - 1, i, round(SCALE * ADJACENT * near * near)))
-        up = id(e.up) if e is not None else 0
-        if up in last and last[up] < i - 1:
-            edges.append((last[up], i, round(SCALE * SIBLING)))
+            edges.append((i - 1, i, round(SCALE * ADJACENT * near * near * _open(before, e))))
+        up = (id(e.up), e.tag) if e is not None else None
+        if up in last:
+            edges.append((last[up], i, round(SCALE * SIBLING * _open(blocks[last[up]][1], e))))
         last[up] = i
-    return "\n\n".join(t for (t, _, _), keep in zip(blocks, min_cut(gain, edges)) if keep)
+    return gain, min_cut(gain, edges)
+
+
+def _open(a, b) -> float:
+    return BORDER if bool(a and a.away) != bool(b and b.away) else 1.0
+
+
+def main_text(page: str | None) -> str:
+    """The page's content blocks, joined by empty lines."""
+    blocks = blocks_of(page)
+    return "\n\n".join(t for (t, _, _), keep in zip(blocks, labels(blocks)[1]) if keep)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -216,11 +233,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p) for p in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+            for start, pages_ in runs(batch.column(2)):
+                texts = [main_text(p.as_py()) for p in pages_]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"],
+                )
 
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     return base.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
