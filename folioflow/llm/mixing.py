@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD, checkpointed
+from folioflow.llm.common import WORD, checkpointed, given_back, set_apart
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -13,7 +13,6 @@ MOST = 2
 BITS = 60
 STEP = 10
 SALTS = 32
-FILLS = 6
 CLOSE = 0.002
 
 
@@ -111,13 +110,14 @@ def fill_threshold(items: DataFrame, need: DataFrame) -> DataFrame:
     return state.select("source", F.col("low").alias("below"), "got")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, fills: int = FILLS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Choose how often each row of docs(doc_id, text, source) enters a mix: 0 to `most` times.
 
     Sizes are counted in words (a null text has none). Sources share share x all words by weight (source_targets).
     A source takes every row floor(target / size) times; the rest of its target is met by rows whose draw, a hash of
     id and text, lies below a threshold (fill_threshold). What whole rows leave open there, at most one row's size, is met
-    by up to `fills` - 1 further thresholds among the later rows that still fit it, while it exceeds CLOSE x target.
+    by further thresholds among the later rows that still fit it, as long as it exceeds CLOSE x target and a row fits; each
+    takes a row at least.
 
     Returns doc_id, source, draw, size, source_size, target, copies, taken; every input row gives one, repeated rows
     share a draw and are taken together, a null source is a source of its own, sources without words take nothing,
@@ -133,9 +133,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     state = checkpointed(
         targets.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    plan = state.select("source", "target", "need", F.array().cast("array<struct<low:bigint,below:bigint,most:double>>").alias("picks"), F.lit(0).cast("long").alias("low"))
-    for _ in range(fills):
-        open_ = plan.where((F.col("need") >= 1) & (F.col("need") >= CLOSE * F.col("target")))
+    plan = state.select("source", "target", "need", F.array().cast("array<struct<low:bigint,below:bigint,most:double>>").alias("picks"), F.lit(0).cast("long").alias("low"), F.lit(True).alias("fits"))
+    while True:
+        open_ = plan.where(F.col("fits") & (F.col("need") >= 1) & (F.col("need") >= CLOSE * F.col("target")))
         if not open_.take(1):
             break
         fitting = _meet(items, open_.select("source", "need", "low")).where((F.col("draw") >= F.col("low")) & (F.col("size") > 0) & (F.col("size") <= F.col("need")))
@@ -147,6 +147,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
                 (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"),
                 F.when(F.col("met"), F.concat("picks", F.array(F.struct("low", "below", F.col("need").alias("most"))))).otherwise(F.col("picks")).alias("picks"),
                 F.coalesce(F.greatest("low", "below"), F.col("low")).alias("low"),
+                F.coalesce(F.col("met") & (F.col("got") > 0), F.lit(False)).alias("fits"),
             )
         )
     rules = state.join(plan.select(F.col("source").alias("s"), "picks"), state["source"].eqNullSafe(F.col("s"))).select(
@@ -164,11 +165,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs. Rows are matched by id and draw."""
     columns = docs.columns
+    docs, names = set_apart(docs, "doc_id", "text", "source")
     mixed = mix(docs, **options)
     picks = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("draw").alias("mix_draw")).agg(F.max("copies").alias("mix_copies"))
     keyed = docs.withColumn("mix_key", draw_of())
-    return (
+    out = (
         keyed.join(picks, keyed["doc_id"].cast("long").eqNullSafe(F.col("mix_id")) & (F.col("mix_key") == F.col("mix_draw")), "inner")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-        .select(*columns)
     )
+    return given_back(out, columns, names)

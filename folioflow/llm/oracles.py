@@ -5,6 +5,7 @@ from __future__ import annotations
 from folioflow.llm import mixing, warc
 from folioflow.llm.common import GAP
 
+PASSES = 12  # more than the mix of the given tables takes; each is as the one before
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -14,13 +15,13 @@ def mix_sql() -> str:
     weights = ", ".join(f"{w}.0" for w in mixing.WEIGHTS)
     n = len(mixing.WEIGHTS)
     passes = []
-    for k in range(1, mixing.FILLS + 1):
+    for k in range(1, PASSES + 1):
         before = "c0" if k == 1 else f"p{k - 1}"
         passes.append(
             f"""n{k} AS (SELECT source, any_value(need0) - coalesce(sum(size) FILTER (WHERE taken), 0) AS need FROM {before} GROUP BY source),
       e{k} AS (SELECT b.*, n.need, NOT taken AND size > 0 AND size <= n.need AND n.need >= 1 AND n.need >= {mixing.CLOSE}::DOUBLE * target AS fits FROM {before} b JOIN n{k} n ON b.source IS NOT DISTINCT FROM n.source),
       s{k} AS (SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM e{k}),
-      p{k} AS (SELECT * EXCLUDE (need, fits, upto, taken), taken OR (fits AND upto <= need) AS taken FROM s{k})"""
+      p{k} AS MATERIALIZED (SELECT * EXCLUDE (need, fits, upto, taken), taken OR (fits AND upto <= need) AS taken FROM s{k})"""
         )
     return f"""WITH i AS (SELECT doc_id, source, ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, text)), 1, 15))::BIGINT AS draw,
         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -34,7 +35,7 @@ def mix_sql() -> str:
       h AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
       c0 AS (SELECT i.*, h.source_size, h.target, h.whole, h.target - h.whole * h.source_size AS need0, false AS taken FROM i JOIN h ON i.source IS NOT DISTINCT FROM h.source),
       {', '.join(passes)}
-      SELECT doc_id, size, source_size, target, (whole + CASE WHEN taken THEN 1 ELSE 0 END) * size AS taken FROM p{mixing.FILLS}"""
+      SELECT doc_id, size, source_size, target, (whole + CASE WHEN taken THEN 1 ELSE 0 END) * size AS taken FROM p{PASSES}"""
 
 
 def jaccard_sql(k: int = 3, percent: int = 90) -> str:
@@ -52,7 +53,7 @@ def fixity_sql() -> str:
     """Every record is compared with every record of the replica at its place."""
 
     def index(body: str, name: str) -> str:
-        record = f"""'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || coalesce(url, '') || nl || 'Content-Length: ' || strlen({body}) || nl || nl || {body} || nl || nl"""
+        record = f"""'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:md5:' || md5(coalesce(page_id::VARCHAR, '') || ' ' || coalesce(url, '')) || '>' || nl || 'WARC-Date: {warc.DATE}' || nl || 'WARC-Target-URI: ' || coalesce(url, '') || nl || 'Content-Length: ' || strlen({body}) || nl || nl || {body} || nl || nl"""
         return f"""{name}0 AS (SELECT page_id, url, floor(page_id / {warc.RECORDS_PER_FILE})::BIGINT AS file_id, strlen({record})::BIGINT AS size, sha256({record}) AS digest FROM b),
       {name} AS (SELECT *, (sum(size) OVER (PARTITION BY file_id ORDER BY page_id, url, digest ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM {name}0)"""
 
