@@ -11,13 +11,17 @@ RECORDS_PER_FILE = 256
 RANGE_BITS = 16
 FAN_BITS = 3
 LEVELS = 4
+LOOSE_FILES = 4096
+DATE = "2024-01-01T00:00:00Z"
 
 
-def record_text(url: Column, body: Column) -> Column:
-    """A response record: header lines, an empty line, the body and the two empty lines that end a record."""
-    body = F.coalesce(body, F.lit(""))
+def record_text(page_id: Column, url: Column, body: Column, date: str = DATE) -> Column:
+    """A response record: header lines, an empty line, the body and the two empty lines that end a record. Its id is a digest of the page's
+    id and address."""
+    body, url = F.coalesce(body, F.lit("")), F.coalesce(url, F.lit(""))
+    name = F.md5(F.concat(F.coalesce(page_id.cast("string"), F.lit("")), F.lit(" "), url).cast("binary"))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "),
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:md5:"), name, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "),
         F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
     )
 
@@ -26,12 +30,12 @@ def record_index(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE) ->
     """file_id, page_id, start, size, digest of the record of every row of pages(page_id, url, html).
 
     A file holds the pages of a range of records_per_file ids in order of id, then url and digest, so that repeated ids
-    have a place; rows without an id share the file null. Offsets are running sums within a file."""
-    record = record_text(F.col("url"), F.col("html"))
-    rows = pages.select(
-        F.floor(F.col("page_id") / records_per_file).cast("long").alias("file_id"), F.col("page_id").cast("long").alias("page_id"), "url",
-        F.octet_length(record).cast("long").alias("size"), F.sha2(record, 256).alias("digest"),
-    )
+    have a place; rows without an id are dealt by their digest into LOOSE_FILES files with numbers below 0. Offsets are running sums
+    within a file."""
+    record = record_text(F.col("page_id").cast("long"), F.col("url"), F.col("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.octet_length(record).cast("long").alias("size"), F.sha2(record, 256).alias("digest"))
+    loose = -1 - F.pmod(F.xxhash64("digest"), F.lit(LOOSE_FILES))
+    rows = rows.withColumn("file_id", F.coalesce(F.floor(F.col("page_id") / records_per_file).cast("long"), loose)).select("file_id", "page_id", "url", "size", "digest")
     order = Window.partitionBy("file_id").orderBy("page_id", "url", "digest")
     return rows.withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).drop("url")
 
