@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import GAP, crc_of_id, sample_by_class
+from folioflow.llm.common import GAP, crc_of_id, given_back, sample_by_class, set_apart
 from folioflow.llm.ngram_join import _runs
 from folioflow.llm.shingles import mix64
 
@@ -194,6 +194,35 @@ def label_texts(field: Field, texts: list) -> list[tuple[str, float, list]]:
     return out
 
 
+def label_words(docs: DataFrame, field: Field) -> DataFrame:
+    """doc_id and words (array<struct<word, lang, score>>) of every row of docs(doc_id, text): each word of the whole text, in lower case,
+    with its most probable language by forward-backward and that probability, so that code-switched texts are labelled word by
+    word. Null texts and texts without a letter have no words."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vars(field))
+
+    def run(batches):
+        model = Field([], {})
+        vars(model).update(shipped.value)
+        for batch in batches:
+            texts, done = batch.column(1).to_pylist(), 0
+            for _, part in _runs(range(len(texts)), texts, 1_000_000):
+                out = []
+                for words in map(words_of, part):
+                    if not words or not model.labels:
+                        out.append([])
+                        continue
+                    code = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                    emit = model.emissions(list(code))[[code[w] for w in words]]
+                    marginal, _ = forward_backward(emit, np.array([0]), np.array([len(words)]), model.step)
+                    out.append([{"word": w, "lang": model.labels[i], "score": float(m[i])} for w, i, m in zip(words, marginal.argmax(1).tolist(), marginal)])
+                kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(out, kind)], names=["doc_id", "words"])
+                done += len(part)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, words array<struct<word:string,lang:string,score:double>>")
+
+
 def learn_languages(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, words: int = WORDS_PER_DOC) -> Field:
     """Fit on a bounded sample of the rows that may be learned from (crc32 of the id mod 4 is not 2, lang not null):
     about per_language documents of each language, of each at most `words` words in a row from a place set by a hash."""
@@ -223,7 +252,7 @@ def identify(docs: DataFrame, field: Field | None = None, keep: tuple = ()) -> D
         vars(model).update(shipped.value)
         for batch in batches:
             texts, done = batch.column(1).to_pylist(), 0
-            for _, part in _runs(range(len(texts)), texts, 3_000_000):
+            for _, part in _runs(range(len(texts)), texts, 2_000_000):
                 got = label_texts(model, part)
                 same = batch.slice(done, len(part))
                 done += len(part)
@@ -240,8 +269,7 @@ def identify(docs: DataFrame, field: Field | None = None, keep: tuple = ()) -> D
 
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The rows of docs whose language is identified: not `und`, with a score of `least` or more. Columns stay."""
-    names = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    renamed = docs.select("doc_id", "text", *[F.col(c).alias(k) for c, k in names.items()])
+    renamed, names = set_apart(docs, "doc_id", "text")
     field = learn_languages(docs)
     found = identify(renamed, field, keep=("text", *names.values())).where((F.col("lang_pred") != NONE) & (F.col("score") >= least))
-    return found.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    return given_back(found, docs.columns, names)
