@@ -63,6 +63,31 @@ def test_fingerprints(spark, odd):
     assert fingerprints.compare_with_edits(odd.where("doc_id = 3")).first().near_next == 1.0
 
 
+def plain_chunks(raw, target=64):
+    """Byte by byte: the hash of the last 32 bytes, boundaries by the two masks, from a fourth to four times the target."""
+    bits, out, start = target.bit_length() - 1, [], 0
+    for i in range(len(raw)):
+        h = sum(int(chunks.GEAR[raw[i - k]]) << k for k in range(min(32, i + 1))) % 2**32
+        size = i + 1 - start
+        strict, easy = h < 2 ** (32 - bits - 2), h < 2 ** (32 - bits + 2)
+        if (target // 4 <= size < target and strict) or (size >= target and easy) or size == 4 * target:
+            out.append(raw[start : i + 1])
+            start = i + 1
+    return out + ([raw[start:]] if start < len(raw) else [])
+
+
+def test_fingerprints_match_a_plain_chunker():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)] + ["é", "日本"]
+    for _ in range(20):
+        one = " ".join(rng.choice(words) for _ in range(rng.randint(0, 500)))
+        two = one[: len(one) // 2] + " ".join(rng.choice(words) for _ in range(rng.randint(0, 200)))
+        a, b = plain_chunks(one.encode()), plain_chunks(two.encode())
+        assert [len(c) for c in a] == np.diff([0, *chunks.cuts(one.encode())]).tolist()
+        want = sum(len(c) for c in set(a) & set(b)) / sum(len(c) for c in set(a)) if a and b else float(not a and not b)
+        assert abs(fingerprints.containment(fingerprints.fingerprint(one), fingerprints.fingerprint(two)) - want) < 1e-12
+
+
 def test_mixing(spark, odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r.taken == r.copies * r["size"] and r.copies <= 2 for r in rows)
@@ -134,6 +159,30 @@ def test_pii_terms(spark):
     assert "Zorblatt" not in texts(pii.sanitize(df))[0] and "[TERM]" in texts(pii.sanitize(df))[0]
 
 
+def test_pii_terms_in_documents_without_the_value(spark):
+    rows = [f"plain words of row {i % 7} and no more" for i in range(100)] + ["plain words Quillfeather ab@corp.org and no more"] * 3 + ["only Quillfeather and no more"]
+    df = spark.createDataFrame([*enumerate(rows), (None, rows[-1])], "doc_id long, text string")
+    found = [(r.doc_id, [(s.s, s.e) for s in r.spans if s.kind == "term"]) for r in pii.find_pii(df).collect()]
+    assert sorted(str(f) for f in found if f[1]) == sorted(str(f) for f in [*((i, [(12, 24)]) for i in (100, 101, 102)), (103, [(5, 17)]), (None, [(5, 17)])])
+
+
+def test_pii_of_long_addresses(spark):
+    text = "a@" + ".".join(["b"] * 100_000) + " " + "1." * 50_000 + " +" + "1 " * 50_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(s.kind, s.s, s.e) for s in pii.find_pii(df).first().base] == plain_spans(text)
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    names = ["pii_id", "pii_base", "pii_hash", "text_hash", "mix_id", "mix_key", "mix_copy", "mix_draw", "copies", "terms", "key", "repeat_key", "again_id", "gone_id", "component_id", "lang_pred", "held_out"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in names)
+
+
 def test_pii_terms_of_a_value_seen_once(spark):
     rows = [f"plain words of row {i % 7} and no more" for i in range(100)] + ["plain words Quillfeather ab@corp.org and no more"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
@@ -197,6 +246,32 @@ def test_main_text_cases(spark):
     assert main_text.main_text('<a href="x' * 5000)
 
 
+TEXT = "A {} paragraph that has a number of words in it, enough to be text."
+
+
+def test_the_cut_differs_from_the_threshold():
+    """Blocks that alone would be labelled otherwise than among their neighbours."""
+    long = [f"<{{0}}>{TEXT.format(w)}</{{0}}>" for w in ("first", "second")]
+    pages = {
+        "div": ("<table><tr><td>Home</td><td>News</td></tr></table>" + long[0].format("div") + "<div>Short</div>" + long[1].format("div"), [TEXT.format("first"), "Short", TEXT.format("second")]),
+        "p": ("<div>" + long[0].format("p") + long[1].format("p") + "</div><div><div>Copyright</div><div>Impressum</div><div>All rights reserved</div><div>Contact</div></div>", [TEXT.format("first"), TEXT.format("second")]),
+    }
+    for page, want in pages.values():
+        blocks = main_text.blocks_of(page)
+        gain, keep = main_text.labels(blocks)
+        assert [t for (t, _, _), k in zip(blocks, keep) if k] == want
+        assert [g > 0 for g in gain] != keep
+
+
+def test_words_of_a_class_do_not_drop_an_article():
+    body = "<h1>Head of it</h1><p>One long paragraph that tells about the thing, as paragraphs do.</p>{}<p>And more.</p>"
+    kept = lambda inner, outer="article": main_text.main_text(f"<nav><a href=a>Home</a></nav><{outer}>{body.format(inner)}</{outer}><footer>c</footer>").split("\n\n")
+    assert kept('<p class="notice-of-death">He died in May.</p>')[2] == "He died in May."
+    assert main_text.main_text('<main><div id="disclaimer-law"><p>The law of disclaimers, told at some length.</p></div></main>') == "The law of disclaimers, told at some length."
+    for gone in ('<aside><p>Words beside that are long enough to look like a paragraph.</p></aside>', '<div class="comments"><p>A reader wrote this, at some length.</p></div>', '<div class="ad">Buy now!</div>', '<form><p>Your name and what you wish to tell us.</p></form>'):
+        assert kept(gone) == ["Head of it", "One long paragraph that tells about the thing, as paragraphs do.", "And more."]
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 16))
@@ -221,6 +296,17 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_ties_of_different_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0] + [0.0] * 15)] + [(100 - i, [1.0, *(float(v) for v in rng.integers(-3, 4, 15))]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in neighbours.nearest(df, F.col("vec_id") == 0).collect())
+    assert got == [(i, i, 1.0) for i in range(1, 21)]
+    third = spark.createDataFrame([(0, [1.0, 1 / 3]), (1, [1.0, 1 / 3]), (2, [0.1, 0.2])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in neighbours.nearest(third, F.col("vec_id") == 0).collect()}
+    assert got == {1: 1.0 + 1 / 3 * (1 / 3), 2: 0.1 + 0.2 * (1 / 3)}
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     field = language.learn_languages(docs)
@@ -232,6 +318,11 @@ def test_language(spark, odd):
     de, en = (next(r.text for r in docs.where(f"lang = '{v}' and n_chars > 500").orderBy("doc_id").limit(1).collect()) for v in ("de", "en"))
     share = language.label_texts(field, [de[:400] + " " + en[:400]])[0][2]
     assert 0.25 < share[field.labels.index("de")] < 0.75 and 0.25 < share[field.labels.index("en")] < 0.75
+    switched = spark.createDataFrame([(1, de[:400] + " " + en[:400]), (2, None), (3, "1 2")], "doc_id long, text string")
+    words = {r.doc_id: r.words for r in language.label_words(switched, field).collect()}
+    assert words[2] == words[3] == [] and [w.word for w in words[1]] == language.words_of(de[:400] + " " + en[:400])
+    half = len(language.words_of(de[:400]))
+    assert sum(w.lang == "de" for w in words[1][:half]) > 0.9 * half and sum(w.lang == "en" for w in words[1][half:]) > 0.9 * (len(words[1]) - half)
 
 
 def test_forward_backward_is_exact():
@@ -273,9 +364,11 @@ def families():
     return out + out[-4:]
 
 
-@pytest.mark.parametrize("k,percent,small", [(3, 90, 512), (5, 80, 512), (3, 90, 4)])
+@pytest.mark.parametrize("k,percent,small", [(3, 90, False), (5, 80, False), (3, 90, True), (5, 80, True)])
 def test_jaccard_groups(spark, monkeypatch, k, percent, small):
-    monkeypatch.setattr(ngram_join, "SMALL_GROUP", small)
+    if small:  # many blocks and tiles, every shingle of two documents of a block is common there
+        for name, value in (("BLOCK_CHARS", 3000), ("COMMON", 2), ("COLUMNS", 2), ("ROWS", 3), ("BATCH", 2), ("TILE", 4), ("BROADCAST_IDS", 0)):
+            monkeypatch.setattr(ngram_join, name, value)
     docs = families()
     sets = {i * 3: shingles(t, k) for i, t in enumerate(docs)}
     root = {i: i for i in sets}
@@ -334,6 +427,7 @@ def test_toxicity(spark, odd):
 
 def test_fold():
     assert toxicity.fold("You 1D10T, $tupid m0r0n! іdiоt ＩＤＩＯＴ x$$$ 4785").split() == ["you", "idiot", "stupid", "moron", "idiot", "idiot", "x", "4785"]
+    assert toxicity.fold("i.d.i.o.t s t u p i d iiidioot, a b ab c d").split() == ["idiot", "stupid", "idiot", "a", "b", "ab", "c", "d"]
 
 
 def test_fixity(spark):
@@ -359,6 +453,35 @@ def test_bpe_equals_the_library(spark, odd):
         ids = library.encode(cases[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
     assert bpe.encode_decode(odd, path).count() == odd.count() and bpe.encode_decode(odd.limit(0), path).count() == 0
+    other = queries.tokenizer_path("byte_bpe_50k.json")  # does not part texts at white space
+    library = Tokenizer.from_file(other)
+    for r in bpe.encode_decode(df.where("doc_id < 60"), other).collect():
+        ids = library.encode(cases[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_repairs_joins():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        coder = bpe.Coder(f.read())
+    assert not coder.by_words
+    rng = random.Random(3)
+    long = [" ".join(rng.choice(["alpha", "beta", "gamma's", "x.", "9"]) for _ in range(4000)) for _ in range(3)]
+    flat, sizes, _ = coder.by_chunks(pa.array([*long, ""]))  # as if it did: every join differs, so the texts are encoded anew
+    library = Tokenizer.from_file(path)
+    assert flat.tolist() == [i for t in long for i in library.encode(t, add_special_tokens=False).ids] and sizes[3] == 0
+
+
+def test_chunks_of_texts_do_not_depend_on_others():
+    rng = random.Random(8)
+    a, b = (" ".join(f"w{rng.randrange(500)}" for _ in range(6000)).encode() for _ in range(2))
+    ends = lambda *t: bpe.chunk_ends(np.frombuffer(b"".join(t), np.uint8), np.cumsum([len(x) for x in t]))
+    alone, behind = ends(b).tolist(), [e - len(a) for e in ends(a, b).tolist() if e > len(a)]
+    assert alone == behind and len(alone) > 5
+    assert all(b[e - 1 : e] == b" " for e in alone[:-1])
 
 
 def test_pipeline(spark, tmp_path):
@@ -374,3 +497,25 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         kept.append(docs.count())
     assert kept[0] >= kept[1] and kept[3] == kept[4] > 0 and set(docs.columns) >= {"doc_id", "ids", "n_tokens"}
+
+
+def test_lexicon_matches_brute_force():
+    rng = random.Random(9)
+    weights = {" foe": 2.0, " foeman ": 3.5, " bad ": 1.5, " xbad": 0.5}
+    lexicon = toxicity.Lexicon(weights, ("foes", "bad luck"))
+    spared = ["foes", "bad luck", *toxicity.HARMLESS]
+    for _ in range(300):
+        text = " ".join(rng.choice(["foe", "foes", "foeman", "foel", "bad", "luck", "xbad", "xbadly", "a", "Trash can"]) for _ in range(rng.randint(0, 9)))
+        folded = toxicity.fold(text)
+        at = [i for i, c in enumerate(folded[:-1]) if c == " " and len(folded) > 2]
+        hits = {i: max((w for p, w in weights.items() if folded.startswith(p, i)), default=0) for i in at}
+        inside = {i for i in at for p in spared for k in [toxicity.fold(p)] for j in at if folded.startswith(k, j) and j <= i < j + len(k) - 1}
+        want = [w for i, w in hits.items() if w and i not in inside]
+        words, total, most, n = lexicon.measure(text)
+        assert (total, most, n) == (sum(want), max(want, default=0), len(want)), (text, want)
+
+
+def test_lexicon_choice():
+    counts = {f"vequ{c}": (40, 0) for c in "abcd"} | {"vequz": (1, 9), "loser": (50, 0), "los": (3, 900)} | {f"los{c}x": (0, 4) for c in "abdfg"}
+    weights, harmless = toxicity.choose(counts, 10_000, 20_000)
+    assert set(weights) == {" vequ", " loser "} and harmless == ("vequz",)
