@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,56 +239,107 @@ def attach_markers(markers: DataFrame, lines: DataFrame, width: float = 612.0) -
     return both.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, marker long, line long")
 
 
-def xy_cut(frags: DataFrame, width: float = 612.0, depth: int = 3, least: int = 5) -> DataFrame:
-    """Region of each fragment by a recursive search for a column gap: the widest gap in horizontal coverage with `least`
-    fragments on both sides parts a region into left and right, `depth` times at most. One group a page."""
-
-    def split(rows: list, level: int) -> list[list]:
-        if level == depth or len(rows) < 2 * least:
-            return [rows]
-        spans = sorted((r[1], r[2]) for r in rows)
-        best, right = None, spans[0][1]
-        for a, b in spans:
-            if a - right > (best[0] if best else 6.0):
-                if sum(r[2] <= a for r in rows) >= least and sum(r[1] >= a for r in rows) >= least:
-                    best = (a - right, a)
-            right = max(right, b)
-        if best is None:
-            return [rows]
-        return split([r for r in rows if r[1] < best[1]], level + 1) + split([r for r in rows if r[1] >= best[1]], level + 1)
+MOST_TRIES = 12
+LEVELS = (0.0, 0.05, 0.15, 0.35)
+
+
+def _column_gap(rows: list, least: int, gap: float = 6.0) -> float | None:
+    """Where a region's rows (id, x0, x1, y) part into two columns, if they do. Gaps are looked for at rising shares of rows that may
+    cover them, wider ones first, MOST_TRIES at most; both sides need `least` rows, of which 15 % or four are long, and must stand beside
+    each other over 40 % of the lower one's height; at most 35 % of the rows cross."""
+    edges = sorted({r[1] for r in rows} | {r[2] for r in rows})
+    spans = [(a, b, sum(r[1] < b and r[2] > a for r in rows)) for a, b in zip(edges, edges[1:])]
+    tries = 0
+    for level in LEVELS:
+        runs: list[list[float]] = []
+        for a, b, covered in spans:
+            if covered > level * len(rows):
+                continue
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b])
+        for a, b in sorted((r for r in runs if r[1] - r[0] >= gap), key=lambda r: (r[0] - r[1], r[0])):
+            tries += 1
+            if tries > MOST_TRIES:
+                return None
+            x = (a + b) / 2
+            left, right = [r for r in rows if r[2] <= x], [r for r in rows if r[1] >= x]
+            if min(len(left), len(right)) < least or len(rows) - len(left) - len(right) > 0.35 * len(rows):
+                continue
+            low, high = max(min(r[3] for r in side) for side in (left, right)), min(max(r[3] for r in side) for side in (left, right))
+            if high - low < 0.4 * min(max(r[3] for r in side) - min(r[3] for r in side) for side in (left, right)):
+                continue
+            wide = [sum(r[2] - r[1] >= 0.5 * (max(q[2] for q in side) - min(q[1] for q in side)) for r in side) for side in (left, right)]
+            if all(n >= min(4, 0.15 * len(side)) for n, side in zip(wide, (left, right))):
+                return x
+    return None
+
+
+def _regions(rows: list, depth: int, least: int) -> list[list]:
+    """The regions of rows in reading order. Rows that cross a column gap part the columns into bands and are regions of their own."""
+    x = _column_gap(rows, least) if depth > 0 and len(rows) >= 2 * least else None
+    if x is None:
+        return [rows] if rows else []
+    out: list[list] = []
+    band: list = []
+    for r in [*sorted(rows, key=lambda r: (r[3], r[1])), None]:
+        if r is not None and (r[2] <= x or r[1] >= x):
+            band.append(r)
+            continue
+        for side in ([q for q in band if q[2] <= x], [q for q in band if q[1] >= x]):
+            out += _regions(side, depth - 1, least)
+        band = []
+        if r is not None:
+            out.append([r])
+    return out
+
+
+def xy_cut(frags: DataFrame, depth: int = 3, least: int = 5) -> DataFrame:
+    """Region of each fragment by a recursive search for column gaps, `depth` times at most, in reading order. One group a page."""
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x0"]).reset_index(drop=True)
-        regions = split(list(zip(page.index, page["x0"], page["x1"])), 0)
+        page = page.sort_values(["y", "x0", "line", "frag"]).reset_index(drop=True)
+        regions = _regions(list(zip(page.index, page["x0"], page["x1"], page["y"])), depth, least)
         place = {r[0]: i for i, region in enumerate(regions) for r in region}
         return page.assign(region=[place[i] for i in page.index])[["doc_id", "page", "line", "frag", "region"]]
 
     return frags.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, line long, frag long, region long")
 
 
+LIST_ITEM = re.compile(r"^\s*(?:[•‣▪●○*–—-]\s|\(?\d{1,3}[.)]\s|[a-z][.)]\s)")
+
+
 def build_paragraphs(lines: DataFrame, body: float = 12.0) -> DataFrame:
-    """Paragraphs of each page: a line starts one if it is a heading (1.18 x body), has another size (12 %), stands farther away than the
-    usual pitch allows, follows a short line that ends a sentence, or starts with a bullet. One group a page."""
+    """Paragraphs of each page. A line starts one if it is a heading (1.18 x body, below 200 characters), has another size (12 %), stands
+    farther away than 1.5 times the usual pitch, is a list item or indented by more than a size, or follows a short line that ends a
+    sentence. Else it goes on with a space, or with a line break behind a line that ends far from the right edge. Level (1 from 1.6,
+    2 from 1.3 x body, else 3 for headings), alignment and indent are told. One group a page."""
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["y", "line"])
         steps = page["y"].diff().dropna().sort_values()
         pitch = steps.iloc[len(steps) // 2] if len(steps) else body
-        right = page["x1"].sort_values().iloc[int(0.85 * (len(page) - 1))]
+        right, left = page["x1"].sort_values().iloc[int(0.85 * (len(page) - 1))], page["x0"].sort_values().iloc[int(0.15 * (len(page) - 1))]
         out, last = [], None
         for r in page.itertuples():
             heading = r.size >= 1.18 * body and len(r.text) < 200
-            new = last is None or heading or last["heading"] or abs(r.size - last["size"]) > 0.12 * last["size"] or r.y - last["y"] > 1.5 * pitch
-            new = new or (last["x1"] < right - 3 * r.size and last["text"].rstrip().endswith((".", "!", "?"))) or r.text.lstrip()[:1] in "•-–"
-            level = 1 if r.size >= 1.6 * body else 2 if r.size >= 1.3 * body else 3
+            new = last is None or heading or last.size >= 1.18 * body and len(last.text) < 200 or abs(r.size - last.size) > 0.12 * last.size or r.y - last.y > 1.5 * pitch
+            new = new or bool(LIST_ITEM.match(r.text)) or r.x0 - last.x0 > r.size or (last.x1 < right - 3 * r.size and last.text.rstrip().endswith((".", "!", "?")))
             if new:
-                out.append([r.doc_id, r.page, len(out), r.text, level if heading else 0])
+                level = (1 if r.size >= 1.6 * body else 2 if r.size >= 1.3 * body else 3) if heading else 0
+                margins = r.x0 - left, right - r.x1
+                align = "centre" if min(margins) > 2 * r.size and abs(margins[0] - margins[1]) < r.size else "right" if margins[0] > 2 * r.size and abs(margins[1]) < r.size else "left"
+                out.append([r.doc_id, r.page, len(out), r.text, level, align, float(max(0.0, r.x0 - left)), r.x0, r.y, r.y, r.size])
             else:
-                out[-1][3] += " " + r.text
-            last = {"heading": heading, "size": r.size, "y": r.y, "x1": r.x1, "text": r.text}
-        return pd.DataFrame(out, columns=["doc_id", "page", "para", "text", "level"])
+                out[-1][3] += ("\n" if last.x1 < right - 0.25 * (right - left) else " ") + r.text
+                out[-1][9] = r.y
+            last = r
+        return pd.DataFrame(out, columns=["doc_id", "page", "para", "text", "level", "align", "indent", "x0", "y0", "y1", "size"])
 
-    return lines.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, para long, text string, level long")
+    return lines.groupBy(*PAGE).applyInPandas(
+        run, "doc_id long, page long, para long, text string, level long, align string, indent double, x0 double, y0 double, y1 double, size double"
+    )
 
 
 def designed_pages(frags: DataFrame, boxes: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
@@ -304,8 +357,18 @@ def designed_pages(frags: DataFrame, boxes: DataFrame, width: float = 612.0, hei
 
 
 def structure_ocr(words: DataFrame) -> DataFrame:
-    """Rows of recognised words that overlap by more than 60 % in height, cut at gaps above 1.25 heights; two-column rows are
-    read left first. One group a page."""
+    """Boxes of recognised words in reading order (place). Words that overlap by more than 60 % in height are a row; it is cut at gaps above
+    1.25 heights, and a row of three boxes or more anew at 1.5 times its median gap. Lone separator signs become •. Runs of rows that
+    are two boxes on either side of the page's middle are read left first. level tells headings by their height, 1.9, 1.3 or
+    1.16 times the body's. One group a page."""
+
+    def cut(members: list, gap: float) -> list[list]:
+        boxes = [[members[0]]]
+        for a, b in zip(members, members[1:]):
+            if b.x - (a.x + a.w) > gap:
+                boxes.append([])
+            boxes[-1].append(b)
+        return boxes
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["y", "x"])
@@ -318,31 +381,55 @@ def structure_ocr(words: DataFrame) -> DataFrame:
                     rows[-1][2].append(r)
                     continue
             rows.append([top, bottom, [r]])
-        out = []
-        for i, (_, _, members) in enumerate(rows):
+        body, middle = page["size"].sort_values().iloc[len(page) // 2], (page["x"].min() + (page["x"] + page["w"]).max()) / 2
+        laid = []
+        for _, _, members in rows:
             members.sort(key=lambda m: m.x)
-            piece, end = 0, None
-            texts: list[list[str]] = [[]]
-            for m in members:
-                if end is not None and m.x - end > 1.25 * m.size:
-                    texts.append([])
-                    piece += 1
-                texts[-1].append(m.str)
-                end = m.x + m.w
-            out += [(page["doc_id"].iloc[0], page["page"].iloc[0], i, k, " ".join(t)) for k, t in enumerate(texts)]
-        return pd.DataFrame(out, columns=["doc_id", "page", "row", "box", "text"])
-
-    return words.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, row long, box long, text string")
-
-
-def rejoin_paragraphs(paras: DataFrame) -> DataFrame:
-    """Paragraphs cut apart are joined: the one before ends without . ! ? : and this one starts in lower case; `part` numbers them."""
+            boxes = cut(members, 1.25 * members[0].size)
+            if len(boxes) >= 3:
+                gaps = sorted(b.x - (a.x + a.w) for a, b in zip(members, members[1:]))
+                boxes = cut(members, max(1.25 * members[0].size, 1.5 * gaps[len(gaps) // 2]))
+            laid.append(boxes)
+        two = [len(b) == 2 and b[0][-1].x + b[0][-1].w <= middle <= b[1][0].x for b in laid]
+        order, i = [], 0
+        while i < len(laid):
+            end = i
+            while end < len(laid) and two[end]:
+                end += 1
+            if end - i >= 2:
+                order += [(k, side) for side in (0, 1) for k in range(i, end)]
+                i = end
+            else:
+                order += [(i, k) for k in range(len(laid[i]))]
+                i += 1
+        out = []
+        for place, (row, box) in enumerate(order):
+            members = laid[row][box]
+            share = max(m.size for m in members) / body
+            text = " ".join("•" if m.str in ("|", "·", "¦", "*", "•") else m.str for m in members)
+            out.append((members[0].doc_id, members[0].page, place, row, box, text, 1 if share >= 1.9 else 2 if share >= 1.3 else 3 if share >= 1.16 else 0))
+        return pd.DataFrame(out, columns=["doc_id", "page", "place", "row", "box", "text", "level"])
+
+    return words.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, place long, row long, box long, text string, level long")
+
+
+def rejoin_paragraphs(paras: DataFrame, near: float = 0.8) -> DataFrame:
+    """Paragraphs cut apart are joined: the one before ends without . ! ? :, this one starts in lower case and is no list item, both are body
+    text, begin within half a size of each other and the gap between them is below `near` sizes more than a line; `part` numbers them."""
     w = Window.partitionBy(*PAGE).orderBy("para")
-    runs_on = ~F.lag("text").over(w).rlike(r"[.!?:]\s*$") & F.col("text").rlike(r"^\p{Ll}") & (F.col("level") == 0) & (F.lag("level").over(w) == 0)
+    close = (F.col("y0") - F.lag("y1").over(w) < (1 + near) * F.col("size")) & (F.abs(F.col("x0") - F.lag("x0").over(w)) <= 0.5 * F.col("size"))
+    item = F.col("text").rlike(r"^\s*(?:[•‣▪●○*–—-]\s|\(?\d{1,3}[.)]\s|[a-z][.)]\s)")
+    runs_on = ~F.lag("text").over(w).rlike(r"[.!?:]\s*$") & F.col("text").rlike(r"^\p{Ll}") & ~item & (F.col("level") == 0) & (F.lag("level").over(w) == 0) & close
     rows = paras.withColumn("part", F.sum((~F.coalesce(runs_on, F.lit(False))).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*PAGE, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda s: s["text"]), " ").alias("text"))
 
 
+def with_list_numbers(paras: DataFrame, markers: DataFrame, joined: DataFrame) -> DataFrame:
+    """Paragraph lines (doc_id, page, line, text) with the list marker that attach_markers() gave them (marker, line) in front."""
+    named = joined.join(markers.select(*PAGE, F.col("idx").alias("marker"), F.col("text").alias("sign")), [*PAGE, "marker"]).select(*PAGE, "line", "sign")
+    return paras.join(named, [*PAGE, "line"], "left").withColumn("text", F.concat(F.when(F.col("sign").isNotNull(), F.concat("sign", F.lit(" "))).otherwise(""), F.col("text"))).drop("sign")
+
+
 def ocr_confidence(words: DataFrame, by: Column, name: str) -> DataFrame:
     """Mean confidence of the words that are not blank, rounded half up; null where there is none."""
     real = (F.trim("str") != "") & F.col("confidence").isNotNull() & ~F.isnan(F.col("confidence").cast("double"))

@@ -160,18 +160,21 @@ class VoteStore:
     version before into its epoch's version, so that a batch that comes again writes the same; older versions are deleted."""
 
     def __init__(self, path: str):
-        self.path, self.at = path, None
+        self.path, self.at, self.before = path, None, None
 
     def upsert(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        earlier = None if self.at is None or self.at >= epoch else self.at
+        again = epoch == self.at
+        earlier = self.before if again else self.at
         rows = batch if earlier is None else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{self.path}/v{earlier}"))
         latest = rows.groupBy("tool", "voter").agg(F.max_by(F.struct("score", "ts", "event_id"), F.struct("ts", "event_id")).alias("v"))
         latest.select("tool", "voter", "v.*").write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
-        if earlier is not None:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{earlier - 1}")
+        if again:
+            return
+        if self.before is not None:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{self.before}")
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-        self.at = epoch
+        self.at, self.before = epoch, self.at
 
     def votes(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.path}/v{self.at}")

@@ -143,3 +143,87 @@ def test_deep_graphs_are_walked_to_the_end(spark):
     outline = spark.createDataFrame([(i, i - 1 if i else None, i) for i in range(18)] + [(100, 5, 100)], "node long, parent long, page long").coalesce(1)
     deleted = outline.where("page <> 17").select("page")
     assert {r.node for r in relational.prune_outline(outline, deleted, written).collect()} == set(range(18))
+
+
+def test_links_resolve_as_in_a_browser(spark):
+    from folioflow.operators import web
+
+    base = "http://A.b:80/c/d.html?x=1#y"
+    cases = {
+        "../e.html": "http://a.b/e.html", "./e": "http://a.b/c/e", "?q=1": "http://a.b/c/d.html?q=1", "#z": "http://a.b/c/d.html?x=1#z", "/": "http://a.b/", "..": "http://a.b/", "g/..": "http://a.b/c/",
+        "//H.i/j/../k?l#m": "http://h.i/k?l#m", "https://X.y": "https://x.y/", "mailto:a@b": None, "": None, "../../../q": "http://a.b/q",
+    }
+    df = spark.createDataFrame([(base, h) for h in cases], "base string, href string")
+    got = {r.href: r.target for r in df.select("href", web.resolve_link(F.col("base"), F.col("href")).alias("target")).collect()}
+    assert got == cases
+
+
+def test_character_references(spark):
+    text = "caf&eacute; &#233;&#xE9;&#128512;&#x1f600; &rsquo;&lsquo;&ldquo;&rdquo; &#0; &#55296; &#99999999; &#1234567890123; &#xZ; &amp;lt; &#38;lt; &#"
+    got = spark.createDataFrame([(text,)], "t string").select(T.decode_entities(F.col("t")).alias("t")).first().t
+    assert got == "caf&eacute; éé😀😀 ’‘“” &#0; &#55296; &#99999999; &#1234567890123; &#xZ; &lt; &lt; &#"
+
+
+def test_natural_order(spark):
+    from folioflow.operators import relational
+
+    names = ["img10", "img2", "IMG1", "img02b", "Éa", "eb", "img" + "9" * 30, "img" + "1" + "0" * 30]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(relational.natural_key(F.col("n"))).collect()
+    assert [r.n for r in rows] == ["Éa", "eb", "IMG1", "img2", "img02b", "img10", "img" + "9" * 30, "img1" + "0" * 30]
+
+
+def test_words_of_many_joins(spark):
+    text = "-".join("a" * 100_000)
+    row = spark.createDataFrame([(text, "x@" + ".".join("b" * 100_000))], "t string, e string").select(F.size(T.words(F.col("t"))).alias("n"), T.valid_email(F.col("e")).alias("ok")).first()
+    assert row.n == 1 and row.ok
+
+
+def test_inheritance_over_long_chains_and_circles(spark):
+    from folioflow.operators import relational
+    from folioflow.sources.scratch import written
+
+    rows = [(f"n{i}", f"n{i + 1}", None) for i in range(100)] + [("n100", None, "top"), ("a", "b", None), ("b", "a", None), ("c", None, None)]
+    got = {r.node: (r.value, r.depth) for r in relational.resolve_inherited(spark.createDataFrame(rows, "node string, parent string, value string"), written).collect()}
+    assert all(got[f"n{i}"] == ("top", 100 - i) for i in range(101)) and got["a"] == got["b"] == got["c"] == (None, None)
+
+
+def test_columns_are_cut_and_read_in_order(spark):
+    from folioflow.operators import layout
+
+    rows = [(1, 0, i, 1, 72.0, 280.0, 100.0 + 16 * i) for i in range(10)] + [(1, 0, i, 2, 320.0, 540.0, 100.0 + 16 * i) for i in range(10)]
+    rows += [(1, 0, 20, 1, 72.0, 540.0, 300.0)] + [(1, 0, 30 + i, 1, 72.0, 280.0, 320.0 + 16 * i) for i in range(6)] + [(1, 0, 30 + i, 2, 320.0, 540.0, 320.0 + 16 * i) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, page long, line long, frag long, x0 double, x1 double, y double")
+    got = {(r.line, r.frag): r.region for r in layout.xy_cut(df).collect()}
+    assert [got[(0, 1)], got[(9, 1)], got[(0, 2)], got[(9, 2)], got[(20, 1)], got[(30, 1)], got[(35, 2)]] == [0, 0, 1, 1, 2, 3, 4]
+
+
+def test_recognised_words_are_read_column_by_column(spark):
+    from folioflow.operators import layout
+
+    rows = [(1, 0, "Head", 72.0, 50.0, 60.0, 24.0)]
+    rows += [(1, 0, f"{side}{i}", 72.0 + 300 * k, 100.0 + 20 * i, 40.0, 12.0) for i in range(3) for k, side in enumerate("LR")]
+    rows += [(1, 0, w, 72.0 + 45 * k, 200.0, 40.0, 12.0) for k, w in enumerate(("one", "|", "two"))]
+    df = spark.createDataFrame(rows, "doc_id long, page long, str string, x double, y double, w double, size double")
+    got = sorted((r.place, r.text, r.level) for r in layout.structure_ocr(df).collect())
+    assert [t for _, t, _ in got] == ["Head", "L0", "L1", "L2", "R0", "R1", "R2", "one • two"] and got[0][2] == 1 and got[1][2] == 0
+
+
+def test_paragraphs_and_their_pieces(spark):
+    from folioflow.operators import layout
+
+    lines = [("Title", 72.0, 200.0, 60.0, 20.0), ("First line of it that is long enough", 72.0, 540.0, 90.0, 12.0), ("and goes on", 72.0, 540.0, 106.0, 12.0), ("1. item", 72.0, 150.0, 122.0, 12.0), ("after a gap", 72.0, 540.0, 170.0, 12.0)]
+    df = spark.createDataFrame([(1, 0, i, *row) for i, row in enumerate(lines)], "doc_id long, page long, line long, text string, x0 double, x1 double, y double, size double")
+    paras = layout.build_paragraphs(df)
+    assert [(r.text, r.level) for r in paras.orderBy("para").collect()] == [("Title", 1), ("First line of it that is long enough and goes on", 0), ("1. item", 0), ("after a gap", 0)]
+    assert layout.rejoin_paragraphs(paras).count() == 4
+
+
+def test_votes_of_a_batch_that_comes_again(spark, tmp_path):
+    from folioflow.streaming.stateful import VoteStore
+
+    store = VoteStore(str(tmp_path))
+    schema = "tool string, voter long, score long, ts long, event_id long"
+    first, second = ([("t", 1, 5, 1, 1), ("t", 2, 3, 1, 2)], [("t", 1, 2, 2, 3)])
+    for epoch, rows in ((0, first), (1, second), (1, second)):
+        store.upsert(spark.createDataFrame(rows, schema), epoch)
+    assert sorted((r.voter, r.score) for r in store.votes(spark).collect()) == [(1, 2), (2, 3)]
