@@ -181,7 +181,13 @@ def l13_stitch_columns(spark, sf_dir):
     return L.stitch_columns(t).select("doc_id", "page", "line", "part")
 
 
-@query()
+@query(
+    f"""WITH {FRAGS}, ln AS (SELECT doc_id, page, line, count(*) AS frags, bool_and(n < 35.0::DOUBLE / 6) AS short, sum(n) AS n FROM frags GROUP BY 1, 2, 3),
+      pg AS (SELECT doc_id, page, sum(n) AS items, sum(n)::DOUBLE / sum(frags) AS mean, avg((frags >= 2 AND short)::INTEGER) AS beside FROM ln GROUP BY 1, 2),
+      bx AS (SELECT doc_id, page, count(*) AS boxes, sum(((x + 90) - x) * ((y + 60) - y)) / (612.0::DOUBLE * 792) AS area FROM items WHERE seq % 100 = 7 GROUP BY 1, 2),
+      d AS (SELECT doc_id, page, items < 900 AND ((mean < 35.0::DOUBLE / 6 AND (coalesce(boxes, 0) >= 3 OR coalesce(area, 0) > 0.08::DOUBLE)) OR beside >= 0.5) AS designed FROM pg LEFT JOIN bx USING (doc_id, page))
+      SELECT doc_id, page, designed, avg(designed::INTEGER) OVER (PARTITION BY doc_id) >= 0.5 AS exact FROM d"""
+)
 def l15_designed_page(spark, sf_dir):
     boxes = items(spark, sf_dir).where("seq % 100 = 7").select("doc_id", "page", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 90).alias("x1"), (F.col("y") + 60).alias("y1"))
     return L.designed_pages(_frags(spark, sf_dir), boxes)
