@@ -30,11 +30,11 @@ SKETCH_NAMES = [f"sketch{words}" for words, _ in SKETCHES]
 
 
 def _runs(ids: list, texts: list, limit: int = CHUNK):
-    """Slices of a batch whose texts have about `limit` characters together."""
+    """Slices of a batch whose texts have about `limit` characters together, and less than MANY rows."""
     start = total = 0
     for i, t in enumerate(texts):
         total += len(t or "")
-        if total >= limit:
+        if total >= limit or i + 2 - start >= MANY:
             yield ids[start : i + 1], texts[start : i + 1]
             start, total = i + 1, 0
     if start < len(texts):
