@@ -203,7 +203,14 @@ def l17_rejoin_paragraphs(spark, sf_dir):
     return L.rejoin_paragraphs(L.build_paragraphs(L.line_text(_lines(spark, sf_dir))))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ITEMS}, m AS (SELECT doc_id, page, seq AS idx, y, size AS h, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS rn FROM items WHERE seq % 8 = 0 AND seq >= 0),
+      c AS (SELECT m.doc_id, m.page, m.idx, m.rn, list(r.seq ORDER BY r.x, r.seq) FILTER (WHERE r.seq IS NOT NULL) AS cands FROM m LEFT JOIN items r ON r.doc_id = m.doc_id AND r.page = m.page AND r.seq % 8 = 1 AND r.x >= 60 AND r.x - 60 < 612.0::DOUBLE / 4 AND abs(r.y - m.y) <= 0.6::DOUBLE * m.h GROUP BY 1, 2, 3, 4),
+      f AS (SELECT DISTINCT doc_id, page, 0::BIGINT AS rn, []::BIGINT[] AS used, NULL::BIGINT AS marker, NULL::BIGINT AS line FROM m
+        UNION ALL SELECT c.doc_id, c.page, c.rn, list_concat(f.used, list_filter(coalesce(c.cands, []::BIGINT[]), lambda x: NOT list_contains(f.used, x))[1:1]), c.idx, list_filter(coalesce(c.cands, []::BIGINT[]), lambda x: NOT list_contains(f.used, x))[1]
+        FROM f JOIN c ON c.doc_id = f.doc_id AND c.page = f.page AND c.rn = f.rn + 1)
+      SELECT doc_id, page, marker, line FROM f WHERE line IS NOT NULL"""
+)
 def j9_attach_markers(spark, sf_dir):
     i = items(spark, sf_dir)
     marks = i.where("seq % 8 = 0 and seq >= 0").select("doc_id", "page", F.col("seq").alias("idx"), F.lit(0.0).alias("x0"), F.lit(60.0).alias("x1"), "y", F.col("size").alias("h"))
