@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,14 +25,25 @@ def blank_pages(pixels: DataFrame, text: DataFrame, most_text: int = 2, share: f
     return dark.join(text, "page_id", "left").select("page_id", ((F.col("dark") < share) & (F.coalesce("text_length", F.lit(0)) <= most_text)).alias("blank"))
 
 
-def paper_color(pixels: DataFrame, side: int) -> DataFrame:
-    """Upper median of the border pixels; a dark border counts as white paper with a larger tolerance."""
+def luma(red: Column, green: Column, blue: Column) -> Column:
+    """Brightness as a whole number, cut off."""
+    return F.floor((red * 299 + green * 587 + blue * 114) / 1000).cast("long")
+
+
+def paper_color(pixels: DataFrame, width: int, height: int, band: float = 0.03, channels: tuple = ("lum",)) -> DataFrame:
+    """Upper median of each channel over the border, the outer `band` of either side and a pixel at least, of every second pixel both ways; a
+    dark border counts as white paper with a larger tolerance."""
     from folioflow.operators.relational import upper_median
 
-    edge = F.col("x").isin(0, side - 1) | F.col("y").isin(0, side - 1)
-    m = upper_median(pixels.where(edge), "page_id", "lum")
-    dark = F.col("median") < 128
-    return m.select("page_id", F.when(dark, 255).otherwise(F.col("median")).alias("paper"), F.when(dark, 34).otherwise(18).alias("tolerance"))
+    bx, by = max(1, int(width * band)), max(1, int(height * band))
+    edge = (F.col("x") < bx) | (F.col("x") >= width - bx) | (F.col("y") < by) | (F.col("y") >= height - by)
+    border = pixels.where(edge & (F.col("x") % 2 == 0) & (F.col("y") % 2 == 0))
+    out = None
+    for c in channels:
+        m = upper_median(border, "page_id", c).select("page_id", F.col("median").alias(f"paper_{c}"))
+        out = m if out is None else out.join(m, "page_id")
+    dark = functools.reduce(lambda x, y: x + y, [F.col(f"paper_{c}") for c in channels]) < 128 * len(channels)
+    return out.select("page_id", *[F.when(dark, 255).otherwise(F.col(f"paper_{c}")).alias(f"paper_{c}") for c in channels], F.when(dark, 34).otherwise(18).alias("tolerance"))
 
 
 def content_box(pixels: DataFrame, dark: int, least: int) -> DataFrame:
@@ -41,14 +54,20 @@ def content_box(pixels: DataFrame, dark: int, least: int) -> DataFrame:
     return rows.join(cols, "page_id").select("page_id", "x0", "y0", "x1", "y1", (F.col("x0").isNull() | F.col("y0").isNull()).alias("blank"))
 
 
-def column_gaps(pixels: DataFrame, dark: int, most: int, width: int) -> DataFrame:
-    """Runs of `width` columns or more with at most `most` dark pixels, and where to cut them."""
-    cols = pixels.groupBy("page_id", "x").agg(F.count_if(F.col("lum") < dark).alias("n")).where(F.col("n") <= most)
+def column_gaps(pixels: DataFrame, dark: int, columns: int, share: float = 0.03, least: int = 12, of_width: float = 0.025, part: int = 40) -> DataFrame:
+    """Runs of max(least, of_width x columns) columns or more with at most max(1, share x inked rows) dark pixels, and where to cut them:
+    in the middle, where both sides and what the cut before leaves are `part` columns wide."""
+    rows = pixels.groupBy("page_id", "y").agg(F.count_if(F.col("lum") < dark).alias("n")).groupBy("page_id").agg(F.count_if(F.col("n") > 0).alias("inked"))
+    cols = pixels.groupBy("page_id", "x").agg(F.count_if(F.col("lum") < dark).alias("n")).join(rows, "page_id").where(F.col("n") <= F.greatest(F.lit(1.0), share * F.col("inked")))
     runs = cols.withColumn("g", F.col("x") - F.row_number().over(Window.partitionBy("page_id").orderBy("x"))).groupBy("page_id", "g")
-    out = runs.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n")).where(F.col("n") >= width)
-    return out.select("page_id", "x0", "x1", F.floor((F.col("x0") + F.col("x1")) / 2).alias("cut"))
+    out = runs.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n")).where(F.col("n") >= max(least, of_width * columns))
+    out = out.withColumn("cut", F.floor((F.col("x0") + F.col("x1")) / 2)).where((F.col("cut") >= part) & (columns - F.col("cut") >= part))
+    before = F.lag("cut").over(Window.partitionBy("page_id").orderBy("cut"))
+    return out.withColumn("before", before).where(F.col("before").isNull() | (F.col("cut") - F.col("before") >= part)).select("page_id", "x0", "x1", "cut")
 
 
 def is_bilevel(pixels: DataFrame, step: int) -> DataFrame:
-    """Whether every sampled pixel is near black or near white."""
-    return pixels.where((F.col("x") + F.col("y")) % step == 0).groupBy("page_id").agg(F.bool_and((F.col("lum") <= 8) | (F.col("lum") >= 247)).alias("bilevel"))
+    """Whether every sampled pixel is near black or near white in each channel (red, green, blue), and grey within 8."""
+    channels = [F.col(c) for c in ("red", "green", "blue")]
+    low, high = F.least(*channels), F.greatest(*channels)
+    return pixels.where((F.col("x") + F.col("y")) % step == 0).groupBy("page_id").agg(F.bool_and(((high <= 8) | (low >= 247)) & (high - low <= 8)).alias("bilevel"))

@@ -286,12 +286,29 @@ def r2_blank_pages(spark, sf_dir):
     return P.blank_pages(p, text)
 
 
-_BAND = f"{PIXELS}, b AS (SELECT page_id, lum, row_number() OVER (PARTITION BY page_id ORDER BY lum) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM pixels WHERE x IN (0, 7) OR y IN (0, 7))"
+# Red, green and blue of each pixel, by its brightness and place.
+_RGB = f"{PIXELS}, rgb AS (SELECT *, lum AS red, least(255, lum + x % 3 * CASE WHEN page_id % 5 = 0 THEN 0 ELSE 9 END) AS green, greatest(0, lum - y % 3 * CASE WHEN page_id % 5 = 0 THEN 2 ELSE 5 END) AS blue FROM pixels)"
 
 
-@query(f"WITH {_BAND}, m AS (SELECT page_id, lum FROM b WHERE rn = n // 2 + 1) SELECT page_id, CASE WHEN lum < 128 THEN 255 ELSE lum END AS paper, CASE WHEN lum < 128 THEN 34 ELSE 18 END AS tolerance FROM m")
+def _rgb(spark, sf_dir):
+    p, five = pixels(spark, sf_dir), F.col("page_id") % 5 == 0
+    green = F.least(F.lit(255), F.col("lum") + F.col("x") % 3 * F.when(five, 0).otherwise(9))
+    return p.withColumns({"red": F.col("lum"), "green": green, "blue": F.greatest(F.lit(0), F.col("lum") - F.col("y") % 3 * F.when(five, 2).otherwise(5))})
+
+
+@query(f"WITH {_RGB} SELECT page_id, x, y, ((red * 299 + green * 587 + blue * 114) // 1000)::BIGINT AS luma FROM rgb")
+def r1_luma(spark, sf_dir):
+    return _rgb(spark, sf_dir).select("page_id", "x", "y", P.luma(F.col("red"), F.col("green"), F.col("blue")).alias("luma"))
+
+
+@query(
+    f"""WITH {_RGB}, b AS (SELECT page_id, red, green, blue, row_number() OVER (PARTITION BY page_id ORDER BY red) AS nr, row_number() OVER (PARTITION BY page_id ORDER BY green) AS ng, row_number() OVER (PARTITION BY page_id ORDER BY blue) AS nb, count(*) OVER (PARTITION BY page_id) AS n
+        FROM rgb WHERE (x IN (0, 7) OR y IN (0, 7)) AND x % 2 = 0 AND y % 2 = 0),
+      m AS (SELECT page_id, max(red) FILTER (WHERE nr = n // 2 + 1) AS r, max(green) FILTER (WHERE ng = n // 2 + 1) AS g, max(blue) FILTER (WHERE nb = n // 2 + 1) AS b FROM b GROUP BY 1)
+      SELECT page_id, CASE WHEN r + g + b < 384 THEN 255 ELSE r END AS paper_red, CASE WHEN r + g + b < 384 THEN 255 ELSE g END AS paper_green, CASE WHEN r + g + b < 384 THEN 255 ELSE b END AS paper_blue, CASE WHEN r + g + b < 384 THEN 34 ELSE 18 END AS tolerance FROM m"""
+)
 def r3_paper_color(spark, sf_dir):
-    return P.paper_color(pixels(spark, sf_dir), 8)
+    return P.paper_color(_rgb(spark, sf_dir), 8, 8, channels=("red", "green", "blue"))
 
 
 @query(
@@ -304,13 +321,20 @@ def r4_content_box(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PIXELS}, c AS (SELECT page_id, x, count(*) FILTER (WHERE lum < 120) AS n FROM pixels GROUP BY 1, 2), l AS (SELECT *, x - row_number() OVER (PARTITION BY page_id ORDER BY x) AS g FROM c WHERE n <= 3)
-      SELECT page_id, min(x) AS x0, max(x) AS x1, (min(x) + max(x)) // 2 AS cut FROM l GROUP BY page_id, g HAVING count(*) >= 2"""
+    f"""WITH {PIXELS}, w AS (SELECT page_id, count(*) FILTER (WHERE n > 0) AS inked FROM (SELECT page_id, y, count(*) FILTER (WHERE lum < 120) AS n FROM pixels GROUP BY 1, 2) GROUP BY 1),
+      c AS (SELECT page_id, x, count(*) FILTER (WHERE lum < 120) AS n FROM pixels GROUP BY 1, 2), l AS (SELECT c.*, x - row_number() OVER (PARTITION BY page_id ORDER BY x) AS g FROM c JOIN w USING (page_id) WHERE n <= greatest(1.0, 0.4::DOUBLE * inked)),
+      r AS (SELECT page_id, min(x) AS x0, max(x) AS x1, (min(x) + max(x)) // 2 AS cut FROM l GROUP BY page_id, g HAVING count(*) >= 2), k AS (SELECT *, lag(cut) OVER (PARTITION BY page_id ORDER BY cut) AS before FROM r WHERE cut >= 2 AND 8 - cut >= 2)
+      SELECT page_id, x0, x1, cut FROM k WHERE before IS NULL OR cut - before >= 2"""
 )
 def r6_column_gaps(spark, sf_dir):
-    return P.column_gaps(pixels(spark, sf_dir), 120, 3, 2)
+    return P.column_gaps(pixels(spark, sf_dir), 120, 8, share=0.4, least=2, part=2)
 
 
-@query(f"WITH {PIXELS} SELECT page_id, bool_and(lum <= 8 OR lum >= 247) AS bilevel FROM pixels WHERE (x + y) % 2 = 0 GROUP BY 1")
+@query(f"WITH {_RGB}, w AS (SELECT page_id, x, y, CASE WHEN page_id % 4 = 0 THEN CASE WHEN red < 128 THEN 3 ELSE 250 END ELSE red END AS r, CASE WHEN page_id % 4 = 0 THEN CASE WHEN red < 128 THEN 5 ELSE 251 END ELSE green END AS g, CASE WHEN page_id % 8 = 0 THEN CASE WHEN red < 128 THEN 3 ELSE 250 END ELSE blue END AS b FROM rgb) SELECT page_id, bool_and((greatest(r, g, b) <= 8 OR least(r, g, b) >= 247) AND greatest(r, g, b) - least(r, g, b) <= 8) AS bilevel FROM w WHERE (x + y) % 2 = 0 GROUP BY 1")
 def r10_is_bilevel(spark, sf_dir):
-    return P.is_bilevel(pixels(spark, sf_dir), 2)
+    k, dark = F.col("page_id"), F.col("lum") < 128
+    p = _rgb(spark, sf_dir).withColumns({
+        "red": F.when(k % 4 == 0, F.when(dark, 3).otherwise(250)).otherwise(F.col("red")), "green": F.when(k % 4 == 0, F.when(dark, 5).otherwise(251)).otherwise(F.col("green")),
+        "blue": F.when(k % 8 == 0, F.when(dark, 3).otherwise(250)).otherwise(F.col("blue")),
+    })
+    return P.is_bilevel(p, 2)
