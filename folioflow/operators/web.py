@@ -401,11 +401,11 @@ def resolve_redirects(urls: DataFrame, rules: DataFrame, most: int = 8) -> DataF
     starts = F.filter(F.array(F.lit(0), *[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     for _ in range(most):
         tried = F.transform(starts, lambda n: F.struct(F.when(n == 0, "exact").otherwise("prefix").alias("kind"), F.when(n == 0, F.col("path")).otherwise(F.substring(F.col("path"), F.lit(1), n)).alias("pattern")))
-        asked = state.where(~F.col("done")).select("host", "path").distinct().select("host", "path", F.explode(tried).alias("t")).select("host", "path", "t.kind", "t.pattern")
-        met = asked.join(small, ["kind", "pattern"]).where(F.col("r_host").isNull() | (F.col("r_host") == F.col("host")))
-        best = met.groupBy(F.col("host").alias("m_host"), F.col("path").alias("m_path")).agg(F.min(F.struct("ord", "destination", "r_status")).alias("b"))
-        hit = state.join(best, F.col("host").eqNullSafe(F.col("m_host")) & (F.col("path") == F.col("m_path")) & ~F.col("done"), "left")
-        state = hit.select(
+        rows = state.withColumn("t", F.explode_outer(F.when(~F.col("done"), tried))).select("*", "t.kind", "t.pattern").drop("t")
+        met = rows.join(small, ["kind", "pattern"], "left")
+        fits = F.col("ord").isNotNull() & (F.col("r_host").isNull() | (F.col("r_host") == F.col("host")))
+        best = F.min(F.when(fits, F.struct("ord", "destination", "r_status"))).alias("b")
+        state = met.groupBy("host0", "path0", "host", "path", "steps", "status", "done").agg(best).select(
             "host0", "path0", "host",
             F.when(F.col("b.r_status") == 410, F.col("path")).otherwise(F.coalesce("b.destination", "path")).alias("path"),
             (F.col("steps") + F.col("b.ord").isNotNull().cast("int")).alias("steps"),
