@@ -14,7 +14,7 @@ from folioflow.llm.components import components
 from folioflow.llm.shingles import SKETCHES, set_key, shingle_sets, sketch
 
 CHUNK = 1_000_000
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 800_000
 KEY_BITS = 48
 COMMON = 8
 MANY = (1 << 16) - 1
