@@ -65,4 +65,46 @@ def fixity_sql() -> str:
       FROM x FULL JOIN k ON x.file_id = k.file_id AND x.start = k.start WHERE x.digest IS DISTINCT FROM k.digest"""
 
 
-ORACLES = {"op2_mixing": mix_sql(), "op7_ngram_join": jaccard_sql(), "op9_fixity": fixity_sql()}
+# Text of SQL: the crc32 of each byte value, and that of the bytes of a text.
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) AS v FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    data = f"list_transform(range(0, strlen({text})), lambda k: ('0x' || substr(hex({text}), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def spelling_sql(letters: int = 5, count: int = 3, times: int = 2) -> str:
+    """All words with one code point left out meet the words, and each other at the same place."""
+    return f"""WITH RECURSIVE {CRC_TABLE},
+      o AS (SELECT doc_id, translate(w, '{UPPER}', '{UPPER.lower()}') AS w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY 1, 2),
+      h AS (SELECT w, k, CASE WHEN doc_id IS NOT NULL THEN {crc_sql("(doc_id::VARCHAR || ':' || w)")} END AS h FROM o, crc),
+      e AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, k FROM h),
+      v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM e WHERE length(word) >= {letters} GROUP BY 1 HAVING sum(k) >= {count}),
+      d AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, unnest(range(0, length(word))) AS i FROM v)),
+      p AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.i = y.i AND x.less = y.less AND x.word <> y.word
+            UNION SELECT d.word, v.word FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.less = v.word),
+      f AS (SELECT p.a, count(*) AS n_near, arg_min(v.word, (-v.n, v.word)) AS b, max(v.n) AS bn FROM p JOIN v ON p.b = v.word GROUP BY 1),
+      w AS MATERIALIZED (SELECT v.word, v.n, coalesce(f.n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= {times} * v.n THEN b END AS form, CASE WHEN bn >= {times} * v.n THEN bn END AS form_n FROM v LEFT JOIN f ON f.a = v.word),
+      r(word, up) AS (SELECT word, word FROM w UNION ALL SELECT r.word, w.form FROM r JOIN w ON w.word = r.up WHERE w.form IS NOT NULL)
+      SELECT w.word, w.form, e.up AS root, w.n, w.n_near, w.form_n FROM w JOIN (SELECT r.word, r.up FROM r JOIN w ON w.word = r.up WHERE w.form IS NULL) e ON e.word = w.word"""
+
+
+def periodic_sql(length: int = 6, power: int = 4) -> str:
+    """Stretches of places whose word is that of q places on, of every q; those with a smaller period go."""
+    return f"""WITH {CRC_TABLE},
+      d0 AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{GAP}'), lambda x: x <> '') AS w, {crc_sql("doc_id::VARCHAR")} AS h FROM documents, crc),
+      d1 AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d0),
+      d AS MATERIALIZED (SELECT k, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) ELSE i END + 1]) END AS w FROM d1),
+      t AS MATERIALIZED (SELECT k, unnest(w) AS x, unnest(range(0, len(w))) AS i, len(w) AS n FROM d),
+      m AS (SELECT a.k, a.i, b.i - a.i AS q FROM t a JOIN t b ON a.k = b.k AND a.x = b.x AND b.i > a.i AND {power} * (b.i - a.i) <= a.n),
+      s AS (SELECT k, q, min(i) AS s, count(*) + q AS l FROM (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS g FROM m) GROUP BY k, q, g HAVING count(*) + q >= greatest({length}, {power} * q)),
+      r AS MATERIALIZED (SELECT * FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.k = x.k AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+      g AS (SELECT k, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS told, arg_min(struct_pack(s := s, l := l, q := q), (-l, s, q)) AS best FROM r GROUP BY k),
+      c AS (SELECT k, string_agg(x, ' ' ORDER BY i) AS told FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = t.k AND t.i >= r.s + r.q AND t.i < r.s + r.l) GROUP BY k)
+      SELECT d.doc_id, coalesce(g.n_runs, 0)::BIGINT AS n_runs, g.best.s::BIGINT AS start, g.best.l::BIGINT AS length, g.best.q::BIGINT AS period, (1000 * g.best.l // g.best.q)::BIGINT AS exponent_milli,
+        sha256(coalesce(g.told, '')) AS runs_sha256, sha256(coalesce(c.told, '')) AS collapsed_sha256 FROM d LEFT JOIN g USING (k) LEFT JOIN c USING (k)"""
+
+
+ORACLES = {"op2_mixing": mix_sql(), "op7_ngram_join": jaccard_sql(), "op9_fixity": fixity_sql(), "op11_spelling": spelling_sql(), "op12_periodic": periodic_sql()}

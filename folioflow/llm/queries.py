@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, fingerprints, language, main_text, mixing, neighbours, ngram_join, pii, toxicity, warc
-from folioflow.llm.common import table
+from folioflow.llm import bpe, fingerprints, language, main_text, mixing, neighbours, ngram_join, periodic, pii, spelling, token_counts, toxicity, warc
+from folioflow.llm.common import WORD, crc_of_id, table
 from folioflow.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
+COUNTED_BY = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -73,6 +74,49 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def letter_lost(doc_id: Column, word: Column) -> Column:
+    """The word without one letter where 97 divides the crc32 of `<doc_id>:<word>`; without an id the word stays."""
+    h = F.crc32(F.concat(doc_id.cast("string"), F.lit(":"), word).cast("binary"))
+    at = F.pmod(h, F.length(word)).cast("int")
+    return F.when(F.pmod(h, F.lit(97)) == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))).otherwise(word)
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.group_variants(spelling.vocabulary_of(table(spark, sf_dir, "documents"), letter_lost))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def with_repeated_tail(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where 10 divides h = crc32 of the id, with g = floor(h / 10) and n words, the words from a = g mod n on are word
+    a + (i - a) mod p of the text, p = 1 + floor((n - a) / (3 + g mod 8)). Rows without an id stay as they are."""
+    g = F.floor(crc_of_id() / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i))), " ")
+
+    words = F.array(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1))
+    told = F.get(F.transform(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit(""))), F.lit(0))
+    return docs.select("doc_id", F.when((F.pmod(crc_of_id(), F.lit(10)) == 0) & F.col("text").isNotNull(), told).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_repeated_tail(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.withColumn("first", first).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("first.start").alias("start"), (-F.col("first.less")).alias("length"), F.col("first.period").alias("period"),
+        F.floor(1000 * -F.col("first.less") / F.col("first.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(COUNTED_BY))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_fingerprints, op2_mixing, op3_pii, op4_main_text, op5_neighbours, op6_language, op7_ngram_join, op8_toxicity, op9_fixity, op10_bpe, pipeline,
+        op1_fingerprints, op2_mixing, op3_pii, op4_main_text, op5_neighbours, op6_language, op7_ngram_join, op8_toxicity, op9_fixity, op10_bpe,
+        op11_spelling, op12_periodic, op13_token_counts, pipeline,
     )
 }
