@@ -152,4 +152,6 @@ def vocabulary_of(docs: DataFrame, edit=None, least_letters: int = LEAST_LETTERS
     words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"({RUN})"), 1)).alias("run"))
     words = words.select("doc_id", lowered(F.col("run")).alias("run"))
     told = words.select((edit(F.col("doc_id"), F.col("run")) if edit else F.col("run")).alias("word"))
-    return told.where(F.length("word") >= least_letters).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
+    # the length comes through the sum, for a condition on words would be moved down and make each word twice
+    summed = told.groupBy("word").agg(F.count("*").alias("n"), F.max(F.length("word")).alias("letters"))
+    return summed.where((F.col("letters") >= least_letters) & (F.col("n") >= least_count)).select("word", "n")

@@ -17,7 +17,7 @@ LIMIT = 512
 RUN_BYTES = 2_000_000
 PART_CHARS = 500_000
 BATCH_CHARS = 64_000
-KEPT_CHARS = 24_000_000
+KEPT_CHARS = 60_000_000
 # What a piece costs to keep besides its characters.
 PIECE_COST = 64
 
@@ -120,7 +120,7 @@ class Lengths:
             if self.room < 0:
                 self.known.clear()
                 self.room = KEPT_CHARS
-            cut = [(i, pieces_of(part)) for i, text in enumerate(group) for part in parts_of(text)]
+            cut = [(i, pieces_of(part)) for i, text in enumerate(group) for part in parts_of(text, PART_CHARS)]
             known = self.known
             new = list({p for _, pieces in cut for p in pieces if p not in known})
             self.room -= sum(map(len, new)) + PIECE_COST * len(new)
