@@ -65,6 +65,7 @@ class Coder:
         self.starts = "".join({t["content"][0] for t in added})
         self.known: dict[str, tuple[bytes, str]] = {}  # pieces -> ids as bytes, decoded
         self.tails: dict[str, bool] = {}
+        self.ends: dict[tuple[str, str], bool] = {}
         self.by_words = self.plain and self.parts_at_spaces()
         letters = [chr(c) for c in range(65, 91)]
         self.lowers = self.by_words and self.ids_of([f"{c}a{c}" for c in letters]) == self.ids_of([f"{c}a{c}".lower() for c in letters])
@@ -98,6 +99,19 @@ class Coder:
             self.tails[tail] = good
         return good
 
+    def ends_apart(self, last: str, tail: str) -> bool:
+        """Whether these signs part from this letter or digit, tried once for each such pair: what normalisation makes of a letter may
+        end in a mark that signs join."""
+        good = self.ends.get((last, tail))
+        if good is None:
+            both, alone, sign = self.ids_of(["a" + last + tail, "a" + last, tail])
+            only, bare = self.ids_of([last + tail, last])
+            good = both == alone + sign and only == bare + sign
+            if len(self.ends) >= KEPT_PIECES:
+                self.ends.clear()
+            self.ends[last, tail] = good
+        return good
+
     def pieces_of(self, word: str) -> tuple[str, ...]:
         """A word without what the tokenizer parts from it and, if ASCII, in lower case, where the tokenizer does so."""
         for c in self.starts:
@@ -105,7 +119,7 @@ class Coder:
                 return (word,)
         body = word.rstrip(TAIL)
         tail = word[len(body) :]
-        if tail and not (body and body[-1].isalnum() and self.parts_tail(tail)):
+        if tail and not (body and body[-1].isalnum() and self.parts_tail(tail) and (body[-1].isascii() or self.ends_apart(body[-1], tail))):
             body, tail = word, ""
         if self.lowers and body.isascii():
             body = body.lower()

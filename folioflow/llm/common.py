@@ -80,14 +80,19 @@ def crc_of_id(column: str = "doc_id") -> Column:
 
 def sample_by_class(df: DataFrame, label: str, key: Column, per_class: int) -> DataFrame:
     """About per_class rows of each class, by a threshold on a hash of the key, so that no class is ranked or
-    gathered: one count per class fixes the thresholds. Rows with a null label are left out. The sample is
-    bounded by classes x per_class (within the spread of the hash)."""
+    gathered: one count per class fixes the thresholds. Rows with a null label are left out. The sample has at most 2 x classes x per_class
+    rows, also where many rows share a key."""
     counts = {r[label]: r["n"] for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()}
     draw = F.shiftrightunsigned(F.xxhash64(key, F.lit(20240229)), 1) / F.lit(float(1 << 63))
     chosen = F.lit(False)
     for value in sorted(counts):
         chosen = chosen | ((F.col(label) == F.lit(value)) & (draw < F.lit(min(1.0, per_class / counts[value]))))
-    return df.where(chosen)
+    return bounded(df.where(chosen), 2 * per_class * len(counts))
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """At most this many rows, those with the smallest hashes of all their columns."""
+    return df.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).limit(most)
 
 
 def runs(texts: pa.Array, limit: int = RUN_CHARS):

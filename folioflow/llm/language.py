@@ -23,7 +23,12 @@ _U = np.uint64
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The runs of letters, in lower case. Numerals and other signs that are no letters part words."""
+    low = (text or "").lower()
+    words = _WORD.findall(low)
+    if low.isascii():
+        return words
+    return [p for w in words for p in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 class Field:
@@ -227,10 +232,10 @@ def learn_languages(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, word
     """Fit on a bounded sample of the rows that may be learned from (crc32 of the id mod 4 is not 2, lang not null):
     about per_language documents of each language, of each at most `words` words in a row from a place set by a hash."""
     known = docs.where((F.pmod(crc_of_id(), F.lit(4)) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sample_by_class(known.select("doc_id", "lang", "text"), "lang", F.col("doc_id"), per_language)
     parts = F.split("text", GAP)
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size("parts") - words, F.lit(0)) + 1).cast("int") + 1
-    rows = sample.select("doc_id", "lang", parts.alias("parts")).select("doc_id", "lang", F.array_join(F.slice("parts", start, words), " ").alias("text"))
+    cut = known.select("doc_id", "lang", parts.alias("parts")).select("doc_id", "lang", F.array_join(F.slice("parts", start, words), " ").alias("text"))
+    rows = sample_by_class(cut, "lang", F.col("doc_id"), per_language)
     got = sorted((r["lang"], r["doc_id"], r["text"]) for r in rows.collect())
     return fit([(lang, words_of(text)) for lang, _, text in got])
 

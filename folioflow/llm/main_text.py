@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import runs
 from folioflow.llm.mincut import min_cut
 
-# A tag has up to 400 quoted values of up to 10,000 characters; one with more, or with a quote that does not end, ends at the next >.
+# The first pattern of a tag takes up to 400 quoted values of up to 10,000 characters at once. Where it fails, _tag_end looks for the tag's end
+# step by step; a tag with a quote that does not end goes to the next >.
 _PIECE = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]{0,10000}"|'[^']{0,10000}'){0,800}+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S
 )
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNQUOTED = re.compile(r"""[^>"']*""")
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
@@ -81,6 +83,22 @@ def _attributes(text: str) -> tuple[list, bool]:
     return names, hidden
 
 
+def _tag_end(source: str, at: int, open_quotes: set[int]) -> int:
+    """The place of the > that ends a tag, outside of quotes, or -1. open_quotes keeps the quotes from which no end was found, so that no part of
+    a page is searched more than twice."""
+    tried = []
+    while True:
+        at = _UNQUOTED.match(source, at).end()
+        if at < len(source) and source[at] == ">":
+            return at
+        behind = source.find(source[at], at + 1) + 1 if at < len(source) and at not in open_quotes else 0
+        tried.append(at)
+        if not behind:
+            open_quotes.update(tried)
+            return -1
+        at = behind
+
+
 def blocks_of(page: str | None) -> list[tuple]:
     """(text, element, characters inside links) of every visible block with text, in page order. Character references
     are decoded and white space is turned into single spaces."""
@@ -100,6 +118,7 @@ def blocks_of(page: str | None) -> list[tuple]:
 
     at = 0
     last = source.rfind(">")
+    open_quotes: set[int] = set()
     while at < len(source):
         if at > last:  # no tag ends any more
             held.append(source[at:])
@@ -108,6 +127,9 @@ def blocks_of(page: str | None) -> list[tuple]:
         at = m.end()
         piece = m.group()
         tag = m.group(2) or m.group(5)
+        rest = m.group(3) if m.group(2) else m.group(6)
+        if m.group(5) and (end := _tag_end(source, m.end(5), open_quotes)) >= 0:
+            rest, at = source[m.end(5) : end], end + 1
         if tag is None:
             if not piece.startswith(("<!", "<?")):
                 held.append(piece)
@@ -120,7 +142,7 @@ def blocks_of(page: str | None) -> list[tuple]:
                 links = max(0, links - 1)
             elif tag == "br":
                 held.append(" ")
-            elif tag in BLOCKS or tag in UNSEEN:
+            elif tag in BLOCKS or tag in UNSEEN or tag == "button":
                 node = here
                 while node and node.tag != tag:
                     node = node.up
@@ -129,7 +151,6 @@ def blocks_of(page: str | None) -> list[tuple]:
                     here = node.up
                     links = 0
             continue
-        rest = m.group(3) if m.group(2) else m.group(6)
         if tag == "br":
             held.append(" ")
         elif tag in BLOCKS or tag in UNSEEN or (tag == "button"):

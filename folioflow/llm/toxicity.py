@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import checkpointed, crc_of_id, release, sample_by_class
+from folioflow.llm.common import bounded, checkpointed, crc_of_id, release, sample_by_class
 from folioflow.llm.ngram_join import _runs
 
 PER_CLASS = 3000
@@ -56,6 +57,18 @@ def fold(text: str | None) -> str:
     return " " + _OTHER.sub(" ", _AGAIN.sub(r"\1", t)).strip() + " "
 
 
+def joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the stretches that spans cover together, in order."""
+    begins, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
 class Lexicon:
     """Weights of whole words (' word ') and of stems (' stem') for an Aho-Corasick automaton."""
 
@@ -81,7 +94,10 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        kept = [w for at, w in best.items() if not any(a <= at < b for a, b in spared)] if spared else list(best.values())
+        if spared:
+            begins, ends = joined(spared)
+            best = {at: w for at, w in best.items() if (k := bisect_right(begins, at)) == 0 or at >= ends[k - 1]}
+        kept = list(best.values())
         return [float(folded.count(" ") - 1), float(sum(kept)), float(max(kept, default=0.0)), float(len(kept))]
 
 
@@ -213,6 +229,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     size = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = sample_by_class(marked, "toxic", F.col("doc_id"), per_class)  # about 2 x per_class rows
     sample = docs.where(F.pmod(crc_of_id(), F.lit(3)) != 1).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = bounded(sample, 4 * per_class)  # ids may repeat
     weights, harmless = _lexicon_of(sample)
     for word in SEED:
         weights.setdefault(fold(word), LEAST_ODDS)
