@@ -115,12 +115,12 @@ def scan_markers(content: Column) -> dict[str, Column]:
     return {"version": F.nullif(F.regexp_extract(F.substring(text, 1, 1024), r"%PDF-(\d\.\d)", 1), F.lit("")), "linearised": linear, "saves": saves.cast("long")}
 
 
-def signature_coverage(fields: DataFrame, most: int = 12) -> DataFrame:
-    """Signature fields (field, parent, type, offset, length, file_size): the type may come from a parent; the signed range covers the whole
-    file, leaves later changes out, or is empty."""
+def signature_coverage(fields: DataFrame, checkpointed) -> DataFrame:
+    """Signature fields (field, parent, type, offset, length, file_size): the type may come from a parent, however far up; the signed range covers the
+    whole file, leaves later changes out, or is empty."""
     from folioflow.operators.relational import resolve_inherited
 
-    kinds = resolve_inherited(fields.select(F.col("field").alias("node"), "parent", F.col("type").alias("value")), most).select(F.col("node").alias("field"), F.col("value").alias("kind"))
+    kinds = resolve_inherited(fields.select(F.col("field").alias("node"), "parent", F.col("type").alias("value")), checkpointed).select(F.col("node").alias("field"), F.col("value").alias("kind"))
     state = F.when(F.col("length").isNull(), "empty").when(F.col("offset") + F.col("length") >= F.col("file_size"), "whole").otherwise("later changes")
     leaves = fields.join(fields.select(F.col("parent").alias("field")).distinct(), "field", "left_anti")
     return leaves.join(kinds, "field").where("kind = 'Sig'").select("field", state.alias("coverage"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import metadata as M
 from folioflow.plans.registry import query
+from folioflow.sources.scratch import written
 from folioflow.sources.tables import FILE_META, SECURITY, file_meta, file_security, load
 
 _CLEAN = "nullif(trim(title), '')"
@@ -133,7 +134,7 @@ def m11_signature_coverage(spark, sf_dir):
                     F.when(k % 3 == 1, 900).when(k % 3 == 2, 500).cast("long").alias("length"), F.lit(1000).cast("long").alias("file_size"))
     mid = p.select(F.concat(F.lit("mid"), k).alias("field"), F.concat(F.lit("top"), (k % 2)).alias("parent"))
     top = spark.range(2).select(F.concat(F.lit("top"), "id").alias("field"), F.lit(None).cast("string").alias("parent"), F.when(F.col("id") == 1, "Sig").otherwise("Tx").alias("type"))
-    return M.signature_coverage(leaf.unionByName(mid, allowMissingColumns=True).unionByName(top, allowMissingColumns=True), most=3)
+    return M.signature_coverage(leaf.unionByName(mid, allowMissingColumns=True).unionByName(top, allowMissingColumns=True), written)
 
 
 @query(

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one if it is unset."""
+    """The shared folder that spark.checkpoint.dir names; a temporary one only where it is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

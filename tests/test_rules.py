@@ -227,3 +227,13 @@ def test_votes_of_a_batch_that_comes_again(spark, tmp_path):
     for epoch, rows in ((0, first), (1, second), (1, second)):
         store.upsert(spark.createDataFrame(rows, schema), epoch)
     assert sorted((r.voter, r.score) for r in store.votes(spark).collect()) == [(1, 2), (2, 3)]
+
+
+def test_signature_type_comes_from_far_up(spark):
+    from folioflow.operators.metadata import signature_coverage
+    from folioflow.sources.scratch import written
+
+    rows = [("f0", None, "Sig", None, None, 1000)] + [(f"f{i}", f"f{i - 1}", None, None, None, 1000) for i in range(1, 5)]
+    rows += [("f5", "f4", None, 100, 900, 1000), ("g5", "f4", None, 100, 500, 1000), ("h5", "f4", None, None, None, 1000), ("x", "none", None, 1, 1, 1000), ("y", "z", None, 1, 1, 10), ("z", "y", None, 1, 1, 10)]
+    got = signature_coverage(spark.createDataFrame(rows, "field string, parent string, type string, offset long, length long, file_size long"), written).collect()
+    assert {(r.field, r.coverage) for r in got} == {("f5", "whole"), ("g5", "later changes"), ("h5", "empty")}
