@@ -1,5 +1,5 @@
-"""Ordered page manifests: ranges, splits, merges and edits. Position is data; every renumbering window is partitioned by
-the output document."""
+"""Ordered page manifests: ranges, splits, merges and edits. Position is data; an output of any number of pages is numbered in ranges,
+never in one window."""
 
 from __future__ import annotations
 
@@ -7,25 +7,71 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.sources.scratch import written
 
 DIALECTS = ("strict", "open", "lenient", "swap")
 
 
+def _same(left: DataFrame, right: DataFrame, names: list[str], prefix: str) -> Column:
+    return F.lit(True) if not names else _all(left[n].eqNullSafe(right[prefix + n]) for n in names)
+
+
+def _all(conditions) -> Column:
+    out = None
+    for c in conditions:
+        out = c if out is None else out & c
+    return out
+
+
+def numbered(df: DataFrame, by: list[str], *order, name: str = "pos") -> DataFrame:
+    """df with the number of each row among those with the same `by`, in this order, from 1 on; ties take any order.
+
+    Rows are dealt into ranges of (by, order), so that a group of any size lies in as many tasks as its rows fill, and written with
+    their place in their range. What comes before a range's share of a group is a running sum over one row a range and group."""
+    place, part = "numbering_place", F.shiftright("numbering_place", 33)  # what monotonically_increasing_id() puts the partition into
+    keys = [F.col(c) for c in by]
+    placed = written(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn(place, F.monotonically_increasing_id()))
+    shares = placed.groupBy(*[F.col(c).alias(f"numbering_{c}") for c in by], part.alias("numbering_part")).agg(F.min(place).alias("numbering_first"), F.count("*").alias("numbering_rows"))
+    earlier = Window.partitionBy(*[f"numbering_{c}" for c in by]).orderBy("numbering_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("numbering_rows").over(earlier), F.lit(0)) - F.col("numbering_first") + 1
+    shares = shares.select(*[f"numbering_{c}" for c in by], "numbering_part", shift.alias("numbering_shift"))
+    met = placed.join(shares, _same(placed, shares, by, "numbering_") & (part == F.col("numbering_part")))
+    columns = [c for c in df.columns if c != name]
+    return met.select(*[placed[c] for c in columns], (F.col(place) + F.col("numbering_shift")).cast("long").alias(name))
+
+
 def renumber(m: DataFrame, doc: str, *order) -> DataFrame:
-    return m.withColumn("pos", F.row_number().over(Window.partitionBy(doc).orderBy(*order)).cast("long"))
+    return numbered(m, [doc], *[F.col(c) if isinstance(c, str) else c for c in order])
+
+
+def per_output(m: DataFrame, **values: Column) -> DataFrame:
+    """m with sums over each output, which are counted first in every task and joined as one row an output."""
+    sums = m.groupBy(F.col("out_id").alias("sums_of")).agg(*[v.alias(k) for k, v in values.items()])
+    return m.join(sums, m["out_id"].eqNullSafe(F.col("sums_of"))).drop("sums_of")
 
 
 def merge_manifests(m: DataFrame) -> DataFrame:
     """Selected pages of each file, files and pages in order, as one output; the first page of each file is a
-    bookmark when the output has several files; prev and next name the file around."""
-    w = Window.partitionBy("out_id").orderBy("file_id", "page")
-    out = m.where("selected").withColumn("pos", F.row_number().over(w).cast("long"))
-    out = out.withColumn("first_pos", F.min("pos").over(Window.partitionBy("out_id", "file_id")))
-    whole = Window.partitionBy("out_id")
-    several = F.min("file_id").over(whole) != F.max("file_id").over(whole)
-    return out.select(
-        "out_id", "file_id", "page", "pos", ((F.col("pos") == F.col("first_pos")) & several).alias("bookmark"),
-        F.lag("file_id").over(w).alias("prev_file"), F.lead("file_id").over(w).alias("next_file"),
+    bookmark when the output has several files; prev and next name the file of the page before and behind.
+
+    Only files are compared with each other: a file's neighbours are those that end and begin beside it."""
+    out = numbered(m.where("selected").select("out_id", "file_id", "page"), ["out_id"], F.col("file_id"), F.col("page"))
+    files = out.groupBy("out_id", "file_id").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    several = per_output(files, least=F.min("file_id"), most=F.max("file_id")).withColumn("several", F.col("least") != F.col("most"))
+
+    def beside(name: str, edge: str, step: int) -> DataFrame:
+        return files.select(F.col("out_id").alias("o"), (F.col(edge) + step).alias("at"), F.col("file_id").alias(name))
+
+    told = several
+    for name, edge, step, own in (("before", "last", 1, "first"), ("behind", "first", -1, "last")):
+        side = beside(name, edge, step)
+        told = told.join(side, told["out_id"].eqNullSafe(side["o"]) & (told[own] == side["at"]), "left").drop("o", "at")
+    told = told.select(F.col("out_id").alias("o"), F.col("file_id").alias("f"), "first", "last", "several", "before", "behind")
+    met = out.join(told, out["out_id"].eqNullSafe(told["o"]) & out["file_id"].eqNullSafe(told["f"]))
+    return met.select(
+        "out_id", "file_id", "page", "pos", ((F.col("pos") == F.col("first")) & F.coalesce("several", F.lit(False))).alias("bookmark"),
+        F.when(F.col("pos") == F.col("first"), F.col("before")).otherwise(F.col("file_id")).alias("prev_file"),
+        F.when(F.col("pos") == F.col("last"), F.col("behind")).otherwise(F.col("file_id")).alias("next_file"),
     )
 
 
@@ -153,8 +199,8 @@ def pick_pages(m: DataFrame, mode: str) -> DataFrame:
 
 def page_cap(m: DataFrame, n: int) -> DataFrame:
     """The first n selected pages of an output stay; later ones are flagged as skipped."""
-    w = Window.partitionBy("out_id").orderBy("file_id", "page")
-    return m.where("selected").select("out_id", "file_id", "page", (F.row_number().over(w) > n).alias("skipped"))
+    rows = numbered(m.where("selected").select("out_id", "file_id", "page"), ["out_id"], F.col("file_id"), F.col("page"))
+    return rows.select("out_id", "file_id", "page", (F.col("pos") > n).alias("skipped"))
 
 
 def insert_pages(m: DataFrame, new: DataFrame, at: int, most: int = 1500) -> DataFrame:
@@ -172,10 +218,9 @@ def insert_pages(m: DataFrame, new: DataFrame, at: int, most: int = 1500) -> Dat
 def delete_pages(m: DataFrame, gone: DataFrame) -> DataFrame:
     """Pages without those of gone (out_id, pos), renumbered; a document that would lose all pages is left and flagged."""
     marked = m.join(gone.select("out_id", "pos", F.lit(True).alias("drop")), ["out_id", "pos"], "left")
-    w = Window.partitionBy("out_id")
-    refused = F.count("drop").over(w) == F.count("*").over(w)
-    kept = marked.withColumn("refused", refused).where("refused or drop is null")
-    return renumber(kept.drop("drop"), "out_id", "pos")
+    counted = per_output(marked, n_gone=F.count("drop"), n_all=F.count("*"))
+    kept = counted.withColumn("refused", F.col("n_gone") == F.col("n_all")).where("refused or drop is null")
+    return renumber(kept.drop("drop", "n_gone", "n_all"), "out_id", "pos")
 
 
 def duplicate_pages(m: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -187,8 +232,7 @@ def duplicate_pages(m: DataFrame, chosen: DataFrame) -> DataFrame:
 def insert_blank(m: DataFrame, after: int) -> DataFrame:
     """A blank page (src -1) behind position `after` of each document, or behind its last: as large as that page, sides
     swapped if it is turned by 90 or 270 degrees."""
-    last = F.max("pos").over(Window.partitionBy("out_id"))
-    at = m.withColumn("top", last).where(F.col("pos") == F.least(F.lit(after), F.col("top"))).drop("top")
+    at = per_output(m, top=F.max("pos")).where(F.col("pos") == F.least(F.lit(after), F.col("top"))).drop("top")
     turned = F.pmod("rot", F.lit(180)) == 90
     blank = at.withColumns({"w": F.when(turned, F.col("h")).otherwise(F.col("w")), "h": F.when(turned, F.col("w")).otherwise(F.col("h")), "src": F.lit(-1).cast("long"), "page": F.lit(0).cast("long"), "rot": F.lit(0).cast("long"), "blank": F.lit(1)})
     return renumber(m.withColumn("blank", F.lit(0)).unionByName(blank), "out_id", "pos", "blank")
@@ -205,15 +249,22 @@ def reverse_pages(m: DataFrame) -> DataFrame:
 
 
 def interleave(m: DataFrame, reverse_second: bool = False) -> DataFrame:
-    """The first two sources of each document alternate; the longer one's rest follows, then the other sources."""
-    first_pos = m.groupBy("out_id", "src").agg(F.min("pos").alias("p"))
-    rank = first_pos.withColumn("rank", F.row_number().over(Window.partitionBy("out_id").orderBy("p"))).drop("p")
-    ranked = m.join(rank, ["out_id", "src"])
-    per = Window.partitionBy("out_id", "src")
-    up, down = F.row_number().over(per.orderBy("pos")), F.row_number().over(per.orderBy(F.desc("pos")))
-    index = F.when((F.col("rank") == 2) & F.lit(reverse_second), down).otherwise(up)
-    rows = ranked.withColumn("index", F.when(F.col("rank") <= 2, index)).withColumn("late", (F.col("rank") > 2).cast("int"))
-    return renumber(rows, "out_id", "late", "index", F.when(F.col("rank") <= 2, F.col("rank")), "pos").drop("late", "index", "rank")
+    """The first two sources of each document alternate; the longer one's rest follows, then the other sources.
+
+    The two sources come from two minima over each output; only their pages are numbered within the source."""
+    firsts = m.groupBy("out_id", "src").agg(F.struct(F.min("pos").alias("p"), F.col("src").alias("s")).alias("at"))
+    one = per_output(firsts, lead=F.min("at"))
+    two = one.groupBy(F.col("out_id").alias("o")).agg(F.min("lead").alias("lead"), F.min(F.when(F.col("at") != F.col("lead"), F.col("at"))).alias("next"))
+    two = two.select("o", F.col("lead.s").alias("lead"), F.col("next.s").alias("next"))
+    met = m.join(two, m["out_id"].eqNullSafe(two["o"])).drop("o")
+    met = met.withColumn("rank", F.when(F.col("src") == F.col("lead"), 1).when(F.col("src") == F.col("next"), 2)).drop("lead", "next")
+    early = numbered(met.where("rank is not null"), ["out_id", "rank"], F.col("pos"), name="index")
+    if reverse_second:
+        size = early.where("rank = 2").groupBy(F.col("out_id").alias("o")).agg(F.count("*").alias("n"))
+        early = early.join(size, early["out_id"].eqNullSafe(size["o"]), "left").withColumn("index", F.when(F.col("rank") == 2, F.col("n") + 1 - F.col("index")).otherwise(F.col("index"))).drop("o", "n")
+    late = met.where("rank is null").withColumn("index", F.lit(None).cast("long"))
+    rows = early.withColumn("late", F.lit(0)).unionByName(late.withColumn("late", F.lit(1)))
+    return renumber(rows, "out_id", "late", "index", "rank", "pos").drop("late", "index", "rank")
 
 
 def original_order(m: DataFrame) -> DataFrame:
@@ -223,5 +274,5 @@ def original_order(m: DataFrame) -> DataFrame:
 
 def rotate_pages(m: DataFrame, degrees: int) -> DataFrame:
     """Turn the selected pages of each document, or all if none is selected."""
-    any_ = F.max("selected").over(Window.partitionBy("out_id"))
-    return m.withColumn("rot", F.when(F.col("selected") | ~any_, F.pmod(F.col("rot") + degrees, F.lit(360))).otherwise(F.col("rot")))
+    met = per_output(m, any_selected=F.max("selected"))
+    return met.withColumn("rot", F.when(F.col("selected") | ~F.col("any_selected"), F.pmod(F.col("rot") + degrees, F.lit(360))).otherwise(F.col("rot"))).drop("any_selected")

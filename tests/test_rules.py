@@ -237,3 +237,28 @@ def test_signature_type_comes_from_far_up(spark):
     rows += [("f5", "f4", None, 100, 900, 1000), ("g5", "f4", None, 100, 500, 1000), ("h5", "f4", None, None, None, 1000), ("x", "none", None, 1, 1, 1000), ("y", "z", None, 1, 1, 10), ("z", "y", None, 1, 1, 10)]
     got = signature_coverage(spark.createDataFrame(rows, "field string, parent string, type string, offset long, length long, file_size long"), written).collect()
     assert {(r.field, r.coverage) for r in got} == {("f5", "whole"), ("g5", "later changes"), ("h5", "empty")}
+
+
+def test_numbering_of_one_large_output(spark):
+    """One output holds half of all pages: it lies in many tasks, none has a window over it, and numbers are those of a window."""
+    from pyspark.sql import Window
+
+    from folioflow.operators import manifest as M
+
+    m = spark.range(40000).select(F.when(F.col("id") < 20000, "one").when(F.col("id") < 20100, F.lit(None)).otherwise(F.concat(F.lit("o"), F.col("id") % 300)).alias("out_id"), (F.col("id") % 7).alias("src"), ((F.col("id") * 7919) % 40009).alias("page"))
+    got = M.numbered(m, ["out_id"], F.col("src"), F.desc("page"))
+    want = m.withColumn("pos", F.row_number().over(Window.partitionBy("out_id").orderBy("src", F.desc("page"))).cast("long"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line or "Window(" in line]
+    assert windows and all("numbering_part" in w for w in windows)
+    width = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = M.numbered(m.withColumn("task", F.lit(0)), ["out_id"], F.col("src"), F.col("page"))
+        parts = table.inputFiles()
+        sizes = [spark.read.parquet(f).where("out_id = 'one'").count() for f in parts]
+        assert sum(sizes) == 20000 and max(sizes) < 16000 and sum(n > 0 for n in sizes) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", width)
+    assert M.numbered(m.limit(0), ["out_id"], F.col("src")).count() == 0
