@@ -27,16 +27,46 @@ def _otp(spark, sf_dir) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("key"), "event_id", (F.col("event_id") * 3).cast("double").alias("at"), action.alias("action"))
 
 
-def _finished(spark, df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a streaming query over what is there and return its rows, kept in the shared folder."""
+def _base(spark, kind: str) -> str:
     from folioflow.sources.scratch import folder
 
-    base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    writer = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
-    writer.start().awaitTermination()
+    return f"{folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def ended(writer, base: str, conf: dict | None = None):
+    """The streaming query of a writer, run until it has read what is there. conf holds while it starts."""
+    spark = writer._spark
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        query = writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query.awaitTermination()
+    return query
+
+
+def _finished(spark, df: DataFrame, conf: dict | None = None) -> DataFrame:
+    """Run a streaming query over what is there and return its rows, kept in the shared folder."""
+    base = _base(spark, "stream")
+    ended(df.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append"), base, conf)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def replayed(df: DataFrame, at: str, slices: int = 4) -> DataFrame:
+    """The rows of a table as a stream that brings them in order of `at`, in about as many micro-batches as there are slices of time."""
+    spark, base = df.sparkSession, _base(df.sparkSession, "replay")
+    low, high = df.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    low, high = low or 0, high or 0
+    number = F.least(F.floor((F.unix_micros(at) - low) * slices / F.lit(max(1, high - low))), F.lit(slices - 1))
+    for i in range(slices):
+        df.where(F.coalesce(number, F.lit(0)) == i).write.mode("append").parquet(base)
+    files = len(spark.read.schema(df.schema).parquet(base).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // slices)).parquet(base)
+
+
 def _rate_sql(spacing: float, n: int, window: int) -> str:
     return f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, event_id * {spacing}::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
       f AS (SELECT key, event_id, rn, tm + {window} AS reset, 1 AS used, true AS ok FROM e WHERE rn = 1
@@ -67,7 +97,8 @@ def _otp_sql(reset: bool) -> str:
     """The fold with one row a step: state s(sent, tries, locked, verified) and a verdict of every event."""
     end = "NULL" if not reset else "f.sent"
     right = "'verified'" if not reset else "'token'"
-    live = "f.sent IS NOT NULL AND NOT (f.locked IS NOT NULL AND e.tm < f.locked)"
+    gone = f"(f.sent IS NULL OR e.tm > f.sent + {S.OTP_LIFE + S.KNOWN_EXPIRED})"
+    live = f"NOT {gone} AND NOT (f.locked IS NOT NULL AND e.tm < f.locked)"
     return f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, (event_id * 3)::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
         CASE event_type WHEN 'signup' THEN 'send' WHEN 'click' THEN 'wrong' WHEN 'purchase' THEN 'right' ELSE 'none' END AS act FROM events),
       f AS (SELECT user_id::VARCHAR AS key, NULL::BIGINT AS event_id, 0::BIGINT AS rn, NULL::DOUBLE AS sent, 0 AS tries, NULL::DOUBLE AS locked, NULL::VARCHAR AS verdict FROM (SELECT DISTINCT user_id FROM events)
@@ -75,7 +106,7 @@ def _otp_sql(reset: bool) -> str:
           CASE WHEN act = 'send' THEN CASE WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN f.sent ELSE e.tm END WHEN act IN ('right', 'wrong') AND {live} THEN CASE WHEN e.tm > f.sent + {S.OTP_LIFE} THEN NULL WHEN act = 'wrong' THEN f.sent ELSE {end} END ELSE f.sent END,
           CASE WHEN act = 'send' THEN CASE WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN f.tries ELSE 0 END WHEN act IN ('right', 'wrong') AND {live} THEN CASE WHEN e.tm > f.sent + {S.OTP_LIFE} THEN 0 WHEN act = 'wrong' THEN f.tries + 1 ELSE {"f.tries" if reset else "0"} END ELSE f.tries END,
           CASE WHEN act = 'send' THEN CASE WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN f.locked ELSE NULL END WHEN act IN ('right', 'wrong') AND {live} THEN CASE WHEN e.tm > f.sent + {S.OTP_LIFE} THEN NULL WHEN act = 'wrong' AND f.tries + 1 >= {S.MOST_TRIES} THEN e.tm + {S.OTP_LOCK} ELSE NULL END ELSE f.locked END,
-          CASE WHEN act = 'send' THEN CASE WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN 'locked' ELSE 'sent' END WHEN act NOT IN ('right', 'wrong') THEN 'ignored' WHEN f.sent IS NULL THEN 'none' WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN 'locked'
+          CASE WHEN act = 'send' THEN CASE WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN 'locked' ELSE 'sent' END WHEN act NOT IN ('right', 'wrong') THEN 'ignored' WHEN {gone} THEN 'none' WHEN f.locked IS NOT NULL AND e.tm < f.locked THEN 'locked'
             WHEN e.tm > f.sent + {S.OTP_LIFE} THEN 'expired' WHEN act = 'wrong' THEN CASE WHEN f.tries + 1 >= {S.MOST_TRIES} THEN 'locked now' ELSE 'wrong' END ELSE {right} END
         FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)
       SELECT key, event_id, verdict FROM f WHERE rn > 0"""
@@ -94,7 +125,7 @@ def t3_otp_reset(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, (event_id * 3)::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, event_type = 'signup' AS issue FROM events),
       f AS (SELECT user_id::VARCHAR AS key, NULL::BIGINT AS event_id, 0::BIGINT AS rn, NULL::DOUBLE AS issued, NULL::VARCHAR AS verdict FROM (SELECT DISTINCT user_id FROM events)
-        UNION ALL SELECT e.key, e.event_id, e.rn, CASE WHEN issue THEN e.tm END, CASE WHEN issue THEN 'issued' WHEN f.issued IS NULL THEN 'invalid' WHEN e.tm <= f.issued + {S.TOKEN_LIFE} THEN 'reset' ELSE 'expired' END
+        UNION ALL SELECT e.key, e.event_id, e.rn, CASE WHEN issue THEN e.tm END, CASE WHEN issue THEN 'issued' WHEN f.issued IS NULL OR e.tm > f.issued + {S.TOKEN_LIFE + S.KNOWN_EXPIRED} THEN 'invalid' WHEN e.tm <= f.issued + {S.TOKEN_LIFE} THEN 'reset' ELSE 'expired' END
         FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)
       SELECT key, event_id, verdict FROM f WHERE rn > 0"""
 )
@@ -126,13 +157,6 @@ def _stream(spark, sf_dir) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query(_rate_sql(2.0, 3, 3600) + " SELECT key, event_id, ok::VARCHAR AS verdict FROM f")
-def t1_rate_limit_stream(spark, sf_dir):
-    at = F.timestamp_seconds(F.col("event_id") * 2 + 3600)
-    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "event_id", (F.col("event_id") * F.lit(2.0)).alias("at"), at.alias("ts")).withWatermark("ts", "10 minutes")
-    return _finished(spark, S.stream_rule(e, "rate", S.rate_limit)).select("key", "event_id", "verdict")
-
-
 def _complete(spark, df: DataFrame) -> DataFrame:
     """The result table of a streaming aggregation when all that is there has been read; every micro-batch replaces it."""
     from folioflow.sources.scratch import folder
@@ -143,43 +167,100 @@ def _complete(spark, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def _event_keys(spark, sf_dir, spacing: float) -> DataFrame:
-    at = F.timestamp_seconds(F.col("event_id") + 3600)
-    e = _stream(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("event_id") * F.lit(spacing)).alias("at"), at.alias("ts"))
-    return e.withColumn("key", F.col("user_id").cast("string")).withWatermark("ts", "10 minutes")
+def _keyed_stream(spark, rows: DataFrame) -> DataFrame:
+    """Rows (key, event_id, at[, action]) as a stream in several micro-batches. Its time is `at`, in seconds, moved on by an hour, as a
+    watermark begins at 0 and what is not behind it is late; the rules know only differences."""
+    moved = rows.withColumn("at", F.col("at") + 3600).withColumn("ts", F.timestamp_millis((F.col("at") * 1000).cast("long")))
+    return replayed(moved, "ts").withWatermark("ts", "10 minutes")
+
+
+def _judged(spark, rows: DataFrame, rule: str, step, with_action: bool = False) -> DataFrame:
+    return _finished(spark, S.stream_rule(_keyed_stream(spark, rows), rule, step, with_action), S.STATE_STORE).select("key", "event_id", "verdict")
+
+
+@query(ORACLES["t1_rate_limit_grouped"])
+def t1_rate_limit_stream(spark, sf_dir):
+    return _judged(spark, _requests(spark, sf_dir, 2.0), "rate", S.rate_limit)
 
 
 @query(ORACLES["t2_throttle"])
 def t2_throttle_stream(spark, sf_dir):
-    e = _event_keys(spark, sf_dir, 0.2).select("key", "event_id", "at", "ts")
-    return _finished(spark, S.stream_rule(e, "throttle", S.throttle)).select("key", "event_id", "verdict")
+    return _judged(spark, _requests(spark, sf_dir, 0.2), "throttle", S.throttle)
 
 
 @query(ORACLES["t3_otp_verify"])
 def t3_otp_verify_stream(spark, sf_dir):
-    action = F.when(F.col("event_type") == "signup", "send").when(F.col("event_type") == "click", "wrong").when(F.col("event_type") == "purchase", "right").otherwise("none")
-    e = _event_keys(spark, sf_dir, 3.0).select("key", "event_id", "at", "ts", action.alias("action"))
-    return _finished(spark, S.stream_rule(e, "otp", S.otp_signup, with_action=True)).select("key", "event_id", "verdict")
+    return _judged(spark, _otp(spark, sf_dir), "otp", S.otp_signup, True)
+
+
+@query(ORACLES["t3_otp_reset"])
+def t3_otp_reset_stream(spark, sf_dir):
+    return _judged(spark, _otp(spark, sf_dir), "otp", S.otp_reset, True)
 
 
 @query(ORACLES["t4_reset_session"])
 def t4_reset_session_stream(spark, sf_dir):
-    action = F.when(F.col("event_type") == "signup", "issue").otherwise("reset")
-    e = _event_keys(spark, sf_dir, 3.0).select("key", "event_id", "at", "ts", action.alias("action"))
-    return _finished(spark, S.stream_rule(e, "session", S.session_step, with_action=True)).select("key", "event_id", "verdict")
+    e = _otp(spark, sf_dir).withColumn("action", F.when(F.col("action") == "send", "issue").otherwise("reset"))
+    return _judged(spark, e, "session", S.session_step, True)
+
+
+_LATE = "10 minutes"
+_PASSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
+
+
+def _sliding_sql(closed: bool) -> str:
+    return f"""SELECT start, event_type, count(*)::BIGINT AS n FROM (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 15 MINUTE AS start FROM events, range(4) r(k))
+      {f"WHERE start + INTERVAL 1 HOUR <= {_PASSED}" if closed else ""} GROUP BY 1, 2"""
+
+
+@query(_sliding_sql(False))
+def t6_usage_counts_sliding(spark, sf_dir):
+    return S.usage_counts(load(spark, sf_dir, "events"), "1 hour", "15 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query(ORACLES["t6_usage_counts"])
+def _closed(spark, sf_dir, slide: str | None) -> DataFrame:
+    e = replayed(load(spark, sf_dir, "events").select("ts", "event_type"), "ts")
+    return _finished(spark, S.usage_counts(e, "1 hour", slide, _LATE)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_PASSED} GROUP BY 1, 2")
 def t6_usage_counts_stream(spark, sf_dir):
-    return _complete(spark, S.usage_counts(_stream(spark, sf_dir), "1 hour")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """The windows that the watermark has passed; the others are still open."""
+    return _closed(spark, sf_dir, None)
+
 
+@query(_sliding_sql(True))
+def t6_usage_counts_sliding_stream(spark, sf_dir):
+    return _closed(spark, sf_dir, "15 minutes")
 
-@query("SELECT DISTINCT user_id AS session, event_id % 4 AS page FROM events WHERE regexp_matches(event_type, 'click|purchase')")
+
+@query("SELECT DISTINCT user_id || ':' || (epoch_us(ts) // 3600000000) AS session, event_id % 4 AS page FROM events WHERE regexp_matches(event_type, 'click|purchase')")
 def t7_first_use_stream(spark, sf_dir):
-    """Which session used which page; the event that came first depends on arrival and is left out. The stream's time is one of arrival, within
-    its watermark."""
-    e = _stream(spark, sf_dir).select(F.timestamp_seconds(F.lit(3600)).alias("ts"), "event_type", F.col("user_id").alias("session"), (F.col("event_id") % 4).alias("page"))
-    return _finished(spark, S.first_use(e, "click|purchase").select("session", "page"))
+    """Which session used which page: a session is a user's hour, so that its repetitions come within the watermark's delay. Which of them comes first
+    depends on arrival and is left out."""
+    session = F.concat_ws(":", F.col("user_id").cast("string"), F.floor(F.unix_micros("ts") / 3_600_000_000).cast("string"))
+    e = load(spark, sf_dir, "events").select("ts", "event_type", session.alias("session"), (F.col("event_id") % 4).alias("page"))
+    return _finished(spark, S.first_use(replayed(e, "ts"), "click|purchase").select("session", "page"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, user_id AS id, event_id % 3 AS version, event_id % 10 = 0 AS failed FROM events)
+      SELECT event_id, CASE WHEN id % 2 <> 0 OR version <> 2 THEN 'stale' WHEN failed THEN 'review' ELSE 'applied' END AS verdict FROM r"""
+)
+def t8_accept_current_stream(spark, sf_dir):
+    """The verdicts of both sinks. Both streams end with a row that belongs to no item and brings their watermarks past all results."""
+    e = load(spark, sf_dir, "events")
+    results = e.select(
+        "event_id", F.col("user_id").alias("id"), (F.col("event_id") % 3).alias("version"), F.when(F.col("event_id") % 10 == 0, "failed").otherwise("done").alias("status"),
+        F.timestamp_seconds(F.col("event_id") + 3600).alias("ts"),
+    )
+    versions = e.where("user_id % 2 = 0").select(F.col("user_id").alias("id"), F.lit(2).cast("long").alias("version"), F.timestamp_seconds(F.lit(3600)).alias("ts")).distinct()
+    close = results.agg((F.max("ts") + F.expr("interval 1 hour")).alias("ts")).where("ts is not null")
+    # a row without an id would be left out before its instant counts
+    results, versions = (t.unionByName(close.select("*", F.lit(k).cast("long").alias("id"), F.lit(0).cast("long").alias("version")), allowMissingColumns=True) for t, k in ((results, -1), (versions, -2)))
+    base = _base(spark, "results")
+    ended(S.settle(S.accept_results(replayed(results, "ts"), replayed(versions, "ts")), f"{base}/out"), base)
+    return spark.read.schema("event_id long, verdict string, sink string").parquet(f"{base}/out").where("event_id is not null").select("event_id", "verdict")
 
 
 @query(ORACLES["t9_progress"])

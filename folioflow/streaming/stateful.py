@@ -1,5 +1,6 @@
 """Keyed rules over event streams. Each has a batch twin over sorted events; the streaming form keeps the same small state per key and
-judges events in event-time order within a micro-batch. An event that arrives in a later micro-batch is judged on arrival."""
+judges events in event-time order within a micro-batch. An event that arrives in a later micro-batch is judged on arrival. State
+ends by timers, joins and counts by watermarks."""
 
 from __future__ import annotations
 
@@ -10,9 +11,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 OTP_LIFE, OTP_LOCK, TOKEN_LIFE, MOST_TRIES = 600, 1800, 900, 5
+# How long an expired code or token is still known as expired; after that it is as if it had never been.
+KNOWN_EXPIRED = 86_400
 
 
 def rate_step(state: tuple, at: float, n: int, window: float) -> tuple[tuple, bool]:
@@ -32,6 +35,8 @@ def throttle_step(state: tuple, at: float, gap: float) -> tuple[tuple, bool]:
 def otp_step(state: tuple, at: float, action: str, reset_flow: bool) -> tuple[tuple, str]:
     """State (sent, tries, locked until, verified). Checks in order: no record, locked, expired, wrong code, right code."""
     sent, tries, locked, verified = state
+    if sent is not None and at > sent + OTP_LIFE + KNOWN_EXPIRED:
+        state = sent, tries, locked, verified = (None, 0, None, False)
     if action == "send":
         if locked is not None and at < locked:
             return state, "locked"
@@ -53,6 +58,8 @@ def otp_step(state: tuple, at: float, action: str, reset_flow: bool) -> tuple[tu
 def session_step(state: tuple, at: float, action: str) -> tuple[tuple, str]:
     """State (token issued,). A reset needs an unexpired token and uses it up."""
     issued = state[0]
+    if issued is not None and at > issued + TOKEN_LIFE + KNOWN_EXPIRED:
+        state, issued = (None,), None
     if action == "issue":
         return (at,), "issued"
     if issued is None:
@@ -64,6 +71,15 @@ EMPTY = {"rate": (None, 0), "throttle": (None,), "otp": (None, 0, None, False),
 STATE = {"rate": "reset double, used long", "throttle": "last double", "otp": "sent double, tries long, locked double, verified boolean", "session": "issued double"}
 
 
+# The last instant at which a state matters, or None if it says no more than the empty one.
+ENDS = {
+    "rate": lambda s: s[0],
+    "throttle": lambda s, gap=30.0: None if s[0] is None else s[0] + gap,
+    "otp": lambda s: None if s[0] is None and s[2] is None else max((s[0] or 0) + OTP_LIFE + KNOWN_EXPIRED, s[2] or 0),
+    "session": lambda s: None if s[0] is None else s[0] + TOKEN_LIFE + KNOWN_EXPIRED,
+}
+
+
 def _fold(rows: pd.DataFrame, state: tuple, step, with_action: bool) -> tuple[list, tuple]:
     out = []
     for r in rows.sort_values(["at", "event_id"]).itertuples():
@@ -99,22 +115,47 @@ def batch_rule(events: DataFrame, rule: str, step, with_action: bool = False) ->
     return _verdicts(events, EMPTY[rule], step, with_action, "event_id long, key string, verdict string")
 
 
-def stream_rule(events: DataFrame, rule: str, step, with_action: bool = False, keep: str = "2 hours") -> DataFrame:
-    """The same over a stream with a watermark on `ts`; a key's state goes when the watermark has passed its last event by `keep`."""
+class KeyedRule(StatefulProcessor):
+    """A rule's state for each key, as one value, and one timer at the instant from which it does not matter any more: the end of a rate window, the
+    gap of a throttle, the life of a code, a lock or a token. The timer clears the state when the watermark passes it; as events behind the
+    watermark do not come any more, no verdict changes by that."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = tuple(None if pd.isna(v) else v for v in state.get) if state.exists else EMPTY[rule]
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        verdicts, now = _fold(rows, now, step, with_action)
-        state.update(now)
-        state.setTimeoutTimestamp(max(int(rows["at"].max() * 1000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(keep).total_seconds() * 1000))
-        yield rows.assign(verdict=verdicts)[["event_id", "key", "verdict"]]
-
-    return events.groupBy("key").applyInPandasWithState(
-        run, "event_id long, key string, verdict string", STATE[rule], "append", GroupStateTimeout.EventTimeTimeout
+    def __init__(self, rule: str, step, with_action: bool):
+        self.rule, self.step, self.with_action = rule, step, with_action
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", STATE[self.rule])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = tuple(None if pd.isna(v) else v for v in self.state.get()) if self.state.exists() else EMPTY[self.rule]
+        events = pd.concat(list(rows)).sort_values(["at", "event_id"])  # one key's part of a micro-batch
+        verdicts, now = _fold(events, now, self.step, self.with_action)
+        for instant in list(self.handle.listTimers()):
+            self.handle.deleteTimer(instant)
+        end = ENDS[self.rule](now)
+        if end is None:
+            self.state.clear()
+        else:
+            self.state.update(now)
+            self.handle.registerTimer(max(int(end * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield events.assign(verdict=verdicts)[["event_id", "key", "verdict"]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "key": pd.Series([], dtype="object"), "verdict": pd.Series([], dtype="object")})])
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def stream_rule(events: DataFrame, rule: str, step, with_action: bool = False) -> DataFrame:
+    """The same over a stream of (key, event_id, at, ts[, action]) with a watermark on `ts`, where `at` is `ts` in seconds (KeyedRule). The session that
+    starts the query needs STATE_STORE, for a store that can hold several values and timers a key."""
+    return events.groupBy("key").transformWithStateInPandas(
+        KeyedRule(rule, step, with_action), outputStructType="event_id long, key string, verdict string", outputMode="append", timeMode="eventTime"
     )
 
 
@@ -131,7 +172,8 @@ def rate_limit_native(events: DataFrame, n: int, window: int) -> DataFrame:
 
 
 def usage_counts(events: DataFrame, window: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Events by tool and window; batch or stream."""
+    """Events by tool and window, tumbling or sliding; batch or stream. A stream in append mode gives a window once, when the watermark has
+    passed its end, and forgets it; events later than `late` behind the newest are left out."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
     return rows.groupBy(span.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
@@ -145,6 +187,31 @@ def first_use(events: DataFrame, pattern: str, late: str = "1 hour") -> DataFram
     return hits.groupBy("session", "page").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("session", "page", F.col("f.event_id").alias("event_id"))
 
 
+def accept_results(results: DataFrame, versions: DataFrame, late: str = "10 minutes", life: str = "30 days") -> DataFrame:
+    """Late results (event_id, id, version, status, ts), a stream, with a verdict: applied if the item has that version still, else stale; failed ones
+    need review.
+
+    versions (id, version, ts) is a stream of the versions that items got, each valid for `life`; of an item and version it has one row. Both have
+    watermarks: a result waits until both have passed its instant, as long as no version meets it, and leaves as stale then; versions leave the state
+    when their life has passed."""
+    r = results.withWatermark("ts", late)
+    v = versions.select(F.col("id").alias("item"), F.col("version").alias("current"), F.col("ts").alias("since")).withWatermark("since", late)
+    known = (r["id"] == v["item"]) & (r["version"] == v["current"]) & (v["since"] <= r["ts"]) & (v["since"] >= r["ts"] - F.expr(f"interval {life}"))
+    verdict = F.when(F.col("current").isNull(), "stale").when(F.col("status") == "failed", "review").otherwise("applied")
+    return r.join(v, known, "leftOuter").select(*[r[c] for c in results.columns], verdict.alias("verdict"))
+
+
+def settle(judged: DataFrame, path: str) -> object:
+    """A writer of judged results into path: applied ones under sink=results, the others under sink=audit, each epoch in a folder of its own, which a
+    repeated epoch replaces."""
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        sink = F.when(F.col("verdict") == "applied", "results").otherwise("audit")
+        batch.withColumn("sink", sink).write.mode("overwrite").partitionBy("sink").parquet(f"{path}/epoch={epoch}")
+
+    return judged.writeStream.foreachBatch(put)
+
+
 def live_ratings(stream: DataFrame, upsert) -> object:
     """Latest-wins votes of a stream: each micro-batch's latest vote per tool and voter goes to `upsert(batch, epoch)`."""
 
