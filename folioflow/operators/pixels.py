@@ -31,8 +31,8 @@ def luma(red: Column, green: Column, blue: Column) -> Column:
 
 
 def paper_color(pixels: DataFrame, width: int, height: int, band: float = 0.03, channels: tuple = ("lum",)) -> DataFrame:
-    """Upper median of each channel over the border, the outer `band` of either side and a pixel at least, of every second pixel both ways; a
-    dark border counts as white paper with a larger tolerance."""
+    """Upper median of each channel over the border, the outer `band` of either side and a pixel at least, of every second pixel both ways (0
+    counts as 255). A border darker than 200 is white paper; the tolerance is larger for light paper that is tinted."""
     from folioflow.operators.relational import upper_median
 
     bx, by = max(1, int(width * band)), max(1, int(height * band))
@@ -40,18 +40,51 @@ def paper_color(pixels: DataFrame, width: int, height: int, band: float = 0.03,
     border = pixels.where(edge & (F.col("x") % 2 == 0) & (F.col("y") % 2 == 0))
     out = None
     for c in channels:
-        m = upper_median(border, "page_id", c).select("page_id", F.col("median").alias(f"paper_{c}"))
+        m = upper_median(border, "page_id", c).select("page_id", F.when(F.col("median") == 0, 255).otherwise(F.col("median")).alias(f"paper_{c}"))
         out = m if out is None else out.join(m, "page_id")
-    dark = functools.reduce(lambda x, y: x + y, [F.col(f"paper_{c}") for c in channels]) < 128 * len(channels)
-    return out.select("page_id", *[F.when(dark, 255).otherwise(F.col(f"paper_{c}")).alias(f"paper_{c}") for c in channels], F.when(dark, 34).otherwise(18).alias("tolerance"))
-
-
-def content_box(pixels: DataFrame, dark: int, least: int) -> DataFrame:
-    """First and last row and column with `least` dark pixels or more."""
-    ink = F.count_if(F.col("lum") < dark)
-    rows = pixels.groupBy("page_id", "y").agg(ink.alias("n")).groupBy("page_id").agg(F.min(F.when(F.col("n") >= least, F.col("y"))).alias("y0"), F.max(F.when(F.col("n") >= least, F.col("y"))).alias("y1"))
-    cols = pixels.groupBy("page_id", "x").agg(ink.alias("n")).groupBy("page_id").agg(F.min(F.when(F.col("n") >= least, F.col("x"))).alias("x0"), F.max(F.when(F.col("n") >= least, F.col("x"))).alias("x1"))
-    return rows.join(cols, "page_id").select("page_id", "x0", "y0", "x1", "y1", (F.col("x0").isNull() | F.col("y0").isNull()).alias("blank"))
+    paper = [F.col(f"paper_{c}") for c in channels]
+    light = (paper[0] if len(channels) == 1 else paper[0] * 299 + paper[1] * 587 + paper[2] * 114) >= (200 if len(channels) == 1 else 200_000)
+    tinted = functools.reduce(lambda x, y: x | y, [p < 250 for p in paper])
+    return out.select("page_id", *[F.when(light, F.col(f"paper_{c}")).otherwise(255).alias(f"paper_{c}") for c in channels], F.when(light & tinted, 34).otherwise(18).alias("tolerance"))
+
+
+def _strip(strong: Column, n: int) -> Column:
+    """How many of the first places are a dark edge strip: a run of strong places (a sorted array) from 0 on, shorter than 6 % of n, and clear
+    places behind it, 3 and 1 % of n at least. 0 if there is none."""
+    limit, clear = int(n * 0.06 + 0.5), max(3, int(n * 0.01 + 0.5))
+    run = F.size(F.filter(strong, lambda v, i: v == i))
+    gap = F.coalesce(F.get(strong, run) - run, F.lit(0))  # nothing strong behind it: no strip
+    alone = F.get(strong, run).isNull() & (F.lit(n) - run > int(n * 0.4 + 0.5))
+    return F.when((run > 0) & (run < limit) & ((gap >= clear) | alone), run).otherwise(0)
+
+
+def content_box(pixels: DataFrame, width: int, height: int, channels: tuple = ("lum",), scale: float = 1.0) -> DataFrame:
+    """The box of what differs from the paper (paper_color) in any channel by more than its tolerance: x0, y0, x1, y1 and the margins top, bottom, left
+    and right in points, scale pixels each; `blank` pages have none.
+
+    A row counts from max(1, 0.15 % of the width) such pixels on, a column likewise. A dark strip along an edge (_strip) is left out, and what is left is
+    counted anew. Profiles are sums over rows and columns; a page's strong places are an array of at most its height or width."""
+    least_row, least_col = max(1, int(width * 0.0015)), max(1, int(height * 0.0015))
+    paper = paper_color(pixels, width, height, channels=channels)
+    differs = functools.reduce(lambda a, b: a | b, [F.abs(F.col(c) - F.col(f"paper_{c}")) > F.col("tolerance") for c in channels])
+    ink = pixels.join(paper, "page_id").where(differs).select("page_id", "x", "y")
+
+    def strong(rows: DataFrame, axis: str, least: int) -> DataFrame:
+        return rows.groupBy("page_id", axis).agg(F.count("*").alias("n")).where(F.col("n") >= least).groupBy("page_id")
+
+    def places(axis: str, least: int, n: int) -> DataFrame:
+        there = F.array_sort(F.collect_list(F.col(axis).cast("long")))
+        back = F.transform(F.reverse(F.col("there")), lambda v: F.lit(n - 1) - v)
+        return strong(ink, axis, least).agg(there.alias("there")).select("page_id", _strip(F.col("there"), n).alias(f"{axis}_from"), (F.lit(n - 1) - _strip(back, n)).alias(f"{axis}_to"))
+
+    edges = places("y", least_row, height).join(places("x", least_col, width), "page_id")
+    inner = ink.join(edges, "page_id").where(F.col("x").between(F.col("x_from"), F.col("x_to")) & F.col("y").between(F.col("y_from"), F.col("y_to")))
+    rows = strong(inner, "y", least_row).agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
+    box = rows.join(strong(inner, "x", least_col).agg(F.min("x").alias("x0"), F.max("x").alias("x1")), "page_id")
+    return paper.select("page_id").join(box, "page_id", "left").select(
+        "page_id", "x0", "y0", "x1", "y1", (F.col("y0") / scale).alias("top"), ((height - 1 - F.col("y1")) / scale).alias("bottom"),
+        (F.col("x0") / scale).alias("left"), ((width - 1 - F.col("x1")) / scale).alias("right"), F.col("x0").isNull().alias("blank"),
+    )
 
 
 def column_gaps(pixels: DataFrame, dark: int, columns: int, share: float = 0.03, least: int = 12, of_width: float = 0.025, part: int = 40) -> DataFrame:

@@ -300,12 +300,18 @@ def unused_hints(pages: DataFrame) -> DataFrame:
     return hints.join(used.distinct(), ["page_id", "host"], "left_anti")
 
 
+# Fixed value: the heading and paragraph of the Related region.
+RELATED = r"<h2>Related Tools</h2>\s*<p>([\s\S]*?)</p>"
+
+
 def related_links(pages: DataFrame, icons: DataFrame, default: str) -> DataFrame:
-    """Links of the navigation part: address, label and the icon of the address, or the default one."""
-    region = F.regexp_extract("html", r"(?is)<nav>(.*?)</nav>", 1)
-    pair = F.lit(r'<a href="/([^"]*)">([^<]*)</a>')
-    links = pages.select("page_id", F.posexplode(F.arrays_zip(F.regexp_extract_all(region, pair, F.lit(1)).alias("slug"), F.regexp_extract_all(region, pair, F.lit(2)).alias("label"))).alias("at", "x"))
-    links = links.select("page_id", F.col("at").cast("long").alias("at"), "x.slug", "x.label")
+    """Links of a page's first Related region, the paragraph under its heading: the file's name without folders and ending, the label, and the name's
+    icon or the default one."""
+    region = F.regexp_extract("html", RELATED, 1)
+    pair = F.lit(r'(?s)<a\s+href="([^"]+)"[^>]*>(.*?)</a>')
+    links = pages.select("page_id", F.posexplode(F.arrays_zip(F.regexp_extract_all(region, pair, F.lit(1)).alias("href"), F.regexp_extract_all(region, pair, F.lit(2)).alias("label"))).alias("at", "x"))
+    slug = F.regexp_replace(F.regexp_replace("x.href", r"^.*/", ""), r"\.html$", "")
+    links = links.select("page_id", F.col("at").cast("long").alias("at"), slug.alias("slug"), F.regexp_replace("x.label", r"^\s+|\s+$", "").alias("label"))
     return links.join(icons, "slug", "left").select("page_id", "at", "slug", "label", F.coalesce("icon", F.lit(default)).alias("icon"))
 
 
@@ -390,31 +396,58 @@ def update_answers(faqs: DataFrame, answers: DataFrame) -> DataFrame:
     return done.unionByName(lost)
 
 
-def resolve_redirects(urls: DataFrame, rules: DataFrame, most: int = 8) -> DataFrame:
-    """Follow (host, path) through ordered rules (ord, host, pattern, kind exact or prefix, destination, status) until none
-    matches or `most` steps; a rule with status 410 ends at once. The steps are followed once for each host and path, however many keys
-    have them. A path meets the exact rules and the prefix rules by equality, of itself or of its beginnings that are as long as
-    some prefix, so that no address is compared with all rules."""
+def _first_rule(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path) with the first rule (ord, destination, status) that matches, as `hit`, or null. A path meets the exact rules and the prefix
+    rules by equality, of itself or of its beginnings that are as long as some prefix, so that no address is compared with all rules."""
     small = rules.select(F.col("ord"), F.col("host").alias("r_host"), "pattern", "kind", "destination", F.col("status").alias("r_status"))
     lengths = sorted(r["n"] for r in rules.where("kind = 'prefix'").select(F.length("pattern").alias("n")).distinct().collect())  # a number a length
-    state = urls.select("host", "path").distinct().select(F.col("host").alias("host0"), F.col("path").alias("path0"), "host", "path", F.lit(0).alias("steps"), F.lit(200).alias("status"), F.lit(False).alias("done"))
     starts = F.filter(F.array(F.lit(0), *[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
-    for _ in range(most):
-        tried = F.transform(starts, lambda n: F.struct(F.when(n == 0, "exact").otherwise("prefix").alias("kind"), F.when(n == 0, F.col("path")).otherwise(F.substring(F.col("path"), F.lit(1), n)).alias("pattern")))
-        rows = state.withColumn("t", F.explode_outer(F.when(~F.col("done"), tried))).select("*", "t.kind", "t.pattern").drop("t")
-        met = rows.join(small, ["kind", "pattern"], "left")
-        fits = F.col("ord").isNotNull() & (F.col("r_host").isNull() | (F.col("r_host") == F.col("host")))
-        best = F.min(F.when(fits, F.struct("ord", "destination", "r_status"))).alias("b")
-        state = met.groupBy("host0", "path0", "host", "path", "steps", "status", "done").agg(best).select(
-            "host0", "path0", "host",
-            F.when(F.col("b.r_status") == 410, F.col("path")).otherwise(F.coalesce("b.destination", "path")).alias("path"),
-            (F.col("steps") + F.col("b.ord").isNotNull().cast("int")).alias("steps"),
-            F.coalesce("b.r_status", "status").alias("status"),
-            (F.col("done") | F.col("b.ord").isNull() | F.coalesce(F.col("b.r_status") == 410, F.lit(False))).alias("done"),
+    tried = F.transform(starts, lambda n: F.struct(F.when(n == 0, "exact").otherwise("prefix").alias("kind"), F.when(n == 0, F.col("path")).otherwise(F.substring(F.col("path"), F.lit(1), n)).alias("pattern")))
+    rows = addresses.select("host", "path", F.explode(tried).alias("t")).select("host", "path", "t.kind", "t.pattern")
+    met = rows.join(small, ["kind", "pattern"]).where(F.col("r_host").isNull() | (F.col("r_host") == F.col("host")))
+    best = met.groupBy("host", "path").agg(F.min(F.struct("ord", "destination", F.col("r_status").alias("status"))).alias("hit"))
+    b = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "hit")
+    return addresses.join(b, F.col("host").eqNullSafe(F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").select("host", "path", "hit")
+
+
+def resolve_redirects(urls: DataFrame, rules: DataFrame, checkpointed) -> DataFrame:
+    """Follow (key, host, path) through ordered rules (ord, host, pattern, kind exact or prefix, destination, status) until none matches or one has the
+    status 410: key, the last path, the number of rules and the last status (200 without any). An address that runs into a circle stays where it is, with
+    the status 508 and no number.
+
+    After one step an address stands at some rule's destination. Where these lead is a graph of destinations and the hosts that rules name (all
+    others are alike), whose ways double with each round, so that chains of any length end in a logarithm of rounds, and the addresses meet the rules
+    once. The graph is as large as the rules allow, whatever the number of addresses."""
+    named = rules.where("host is not null").select(F.col("host").alias("named")).distinct()
+    ends = rules.select(F.col("destination").alias("path")).distinct()
+    hosts = sorted(r["named"] for r in named.collect())  # configuration
+    nodes = ends.select(F.explode(F.array(F.lit(None).cast("string"), *[F.lit(h) for h in hosts])).alias("host"), "path")
+
+    def step(rows: DataFrame) -> DataFrame:
+        on = F.col("hit").isNotNull() & (F.col("hit.status") != 410)
+        return _first_rule(rows, rules).select(
+            "host", "path", F.when(on, F.col("hit.destination")).alias("at"), F.col("hit").isNotNull().cast("int").alias("steps"), F.when(~on, F.col("path")).alias("end"), F.col("hit.status").alias("status")
+        )
+
+    def ahead(rows: DataFrame, graph: DataFrame, host: Column) -> DataFrame:
+        g = graph.select(F.col("host").alias("g_host"), F.col("path").alias("g_path"), F.col("at").alias("g_at"), F.col("steps").alias("g_steps"), F.col("end").alias("g_end"), F.col("status").alias("g_status"))
+        moved = F.col("at").isNotNull()
+        return rows.join(g, host.eqNullSafe(g["g_host"]) & (rows["at"] == g["g_path"]), "left").select(
+            *[c for c in rows.columns if c not in ("at", "steps", "end", "status")], F.col("g_at").alias("at"), (F.col("steps") + F.coalesce("g_steps", F.lit(0))).alias("steps"),
+            F.when(moved, F.col("g_end")).otherwise(F.col("end")).alias("end"), F.coalesce("g_status", "status").alias("status"),
         )
-    ends = state.select("host0", "path0", F.col("path").alias("end"), "steps", F.when(~F.col("done"), 508).otherwise(F.col("status")).alias("status"))
-    out = urls.join(ends, F.col("host").eqNullSafe(F.col("host0")) & (F.col("path") == F.col("path0")))
-    return out.select("key", F.col("end").alias("path"), "steps", "status")
+
+    graph = checkpointed(step(nodes))
+    for _ in range(graph.count().bit_length() + 1):
+        if not graph.where("at is not null").take(1):
+            break
+        graph = checkpointed(ahead(graph, graph, F.col("host")))
+    first = step(urls.select("host", "path").distinct())
+    known = F.when(F.col("host").isin(hosts), F.col("host")) if hosts else F.lit(None).cast("string")
+    told = ahead(first, graph, known).select(F.col("host").alias("t_host"), F.col("path").alias("t_path"), "at", "steps", "end", "status")
+    out = urls.join(told, F.col("host").eqNullSafe(F.col("t_host")) & (F.col("path") == F.col("t_path")))
+    circle = F.col("end").isNull()
+    return out.select("key", F.coalesce("end", "path").alias("path"), F.when(~circle, F.col("steps")).alias("steps"), F.when(circle, 508).otherwise(F.coalesce("status", F.lit(200))).alias("status"))
 
 
 def match_headers(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -200,7 +200,14 @@ def l16_structure_ocr(spark, sf_dir):
 
 @query()
 def l17_rejoin_paragraphs(spark, sf_dir):
-    return L.rejoin_paragraphs(L.build_paragraphs(L.line_text(_lines(spark, sf_dir))))
+    """Every fifth line has a list number left of it, an item of its own, which goes in front of its text first."""
+    i, lines = items(spark, sf_dir), L.line_text(_lines(spark, sf_dir))
+    marks = i.where("seq % 40 = 0 and seq >= 0").select(
+        "doc_id", "page", F.col("seq").alias("idx"), F.lit(30.0).alias("x0"), F.lit(60.0).alias("x1"), "y", F.col("size").alias("h"), F.concat((F.col("seq") / 40 + 1).cast("int").cast("string"), F.lit(".")).alias("text")
+    )
+    rows = lines.select("doc_id", "page", F.col("line").alias("idx"), "x0", "x1", "y", F.col("size").alias("h"))
+    numbered = L.with_list_numbers(lines, marks, L.attach_markers(marks, rows))
+    return L.rejoin_paragraphs(L.build_paragraphs(numbered))
 
 
 @query(
@@ -304,20 +311,64 @@ def r1_luma(spark, sf_dir):
 @query(
     f"""WITH {_RGB}, b AS (SELECT page_id, red, green, blue, row_number() OVER (PARTITION BY page_id ORDER BY red) AS nr, row_number() OVER (PARTITION BY page_id ORDER BY green) AS ng, row_number() OVER (PARTITION BY page_id ORDER BY blue) AS nb, count(*) OVER (PARTITION BY page_id) AS n
         FROM rgb WHERE (x IN (0, 7) OR y IN (0, 7)) AND x % 2 = 0 AND y % 2 = 0),
-      m AS (SELECT page_id, max(red) FILTER (WHERE nr = n // 2 + 1) AS r, max(green) FILTER (WHERE ng = n // 2 + 1) AS g, max(blue) FILTER (WHERE nb = n // 2 + 1) AS b FROM b GROUP BY 1)
-      SELECT page_id, CASE WHEN r + g + b < 384 THEN 255 ELSE r END AS paper_red, CASE WHEN r + g + b < 384 THEN 255 ELSE g END AS paper_green, CASE WHEN r + g + b < 384 THEN 255 ELSE b END AS paper_blue, CASE WHEN r + g + b < 384 THEN 34 ELSE 18 END AS tolerance FROM m"""
+      m AS (SELECT page_id, max(red) FILTER (WHERE nr = n // 2 + 1) AS r, max(green) FILTER (WHERE ng = n // 2 + 1) AS g, max(blue) FILTER (WHERE nb = n // 2 + 1) AS b FROM b GROUP BY 1),
+      z AS (SELECT page_id, CASE r WHEN 0 THEN 255 ELSE r END AS r, CASE g WHEN 0 THEN 255 ELSE g END AS g, CASE b WHEN 0 THEN 255 ELSE b END AS b FROM m), l AS (SELECT *, r * 299 + g * 587 + b * 114 >= 200000 AS light FROM z)
+      SELECT page_id, CASE WHEN light THEN r ELSE 255 END AS paper_red, CASE WHEN light THEN g ELSE 255 END AS paper_green, CASE WHEN light THEN b ELSE 255 END AS paper_blue, CASE WHEN light AND (r < 250 OR g < 250 OR b < 250) THEN 34 ELSE 18 END AS tolerance FROM l"""
 )
 def r3_paper_color(spark, sf_dir):
     return P.paper_color(_rgb(spark, sf_dir), 8, 8, channels=("red", "green", "blue"))
 
 
-@query(
-    f"""WITH {PIXELS}, r AS (SELECT page_id, y, count(*) FILTER (WHERE lum < 120) AS n FROM pixels GROUP BY 1, 2), c AS (SELECT page_id, x, count(*) FILTER (WHERE lum < 120) AS n FROM pixels GROUP BY 1, 2),
-      a AS (SELECT page_id, min(y) FILTER (WHERE n >= 2) AS y0, max(y) FILTER (WHERE n >= 2) AS y1 FROM r GROUP BY 1), b AS (SELECT page_id, min(x) FILTER (WHERE n >= 2) AS x0, max(x) FILTER (WHERE n >= 2) AS x1 FROM c GROUP BY 1)
-      SELECT page_id, x0, y0, x1, y1, x0 IS NULL OR y0 IS NULL AS blank FROM a JOIN b USING (page_id)"""
-)
+def _box_sql(pixels: str, size: int, scale: float) -> str:
+    """The paper by ranks over the border, rows and columns that differ from it, and edge strips by their first clear place."""
+    limit, clear, most = int(size * 0.06 + 0.5), max(3, int(size * 0.01 + 0.5)), int(size * 0.4 + 0.5)
+    band = max(1, int(size * 0.03))
+    rank = ", ".join(f"row_number() OVER (PARTITION BY page_id ORDER BY {c}) AS n_{c}" for c in ("red", "green", "blue"))
+    median = ", ".join(f"coalesce(nullif(max({c}) FILTER (WHERE n_{c} = n // 2 + 1), 0), 255) AS {c}" for c in ("red", "green", "blue"))
+
+    def strip(axis: str, name: str, place: str) -> str:
+        return f"""{name}0 AS (SELECT page_id, {place} AS v, row_number() OVER (PARTITION BY page_id ORDER BY {place}) - 1 AS i FROM {axis}s), {name}1 AS (SELECT page_id, count(*) FILTER (WHERE v = i) AS run, min(v) FILTER (WHERE v <> i) AS after FROM {name}0 GROUP BY 1),
+      {name} AS (SELECT page_id, CASE WHEN run BETWEEN 1 AND {limit - 1} AND CASE WHEN after IS NULL THEN {size} - run > {most} ELSE after - run >= {clear} END THEN run ELSE 0 END AS skip FROM {name}1)"""
+
+    return f"""{pixels}, px AS (SELECT * FROM rgb), bd AS (SELECT *, {rank}, count(*) OVER (PARTITION BY page_id) AS n FROM px WHERE (x < {band} OR x >= {size - band} OR y < {band} OR y >= {size - band}) AND x % 2 = 0 AND y % 2 = 0),
+      md AS (SELECT page_id, {median} FROM bd GROUP BY 1), lt AS (SELECT *, red * 299 + green * 587 + blue * 114 >= 200000 AS light FROM md),
+      pp AS (SELECT page_id, CASE WHEN light THEN red ELSE 255 END AS pr, CASE WHEN light THEN green ELSE 255 END AS pg, CASE WHEN light THEN blue ELSE 255 END AS pb, CASE WHEN light AND least(red, green, blue) < 250 THEN 34 ELSE 18 END AS tol FROM lt),
+      ink AS (SELECT page_id, x, y FROM px JOIN pp USING (page_id) WHERE abs(red - pr) > tol OR abs(green - pg) > tol OR abs(blue - pb) > tol),
+      ys AS (SELECT DISTINCT page_id, y FROM ink), xs AS (SELECT DISTINCT page_id, x FROM ink),
+      {strip("y", "st", "y")}, {strip("y", "sb", f"{size - 1} - y")}, {strip("x", "sl", "x")}, {strip("x", "sr", f"{size - 1} - x")},
+      bx AS (SELECT page_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM ink JOIN st USING (page_id) JOIN sb USING (page_id) JOIN sl USING (page_id) JOIN sr USING (page_id)
+        WHERE y BETWEEN st.skip AND {size - 1} - sb.skip AND x BETWEEN sl.skip AND {size - 1} - sr.skip GROUP BY 1)
+      SELECT page_id, x0, y0, x1, y1, y0 / {scale}::DOUBLE AS top, ({size - 1} - y1) / {scale}::DOUBLE AS bottom, x0 / {scale}::DOUBLE AS "left", ({size - 1} - x1) / {scale}::DOUBLE AS "right", x0 IS NULL AS blank FROM pp LEFT JOIN bx USING (page_id)"""
+
+
+@query(f"WITH {_box_sql(_RGB, 8, 0.5)}")
 def r4_content_box(spark, sf_dir):
-    return P.content_box(pixels(spark, sf_dir), 120, 2)
+    """Pages of 8 pixels have no strips."""
+    return P.content_box(_rgb(spark, sf_dir), 8, 8, ("red", "green", "blue"), 0.5)
+
+
+# Each pixel as 2 x 2 in the middle of a white page of 40 x 40; pages by their id have a dark strip of one or two pixels at some edges.
+_SCAN = f"""{_RGB.replace("rgb AS", "rgb8 AS")}, cells AS (SELECT page_id, a::BIGINT AS x, b::BIGINT AS y FROM (SELECT DISTINCT page_id FROM rgb8), range(40) r(a), range(40) s(b)),
+      rgb AS (SELECT c.page_id, c.x, c.y, CASE WHEN strip THEN 20 ELSE coalesce(red, 255) END AS red, CASE WHEN strip THEN 20 ELSE coalesce(green, 255) END AS green, CASE WHEN strip THEN 20 ELSE coalesce(blue, 255) END AS blue
+        FROM (SELECT *, (page_id % 2 = 0 AND x = 0) OR (page_id % 3 = 0 AND y = 39) OR (page_id % 5 = 0 AND x >= 38) AS strip FROM cells) c LEFT JOIN rgb8 p ON p.page_id = c.page_id AND p.x = (c.x - 12) // 2 AND p.y = (c.y - 12) // 2 AND c.x BETWEEN 12 AND 27 AND c.y BETWEEN 12 AND 27)"""
+
+
+def _scans(spark, sf_dir):
+    p = _rgb(spark, sf_dir)
+    pages = p.select("page_id").distinct()
+    cells = pages.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("x")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("y"))
+    inside = F.col("x").between(12, 27) & F.col("y").between(12, 27)
+    met = cells.withColumns({"px": F.when(inside, F.floor((F.col("x") - 12) / 2)), "py": F.when(inside, F.floor((F.col("y") - 12) / 2))})
+    met = met.join(p.select("page_id", F.col("x").alias("px"), F.col("y").alias("py"), "red", "green", "blue"), ["page_id", "px", "py"], "left")
+    k = F.col("page_id")
+    strip = ((k % 2 == 0) & (F.col("x") == 0)) | ((k % 3 == 0) & (F.col("y") == 39)) | ((k % 5 == 0) & (F.col("x") >= 38))
+    return met.select("page_id", "x", "y", *[F.when(strip, 20).otherwise(F.coalesce(c, F.lit(255))).alias(c) for c in ("red", "green", "blue")])
+
+
+@query(f"WITH {_box_sql(_SCAN, 40, 2.0)}")
+def r4_content_box_scanned(spark, sf_dir):
+    """Scans with dark strips at their edges."""
+    return P.content_box(_scans(spark, sf_dir), 40, 40, ("red", "green", "blue"), 2.0)
 
 
 @query(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.operators import web as W
 from folioflow.plans.registry import query
+from folioflow.sources import files
+from folioflow.sources.scratch import folder, written
 from folioflow.sources.tables import load
 
 
@@ -68,12 +70,20 @@ def s2_scan_html_tree(spark, sf_dir):
     return _pages(spark, sf_dir).where("html is not null and startswith(html, '<!DOCTYPE html')").select("url")
 
 
+@query("SELECT 'd' || page_id % 7 || '/e' || page_id % 3 AS folder, 'p' || page_id || '.html' AS name, coalesce(html, '') AS html FROM pages WHERE page_id % 10 <> 0")
+def s2_scan_html_tree_files(spark, sf_dir):
+    """All pages written as files of a nested tree, every tenth with another ending, and the tree read again."""
+    base = f"{folder(spark)}/tree-{uuid.uuid4().hex}"
+    k = F.col("page_id").cast("string")
+    place = F.concat(F.lit("d"), (F.col("page_id") % 7).cast("string"), F.lit("/e"), (F.col("page_id") % 3).cast("string"), F.lit("/p"), k, F.when(F.col("page_id") % 10 == 0, ".htm").otherwise(".html"))
+    files.write_tree(_pages(spark, sf_dir).select(place.alias("path"), F.coalesce("html", F.lit("")).alias("content")), base)
+    return files.scan_html_tree(spark, base).select(F.regexp_extract("path", r"/tree-[0-9a-f]+/(.*)/[^/]*$", 1).alias("folder"), "name", "html")
+
+
 @query("SELECT url AS loc, CASE WHEN page_id % 3 <> 0 THEN '2020-01-0' || page_id % 3 END AS lastmod FROM pages")
 def s3_scan_sitemap(spark, sf_dir):
     """A sitemap of all pages, written as XML files and read again."""
     from folioflow.sources.files import scan_sitemap
-    from folioflow.sources.scratch import folder
-
     path = f"{folder(spark)}/sitemap-{uuid.uuid4().hex}"
     lastmod = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("2020-01-0"), (F.col("page_id") % 3).cast("string")))
     _pages(spark, sf_dir).select(F.col("url").alias("loc"), lastmod.alias("lastmod")).write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
@@ -84,8 +94,6 @@ def s3_scan_sitemap(spark, sf_dir):
 def s7_write_parts(spark, sf_dir):
     """Pages written as one folder a part, and the parts read again."""
     from folioflow.sources.files import write_parts
-    from folioflow.sources.scratch import folder
-
     path = f"{folder(spark)}/parts-{uuid.uuid4().hex}"
     write_parts(_pages(spark, sf_dir).select("page_id", "url", F.concat(F.lit("part_"), (F.col("page_id") % 7).cast("string")).alias("part_name")), path)
     return spark.read.parquet(path).groupBy("part_name").agg(F.count("*").alias("n"), F.sum(F.length("url")).alias("chars"))
@@ -303,14 +311,23 @@ def w10_normalize_article(spark, sf_dir):
     return W.normalize_article(W.page_head(_pages(spark, sf_dir)).withColumn("modified", F.lit("2024-05-06T01:02:03Z")), "Example")
 
 
-_NAV = r"""nav AS (SELECT page_id, regexp_extract(html, '(?is)<nav>(.*?)</nav>', 1) AS n FROM pages),
-  rel AS (SELECT page_id, unnest(regexp_extract_all(n, '<a href="/([^"]*)">([^<]*)</a>', 1)) AS slug, unnest(regexp_extract_all(n, '<a href="/([^"]*)">([^<]*)</a>', 2)) AS label, generate_subscripts(regexp_extract_all(n, '<a href="/([^"]*)">([^<]*)</a>', 1), 1) - 1 AS "at" FROM nav)"""
+_RELATED = r"""reg AS (SELECT page_id, '<h2>Related Tools</h2> <p> <a href="/tools/the.html">First</a>, <a class="x" href="q">no</a> <a href="and" class="y"> Second
+ one </a> · <a href="../t' || page_id % 5 || '.html">T</a></p><p><a href="/x">out</a></p>' AS r FROM pages WHERE page_id % 3 <> 0),
+  inn AS (SELECT page_id, regexp_extract(r, '<h2>Related Tools</h2>\s*<p>([\s\S]*?)</p>', 1) AS n FROM reg),
+  rel AS (SELECT page_id, unnest(regexp_extract_all(n, '(?s)<a\s+href="([^"]+)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(n, '(?s)<a\s+href="([^"]+)"[^>]*>(.*?)</a>', 2)) AS label, generate_subscripts(regexp_extract_all(n, '(?s)<a\s+href="([^"]+)"[^>]*>(.*?)</a>', 1), 1) - 1 AS "at" FROM inn),
+  slg AS (SELECT page_id, "at", regexp_replace(regexp_replace(href, '^.*/', ''), '\.html$', '') AS slug, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label FROM rel)"""
 
 
-@query(f"WITH {_NAV} SELECT page_id, \"at\"::BIGINT AS \"at\", slug, label, CASE slug WHEN 'the' THEN 'icon-the' WHEN 'and' THEN 'icon-and' ELSE 'icon' END AS icon FROM rel")
+@query(f"WITH {_RELATED} SELECT page_id, \"at\"::BIGINT AS \"at\", slug, label, CASE slug WHEN 'the' THEN 'icon-the' WHEN 'and' THEN 'icon-and' ELSE 'icon' END AS icon FROM slg")
 def w11_related_links(spark, sf_dir):
+    """Two thirds of the pages have a Related region in front of their own text."""
     icons = spark.range(1).select(F.explode(F.array(F.lit("the"), F.lit("and"))).alias("slug")).withColumn("icon", F.concat(F.lit("icon-"), "slug"))
-    return W.related_links(_pages(spark, sf_dir), icons, "icon")
+    region = F.concat(
+        F.lit('<h2>Related Tools</h2> <p> <a href="/tools/the.html">First</a>, <a class="x" href="q">no</a> <a href="and" class="y"> Second\n one </a> · <a href="../t'), (F.col("page_id") % 5).cast("string"),
+        F.lit('.html">T</a></p><p><a href="/x">out</a></p>'),
+    )
+    p = _pages(spark, sf_dir)
+    return W.related_links(p.select("page_id", F.concat(F.when(F.col("page_id") % 3 != 0, region).otherwise(""), F.coalesce("html", F.lit(""))).alias("html")), icons, "icon")
 
 
 @query(
@@ -384,7 +401,7 @@ def j20_unused_hints(spark, sf_dir):
     return W.unused_hints(p.select("page_id", F.concat(F.lit('<link rel="preconnect" href="https://'), host, F.lit('">'), use, F.col("html")).alias("html")))
 
 
-# A small redirect table with a chain, a gone path and a loop.
+# A small redirect table with chains, one of 21 steps, a gone path and a loop.
 RULES = [
     (1, None, "/en/1", "exact", "/new/1", 308),
     (2, None, "/new/", "prefix", "/final", 308),
@@ -394,22 +411,26 @@ RULES = [
     (6, None, "/de/", "prefix", "/loop/a", 308),
     (7, None, "/loop/a", "exact", "/loop/b", 308),
     (8, None, "/loop/b", "exact", "/loop/a", 308),
+    *[(9 + k, None, f"/long/{k}", "exact", f"/long/{k + 1}", 308) for k in range(20)],
+    (40, None, "/es/", "prefix", "/long/0", 308),
 ]
 
 
 @query(
     f"""WITH RECURSIVE rules(ord, host, pattern, kind, destination, status) AS (VALUES {', '.join(str(r).replace('None', 'NULL') for r in RULES)}),
-      f AS (SELECT page_id AS key, '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x NOT IN ('', '.')), '/') AS path, 0 AS steps, 200 AS status, false AS done FROM pages
-        UNION ALL SELECT key, CASE WHEN r.status = 410 THEN path ELSE coalesce(r.destination, path) END, steps + CASE WHEN r.ord IS NULL THEN 0 ELSE 1 END, coalesce(r.status, f.status), r.ord IS NULL OR coalesce(r.status = 410, false)
-        FROM f LEFT JOIN LATERAL (SELECT * FROM rules WHERE (kind = 'exact' AND path = pattern) OR (kind = 'prefix' AND starts_with(path, pattern)) ORDER BY ord LIMIT 1) r ON true WHERE NOT f.done AND steps < 8)
-      SELECT key, arg_max(path, (done::INTEGER, steps)) AS path, max(steps)::INTEGER AS steps, CASE WHEN bool_or(done) THEN arg_max(status, (done::INTEGER, steps)) ELSE 508 END AS status FROM f GROUP BY key"""
+      u AS (SELECT page_id AS key, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x NOT IN ('', '.')), '/') AS path FROM pages),
+      f AS (SELECT key, u.host, path, 0 AS steps, 200 AS status, false AS done, [path] AS seen FROM u
+        UNION ALL SELECT key, f.host, CASE WHEN r.status = 410 THEN path ELSE coalesce(r.destination, path) END, steps + CASE WHEN r.ord IS NULL THEN 0 ELSE 1 END,
+          CASE WHEN r.status <> 410 AND list_contains(seen, r.destination) THEN 508 ELSE coalesce(r.status, f.status) END, r.ord IS NULL OR r.status = 410 OR list_contains(seen, r.destination), list_append(seen, r.destination)
+        FROM f LEFT JOIN LATERAL (SELECT * FROM rules WHERE (rules.host IS NULL OR rules.host = f.host) AND ((kind = 'exact' AND path = pattern) OR (kind = 'prefix' AND starts_with(path, pattern))) ORDER BY ord LIMIT 1) r ON true WHERE NOT f.done)
+      SELECT key, CASE WHEN f.status = 508 THEN u.path ELSE f.path END AS path, CASE WHEN f.status <> 508 THEN steps END::INTEGER AS steps, f.status FROM f JOIN u USING (key) WHERE done"""
 )
 def j5_resolve_redirects(spark, sf_dir):
     p = _pages(spark, sf_dir)
     path = F.concat(F.lit("/"), T.normalize_path(F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit(""))))
     rules = spark.createDataFrame(RULES, "ord int, host string, pattern string, kind string, destination string, status int")
     urls = p.select(F.col("page_id").alias("key"), F.parse_url("url", F.lit("HOST")).alias("host"), path.alias("path"))
-    return W.resolve_redirects(urls, rules)
+    return W.resolve_redirects(urls, rules, written)
 
 
 @query(
@@ -441,8 +462,6 @@ _REACHED = """WITH RECURSIVE e AS (SELECT page_id AS src, (page_id * 7 + k * 13
 
 
 def _reached(spark, sf_dir):
-    from folioflow.sources.scratch import written
-
     p = _pages(spark, sf_dir).select(F.col("page_id").alias("src"))
     n = p.count()
     e = p.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where((F.col("src") + F.col("k")) % 4 != 0)

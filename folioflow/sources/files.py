@@ -7,9 +7,28 @@ from pyspark.sql import functions as F
 
 
 def scan_html_tree(spark: SparkSession, path: str) -> DataFrame:
-    """(path, html) of every .html file below a folder."""
+    """(path, name, html) of every .html file below a folder, at any depth; other files are not read. Small files are read many to a task, as
+    many as spark.sql.files.maxPartitionBytes and openCostInBytes let stand together."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
-    return files.select(F.input_file_name().alias("path"), F.col("value").alias("html"))
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("html"))
+
+
+def write_tree(rows: DataFrame, base: str) -> None:
+    """One file for each row of rows(path, content), below a folder that all executors share. A file that is written again stays the same."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        at, root = fs.FileSystem.from_uri(base if "://" in base or base.startswith("file:") else f"file://{base}")
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                at.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with at.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content.encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def scan_sitemap(spark: SparkSession, path: str) -> DataFrame:

@@ -262,3 +262,77 @@ def test_numbering_of_one_large_output(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", width)
     assert M.numbered(m.limit(0), ["out_id"], F.col("src")).count() == 0
+
+
+def test_redirects_of_any_length_and_circles(spark):
+    from folioflow.sources.scratch import written
+
+    rules = [(k, None, f"/c{k}", "exact", f"/c{k + 1}", 308) for k in range(100)] + [(200, None, "/x", "exact", "/y", 308), (201, None, "/y", "exact", "/x", 308), (202, None, "/in", "exact", "/x", 308)]
+    rules += [(300, "a.b", "/h/", "prefix", "/c98", 308), (301, None, "/h/", "prefix", "/old", 308), (302, "a.b", "/c100", "exact", "/old", 308), (303, None, "/old", "exact", "/old", 410), (304, None, "/self", "prefix", "/self/more", 308)]
+    urls = [(1, "q.r", "/c0"), (2, "q.r", "/x"), (3, "q.r", "/in"), (4, "a.b", "/h/1"), (5, "q.r", "/h/1"), (6, None, "/h/1"), (7, "q.r", "/none"), (8, "q.r", "/self"), (9, "a.b", "/c0"), (9, "q.r", "/c99")]
+    table = spark.createDataFrame(rules, "ord int, host string, pattern string, kind string, destination string, status int")
+    got = web.resolve_redirects(spark.createDataFrame(urls, "key int, host string, path string"), table, written).collect()
+    assert {tuple(r) for r in got} == {
+        (1, "/c100", 100, 308), (2, "/x", None, 508), (3, "/in", None, 508), (4, "/old", 5, 410), (5, "/old", 2, 410), (6, "/old", 2, 410), (7, "/none", 0, 200), (8, "/self", None, 508), (9, "/old", 102, 410), (9, "/c100", 1, 308),
+    }
+    none = web.resolve_redirects(spark.createDataFrame(urls, "key int, host string, path string"), table.limit(0), written).collect()
+    assert {(r.steps, r.status) for r in none} == {(0, 200)} and len(none) == len(urls)
+
+
+def plain_box(page, n):
+    """Row by row over one page of n x n pixels with one channel."""
+    band = max(1, int(n * 0.03))
+    border = sorted(v for (x, y), v in page.items() if (x < band or x >= n - band or y < band or y >= n - band) and x % 2 == 0 and y % 2 == 0)
+    paper = border[len(border) // 2] or 255
+    paper, tol = (paper, 34 if paper < 250 else 18) if paper >= 200 else (255, 18)
+    ink = {(x, y) for (x, y), v in page.items() if abs(v - paper) > tol}
+
+    def skip(line):
+        lim, k = int(n * 0.06 + 0.5), 0
+        while k < lim and line[k]:
+            k += 1
+        if k == 0 or k >= lim:
+            return 0
+        gap, j = 0, k
+        while gap < int(n * 0.4 + 0.5) and not line[j]:
+            j, gap = j + 1, gap + 1
+            if j >= n:
+                return 0
+        return k if gap >= max(3, int(n * 0.01 + 0.5)) else 0
+
+    rows, cols = [any((x, y) in ink for x in range(n)) for y in range(n)], [any((x, y) in ink for y in range(n)) for x in range(n)]
+    t, b, left, r = skip(rows), n - 1 - skip(rows[::-1]), skip(cols), n - 1 - skip(cols[::-1])
+    kept = [(x, y) for x, y in ink if left <= x <= r and t <= y <= b]
+    return (min(x for x, _ in kept), min(y for _, y in kept), max(x for x, _ in kept), max(y for _, y in kept)) if kept else (None,) * 4
+
+
+def test_content_box_with_edge_strips(spark):
+    import random
+
+    from folioflow.operators import pixels as P
+
+    rng, n, pages = random.Random(4), 60, {}
+    for k in range(40):
+        base = rng.choice([255, 255, 230, 40])
+        page = {(x, y): base for x in range(n) for y in range(n)}
+        for _ in range(rng.choice([0, 1, 3])):
+            x0, y0 = rng.randrange(8, 50), rng.randrange(8, 50)
+            page.update({(x, y): 90 for x in range(x0, min(n, x0 + 6)) for y in range(y0, min(n, y0 + 3))})
+        for side in rng.sample(range(4), rng.choice([0, 1, 2])):
+            wide = rng.choice([1, 2, 3, 5])
+            page.update({(x, y): 10 for x in range(n) for y in range(n) if (x, n - 1 - x, y, n - 1 - y)[side] < wide})
+        pages[k] = page
+    df = spark.createDataFrame([(k, x, y, v) for k, page in pages.items() for (x, y), v in page.items()], "page_id long, x long, y long, lum long")
+    got = P.content_box(df, n, n, scale=2.0).collect()
+    for r in got:
+        want = plain_box(pages[r.page_id], n)
+        assert (r.x0, r.y0, r.x1, r.y1) == want and r.blank == (want[0] is None)
+        assert want[0] is None or (r.top, r.right) == (want[1] / 2, (n - 1 - want[2]) / 2)
+    assert len(got) == 40 and any(r.blank for r in got)
+
+
+def test_graphemes_of_all_kinds(spark):
+    texts = ["plain", "a\r\nb", "é", "é", "日本語", "👩‍👩‍👧", "🇩🇪🇫🇷", "नमस्ते", "한글", "ᄒ​ᅡ", "´ñ ü", "x‍y", "", None, "Привет, мир", "か゚", "©️"]
+    got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.graphemes(F.col("t")).alias("n"), F.regexp_count("t", F.lit(r"\X")).alias("w")).where("t is not null and n <> w or false").collect()}
+    assert got == {}
+    assert spark.createDataFrame([("a\r\nb",)], "t string").select(T.graphemes(F.col("t"))).first()[0] == 3
