@@ -61,13 +61,10 @@ def words(col: Column) -> Column:
     return F.transform(F.regexp_extract_all(col, F.lit(WORD + "+"), F.lit(0)), F.lower)
 
 
-# Other than these, code points may join their neighbours to one grapheme (or end a line with the next, as a return does).
-_JOINING = r"[^\x00-\x0C\x0E-\u02FF\u0370-\u0482\u048A-\u058F\u2010-\u2027\u2030-\u205E\u20A0-\u20C0\u3040-\u3096\u30A1-\u30FF\u4E00-\u9FFF]"
-
-
 def graphemes(col: Column) -> Column:
-    """Texts of code points that stand alone are counted by their length; only others are searched for clusters."""
-    return F.when(col.rlike(_JOINING), F.regexp_count(col, F.lit(r"\X"))).otherwise(F.length(col)).cast("long")
+    """ASCII texts are counted by their length, with a return and the line end behind it as one; others by a search for clusters."""
+    ascii_only = F.octet_length(col) == F.length(col)
+    return F.when(ascii_only, F.length(F.replace(col, F.lit("\r\n"), F.lit("\n")))).otherwise(F.regexp_count(col, F.lit(r"\X"))).cast("long")
 
 
 def without_abbreviation_dots(col: Column) -> Column:

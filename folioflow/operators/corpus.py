@@ -11,11 +11,13 @@ from folioflow.functions import text as T
 def text_stats(df: DataFrame, col: str = "text") -> DataFrame:
     """Words, characters, characters without white space, paragraphs and different words of each text."""
     c = F.col(col)
-    return df.select(
-        "*",
-        F.size(T.tokens(c)).cast("long").alias("words"),
-        T.graphemes(F.regexp_replace(c, r"[\r\n]+", "")).alias("chars"),
-        T.graphemes(F.regexp_replace(c, T.SPACE + "+", "")).alias("chars_ns"),
+    # white space is searched for once: as single spaces, it parts the words and can be taken out
+    told = df.withColumn("stats_flat", F.trim(F.regexp_replace(c, T.SPACE + "+", " "))).withColumn("stats_dense", F.replace("stats_flat", F.lit(" "), F.lit("")))
+    return told.select(
+        *df.columns,
+        (F.length("stats_flat") - F.length("stats_dense") + (F.col("stats_flat") != "").cast("int")).cast("long").alias("words"),
+        T.graphemes(F.replace(F.replace(c, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))).alias("chars"),
+        T.graphemes(F.col("stats_dense")).alias("chars_ns"),
         F.size(F.filter(F.split(c, "\n"), lambda x: x.rlike(T.NOT_SPACE))).cast("long").alias("paragraphs"),
         F.size(F.array_distinct(T.words(c))).cast("long").alias("unique_words"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.operators import corpus as C
 from folioflow.plans.registry import query
-from folioflow.sources.tables import EMAILS, emails, load
+from folioflow.sources.tables import EMAILS, documents, emails, load
 
 # The same patterns, for SQL text: quotes doubled, no look-around.
 _WORD = T.WORD.replace("'", "''")
@@ -19,7 +19,7 @@ _ABBR = rf"(\b(?:{T.ABBREVIATIONS}))\.(\s+[\p{{L}}\p{{N}}])"
 
 
 def _docs(spark, sf_dir):
-    return load(spark, sf_dir, "documents")
+    return documents(spark, sf_dir)
 
 
 @query(

@@ -13,6 +13,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
+SMALL_SHARE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few and small to be read by all of them: below SMALL_SHARE bytes a core. Larger tables are read as
+    they lie. Only where rows are worked on depends on this, never what comes out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"))
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a page of each document: an output per source, files by doc_id, pages of 500 characters."""
     pages = load(spark, sf_dir, "documents").select(
@@ -38,7 +53,7 @@ MANIFEST = """manifest AS (
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positioned words: 8 a line, 40 lines a page; every third document in two columns of 20 lines; larger first lines;
     a repeated heading on the pages of every fifth."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda x: x != "")).alias("wi", "str"))
+    docs = documents(spark, sf_dir).select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda x: x != "")).alias("wi", "str"))
     placed = docs.select(
         "doc_id", F.floor(F.col("wi") / 320).cast("long").alias("page"), F.floor(F.col("wi") % 320 / 8).cast("long").alias("line"),
         (F.col("wi") % 8).cast("long").alias("k"), "wi", "str",
