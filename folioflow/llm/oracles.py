@@ -11,7 +11,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def mix_sql() -> str:
     """Targets by running sums over sources in order of size / weight, then passes over the rows not taken yet that fit what is
-    open, in order of their draw."""
+    open, in order of their draw, equal rows one by one."""
     weights = ", ".join(f"{w}.0" for w in mixing.WEIGHTS)
     n = len(mixing.WEIGHTS)
     passes = []
@@ -20,10 +20,10 @@ def mix_sql() -> str:
         passes.append(
             f"""n{k} AS (SELECT source, any_value(need0) - coalesce(sum(size) FILTER (WHERE taken), 0) AS need FROM {before} GROUP BY source),
       e{k} AS (SELECT b.*, n.need, NOT taken AND size > 0 AND size <= n.need AND n.need >= 1 AND n.need >= {mixing.CLOSE}::DOUBLE * target AS fits FROM {before} b JOIN n{k} n ON b.source IS NOT DISTINCT FROM n.source),
-      s{k} AS (SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM e{k}),
+      s{k} AS (SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY draw, rid ROWS UNBOUNDED PRECEDING) AS upto FROM e{k}),
       p{k} AS MATERIALIZED (SELECT * EXCLUDE (need, fits, upto, taken), taken OR (fits AND upto <= need) AS taken FROM s{k})"""
         )
-    return f"""WITH i AS (SELECT doc_id, source, ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, text)), 1, 15))::BIGINT AS draw,
+    return f"""WITH i AS (SELECT doc_id, source, row_number() OVER () AS rid, ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, text)), 1, 15))::BIGINT AS draw,
         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
       z AS (SELECT source, sum(size)::BIGINT AS source_size FROM i GROUP BY source),
       w AS (SELECT *, [{weights}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {n} + 1)::INTEGER]::DOUBLE AS weight, (source_size * {mixing.MOST})::DOUBLE AS cap FROM z),

@@ -70,3 +70,26 @@ def test_dense_phrases_are_linear():
     assert lexicon.measure("circus clown, idiot. " * 100_000) == [300_000.0, 200_000.0, 2.0, 100_000.0]
     assert time.time() - start < 20
     assert toxicity.joined([(5, 9), (1, 3), (8, 12), (3, 4)]) == ([1, 5], [4, 12])
+
+
+def test_mix_takes_part_of_equal_rows(spark):
+    """Sources of equal rows, with and without an id, meet their targets within one row; the mix and its application agree."""
+    from folioflow.llm import mixing
+
+    rows = [(None, "one two three four five six", "a")] * 1000 + [(7, "w " * 9, "b")] * 500 + [(7, "w " * 9, None)] * 300 + [(i, "x y z " * (i % 5 + 1), "c") for i in range(900)] + [(5, None, "b"), (5, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.lit(1)).repartition(5)
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == len(rows)
+    by = {}
+    for r in mixed:
+        t = by.setdefault(r.source, [r.target, 0, 0])
+        t[1] += r.taken
+        t[2] = max(t[2], r["size"])
+        assert r.copies <= 2
+    for source, (target, taken, largest) in by.items():
+        assert taken <= target + 1e-9 and (source == "d" or target - taken < max(largest, 0.002 * target + 1)), (source, target, taken)
+    again = sorted((str(r.source), r.draw, r.copies) for r in mixing.mix(docs.repartition(3)).collect())
+    assert again == sorted((str(r.source), r.draw, r.copies) for r in mixed)
+    applied = mixing.apply_mix(docs)
+    words = {r.source: r.n for r in applied.groupBy("source").agg(F.sum(mixing.n_words()).alias("n")).collect()}
+    assert applied.columns == docs.columns and words == {s: v[1] for s, v in by.items() if v[1]}
