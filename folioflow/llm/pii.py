@@ -23,6 +23,7 @@ UNSEEN = 1.0
 ELSEWHERE = 0.5
 BROADCAST_TERMS = 1_000_000
 SPAN = "array<struct<s:int,e:int,v:string>>"
+CHUNK = 256
 
 
 def _quoted(pattern: str) -> str:
@@ -30,15 +31,22 @@ def _quoted(pattern: str) -> str:
 
 
 def placed(text: str, pattern: str) -> str:
-    """SQL for all matches with their places in code points, by the lengths of what lies between them."""
+    """SQL for all matches with their places in code points, by the lengths of what lies between them. Arrays grow by CHUNK places at a time, so that
+    a text of many matches takes little more than their number."""
     p = _quoted(pattern)
-    return f"""aggregate(
-      zip_with(regexp_extract_all({text}, {p}, 0), slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))),
-               (v, gap) -> named_struct('v', v, 'gap', length(gap))),
-      named_struct('at', 0, 'out', cast(array() as {SPAN})),
-      (a, x) -> named_struct('at', a.at + x.gap + length(x.v),
-                'out', array_append(a.out, named_struct('s', a.at + x.gap, 'e', a.at + x.gap + length(x.v), 'v', x.v))),
-      a -> a.out)"""
+    pieces = f"""zip_with(regexp_extract_all({text}, {p}, 0), slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))),
+               (v, gap) -> named_struct('v', v, 'gap', length(gap)))"""
+    return f"""flatten(aggregate({_in_chunks(pieces)}, named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
+      (o, c) -> aggregate(c, named_struct('at', o.at, 'out', cast(array() as {SPAN})),
+        (a, x) -> named_struct('at', a.at + x.gap + length(x.v),
+                  'out', array_append(a.out, named_struct('s', a.at + x.gap, 'e', a.at + x.gap + length(x.v), 'v', x.v))),
+        a -> named_struct('at', a.at, 'out', array_append(o.out, a.out))),
+      o -> o.out))"""
+
+
+def _in_chunks(array: str) -> str:
+    """SQL for an array cut into arrays of CHUNK entries; the array is made once."""
+    return f"transform(array({array}), w -> transform(sequence(0, greatest(size(w) - 1, 0) div {CHUNK}), k -> slice(w, k * {CHUNK} + 1, {CHUNK})))[0]"
 
 
 def _luhn(value: str) -> str:
@@ -196,12 +204,15 @@ def sanitize(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs.withColumn("pii_base", base_spans()))
     t = terms.select(F.col("doc_id").alias("pii_id"), F.col("text_hash").alias("pii_hash"), F.col("terms").alias("pii_terms"))
     met = keyed.join(t, keyed["doc_id"].cast("long").eqNullSafe(F.col("pii_id")) & (keyed["text_hash"] == F.col("pii_hash")), "left")
-    merged = """aggregate(array_sort(transform(concat(pii_base, coalesce(pii_terms, cast(array() as array<struct<kind:string,s:int,e:int,v:string>>))),
-        x -> named_struct('s', x.s, 'e', x.e, 'kind', if(x.kind = 'term' and x.v rlike '^[0-9]+$', 'number', x.kind)))),
-      named_struct('at', 0, 'open', '', 'out', cast(array() as array<string>)),
-      (a, x) -> if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'open', a.open, 'out', a.out),
-        named_struct('at', x.e, 'open', concat('[', upper(x.kind), ']'),
-          'out', array_append(a.out, concat(a.open, substring(text, a.at + 1, x.s - a.at))))),
+    spans = """array_sort(transform(concat(pii_base, coalesce(pii_terms, cast(array() as array<struct<kind:string,s:int,e:int,v:string>>))),
+        x -> named_struct('s', x.s, 'e', x.e, 'kind', if(x.kind = 'term' and x.v rlike '^[0-9]+$', 'number', x.kind))))"""
+    # each chunk of spans cuts its own block of the text, so that no place is looked for from the text's start more than once a chunk
+    merged = f"""aggregate({_in_chunks(spans)}, named_struct('at', 0, 'open', '', 'out', cast(array() as array<string>)),
+      (a, c) -> aggregate(c, named_struct('at', a.at, 'open', a.open, 'base', a.at, 'block', substring(text, a.at + 1, coalesce(array_max(transform(c, y -> y.e)), 0) - a.at), 'out', cast(array() as array<string>)),
+        (b, x) -> if(x.s < b.at, named_struct('at', greatest(b.at, x.e), 'open', b.open, 'base', b.base, 'block', b.block, 'out', b.out),
+          named_struct('at', x.e, 'open', concat('[', upper(x.kind), ']'), 'base', b.base, 'block', b.block,
+            'out', array_append(b.out, concat(b.open, substring(b.block, b.at - b.base + 1, x.s - b.at))))),
+        b -> named_struct('at', b.at, 'open', b.open, 'out', array_append(a.out, array_join(b.out, '')))),
       a -> concat(array_join(a.out, ''), a.open, substring(text, a.at + 1, length(text))))"""
     clean = F.when((F.size("pii_base") == 0) & F.col("pii_terms").isNull(), F.col("text")).otherwise(F.expr(merged))
     out = met.withColumn("text", clean)

@@ -1,5 +1,6 @@
 """Letters that change under normalisation, elements and attributes of any kind, numerals, repeated ids in samples, and dense phrases."""
 
+import re
 import time
 import unicodedata
 
@@ -93,3 +94,72 @@ def test_mix_takes_part_of_equal_rows(spark):
     applied = mixing.apply_mix(docs)
     words = {r.source: r.n for r in applied.groupBy("source").agg(F.sum(mixing.n_words()).alias("n")).collect()}
     assert applied.columns == docs.columns and words == {s: v[1] for s, v in by.items() if v[1]}
+
+
+def test_personal_data_in_long_texts_is_quick(spark):
+    """100,000 addresses in one text: places and replacements as by plain expressions, in little more than linear time."""
+    from folioflow.llm import pii
+
+    text = " ".join(f"é{i} u{i}@x.de" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "a@b.cd"), (3, "no"), (4, None)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.base for r in df.select("doc_id", pii.base_spans().alias("base")).collect()}
+    assert time.time() - start < 40
+    want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(x.s, x.e) for x in got[1]] == want and [(x.s, x.e) for x in got[2]] == [(0, 6)] and got[3] == got[4] == []
+
+
+def test_sanitize_many_spans(spark):
+    from folioflow.llm import pii
+
+    n = pii.CHUNK * 3 + 5
+    text = " ".join(f"w{i} u{i}@x.de 10.0.0.{i % 250}" for i in range(n)) + " end"
+    start = time.time()
+    rows = {r.doc_id: r.text for r in pii.sanitize(spark.createDataFrame([(1, text), (2, "plain words"), (3, "")], "doc_id long, text string")).collect()}
+    assert not re.search(r"@|10\.0", rows[1]) and rows[1].count("[EMAIL]") == n and rows[1].count("[IP]") == n and rows[1].endswith(" end") and rows[2] == "plain words"
+    assert time.time() - start < 60
+
+
+def test_terms_by_brute_force(spark):
+    """Pointwise mutual information of every word near a value, over a small corpus, by plain counts."""
+    import math
+    import random
+
+    from folioflow.llm import pii
+
+    rng = random.Random(8)
+    people = [("ann@x.de", "falconer"), ("bob@y.org", "luthier"), ("10.1.2.3", "gateway"), ("eve@z.net", "the")]
+    common = ["the", "of", "and", "river", "stone", "house", "letter", "winter", "road"]
+    docs = []
+    for i in range(120):
+        words = [rng.choice(common) for _ in range(rng.randint(5, 40))]
+        for value, term in rng.sample(people, rng.choice([0, 0, 1, 1, 2])):
+            at = rng.randint(0, len(words))
+            words[at:at] = [term if rng.random() < 0.8 else "river", "writes", value]
+        docs.append(" ".join(words))
+    split = re.compile(r"[^\W_]+")
+    found = {i: [(k, m.start(), m.end(), m.group().lower()) for k, p in (("email", r"[a-z]+@[a-z]\.[a-z]+"), ("ip", r"10\.1\.2\.3")) for m in re.finditer(p, t)] for i, t in enumerate(docs)}
+    has, holds, near, df = {}, {}, set(), {}
+    for i, t in enumerate(docs):
+        words = [(m.group().lower(), m.start(), m.end()) for m in split.finditer(t)]
+        free = [w for w in words if not any(s < w[2] and w[1] < e for _, s, e, _ in found[i])]
+        for w in {w for w, _, _ in words}:
+            df[w] = df.get(w, 0) + 1
+        has[i] = {w for w, _, _ in free}
+        for k, s, e, v in found[i]:
+            holds.setdefault(f"{k}:{v}", set()).add(i)
+            before = [w for w, _, b in free if b <= s][-pii.NEAR :]
+            behind = [w for w, a, _ in free if a >= e][: pii.NEAR]
+            near |= {(f"{k}:{v}", w) for w in before + behind}
+    total, told, wide = len(docs), set(), set()
+    for c, t in near:
+        both = [i for i in holds[c] if t in has[i]]
+        given = (len(both) + pii.UNSEEN * len(holds[c]) / total) / (df[t] + pii.UNSEEN)
+        ic = math.log2(total / len(holds[c]))
+        if total > len(holds[c]) and math.log2(given) + ic >= pii.SHARE_OF_IC * ic:
+            told |= {(i, t) for i in both}
+            if given >= pii.ELSEWHERE and df[t] > len(both):
+                wide.add(t)
+    want = {(i, m.start(), m.end()) for i, t in enumerate(docs) for m in split.finditer(t) if ((i, m.group().lower()) in told or m.group().lower() in wide) and not any(s < m.end() and m.start() < e for _, s, e, _ in found[i])}
+    got = {(r.doc_id, x.s, x.e) for r in pii.find_pii(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect() for x in r.spans if x.kind == "term"}
+    assert got == want and want
