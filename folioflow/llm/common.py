@@ -91,8 +91,8 @@ def sample_by_class(df: DataFrame, label: str, key: Column, per_class: int) -> D
 
 
 def bounded(df: DataFrame, most: int) -> DataFrame:
-    """At most this many rows, those with the smallest hashes of all their columns."""
-    return df.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).limit(most)
+    """At most this many rows: all where they are no more, which is counted, else those with the smallest hashes of all their columns."""
+    return df if df.count() <= most else df.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).limit(most)
 
 
 def runs(texts: pa.Array, limit: int = RUN_CHARS):
