@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import RTL
+from folioflow.functions.text import RTL, SPACE
 
 PAGE = ("doc_id", "page")
 
@@ -316,38 +314,52 @@ def xy_cut(frags: DataFrame, depth: int = 3, least: int = 5) -> DataFrame:
     return frags.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, line long, frag long, region long")
 
 
-LIST_ITEM = re.compile(r"^\s*(?:[•‣▪●○*–—-]\s|\(?\d{1,3}[.)]\s|[a-z][.)]\s)")
+LIST_ITEM = rf"^{SPACE}*(?:[•‣▪●○*–—-]{SPACE}|\(?[0-9]{{1,3}}[.)]{SPACE}|[a-z][.)]{SPACE})"
+ENDS_SENTENCE = rf"[.!?]{SPACE}*$"
+
+
+def _nth(value: Column, at: Column, w) -> Column:
+    """The value on the row that is number `at` (from 0) of the partition in order of value; null on all others."""
+    return F.when(F.row_number().over(w.orderBy(F.asc_nulls_last(value))) == at + 1, value)
 
 
 def build_paragraphs(lines: DataFrame, body: float = 12.0) -> DataFrame:
     """Paragraphs of each page. A line starts one if it is a heading (1.18 x body, below 200 characters), has another size (12 %), stands
     farther away than 1.5 times the usual pitch, is a list item or indented by more than a size, or follows a short line that ends a
     sentence. Else it goes on with a space, or with a line break behind a line that ends far from the right edge. Level (1 from 1.6,
-    2 from 1.3 x body, else 3 for headings), alignment and indent are told. One group a page."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "line"])
-        steps = page["y"].diff().dropna().sort_values()
-        pitch = steps.iloc[len(steps) // 2] if len(steps) else body
-        right, left = page["x1"].sort_values().iloc[int(0.85 * (len(page) - 1))], page["x0"].sort_values().iloc[int(0.15 * (len(page) - 1))]
-        out, last = [], None
-        for r in page.itertuples():
-            heading = r.size >= 1.18 * body and len(r.text) < 200
-            new = last is None or heading or last.size >= 1.18 * body and len(last.text) < 200 or abs(r.size - last.size) > 0.12 * last.size or r.y - last.y > 1.5 * pitch
-            new = new or bool(LIST_ITEM.match(r.text)) or r.x0 - last.x0 > r.size or (last.x1 < right - 3 * r.size and last.text.rstrip().endswith((".", "!", "?")))
-            if new:
-                level = (1 if r.size >= 1.6 * body else 2 if r.size >= 1.3 * body else 3) if heading else 0
-                margins = r.x0 - left, right - r.x1
-                align = "centre" if min(margins) > 2 * r.size and abs(margins[0] - margins[1]) < r.size else "right" if margins[0] > 2 * r.size and abs(margins[1]) < r.size else "left"
-                out.append([r.doc_id, r.page, len(out), r.text, level, align, float(max(0.0, r.x0 - left)), r.x0, r.y, r.y, r.size])
-            else:
-                out[-1][3] += ("\n" if last.x1 < right - 0.25 * (right - left) else " ") + r.text
-                out[-1][9] = r.y
-            last = r
-        return pd.DataFrame(out, columns=["doc_id", "page", "para", "text", "level", "align", "indent", "x0", "y0", "y1", "size"])
-
-    return lines.groupBy(*PAGE).applyInPandas(
-        run, "doc_id long, page long, para long, text string, level long, align string, indent double, x0 double, y0 double, y1 double, size double"
+    2 from 1.3 x body, else 3 for headings), alignment and indent are told. Each line looks at the one before it only, so windows over
+    the page do."""
+    w = Window.partitionBy(*PAGE)
+    down = w.orderBy("y", "line")
+    last = F.count("*").over(w) - 1
+    rows = lines.withColumn("bp_head", (F.col("size") >= 1.18 * body) & (F.length("text") < 200)).withColumn("bp_step", F.col("y") - F.lag("y").over(down))
+    rows = rows.withColumns({
+        "bp_right": _nth(F.col("x1"), F.floor(last * 0.85), w), "bp_left": _nth(F.col("x0"), F.floor(last * 0.15), w), "bp_pitch": _nth(F.col("bp_step"), F.floor(last / 2), w),
+    })
+    rows = rows.withColumns({
+        "bp_right": F.max("bp_right").over(w), "bp_left": F.max("bp_left").over(w), "bp_pitch": F.coalesce(F.max("bp_pitch").over(w), F.lit(body)),
+        "bp_before": F.lag(F.struct("bp_head", "size", "x0", "x1", "text")).over(down),
+    })
+    before, size, right, left = F.col("bp_before"), F.col("size"), F.col("bp_right"), F.col("bp_left")
+    starts = (
+        before.isNull() | F.col("bp_head") | before["bp_head"] | (F.abs(size - before["size"]) > 0.12 * before["size"]) | (F.col("bp_step") > 1.5 * F.col("bp_pitch"))
+        | F.col("text").rlike(LIST_ITEM) | (F.col("x0") - before["x0"] > size) | ((before["x1"] < right - 3 * size) & before["text"].rlike(ENDS_SENTENCE))
+    )
+    lead, trail = F.col("x0") - left, right - F.col("x1")
+    rows = rows.withColumns({
+        "bp_new": starts,
+        "bp_level": F.when(~F.col("bp_head"), 0).when(size >= 1.6 * body, 1).when(size >= 1.3 * body, 2).otherwise(3).cast("long"),
+        "bp_align": F.when((F.least(lead, trail) > 2 * size) & (F.abs(lead - trail) < size), "centre").when((lead > 2 * size) & (F.abs(trail) < size), "right").otherwise("left"),
+        "bp_indent": F.greatest(F.lit(0.0), lead),
+    })
+    joint = F.when(F.col("bp_new"), "").when(before["x1"] < right - 0.25 * (right - left), "\n").otherwise(" ")
+    rows = rows.withColumn("para", F.sum(F.col("bp_new").cast("long")).over(down.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("bp_piece", F.concat(joint, F.col("text")))
+    first = F.min(F.struct("y", "line", "bp_level", "bp_align", "bp_indent", "x0", "size"))
+    pieces = F.array_sort(F.collect_list(F.struct("y", "line", "bp_piece")))
+    paras = rows.groupBy(*PAGE, "para").agg(F.array_join(F.transform(pieces, lambda s: s["bp_piece"]), "").alias("text"), first.alias("f"), F.max("y").alias("y1"))
+    return paras.select(
+        *PAGE, "para", "text", F.col("f.bp_level").alias("level"), F.col("f.bp_align").alias("align"), F.col("f.bp_indent").alias("indent"),
+        F.col("f.x0").alias("x0"), F.col("f.y").alias("y0"), "y1", F.col("f.size").alias("size"),
     )
 
 
@@ -366,60 +378,48 @@ def designed_pages(frags: DataFrame, boxes: DataFrame, width: float = 612.0, hei
 
 
 def structure_ocr(words: DataFrame) -> DataFrame:
-    """Boxes of recognised words in reading order (place). Words that overlap by more than 60 % in height are a row; it is cut at gaps above
-    1.25 heights, and a row of three boxes or more anew at 1.5 times its median gap. Lone separator signs become •. Runs of rows that
-    are two boxes on either side of the page's middle are read left first. level tells headings by their height, 1.9, 1.3 or
-    1.16 times the body's. One group a page."""
-
-    def cut(members: list, gap: float) -> list[list]:
-        boxes = [[members[0]]]
-        for a, b in zip(members, members[1:]):
-            if b.x - (a.x + a.w) > gap:
-                boxes.append([])
-            boxes[-1].append(b)
-        return boxes
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x"])
-        rows: list[list] = []
-        for r in page.itertuples():
-            top, bottom = r.y - r.size, r.y
-            if rows:
-                a, b = rows[-1][0], rows[-1][1]
-                if min(b, bottom) - max(a, top) > 0.6 * min(b - a, bottom - top):
-                    rows[-1][2].append(r)
-                    continue
-            rows.append([top, bottom, [r]])
-        body, middle = page["size"].sort_values().iloc[len(page) // 2], (page["x"].min() + (page["x"] + page["w"]).max()) / 2
-        laid = []
-        for _, _, members in rows:
-            members.sort(key=lambda m: m.x)
-            boxes = cut(members, 1.25 * members[0].size)
-            if len(boxes) >= 3:
-                gaps = sorted(b.x - (a.x + a.w) for a, b in zip(members, members[1:]))
-                boxes = cut(members, max(1.25 * members[0].size, 1.5 * gaps[len(gaps) // 2]))
-            laid.append(boxes)
-        two = [len(b) == 2 and b[0][-1].x + b[0][-1].w <= middle <= b[1][0].x for b in laid]
-        order, i = [], 0
-        while i < len(laid):
-            end = i
-            while end < len(laid) and two[end]:
-                end += 1
-            if end - i >= 2:
-                order += [(k, side) for side in (0, 1) for k in range(i, end)]
-                i = end
-            else:
-                order += [(i, k) for k in range(len(laid[i]))]
-                i += 1
-        out = []
-        for place, (row, box) in enumerate(order):
-            members = laid[row][box]
-            share = max(m.size for m in members) / body
-            text = " ".join("•" if m.str in ("|", "·", "¦", "*", "•") else m.str for m in members)
-            out.append((members[0].doc_id, members[0].page, place, row, box, text, 1 if share >= 1.9 else 2 if share >= 1.3 else 3 if share >= 1.16 else 0))
-        return pd.DataFrame(out, columns=["doc_id", "page", "place", "row", "box", "text", "level"])
-
-    return words.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, place long, row long, box long, text string, level long")
+    """Boxes of recognised words in reading order (place). Words that overlap the first of a row by more than 60 % in height are a row; it is
+    cut at gaps above 1.25 heights, and a row of three boxes or more anew at 1.5 times its median gap. Lone separator signs become •. Runs
+    of rows that are two boxes on either side of the page's middle are read left first. level tells headings by their height, 1.9, 1.3
+    or 1.16 times the body's. Rows are a fold over the page's words in order, for a row's height is its first word's; all else is
+    windows over page and row."""
+    folded = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "x", "w", "size", "str"))).alias("all"))
+    rows_of = """aggregate(all, named_struct('top', cast(null as double), 'low', cast(null as double), 'rows', cast(array() as array<bigint>)), (a, v) ->
+      if(a.top is not null and least(a.low, v.y) - greatest(a.top, v.y - v.size) > 0.6D * least(a.low - a.top, v.size),
+        named_struct('top', a.top, 'low', a.low, 'rows', array_append(a.rows, element_at(a.rows, -1))),
+        named_struct('top', cast(v.y - v.size as double), 'low', cast(v.y as double), 'rows', array_append(a.rows, coalesce(try_element_at(a.rows, -1), -1L) + 1))),
+      a -> a.rows)"""
+    rows = folded.select(*PAGE, F.explode(F.arrays_zip(F.col("all").alias("v"), F.expr(rows_of).alias("row"))).alias("z")).select(*PAGE, "z.row", "z.v.*")
+    page, row = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE, "row")
+    order = ("x", "y", "w", "str")
+    across = row.orderBy(*order)
+    rows = rows.withColumn("end", F.col("x") + F.col("w"))
+    rows = rows.withColumns({
+        "gap": F.col("x") - F.lag("end").over(across), "head": F.first("size").over(across), "n": F.count("*").over(row),
+        "body": _nth(F.col("size"), F.floor(F.count("*").over(page) / 2), page), "middle": (F.min("x").over(page) + F.max("end").over(page)) / 2,
+    })
+    rows = rows.withColumns({
+        "body": F.max("body").over(page), "median": _nth(F.col("gap"), F.floor((F.col("n") - 1) / 2), row),
+        "parts": F.sum((F.col("gap") > 1.25 * F.col("head")).cast("long")).over(row) + 1,
+    })
+    limit = F.when(F.col("parts") >= 3, F.greatest(1.25 * F.col("head"), 1.5 * F.max("median").over(row))).otherwise(1.25 * F.col("head"))
+    rows = rows.withColumn("cuts", F.coalesce(F.col("gap") > limit, F.lit(False)).cast("long"))
+    rows = rows.withColumn("box", F.sum("cuts").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    sign = F.when(F.col("str").isin("|", "·", "¦", "*", "•"), "•").otherwise(F.col("str")).alias("sign")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, sign))), lambda v: v["sign"]), " ")
+    boxes = rows.groupBy(*PAGE, "row", "box").agg(
+        text.alias("text"), F.min("x").alias("x"), F.max_by("end", F.struct(*order)).alias("end"), F.max("middle").alias("middle"), (F.max("size") / F.max("body")).alias("share")
+    )
+    beside = (F.max("box").over(row) == 1) & (F.max(F.when(F.col("box") == 0, F.col("end"))).over(row) <= F.col("middle")) & (F.max(F.when(F.col("box") == 1, F.col("x"))).over(row) >= F.col("middle"))
+    boxes = boxes.withColumn("two", beside)
+    # rows of two columns that follow each other are an island; of two rows or more, its left boxes are read before its right ones
+    alike = Window.partitionBy(*PAGE, "two")
+    boxes = boxes.withColumn("island", F.col("row") - F.dense_rank().over(alike.orderBy("row")))
+    island = Window.partitionBy(*PAGE, "two", "island")
+    boxes = boxes.withColumn("from", F.when(F.col("two"), F.min("row").over(island)).otherwise(F.col("row")))
+    level = F.when(F.col("share") >= 1.9, 1).when(F.col("share") >= 1.3, 2).when(F.col("share") >= 1.16, 3).otherwise(0).cast("long")
+    place = (F.row_number().over(page.orderBy("from", "box", "row")) - 1).cast("long")
+    return boxes.select(*PAGE, place.alias("place"), "row", "box", "text", level.alias("level"))
 
 
 def rejoin_paragraphs(paras: DataFrame, near: float = 0.8) -> DataFrame:
@@ -427,7 +427,7 @@ def rejoin_paragraphs(paras: DataFrame, near: float = 0.8) -> DataFrame:
     text, begin within half a size of each other and the gap between them is below `near` sizes more than a line; `part` numbers them."""
     w = Window.partitionBy(*PAGE).orderBy("para")
     close = (F.col("y0") - F.lag("y1").over(w) < (1 + near) * F.col("size")) & (F.abs(F.col("x0") - F.lag("x0").over(w)) <= 0.5 * F.col("size"))
-    item = F.col("text").rlike(r"^\s*(?:[•‣▪●○*–—-]\s|\(?\d{1,3}[.)]\s|[a-z][.)]\s)")
+    item = F.col("text").rlike(LIST_ITEM)
     runs_on = ~F.lag("text").over(w).rlike(r"[.!?:]\s*$") & F.col("text").rlike(r"^\p{Ll}") & ~item & (F.col("level") == 0) & (F.lag("level").over(w) == 0) & close
     rows = paras.withColumn("part", F.sum((~F.coalesce(runs_on, F.lit(False))).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*PAGE, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda s: s["text"]), " ").alias("text"))

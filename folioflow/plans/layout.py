@@ -125,7 +125,24 @@ def l9_detect_tables(spark, sf_dir):
     return L.detect_tables(_frags(spark, sf_dir))
 
 
-@query()
+def _paras_sql(body: float = 12.0) -> str:
+    """CTEs from `written` (lines with texts) to `paras`."""
+    b = f"{body}::DOUBLE"
+    return f"""ql AS (SELECT *, size >= 1.18::DOUBLE * {b} AND length(text) < 200 AS head, y - lag(y) OVER w AS step FROM written WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, line)),
+      qp AS (SELECT doc_id, page, list_sort(list(x1))[floor(0.85::DOUBLE * (count(*) - 1))::BIGINT + 1] AS edge, list_sort(list(x0))[floor(0.15::DOUBLE * (count(*) - 1))::BIGINT + 1] AS near,
+        coalesce(list_sort(list(step) FILTER (WHERE step IS NOT NULL))[(count(*) - 1) // 2 + 1], {b}) AS pitch FROM ql GROUP BY 1, 2),
+      qb AS (SELECT ql.*, edge, near, pitch, lag(line) OVER w IS NULL AS none, lag(head) OVER w AS bhead, lag(size) OVER w AS bsize, lag(x0) OVER w AS bx0, lag(x1) OVER w AS bx1, lag(text) OVER w AS btext
+        FROM ql JOIN qp USING (doc_id, page) WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, line)),
+      qn AS (SELECT *, none OR head OR bhead OR abs(size - bsize) > 0.12::DOUBLE * bsize OR step > 1.5::DOUBLE * pitch OR regexp_matches(text, '{L.LIST_ITEM}') OR x0 - bx0 > size
+        OR (bx1 < edge - 3 * size AND regexp_matches(btext, '{L.ENDS_SENTENCE}')) AS nw FROM qb),
+      qr AS (SELECT *, sum(nw::INTEGER) OVER (PARTITION BY doc_id, page ORDER BY y, line ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS para FROM qn),
+      paras AS (SELECT doc_id, page, para, string_agg(CASE WHEN nw THEN '' WHEN bx1 < edge - 0.25::DOUBLE * (edge - near) THEN chr(10) ELSE ' ' END || text, '' ORDER BY y, line) AS text,
+        (CASE WHEN NOT bool_or(nw AND head) THEN 0 WHEN max(CASE WHEN nw THEN size END) >= 1.6::DOUBLE * {b} THEN 1 WHEN max(CASE WHEN nw THEN size END) >= 1.3::DOUBLE * {b} THEN 2 ELSE 3 END)::BIGINT AS level,
+        max(CASE WHEN NOT nw THEN NULL WHEN least(x0 - near, edge - x1) > 2 * size AND abs((x0 - near) - (edge - x1)) < size THEN 'centre' WHEN x0 - near > 2 * size AND abs(edge - x1) < size THEN 'right' ELSE 'left' END) AS align,
+        max(CASE WHEN nw THEN greatest(0.0::DOUBLE, x0 - near) END) AS indent, max(CASE WHEN nw THEN x0 END) AS x0, min(y) AS y0, max(y) AS y1, max(CASE WHEN nw THEN size END) AS size FROM qr GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {TEXT}, written AS (SELECT * FROM texts), {_paras_sql()} SELECT * FROM paras")
 def l10_build_paragraphs(spark, sf_dir):
     return L.build_paragraphs(L.line_text(_lines(spark, sf_dir)))
 
@@ -193,12 +210,44 @@ def l15_designed_page(spark, sf_dir):
     return L.designed_pages(_frags(spark, sf_dir), boxes)
 
 
-@query()
+_ON_ROW = "least(f.low, n.y) - greatest(f.top, n.y - n.size) > 0.6::DOUBLE * least(f.low - f.top, n.size)"
+
+
+@query(
+    f"""WITH RECURSIVE {ITEMS}, n AS MATERIALIZED (SELECT doc_id, page, str, x, y, w, size, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x, w, size, str) AS rn FROM items),
+      f AS (SELECT doc_id, page, rn, y - size AS top, y AS low, 0::BIGINT AS row FROM n WHERE rn = 1
+        UNION ALL SELECT n.doc_id, n.page, n.rn, CASE WHEN {_ON_ROW} THEN f.top ELSE n.y - n.size END, CASE WHEN {_ON_ROW} THEN f.low ELSE n.y END, CASE WHEN {_ON_ROW} THEN f.row ELSE f.row + 1 END
+        FROM f JOIN n ON n.doc_id = f.doc_id AND n.page = f.page AND n.rn = f.rn + 1),
+      g AS (SELECT n.*, f.row, x - lag(x + w) OVER v AS gap, first(size) OVER v AS head FROM n JOIN f USING (doc_id, page, rn) WINDOW v AS (PARTITION BY doc_id, page, f.row ORDER BY x, y, w, str)),
+      r AS (SELECT doc_id, page, row, CASE WHEN count(*) FILTER (WHERE gap > 1.25::DOUBLE * head) >= 2 THEN greatest(1.25::DOUBLE * any_value(head), 1.5::DOUBLE * list_sort(list(gap) FILTER (WHERE gap IS NOT NULL))[(count(*) - 1) // 2 + 1])
+        ELSE 1.25::DOUBLE * any_value(head) END AS most FROM g GROUP BY 1, 2, 3),
+      c AS (SELECT g.*, sum(coalesce(gap > most, false)::INTEGER) OVER (PARTITION BY doc_id, page, row ORDER BY x, y, w, str ROWS UNBOUNDED PRECEDING)::BIGINT AS box FROM g JOIN r USING (doc_id, page, row)),
+      p AS (SELECT doc_id, page, list_sort(list(size))[count(*) // 2 + 1] AS body, (min(x) + max(x + w)) / 2 AS middle FROM items GROUP BY 1, 2),
+      b AS (SELECT doc_id, page, row, box, string_agg(CASE WHEN str IN ('|', '·', '¦', '*', '•') THEN '•' ELSE str END, ' ' ORDER BY x, y, w, str) AS text, min(x) AS x, arg_max(x + w, (x, y, w, str)) AS en, max(size) AS size FROM c GROUP BY 1, 2, 3, 4),
+      t AS (SELECT doc_id, page, row, max(box) = 1 AND max(CASE WHEN box = 0 THEN en END) <= any_value(middle) AND max(CASE WHEN box = 1 THEN x END) >= any_value(middle) AS two FROM b JOIN p USING (doc_id, page) GROUP BY 1, 2, 3),
+      s AS (SELECT *, row - row_number() OVER (PARTITION BY doc_id, page, two ORDER BY row) AS island FROM t),
+      o AS (SELECT doc_id, page, row, CASE WHEN two THEN min(row) OVER (PARTITION BY doc_id, page, two, island) ELSE row END AS start FROM s)
+      SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY start, box, row) - 1 AS place, row, box, text,
+        (CASE WHEN size / body >= 1.9::DOUBLE THEN 1 WHEN size / body >= 1.3::DOUBLE THEN 2 WHEN size / body >= 1.16::DOUBLE THEN 3 ELSE 0 END)::BIGINT AS level FROM b JOIN p USING (doc_id, page) JOIN o USING (doc_id, page, row)"""
+)
 def l16_structure_ocr(spark, sf_dir):
     return L.structure_ocr(items(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TEXT}, m AS (SELECT doc_id, page, seq, y, size AS h, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS rn FROM items WHERE seq % 40 = 0 AND seq >= 0),
+      c AS MATERIALIZED (SELECT m.doc_id, m.page, m.seq, m.rn, list(t.line ORDER BY t.x0, t.line) FILTER (WHERE t.line IS NOT NULL) AS cands FROM m
+        LEFT JOIN texts t ON t.doc_id = m.doc_id AND t.page = m.page AND t.x0 >= 60 AND t.x0 - 60 < 612.0::DOUBLE / 4 AND abs(t.y - m.y) <= 0.6::DOUBLE * m.h GROUP BY 1, 2, 3, 4),
+      f AS (SELECT DISTINCT doc_id, page, 0::BIGINT AS rn, []::BIGINT[] AS used, NULL::BIGINT AS seq, NULL::BIGINT AS line FROM m
+        UNION ALL SELECT c.doc_id, c.page, c.rn, list_concat(f.used, list_filter(coalesce(c.cands, []::BIGINT[]), lambda x: NOT list_contains(f.used, x))[1:1]), c.seq, list_filter(coalesce(c.cands, []::BIGINT[]), lambda x: NOT list_contains(f.used, x))[1]
+        FROM f JOIN c ON c.doc_id = f.doc_id AND c.page = f.page AND c.rn = f.rn + 1),
+      written AS (SELECT t.* REPLACE (CASE WHEN f.line IS NULL THEN '' ELSE (f.seq // 40 + 1)::VARCHAR || '. ' END || text AS text) FROM texts t LEFT JOIN f ON f.doc_id = t.doc_id AND f.page = t.page AND f.line = t.line),
+      {_paras_sql()},
+      j AS (SELECT *, coalesce(NOT regexp_matches(lag(text) OVER w, '[.!?:]\\s*$') AND regexp_matches(text, '^\\p{{Ll}}') AND NOT regexp_matches(text, '{L.LIST_ITEM}') AND level = 0 AND lag(level) OVER w = 0
+        AND y0 - lag(y1) OVER w < 1.8::DOUBLE * size AND abs(x0 - lag(x0) OVER w) <= 0.5::DOUBLE * size, false) AS joined FROM paras WINDOW w AS (PARTITION BY doc_id, page ORDER BY para)),
+      k AS (SELECT *, sum((NOT joined)::INTEGER) OVER (PARTITION BY doc_id, page ORDER BY para ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM j)
+      SELECT doc_id, page, part, string_agg(text, ' ' ORDER BY para) AS text FROM k GROUP BY 1, 2, 3"""
+)
 def l17_rejoin_paragraphs(spark, sf_dir):
     """Every fifth line has a list number left of it, an item of its own, which goes in front of its text first."""
     i, lines = items(spark, sf_dir), L.line_text(_lines(spark, sf_dir))
