@@ -144,11 +144,15 @@ def parse_ranges(df: DataFrame, spec: str = "spec", total: str = "total", dialec
     if dialect != "strict":
         pieces = F.filter(pieces, lambda p: p != "")
 
+    def number(digits: Column) -> Column:
+        bare = F.regexp_replace(digits, "^0+(?=.)", "")
+        return F.when(digits == "", None).when(F.length(bare) > 9, 999999999).otherwise(bare.try_cast("long")).cast("long")
+
     def one(p: Column) -> Column:
         left, right = F.regexp_extract(p, r"^(\d*)\s*-?", 1), F.regexp_extract(p, r"^\d*\s*-\s*(\d*)$", 1)
         ranged = p.contains("-")
-        a = F.try_to_number(F.nullif(left, F.lit("")), F.lit("999999999")).cast("long")
-        b = F.when(ranged, F.try_to_number(F.nullif(right, F.lit("")), F.lit("999999999")).cast("long")).otherwise(a)
+        a = number(left)
+        b = F.when(ranged, number(right)).otherwise(a)
         if dialect == "strict" or dialect == "swap":
             shape = p.rlike(r"^\d+(\s*-\s*\d+)?$")
             lo, hi = (a, b) if dialect == "strict" else (F.least(a, b), F.greatest(a, b))

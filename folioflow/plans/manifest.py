@@ -156,6 +156,18 @@ for _dialect in M.DIALECTS:
     _expand(_dialect)
 
 
+@query(" UNION ALL ".join(f"SELECT '{d}' AS dialect, * FROM ({_expand_sql(d)})" for d in M.DIALECTS))
+def g1_expand_ranges_lateral(spark, sf_dir):
+    """The table function joined to each text, in all dialects."""
+    from folioflow.functions import table_functions
+    from folioflow.sources.tables import load
+
+    table_functions.register(spark)
+    spec = F.element_at(F.array(*[F.lit(s) for s in SPECS]), (F.col("doc_id") % len(SPECS) + 1).cast("int"))
+    texts = load(spark, sf_dir, "documents").select("doc_id", spec.alias("spec"), F.explode(F.array(*[F.lit(d) for d in M.DIALECTS])).alias("dialect"))
+    return spark.sql("SELECT dialect, doc_id, page, error FROM {texts}, LATERAL expand_ranges(spec, 10, dialect)", texts=texts)
+
+
 @query(f"WITH {MANIFEST} SELECT file_id, page, 'odd' AS mode FROM manifest WHERE page % 2 = 1 UNION ALL SELECT file_id, page, 'even' FROM manifest WHERE page % 2 = 0 UNION ALL SELECT file_id, page, 'first' FROM manifest WHERE page = 1")
 def g2_pick_pages(spark, sf_dir):
     m = manifest(spark, sf_dir)

@@ -1,6 +1,9 @@
+from itertools import product
+
 import pytest
 
 from folioflow.functions import table_functions
+from folioflow.operators import manifest
 from folioflow.sources import files
 
 
@@ -30,4 +33,18 @@ def test_parts_and_csv(spark, tmp_path):
 @pytest.mark.parametrize("spec,pages", [("1-3, 5", [1, 2, 3, 5]), ("3-1", [None]), ("11", [None])])
 def test_expand_ranges_in_sql(spark, spec, pages):
     table_functions.register(spark)
-    assert [r.page for r in spark.sql(f"SELECT * FROM expand_ranges('{spec}', 10)").collect()] == pages
+    assert [r.page for r in spark.sql(f"SELECT * FROM expand_ranges('{spec}', 10, 'strict')").collect()] == pages
+
+
+def test_table_function_and_columns_agree(spark):
+    """Every text of up to four signs out of these, and longer ones, in all dialects."""
+    table_functions.register(spark)
+    signs = ["1", "3", "12", "-", ",", ";", " "]
+    specs = {"".join(t) for n in range(5) for t in product(signs, repeat=n)} | {"99999999999", "12345678901-", "-99999999999", "00000000000002", "2 - 4, 3-1, x, 8-", "1,1,1"}
+    df = spark.createDataFrame([(i, s, 10) for i, s in enumerate(sorted(specs))], "k long, spec string, total int")
+    for dialect in manifest.DIALECTS:
+        rows = manifest.expand_ranges(df, "k", dialect=dialect).collect()
+        more = spark.sql("SELECT k, page, error FROM {df}, LATERAL expand_ranges(spec, total, '" + dialect + "')", df=df).collect()
+        assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, more), key=str)
+    empty = spark.createDataFrame([(None, 10), ("1", None)], "spec string, total int")
+    assert spark.sql("SELECT page FROM {df}, LATERAL expand_ranges(spec, total, 'open')", df=empty).count() == 0
