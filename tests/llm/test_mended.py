@@ -163,3 +163,25 @@ def test_terms_by_brute_force(spark):
     want = {(i, m.start(), m.end()) for i, t in enumerate(docs) for m in split.finditer(t) if ((i, m.group().lower()) in told or m.group().lower() in wide) and not any(s < m.end() and m.start() < e for _, s, e, _ in found[i])}
     got = {(r.doc_id, x.s, x.e) for r in pii.find_pii(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect() for x in r.spans if x.kind == "term"}
     assert got == want and want
+
+
+def test_offsets_of_a_hot_file(spark):
+    """Half of all rows share an id, many of them all columns, and others have none: offsets are running sums of each file's rows in order."""
+    from folioflow.llm import warc
+
+    rows = [(7, f"u{i % 5}", "x" * (i % 3)) for i in range(300)] + [(i, f"u{i}", "y" * i) for i in range(250)] + [(None, "same", "z")] * 40 + [(None, None, None)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = warc.record_index(pages, records_per_file=100).collect()
+    assert len(got) == len(rows) and {r.file_id for r in got if r.page_id is not None} == {0, 1, 2}
+    files = {}
+    for r in got:
+        files.setdefault(r.file_id, []).append(r)
+    for held in files.values():
+        held.sort(key=lambda r: r.start)
+        assert [r.start for r in held] == [sum(x.size for x in held[:k]) for k in range(len(held))]
+        ids = [r.page_id for r in held]
+        assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    index = warc.record_index(pages, records_per_file=1000)
+    assert warc.audit(index, warc.record_index(pages.repartition(3), records_per_file=1000)).count() == 0
+    lost = warc.audit(index, index.where("page_id is null or page_id <> 249"))
+    assert [(r.page_id, r.status) for r in lost.collect()] == [(249, "missing")]
