@@ -21,7 +21,8 @@ NEAR = 8
 SHARE_OF_IC = 0.8
 UNSEEN = 1.0
 ELSEWHERE = 0.5
-BROADCAST_TERMS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+SPLIT = 100
 SPAN = "array<struct<s:int,e:int,v:string>>"
 CHUNK = 256
 
@@ -102,9 +103,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _words_among(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, text_hash, term: the different words of each row that are among terms. These are broadcast while they are few."""
+    """doc_id, text_hash, term: the different words of each row that are among terms. These are broadcast while they fit into
+    BROADCAST_BYTES, 64 bytes a term besides its own counted; the rows are the same either way."""
     words = rows.select("doc_id", "text_hash", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    few = (terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     return words.join(F.broadcast(terms) if few else terms, "term", "left_semi")
 
 
@@ -114,6 +116,17 @@ def _documents(rows: DataFrame) -> DataFrame:
     return held.groupBy("dk").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("rows"))
 
 
+def _met(pairs: DataFrame, held: DataFrame, key: str, df: str) -> DataFrame:
+    """pairs(key, df, total, ...) joined to held(key, dk, ...), in which df of the total rows have the key. A key of more than 1 / SPLIT of all
+    rows is dealt by dk into as many parts as it has such shares. There are at most SPLIT times as many such keys as a document has
+    on average, so that they are broadcast."""
+    asked = pairs.withColumn("parts", (F.floor(F.col(df) * SPLIT / F.col("total")) + 1).cast("int"))
+    hot = asked.where("parts > 1").select(F.col(key).alias("hot_key"), F.col("parts").alias("hot_parts")).distinct()
+    dealt = held.join(F.broadcast(hot), held[key] == hot["hot_key"], "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("dk", F.lit(1)), F.coalesce("hot_parts", F.lit(1))).cast("int")).drop("hot_key", "hot_parts")
+    return asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(dealt, [key, "part"]).drop("part", "parts")
+
+
 def found_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(base, terms): base has doc_id, text_hash and spans of every row; terms has doc_id, text_hash and the places of
     revealing terms, one row for each id and text that has any.
@@ -151,8 +164,9 @@ def found_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(F.broadcast(total))  # one row
         .where(reaches(F.least("df_entity", "df_term")))
     )
-    met = may.where("df_entity <= df_term").join(holders, "entity").join(has, ["dk", "term"])
-    met = checkpointed(met.unionByName(may.where("df_entity > df_term").join(has, "term").join(holders, ["dk", "entity"])).select("dk", "entity", "term", "rows"))
+    met = _met(may.where("df_entity <= df_term"), holders, "entity", "df_entity").join(has, ["dk", "term"])
+    other = _met(may.where("df_entity > df_term"), has, "term", "df_term").join(holders, ["dk", "entity"])
+    met = checkpointed(met.unionByName(other).select("dk", "entity", "term", "rows"))
     reveals = met.groupBy("entity", "term").agg(F.sum("rows").alias("df_both")).join(may, ["entity", "term"]).where(reaches(F.col("df_both")))
     reveals = checkpointed(reveals.select("entity", "term", ((given_term(F.col("df_both")) >= ELSEWHERE) & (F.col("df_term") > F.col("df_both"))).alias("elsewhere")))
     wide = checkpointed(reveals.where("elsewhere").select("term").distinct())
