@@ -36,6 +36,33 @@ def top_words(df: DataFrame, col: str = "text", by: tuple = (), k: int = 10, ski
     return ranked.select(*by, F.col("rank").cast("long").alias("rank"), "word", "n", share.alias("share"))
 
 
+def top_words_sketched(df: DataFrame, checkpointed, col: str = "text", by: tuple = ("lang",), k: int = 10, skip_common: bool = True, tracked: int = 10_000) -> DataFrame:
+    """The rows of top_words() without counts of all words: a sketch of frequent words a group, made in every task and merged, names 4 k
+    candidates, which alone are counted exactly.
+
+    A word that is no candidate occurs at most as often as the least estimate of the candidates, or, where the sketch named fewer, as
+    twice the sketch's error, 7 / tracked of the group's words. A group whose k-th candidate occurs no more often than that is counted
+    as a whole, so that the result is the exact one in any case. Groups are few: a candidate is a row of at most 4 k a group."""
+    c = F.col("word")
+    common = c.isin(*T.STOP_WORDS) | c.rlike(T.NUMBER_ONLY) if skip_common else F.lit(False)
+    words = df.select(*by, F.explode(T.words(F.col(col))).alias("word"))
+    kept = words.where(~common)
+    asked = 4 * k
+    sketch = kept.groupBy(*by).agg(F.expr(f"approx_top_k(word, {asked}, {tracked})").alias("top"))
+    held = words.groupBy(*by).agg(F.count("*").alias("total"))
+    named = checkpointed(sketch.select(*by, "top").join(held, list(by)).withColumn(
+        "most", F.when(F.size("top") == asked, F.array_min(F.transform("top", lambda x: x["count"])).cast("double")).otherwise(F.col("total") * 7.0 / tracked)
+    ))
+    candidates = named.select(*by, F.explode(F.transform("top", lambda x: x["item"])).alias("word"))
+    counts = kept.join(F.broadcast(candidates), [*by, "word"]).groupBy(*by, "word").agg(F.count("*").alias("n")).join(named.select(*by, "total", "most"), list(by))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= k)
+    # sure: k candidates occur more often than any other word can
+    sure = ranked.groupBy(*by).agg(((F.count("*") == k) & (F.min("n") > F.first("most"))).alias("sure")).where("sure").select(*by)
+    share = F.floor(F.col("n") * 1000 / F.col("total") + 0.5) / 10
+    told = ranked.join(sure, list(by), "left_semi").select(*by, F.col("rank").cast("long").alias("rank"), "word", "n", share.alias("share"))
+    return told.unionByName(top_words(df.join(sure, list(by), "left_anti"), col, by, k, skip_common))
+
+
 def reading_time(df: DataFrame, words: str, by: str) -> DataFrame:
     """Reading and speaking seconds and labels of every row, and the group's total seconds."""
     read, speak = T.seconds_for(F.col(words), T.READ_WPM), T.seconds_for(F.col(words), T.SPEAK_WPM)

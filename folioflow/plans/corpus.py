@@ -196,16 +196,25 @@ def p34_validate_message(spark, sf_dir):
     return C.validate_message(c.withColumn("subject", F.lit("s")), "role", "email", "subject", "text").select("conv_id", "turn", "verdict")
 
 
-@query(
-    f"""WITH w AS (SELECT lang, unnest({_WORDS}) AS word FROM documents), c AS (SELECT lang, word, count(*)::BIGINT AS n FROM w GROUP BY ALL),
+_TOP_WORDS = f"""WITH w AS (SELECT lang, unnest({_WORDS}) AS word FROM documents), c AS (SELECT lang, word, count(*)::BIGINT AS n FROM w GROUP BY ALL),
       t AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM c),
       r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM t WHERE word NOT IN ({_STOP}) AND NOT regexp_matches(word, '{T.NUMBER_ONLY}'))
       SELECT lang, rank, word, n, floor((n * 1000)::DOUBLE / total + 0.5) / 10 AS share FROM r WHERE rank <= 10"""
-)
+
+
+@query(_TOP_WORDS)
 def a1_top_words(spark, sf_dir):
     return C.top_words(_docs(spark, sf_dir), by=("lang",))
 
 
+@query(_TOP_WORDS)
+def a1_top_words_sketched(spark, sf_dir):
+    """The same by sketches and an exact count of the words that they name."""
+    from folioflow.sources.scratch import written
+
+    return C.top_words_sketched(_docs(spark, sf_dir), written, by=("lang",))
+
+
 @query(
     f"""SELECT CASE WHEN doc_id % 4 = 0 THEN 'ocr' ELSE 'text' END AS method, count(*)::BIGINT AS docs, sum(len({_TOKENS}))::BIGINT AS words, sum(n_chars)::BIGINT AS chars,
       count(*) FILTER (WHERE len({_TOKENS}) = 0)::BIGINT AS empty FROM documents GROUP BY 1"""

@@ -366,3 +366,16 @@ def test_loops_over_trees_and_links_give_what_recursive_sql_gives(spark):
     reached = spark.sql("""WITH RECURSIVE r(node, depth) AS (SELECT node, 0 FROM forest WHERE node IN ('n0', 'n8', 'n201') AND node NOT IN (SELECT node FROM dead) UNION ALL
         SELECT dst, depth + 1 FROM r JOIN down ON src = r.node WHERE dst NOT IN (SELECT node FROM dead) AND depth < 11) SELECT DISTINCT node FROM r""")
     assert {x.node for x in web.reachable(down, roots, dead, written).collect()} == {x.node for x in reached.collect()}
+
+
+def test_sketched_words_are_the_exact_ones(spark):
+    """Also for groups that the sketch cannot tell: with ties at the last rank, more words than it keeps, fewer than asked for, or no name."""
+    from folioflow.operators import corpus
+    from folioflow.sources.scratch import written
+
+    flat = " ".join(f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnp")
+    rows = [("flat", flat), ("steep", " ".join(f"{w} " * (200 - 9 * i) for i, w in enumerate(flat.split()[:20]))), ("few", "alpha beta beta"), (None, "gamma gamma delta"), ("none", None), ("", "")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    want = sorted(map(tuple, corpus.top_words(df, by=("lang",)).collect()), key=str)
+    for tracked in (64, 10_000):
+        assert sorted(map(tuple, corpus.top_words_sketched(df, written, tracked=tracked).collect()), key=str) == want
