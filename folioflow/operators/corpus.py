@@ -25,12 +25,15 @@ def text_stats(df: DataFrame, col: str = "text") -> DataFrame:
 
 def top_words(df: DataFrame, col: str = "text", by: tuple = (), k: int = 10, skip_common: bool = True) -> DataFrame:
     """The k most frequent lower-cased words of each group, with their share of all its words in percent (1 decimal).
-    Stop words and bare numbers can be skipped; they still count in the total. Ties go by code point."""
+    Stop words and bare numbers can be skipped; they still count in the total. Ties go by code point. Without groups only the k
+    words of a sort that keeps no more are ranked."""
     counts = df.select(*by, F.explode(T.words(F.col(col))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    counts = counts.withColumn("total", F.sum("n").over(group))
+    counts = counts.withColumn("total", F.sum("n").over(group)) if by else counts.join(F.broadcast(counts.agg(F.sum("n").alias("total"))))  # one row
     if skip_common:
         counts = counts.where(~F.col("word").isin(*T.STOP_WORDS) & ~F.col("word").rlike(T.NUMBER_ONLY))
+    if not by:
+        counts = counts.orderBy(F.desc("n"), "word").limit(k)
     ranked = counts.withColumn("rank", F.row_number().over(group.orderBy(F.desc("n"), "word"))).where(F.col("rank") <= k)
     share = F.floor(F.col("n") * 1000 / F.col("total") + 0.5) / 10
     return ranked.select(*by, F.col("rank").cast("long").alias("rank"), "word", "n", share.alias("share"))

@@ -379,3 +379,13 @@ def test_sketched_words_are_the_exact_ones(spark):
     want = sorted(map(tuple, corpus.top_words(df, by=("lang",)).collect()), key=str)
     for tracked in (64, 10_000):
         assert sorted(map(tuple, corpus.top_words_sketched(df, written, tracked=tracked).collect()), key=str) == want
+
+
+def test_words_of_the_whole_corpus(spark):
+    from folioflow.operators import corpus
+
+    df = spark.createDataFrame([("b b a a c the the the",), ("d d d 5 5 5 5",), (None,)], "text string")
+    got = [tuple(r) for r in corpus.top_words(df, k=3).orderBy("rank").collect()]
+    assert got == [tuple(r)[1:] for r in corpus.top_words(df.selectExpr("1 AS g", "text"), by=("g",), k=3).orderBy("rank").collect()]
+    assert len(got) == 3
+    assert corpus.top_words(df.limit(0)).count() == 0
