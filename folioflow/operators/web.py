@@ -141,6 +141,19 @@ def inbound_links(links: DataFrame, known: DataFrame, site_of: str = "site") ->
     return known.join(counts, ["site", "path"], "left").select(*known.columns, F.coalesce("n", F.lit(0)).alias("inbound"))
 
 
+def known_pages(pages: DataFrame) -> DataFrame:
+    """The different (site, path) of the addresses of pages; an address without a path is /, one that is no http address is left out."""
+    path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
+    return pages.select(F.regexp_extract("url", BASE, 1).alias("site"), F.when(path == "", "/").otherwise(path).alias("path")).where("site <> ''").distinct()
+
+
+def link_audit(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Inbound links of each known page, whether it is an orphan, and the fewest that a page of its site has, which are counted a site first."""
+    counted = inbound_links(links, known)
+    least = counted.groupBy(F.col("site").alias("least_of")).agg(F.min("inbound").alias("site_least"))
+    return counted.join(least, F.col("site") == F.col("least_of")).drop("least_of").withColumn("orphan", F.col("inbound") == 0)
+
+
 def explode_jsonld(pages: DataFrame) -> DataFrame:
     """Each JSON-LD node with its type: the members of @graph, or the single object; broken JSON gives an error row."""
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(JSON_LD), F.lit(1))).alias("block", "json"))

@@ -116,6 +116,17 @@ def a9_inbound_links(spark, sf_dir):
     return W.inbound_links(W.extract_links(p), known)
 
 
+@query(
+    f"""WITH {LINKS}, t AS (SELECT regexp_extract(target, '^(https?://[^/?#]+)', 1) AS site, regexp_extract(target, '^https?://[^/?#]+([^?#]*)', 1) AS path, count(*) AS n FROM links WHERE target IS NOT NULL GROUP BY 1, 2),
+      k AS (SELECT DISTINCT {_SITE} AS site, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path FROM pages WHERE {_SITE} <> '')
+      SELECT site, path, coalesce(n, 0)::BIGINT AS inbound, min(coalesce(n, 0)) OVER (PARTITION BY site)::BIGINT AS site_least, coalesce(n, 0) = 0 AS orphan FROM k LEFT JOIN t USING (site, path)"""
+)
+def a9_link_audit(spark, sf_dir):
+    """Every page of the table against the links of all pages, its own among them."""
+    p = _linked_pages(spark, sf_dir)
+    return W.link_audit(W.extract_links(p), W.known_pages(p))
+
+
 @query(
     f"""WITH {HEAD}, u AS (SELECT page_id, 'title' AS field, title AS value FROM head UNION ALL SELECT page_id, 'site', {_SITE} FROM pages)
       SELECT field, value, n, page_id FROM (SELECT *, count(*) OVER (PARTITION BY field, value)::BIGINT AS n FROM u WHERE value IS NOT NULL AND value <> '') WHERE n > 1"""

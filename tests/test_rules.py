@@ -389,3 +389,12 @@ def test_words_of_the_whole_corpus(spark):
     assert got == [tuple(r)[1:] for r in corpus.top_words(df.selectExpr("1 AS g", "text"), by=("g",), k=3).orderBy("rank").collect()]
     assert len(got) == 3
     assert corpus.top_words(df.limit(0)).count() == 0
+
+
+def test_orphans_of_a_site(spark):
+    pages = spark.createDataFrame(
+        [(1, "https://a.org/", '<a href="/x"></a><a href="x?q=1#f"></a><a href="mailto:a@b"></a>'), (2, "https://a.org/x", '<a href="https://a.org"></a><a href="https://b.org/x"></a>'), (3, "https://a.org/lost", None), (4, "https://b.org", ""), (5, None, '<a href="/x"></a>')],
+        "page_id long, url string, html string",
+    )
+    got = {(r.site, r.path): (r.inbound, r.site_least, r.orphan) for r in web.link_audit(web.extract_links(pages), web.known_pages(pages)).collect()}
+    assert got == {("https://a.org", "/"): (1, 0, False), ("https://a.org", "/x"): (2, 0, False), ("https://a.org", "/lost"): (0, 0, True), ("https://b.org", "/"): (0, 0, True)}
