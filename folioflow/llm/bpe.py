@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
+import os
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folioflow.llm.chunks import rolling
 from folioflow.llm.common import runs
 
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 750_000
 CHUNK_BITS = 11
-KEPT_PIECES = 150_000
+KEPT_PIECES = 75_000
 GROUP = 4096
 SPACES = " \t\n\v\f\r"
 # Signs at the end of a word that may be parted from it, where the tokenizer does so.
@@ -48,9 +50,9 @@ def taken(values: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[
 
 
 class Coder:
-    """Encodes and decodes texts with a file of the tokenizers library."""
+    """Encodes texts with a file of the tokenizers library and, if asked for, decodes them."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, decoded: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -58,12 +60,13 @@ class Coder:
         self.tokenizer.no_padding()
         spec = json.loads(model)
         self.plain = spec.get("decoder") is None
+        self.decoded = decoded
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         added = spec.get("added_tokens", [])
         fixed = [t for t in added if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
         self.between = (fixed[0]["content"], fixed[0]["id"]) if fixed else None
         self.starts = "".join({t["content"][0] for t in added})
-        self.known: dict[str, tuple[bytes, str]] = {}  # pieces -> ids as bytes, decoded
+        self.known: dict[str, bytes] = {}  # pieces -> ids as bytes
         self.tails: dict[str, bool] = {}
         self.ends: dict[tuple[str, str], bool] = {}
         self.by_words = self.plain and self.parts_at_spaces()
@@ -131,10 +134,9 @@ class Coder:
         anything else; pieces that may hold such a token are encoded alone."""
         new = [p for p in pieces if p not in self.known]
         if self.straight:
-            tokenize, names = self.tokenizer.model.tokenize, self.names
+            tokenize = self.tokenizer.model.tokenize
             for p in [p for p in new if p.isalpha() and p.isascii() and p.islower()]:
-                ids = [t.id for t in tokenize(p)]
-                self.known[p] = (array("i", ids).tobytes(), " ".join([names[i] for i in ids]))
+                self.known[p] = array("i", [t.id for t in tokenize(p)]).tobytes()
             new = [p for p in new if p not in self.known]
         alone = [p for p in new if self.between is None or any(c in p for c in self.starts)]
         lonely = set(alone)
@@ -146,32 +148,38 @@ class Coder:
             bounds = [-1, *np.flatnonzero(ids == self.between[1]).tolist(), len(ids)]
             found += [ids[x + 1 : y] for x, y in zip(bounds, bounds[1:])]
         for p, x in zip([*alone, *group], found, strict=True):
-            self.known[p] = (x.tobytes(), " ".join([self.names[i] for i in x.tolist()]))
+            self.known[p] = x.tobytes()
 
-    def words_of(self, words: list[str]) -> tuple[list[bytes], list[str]]:
-        """Ids as bytes, and decoded, of each word. What is kept of pieces is bounded by KEPT_PIECES and what one run needs."""
+    def words_of(self, words: list[str]) -> list[bytes]:
+        """Ids as bytes of each word. What is kept of pieces is bounded by KEPT_PIECES and what one run needs."""
         split = [self.pieces_of(w) for w in words]
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
         self.learn({p for s in split for p in s})
         known = self.known
-        told = [known[s[0]] if len(s) == 1 else (known[s[0]][0] + known[s[1]][0], known[s[0]][1] + " " + known[s[1]][1]) for s in split]
-        return [t[0] for t in told], [t[1] for t in told]
+        return [known[s[0]] if len(s) == 1 else known[s[0]] + known[s[1]] for s in split]
 
-    def code(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Ids of all texts one after the other, their number in each text, and the decoded texts."""
+    def spelt(self, flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The names of the tokens of each text, one space between them."""
+        at = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(at, pa.array(self.names, pa.string()).take(pa.array(flat))), " ")
+
+    def code(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
+        """Ids of all texts one after the other, their number in each text, and the decoded texts, None if not asked for."""
         return self.by_chunks(texts) if self.by_words else self.whole(texts)
 
-    def whole(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    def whole(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
         """By the library; equal texts once."""
         told = texts.dictionary_encode()
         ids = self.ids_of(told.dictionary.to_pylist())
-        decoded = pa.array([" ".join([self.names[i] for i in x]) if self.plain else self.tokenizer.decode(x, skip_special_tokens=False) for x in ids], pa.string())
         offsets = np.cumsum([0, *map(len, ids)])
         flat, sizes = taken(np.array([i for x in ids for i in x], np.int32), offsets, told.indices.to_numpy())
+        if not self.decoded or self.plain:
+            return flat, sizes, self.spelt(flat, sizes) if self.decoded else None
+        decoded = pa.array([self.tokenizer.decode(x, skip_special_tokens=False) for x in ids], pa.string())
         return flat, sizes, decoded.take(told.indices)
 
-    def by_chunks(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    def by_chunks(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
         """Equal chunks are encoded once: their words, each different one once, by the library.
 
         A join of two chunks is checked by encoding what stands around it, the last word before and the first behind, as
@@ -188,9 +196,9 @@ class Coder:
         which = chunks.indices.to_numpy()
         split = pc.ascii_split_whitespace(chunks.dictionary)
         words = split.flatten().dictionary_encode()
-        ids, told = self.words_of(words.dictionary.to_pylist())
+        ids = self.words_of(words.dictionary.to_pylist())
         id_bounds = np.cumsum([0, *map(len, ids)]) // 4
-        flat, decoded = np.frombuffer(b"".join(ids), np.int32), pa.array(told, pa.string())
+        flat = np.frombuffer(b"".join(ids), np.int32)
         counts = np.diff(id_bounds)
         word_of, full = words.indices.to_numpy(), counts[words.indices.to_numpy()] > 0
         kept_before = np.concatenate(([0], np.cumsum(full)))
@@ -204,16 +212,15 @@ class Coder:
         out, sizes = taken(flat, id_bounds, sequence)
         at = np.cumsum(np.concatenate(([0], per_text)))
         ids_before = np.concatenate(([0], np.cumsum(sizes)))[at]
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), decoded.take(pa.array(sequence))), " ")
-        if not len(wrong):
-            return out, np.diff(ids_before), joined
-        again = np.unique(text_of[wrong])
-        repaired = self.ids_of([texts[int(i)].as_py() for i in again])
-        parts = [out[a:b] for a, b in zip(ids_before[:-1], ids_before[1:])]
-        texts_told = joined.to_pylist()
-        for i, x in zip(again.tolist(), repaired):
-            parts[i], texts_told[i] = np.array(x, np.int32), " ".join([self.names[k] for k in x])
-        return np.concatenate(parts), np.array([len(p) for p in parts]), pa.array(texts_told, pa.string())
+        sizes = np.diff(ids_before)
+        if len(wrong):
+            again = np.unique(text_of[wrong])
+            repaired = self.ids_of([texts[int(i)].as_py() for i in again])
+            parts = [out[a:b] for a, b in zip(ids_before[:-1], ids_before[1:])]
+            for i, x in zip(again.tolist(), repaired):
+                parts[i] = np.array(x, np.int32)
+            out, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+        return out, sizes, self.spelt(out, sizes) if self.decoded else None
 
     def _joins_that_differ(self, joins, bounds, data, words, word_of, split, which, ids) -> np.ndarray:
         """The joins at which the words around, encoded as one with the space between them, have other ids than each for itself."""
@@ -241,27 +248,30 @@ class Coder:
         return joins[[not good[tried[p]] for p in zip(left.tolist(), right.tolist())]]
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, keep: tuple = ()) -> DataFrame:
-    """n_tokens, ids (array<int>) and decoded (string) of every row of docs(doc_id, text), with the columns of `keep`.
+def encode_decode(docs: DataFrame, tokenizer_path: str, keep: tuple = (), decoded: bool = True) -> DataFrame:
+    """n_tokens, ids (array<int>) and decoded (string, unless decoded is False) of every row of docs(doc_id, text), with the columns of `keep`.
 
     The ids are those of the tokenizers library for the file at tokenizer_path without special tokens, truncation
     or padding; decoded is its decode() of them with special tokens kept. Chunks are reused within a task for tokenizers that
     part texts at white space, which is tried (parts_at_spaces); others get the texts whole. A null
-    or empty text has no ids and decodes to ''. Repeated rows each give a row; an empty table gives none."""
+    or empty text has no ids and decodes to ''. Repeated rows each give a row; an empty table gives none. A worker sends back the
+    columns of the result only: a text that is not kept stays with it."""
     with open(tokenizer_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
-    base = docs.select("doc_id", "text", *keep)
+    keep = tuple(c for c in keep if c != "doc_id")
+    base = docs.select("doc_id", *keep, F.col("text").alias("text_to_encode"))
 
     def run(batches):
-        coder = Coder(model.value)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
+        coder = Coder(model.value, decoded)
         for batch in batches:
-            for start, texts in runs(batch.column(1), BLOCK_CHARS):
-                flat, sizes, decoded = coder.code(texts)
+            for start, texts in runs(batch.column(batch.num_columns - 1), BLOCK_CHARS):
+                flat, sizes, told = coder.code(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(start, len(texts)).columns, pa.array(sizes.astype(np.int64)), lists, decoded], names=[*batch.schema.names, "n_tokens", "ids", "decoded"]
-                )
+                made = {"n_tokens": pa.array(sizes.astype(np.int64)), "ids": lists} | ({"decoded": told} if decoded else {})
+                kept = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], *made.values()], names=[*batch.schema.names[:-1], *made])
                 pa.default_memory_pool().release_unused()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, n_tokens long, ids array<int>, decoded string").drop(*([] if "text" in keep else ["text"]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
+    return base.mapInArrow(run, f"{fields}, n_tokens long, ids array<int>" + ", decoded string" * decoded)

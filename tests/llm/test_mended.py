@@ -1,14 +1,17 @@
 """Letters that change under normalisation, elements and attributes of any kind, numerals, repeated ids in samples, and dense phrases."""
 
+import random
 import re
 import time
+import tracemalloc
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from folioflow.llm import bpe, language, main_text, queries, toxicity
-from folioflow.llm.common import sample_by_class
+from folioflow.llm.common import runs, sample_by_class
 
 SF = "/root/testdata/sf0.001"
 
@@ -185,3 +188,42 @@ def test_offsets_of_a_hot_file(spark):
     assert warc.audit(index, warc.record_index(pages.repartition(3), records_per_file=1000)).count() == 0
     lost = warc.audit(index, index.where("page_id is null or page_id <> 249"))
     assert [(r.page_id, r.status) for r in lost.collect()] == [(249, "missing")]
+
+
+def test_memory_of_a_tokenizing_worker_is_bounded():
+    """Words that never come again: what a worker holds at once beside the library stays under 45 MB (79 before pieces were kept without their decoded forms and runs were halved)."""
+    import pyarrow as pa
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        coder = bpe.Coder(f.read())
+    rng = random.Random(11)
+    texts = pa.array([" ".join("".join(rng.choices("aeioubcdfgklmnprst", k=rng.randrange(5, 11))) for _ in range(400)) for _ in range(1200)])
+    tracemalloc.start()
+    try:
+        for _, part in runs(texts, bpe.BLOCK_CHARS):
+            coder.code(part)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 45e6
+
+
+def test_tokenizing_stage_sends_back_ids_only(spark):
+    """The last stage of the pipeline decodes nothing, and its workers do not send the texts back."""
+    from tokenizers import Tokenizer
+
+    texts = ["It's a word, a Word.", "", None, "x" * 3000, "a<|endoftext|> b", " été 日本 "] + [f"n{i} words here" for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.tokenize(spark, docs, SF)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids"]
+    plan = out._jdf.queryExecution().analyzed()
+    while "MapInArrow" not in plan.nodeName():
+        plan = plan.children().head()
+    sent = [plan.output().apply(i).name() for i in range(plan.output().size())]
+    assert sent == out.columns
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    for r in out.collect():
+        assert r.ids == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+    kept = bpe.encode_decode(docs, queries.tokenizer_path(), keep=("text", "lang"))
+    assert kept.columns == ["doc_id", "text", "lang", "n_tokens", "ids", "decoded"]
+    assert {r.doc_id: r.text for r in kept.collect()} == dict(enumerate(texts))
