@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import GAP, crc_of_id, given_back, sample_by_class, set_apart
+from folioflow.llm.common import GAP, crc_of_id, even_runs, given_back, sample_by_class, set_apart
 from folioflow.llm.ngram_join import _runs
 from folioflow.llm.shingles import mix64
 
@@ -18,6 +18,7 @@ WORDS_PER_DOC = 200
 TABLE = 1 << 16
 LEXICON = 4000
 NONE = "und"
+BLOCK_CELLS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 _U = np.uint64
 
@@ -41,15 +42,17 @@ class Field:
         self.step = np.zeros((len(labels), len(labels)), np.float32)
 
     def features(self, words: list[str]):
-        """Yields (rows of words, hashed features as a matrix, their number a word) by bands of word length; -1 fills."""
+        """Yields (rows of words, hashed features as a matrix) by bands of word length, of about BLOCK_CELLS letters at once; -1 fills."""
         lengths = np.array([len(w) for w in words])
         size = 8
         low = 0
         while low < (lengths.max() if len(lengths) else 0):
-            rows = np.flatnonzero((lengths > low) & (lengths <= size))
-            if len(rows):
+            band = np.flatnonzero((lengths > low) & (lengths <= size))
+            width = size + 2
+            most = max(1, BLOCK_CELLS // width)
+            for a in range(0, len(band), most):
+                rows = band[a : a + most]
                 marked = ["^" + words[i] + "$" for i in rows]
-                width = size + 2
                 code = np.array(marked, dtype=f"U{width}").view(np.uint32).reshape(len(rows), width).astype(np.uint64)
                 ends = lengths[rows] + 2
                 parts, fill = [], np.int64(-1)
@@ -79,18 +82,16 @@ class Field:
         out = np.zeros((len(words), len(self.labels)), np.float32)
         padded = np.concatenate((self.grams, np.zeros((1, len(self.labels)), np.float32)))
         for rows, feats in self.features(words):
-            count = (feats >= 0).sum(1)
-            for a in range(0, len(rows), 20_000):
-                some = feats[a : a + 20_000]
-                out[rows[a : a + 20_000]] = padded[some].sum(1) / np.sqrt(count[a : a + 20_000])[:, None]
+            out[rows] = padded[feats].sum(1) / np.sqrt((feats >= 0).sum(1))[:, None]
         known = np.array([self.lexicon.get(w, len(self.lexicon)) for w in words], np.int64)
         return out + self.known[known] if len(words) else out
 
 
-def forward_backward(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: np.ndarray):
-    """Marginals of every word, and expected transitions, of sequences laid end to end; all sequences advance together.
-    The sequences must be in order of falling length."""
-    emit = np.exp(scores - scores.max(1, keepdims=True))
+def forward_backward(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: np.ndarray, with_pairs: bool = True):
+    """Marginals of every word, and expected transitions (zeros where not asked for), of sequences laid end to end; all
+    sequences advance together. The sequences must be in order of falling length."""
+    emit = scores - scores.max(1, keepdims=True)
+    np.exp(emit, out=emit)
     move = np.exp(step)
     alpha = np.empty_like(emit)
     n = len(lengths)
@@ -100,7 +101,7 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray
         a = emit[at] if t == 0 else (alpha[at - 1] @ move) * emit[at]
         alpha[at] = a / a.sum(1, keepdims=True)
     beta = np.ones((n, scores.shape[1]), scores.dtype)
-    marginal = np.empty_like(emit)
+    marginal = alpha  # a word's alpha is read for the last time where its marginal is set
     pairs = np.zeros_like(move)
     for t in range(len(active) - 1, -1, -1):
         k = active[t]
@@ -109,8 +110,9 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray
         marginal[at] = m / m.sum(1, keepdims=True)
         if t:
             back = emit[at] * beta[:k]
-            joint = alpha[at - 1][:, :, None] * move[None] * back[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            if with_pairs:
+                joint = alpha[at - 1][:, :, None] * move[None] * back[:, None, :]
+                pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
             b = back @ move.T
             beta[:k] = b / b.sum(1, keepdims=True)
     return marginal, pairs
@@ -182,17 +184,17 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 7, rounds: int = 6, ra
 
 def label_texts(field: Field, texts: list) -> list[tuple[str, float, list]]:
     """(language, score, share of each label) of each text, from the marginals of its words."""
-    words = [words_of(t) for t in texts]
     out = [(NONE, 0.0, [])] * len(texts)
-    order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
+    code: dict[str, int] = {}
+    coded = [np.array([code.setdefault(w, len(code)) for w in words_of(t)], np.int32) for t in texts]
+    order = sorted((i for i, c in enumerate(coded) if len(c)), key=lambda i: -len(coded[i]))
     if not order or not field.labels:
         return out
-    code: dict[str, int] = {}
-    flat = np.array([code.setdefault(w, len(code)) for i in order for w in words[i]], np.int64)
-    lengths = np.array([len(words[i]) for i in order])
+    lengths = np.array([len(coded[i]) for i in order])
     starts = np.cumsum(lengths) - lengths
-    marginal, _ = forward_backward(field.emissions(list(code))[flat], starts, lengths, field.step)
-    means = np.add.reduceat(marginal.astype(np.float64), starts, axis=0) / lengths[:, None]
+    emit = field.emissions(list(code))[np.concatenate([coded[i] for i in order])]
+    marginal, _ = forward_backward(emit, starts, lengths, field.step, with_pairs=False)
+    means = np.add.reduceat(marginal, starts, axis=0, dtype=np.float64) / lengths[:, None]
     for i, m in zip(order, means):
         best = int(m.argmax())
         out[i] = (field.labels[best], float(min(1.0, m[best])), m.tolist())
@@ -218,7 +220,7 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
                         continue
                     code = {w: i for i, w in enumerate(dict.fromkeys(words))}
                     emit = model.emissions(list(code))[[code[w] for w in words]]
-                    marginal, _ = forward_backward(emit, np.array([0]), np.array([len(words)]), model.step)
+                    marginal, _ = forward_backward(emit, np.array([0]), np.array([len(words)]), model.step, with_pairs=False)
                     out.append([{"word": w, "lang": model.labels[i], "score": float(m[i])} for w, i, m in zip(words, marginal.argmax(1).tolist(), marginal)])
                 kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(out, kind)], names=["doc_id", "words"])
@@ -256,11 +258,9 @@ def identify(docs: DataFrame, field: Field | None = None, keep: tuple = ()) -> D
         model = Field([], {})
         vars(model).update(shipped.value)
         for batch in batches:
-            texts, done = batch.column(1).to_pylist(), 0
-            for _, part in _runs(range(len(texts)), texts, 3_000_000):
-                got = label_texts(model, part)
-                same = batch.slice(done, len(part))
-                done += len(part)
+            for start, texts in even_runs(batch.column(1)):
+                got = label_texts(model, texts.to_pylist())
+                same = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [*same.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                     names=[*batch.schema.names, "lang_pred", "score"],

@@ -6,12 +6,13 @@ import time
 import tracemalloc
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioflow.llm import bpe, language, main_text, queries, toxicity
-from folioflow.llm.common import runs, sample_by_class
+from folioflow.llm.common import even_runs, runs, sample_by_class
 
 SF = "/root/testdata/sf0.001"
 
@@ -208,6 +209,61 @@ def test_memory_of_a_tokenizing_worker_is_bounded():
     assert most < 45e6
 
 
+def test_memory_of_a_labelling_worker_is_bounded():
+    """A run of 3 MB: what labelling its texts takes at once stays under 40 MB (96 before words became numbers text by text and
+    their features blocks), with the marginals that the whole algorithm has."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aeioubcdfgklmnprst", k=rng.randrange(3, 16))) for _ in range(60_000)]
+    field = language.fit([(lang, words[i : i + 9]) for i in range(0, 360, 9) for lang in ("de", "en", "es", "fr")[i // 9 % 4 :][:1]])
+    texts = [" ".join(rng.choices(words, k=rng.choice((5, 200, 2000)))) for _ in range(420)]
+    tracemalloc.start()
+    try:
+        got = language.label_texts(field, texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40e6
+    for i in (0, 211, 419):
+        scores = field.emissions(language.words_of(texts[i])).astype(np.float64)
+        marginal, pairs = language.forward_backward(scores, np.array([0]), np.array([len(scores)]), field.step.astype(np.float64))
+        assert np.allclose(got[i][2], marginal.mean(0), atol=1e-4) and np.isclose(pairs.sum(), len(scores) - 1)
+
+
+def test_even_runs_have_no_small_rest():
+    import pyarrow as pa
+
+    texts = pa.array(["x" * (i % 7 * 10) for i in range(500)] + [None])
+    for limit in (100, 1000, 4000, 10**6):
+        parts = list(even_runs(texts, limit))
+        sizes = [sum(map(len, t.to_pylist())) for _, t in parts]
+        assert [s for s, _ in parts] == np.cumsum([0, *(len(t) for _, t in parts)])[:-1].tolist() and sum(len(t) for _, t in parts) == 501
+        assert max(sizes) <= 2 * limit and (len(sizes) == 1 or limit < 1000 or min(sizes) > max(sizes) / 2)
+    assert list(even_runs(pa.array([], pa.string()))) == []
+
+
+def test_pipeline_hands_workers_small_batches(spark):
+    """A worker of the first stage gets its rows by batches of 3 MB, not all 12 MB at once; a size that the session names stays."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, "some words of a text " * 600, "en", "web", 12600) for i in range(1000)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["doc_id"])
+
+    before = spark.conf.getAll.get(corpus_pipeline.BATCH_BYTES)
+    try:
+        spark.conf.unset(corpus_pipeline.BATCH_BYTES)
+        corpus_pipeline.identify_language(spark, docs, SF)
+        rows = [r.doc_id for r in docs.mapInArrow(sizes, "doc_id long").collect()]
+        assert sum(rows) == 1000 and max(rows) < 300
+        spark.conf.set(corpus_pipeline.BATCH_BYTES, "5m")
+        corpus_pipeline.identify_language(spark, docs, SF)
+        assert spark.conf.get(corpus_pipeline.BATCH_BYTES) == "5m"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH_BYTES) if before is None else spark.conf.set(corpus_pipeline.BATCH_BYTES, before)
+
+
 def test_tokenizing_stage_sends_back_ids_only(spark):
     """The last stage of the pipeline decodes nothing, and its workers do not send the texts back."""
     from tokenizers import Tokenizer
