@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,36 @@ from folioflow.functions.text import RTL, SPACE
 PAGE = ("doc_id", "page")
 
 
+def by_page(rows: DataFrame, order: tuple, columns: tuple, fold: Callable, made: dict) -> DataFrame:
+    """doc_id, page and the columns `made` (name to Arrow type) that fold(*lists of a page's columns, in order) gives as lists of one length. A task
+    reads its pages in order, batch by batch, and holds one page at a time."""
+    names = [*PAGE, *made]
+
+    def run(batches):
+        key, held = None, [[] for _ in columns]
+        for batch in itertools.chain(batches, [None]):
+            out: list[list] = [[] for _ in names]
+            docs, pages, *values = [[], []] if batch is None else [c.to_pylist() for c in batch.columns]
+            keys = list(zip(docs, pages))
+            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for start, end in zip([0, *ends], [*ends, len(keys)]):
+                if (not keys or keys[start] != key) and key is not None:
+                    for column, new in zip(out[2:], fold(*held)):
+                        column += new
+                    n = len(out[2]) - len(out[0])
+                    out[0] += [key[0]] * n
+                    out[1] += [key[1]] * n
+                    held = [[] for _ in columns]
+                if keys:
+                    key = keys[start]
+                    for have, new in zip(held, values):
+                        have += new[start:end]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), *made.values()))], names=names)
+
+    placed = rows.select(*PAGE, *dict.fromkeys([*columns, *order])).repartition(*PAGE).sortWithinPartitions(*PAGE, *order).select(*PAGE, *columns)
+    return placed.mapInArrow(run, ", ".join(f"{n} {'double' if t == pa.float64() else 'long'}" for n, t in zip(names, (pa.int64(), pa.int64(), *made.values()))))
+
+
 def cluster_lines(items: DataFrame, share: float = 0.45) -> DataFrame:
     """Lines of a page: items in order of height start a new line where the step exceeds share x the smaller size. Equal to the
     look-back over four lines where sizes on a line are alike."""
@@ -230,20 +265,28 @@ def assign_columns(frags: DataFrame, separators: list[float]) -> DataFrame:
 
 def attach_markers(markers: DataFrame, lines: DataFrame, width: float = 612.0) -> DataFrame:
     """Each list marker with the nearest text line right of it (centres within 0.6 of its height, gap below a quarter of the
-    width); markers choose in order and a line serves once. Greedy, so one group a page."""
+    width); markers choose in order and a line serves once. Greedy, so a task folds its pages one by one, and a marker looks only at the lines of its height."""
     both = markers.select(*PAGE, F.lit(0).alias("kind"), "idx", "x0", "x1", "y", "h").unionByName(lines.select(*PAGE, F.lit(1).alias("kind"), "idx", "x0", "x1", "y", "h"))
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        marks, rows = page[page["kind"] == 0].sort_values("idx"), page[page["kind"] == 1].sort_values(["x0", "idx"])
-        used, out = set(), []
-        for m in marks.itertuples():
-            found = [r for r in rows.itertuples() if r.idx not in used and r.x0 >= m.x1 and r.x0 - m.x1 < width / 4 and abs(r.y - m.y) <= 0.6 * m.h]
-            if found:
-                used.add(found[0].idx)
-                out.append((m.doc_id, m.page, m.idx, found[0].idx))
-        return pd.DataFrame(out, columns=["doc_id", "page", "marker", "line"])
-
-    return both.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, marker long, line long")
+    def run(kinds: list, ids: list, lefts: list, rights: list, ys: list, heights: list) -> tuple:
+        split = kinds.index(1) if 1 in kinds else len(kinds)
+        rows = sorted((y, x0, i) for y, x0, i in zip(ys[split:], lefts[split:], ids[split:]) if y == y and x0 == x0)
+        levels, used, found = [r[0] for r in rows], set(), ([], [])
+        for i, x1, y, h in zip(ids[:split], rights, ys, heights):
+            best = None
+            # a little more than the reach, as sums round; the test itself is on the difference
+            for j in range(bisect_left(levels, y - 0.61 * h), bisect_right(levels, y + 0.61 * h)):
+                r, x0, line = rows[j]
+                if x0 >= x1 and x0 - x1 < width / 4 and abs(r - y) <= 0.6 * h and line not in used and (best is None or (x0, line) < best):
+                    best = (x0, line)
+            if best is not None:
+                used.add(best[1])
+                found[0].append(i)
+                found[1].append(best[1])
+        return found
+
+    known = both.dropna(subset=["y", "x0"]).where("kind = 1 or (x1 is not null and h is not null)")
+    return by_page(known, ("kind", "idx"), ("kind", "idx", "x0", "x1", "y", "h"), run, {"marker": pa.int64(), "line": pa.int64()})
 
 
 MOST_TRIES = 12

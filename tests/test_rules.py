@@ -408,3 +408,34 @@ def test_missing_files_of_repeated_urls(spark, tmp_path):
     rows = [(3, "https://a.org/x"), (4, "https://a.org/x"), (10, "https://a.org/y"), (17, "https://a.org/y"), (24, None), (25, None), (None, "https://a.org/z")]
     spark.createDataFrame([(i, u, "") for i, u in rows], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert differences(plans.j13_missing_files(spark, str(tmp_path)), ORACLES["j13_missing_files"], connect(str(tmp_path))) == ""
+
+
+def in_groups(df):
+    """Whether a plan calls pandas once a group."""
+    return "FlatMapGroupsInPandas" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def greedy(marks, rows, width=612.0):
+    used, out = set(), []
+    for i, x1, y, h in sorted(marks):
+        found = [(x0, j) for j, x0, r in rows if j not in used and x0 >= x1 and x0 - x1 < width / 4 and abs(r - y) <= 0.6 * h]
+        if found:
+            used.add(min(found)[1])
+            out.append((i, min(found)[1]))
+    return out
+
+
+def test_markers_of_many_pages_and_of_a_full_one(spark):
+    import random
+
+    rng, pages = random.Random(5), {}
+    for p in range(120):
+        n = 400 if p == 0 else rng.randrange(0, 30)
+        marks = [(i, rng.choice([30.0, 60.0]), rng.randrange(0, 60) * 7.2, rng.choice([10.0, 12.0, 0.0])) for i in range(n)]
+        pages[p] = marks, [(j, rng.randrange(0, 40) * 10.0, rng.randrange(0, 60) * 7.2) for j in range(rng.randrange(0, 2 * n + 1))]
+    schema = "doc_id long, page long, idx long, x0 double, x1 double, y double, h double"
+    m = spark.createDataFrame([(p % 7, p, i, 0.0, x1, y, h) for p, (marks, _) in pages.items() for i, x1, y, h in marks] + [(1, 1, 99, 0.0, 1.0, None, 9.0)], schema)
+    r = spark.createDataFrame([(p % 7, p, j, x0, x0 + 9, y, 12.0) for p, (_, rows) in pages.items() for j, x0, y in rows] + [(1, 1, 99, None, 1.0, 7.2, 9.0)], schema)
+    out = layout.attach_markers(m, r)
+    assert not in_groups(out)
+    assert sorted(tuple(x) for x in out.collect()) == sorted((p % 7, p, *found) for p, case in pages.items() for found in greedy(*case))
