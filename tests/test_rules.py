@@ -439,3 +439,9 @@ def test_markers_of_many_pages_and_of_a_full_one(spark):
     out = layout.attach_markers(m, r)
     assert not in_groups(out)
     assert sorted(tuple(x) for x in out.collect()) == sorted((p % 7, p, *found) for p, case in pages.items() for found in greedy(*case))
+
+
+def test_numbered_paragraphs_without_groups(spark):
+    from folioflow.plans import layout as plans
+
+    assert not in_groups(plans.l17_rejoin_paragraphs(spark, "/root/testdata/sf0.001"))
