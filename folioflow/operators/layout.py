@@ -57,24 +57,27 @@ def cluster_lines(items: DataFrame, share: float = 0.45) -> DataFrame:
 
 def cluster_lines_exact(items: DataFrame, share: float = 0.45) -> DataFrame:
     """The same with the look-back: an item joins the nearest of the last four lines within the tolerance, whose size is its largest
-    item's. Sequential within a page, so one group a page."""
+    item's. Sequential within a page, so a task folds its pages one by one."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x", "seq"])
-        lines: list[list[float]] = []
+    def run(heights: list, sizes: list, seqs: list) -> tuple:
+        ys: list[float] = []
+        most: list[float] = []
         out = []
-        for y, size in zip(page["y"], page["size"]):
-            for i in range(len(lines) - 1, max(-1, len(lines) - 5), -1):
-                if abs(lines[i][0] - y) <= share * min(lines[i][1], size):
-                    lines[i][1] = max(lines[i][1], size)
+        for y, size in zip(heights, sizes):
+            for i in range(len(ys) - 1, max(-1, len(ys) - 5), -1):
+                if abs(ys[i] - y) <= share * min(most[i], size):
+                    if size > most[i]:
+                        most[i] = size
                     out.append(i + 1)
                     break
             else:
-                lines.append([y, size])
-                out.append(len(lines))
-        return page.assign(line=out)[["doc_id", "page", "seq", "line"]]
+                ys.append(y)
+                most.append(size)
+                out.append(len(ys))
+        return seqs, out
 
-    return items.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, seq long, line long")
+    told = items.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in ("y", "size")})
+    return by_page(told, ("y", "x", "seq"), ("y", "size", "seq"), run, {"seq": pa.int64(), "line": pa.int64()})
 
 
 def line_text(lines: DataFrame, gap: float = 0.18) -> DataFrame:

@@ -445,3 +445,25 @@ def test_numbered_paragraphs_without_groups(spark):
     from folioflow.plans import layout as plans
 
     assert not in_groups(plans.l17_rejoin_paragraphs(spark, "/root/testdata/sf0.001"))
+
+
+def test_lines_of_many_pages(spark):
+    import random
+
+    def lines(page, share=0.45):
+        known, out = [], []
+        for y, _, seq, size in sorted(page):
+            near = [i for i in range(len(known) - 1, max(-1, len(known) - 5), -1) if abs(known[i][0] - y) <= share * min(known[i][1], size)]
+            if near:
+                known[near[0]][1] = max(known[near[0]][1], size)
+            else:
+                known.append([y, size])
+            out.append((seq, near[0] + 1 if near else len(known)))
+        return out
+
+    rng = random.Random(3)
+    pages = {(d, p): [(rng.randrange(0, 200) * 1.5, float(rng.randrange(0, 5)), i, rng.choice([6.0, 12.0, 30.0])) for i in range(rng.choice([1, 40, 900]))] for d in range(3) for p in range(12)}
+    items = spark.createDataFrame([(d, p, i, x, y, size) for (d, p), page in pages.items() for y, x, i, size in page], "doc_id long, page long, seq long, x double, y double, size double")
+    out = layout.cluster_lines_exact(items)
+    assert not in_groups(out)
+    assert sorted(tuple(r) for r in out.collect()) == sorted((*k, *found) for k, page in pages.items() for found in lines(page))
