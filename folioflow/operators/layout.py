@@ -118,27 +118,40 @@ def fragments(lines: DataFrame, tight: bool = False) -> DataFrame:
 def gutters(frags: DataFrame, bins: int = 200, width: float = 612.0, side: float = 0.2) -> DataFrame:
     """Column gaps of pages with 8 lines or more: runs of 2 bins or more within 20 to 80 % of the width that few lines cover, with a
     share of `side` of the page's items or more, by their fragments' centres, left and right of their middle."""
-    to_bin = lambda c: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(c / width * bins))).cast("int")
-    # one count for all: covered bins, the half bin of the centre, and the line, each as (kind, at)
-    half = F.floor((F.col("x0") + F.col("x1")) / 2 / width * bins * 2).cast("long")
-    told = F.concat(
-        F.transform(F.sequence(to_bin(F.col("x0")), to_bin(F.col("x1"))), lambda b: F.struct(F.lit(0).alias("kind"), b.cast("long").alias("at"))),
-        F.array(F.struct(F.lit(1).alias("kind"), half.alias("at")), F.struct(F.lit(2).alias("kind"), F.col("line").cast("long").alias("at"))),
-    )
-    counts = frags.select(*PAGE, "n", F.explode(told).alias("t")).groupBy(*PAGE, "t.kind", "t.at").agg(F.count("*").alias("frags"), F.sum("n").alias("items"))
-    of = lambda kind, *value: F.collect_list(F.when(F.col("kind") == kind, F.struct("at", *value)))
-    page = counts.groupBy(*PAGE).agg(  # bins and half bins are few
-        F.map_from_entries(of(0, "frags")).alias("cover"), of(1, "items").alias("centres"), F.count_if(F.col("kind") == 2).alias("n_lines"), F.sum(F.when(F.col("kind") == 1, F.col("items"))).alias("items"),
-    ).where("n_lines >= 8")
-    few = F.greatest(F.lit(2.0), F.col("n_lines") * 0.25)
-    low = F.filter(F.sequence(F.lit(bins // 5).cast("long"), F.lit(bins * 4 // 5).cast("long")), lambda b: F.coalesce(F.try_element_at("cover", b), F.lit(0)) <= few)
-    page = page.withColumn("low", low)
-    starts, ends = (F.filter("low", lambda b: ~F.array_contains("low", b + step)) for step in (F.lit(-1), F.lit(1)))
-    runs = page.select(*PAGE, "centres", "items", F.explode(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("bin0"), b.alias("bin1")))).alias("r")).where("r.bin1 > r.bin0")
-    edge = F.col("r.bin0") + F.col("r.bin1") + 1
-    left = F.aggregate("centres", F.lit(0).cast("long"), lambda s, c: s + F.when(c["at"] < edge, c["items"]).otherwise(F.lit(0)))
-    good = runs.withColumn("left", left).where((F.col("left") >= side * F.col("items")) & (F.col("items") - F.col("left") >= side * F.col("items")))
-    return good.select(*PAGE, F.col("r.bin0").alias("bin0"), F.col("r.bin1").alias("bin1"), (edge / 2 * width / bins).alias("middle"))
+    to_bin = lambda c: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(c / width * bins)))
+    low = range(bins // 5, bins * 4 // 5 + 1)
+
+    def run(starts: list, ends: list, centres: list, counts: list, lines: list) -> tuple:
+        found: tuple = ([], [], [])
+        n_lines = len(set(lines))
+        if n_lines < 8:
+            return found
+        step = [0] * (bins + 1)  # of the number of fragments that cover a bin
+        for a, b in zip(starts, ends):
+            if a <= b:
+                step[a] += 1
+                step[b + 1] -= 1
+        few, items, bin0 = max(2.0, n_lines * 0.25), sum(counts), None
+        for b, cover in enumerate(itertools.accumulate(step)):
+            if b in low and cover <= few:
+                bin0 = b if bin0 is None else bin0
+                continue
+            if bin0 is not None and b - 1 > bin0:
+                middle = (bin0 + b) / 2.0 * width / bins
+                left = sum(n for c, n in zip(centres, counts) if c < middle)
+                if left >= side * items and items - left >= side * items:
+                    for column, value in zip(found, (bin0, b - 1, middle)):
+                        column.append(value)
+            bin0 = None
+        return found
+
+    # a fragment without a place covers nothing and lies left of nothing
+    known = F.col("x0").isNotNull() & F.col("x1").isNotNull()
+    rows = frags.withColumns({
+        "start": F.when(known, to_bin(F.col("x0"))).otherwise(1), "end": F.when(known, to_bin(F.col("x1"))).otherwise(0),
+        "centre": F.coalesce((F.col("x0") + F.col("x1")) / 2, F.lit(float("nan"))),
+    })
+    return by_page(rows, ("line",), ("start", "end", "centre", "n", "line"), run, {"bin0": pa.int64(), "bin1": pa.int64(), "middle": pa.float64()})
 
 
 def reading_order(frags: DataFrame, gaps: DataFrame) -> DataFrame:

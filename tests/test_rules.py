@@ -467,3 +467,13 @@ def test_lines_of_many_pages(spark):
     out = layout.cluster_lines_exact(items)
     assert not in_groups(out)
     assert sorted(tuple(r) for r in out.collect()) == sorted((*k, *found) for k, page in pages.items() for found in lines(page))
+
+
+def test_gutters_without_a_row_for_each_bin(spark):
+    from folioflow.plans import layout as plans
+
+    out = plans.l5_gutters(spark, "/root/testdata/sf0.001")
+    assert "Generate explode(concat" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(1, 1, i, k, 72.0 + 300 * k, 240.0 + 300 * k, 3) for i in range(9) for k in (0, 1)] + [(1, 2, i, 0, 72.0, 240.0, 3) for i in range(9)] + [(1, 3, i, k, 72.0 + 300 * k, 240.0 + 300 * k, 3) for i in range(7) for k in (0, 1)]
+    frags = spark.createDataFrame([*rows, (1, 1, 9, 0, 400.0, 80.0, 1), (1, 1, 10, 0, None, None, 1)], "doc_id long, page long, line long, frag long, x0 double, x1 double, n long")
+    assert [tuple(r) for r in layout.gutters(frags).collect()] == [(1, 1, 79, 120, (79 + 121) / 2 * 612.0 / 200)]
