@@ -6,7 +6,6 @@ import itertools
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -314,7 +313,9 @@ def _column_gap(rows: list, least: int, gap: float = 6.0) -> float | None:
     cover them, wider ones first, MOST_TRIES at most; both sides need `least` rows, of which 15 % or four are long, and must stand beside
     each other over 40 % of the lower one's height; at most 35 % of the rows cross."""
     edges = sorted({r[1] for r in rows} | {r[2] for r in rows})
-    spans = [(a, b, sum(r[1] < b and r[2] > a for r in rows)) for a, b in zip(edges, edges[1:])]
+    # between two edges that follow each other lie the rows that have begun and not ended
+    begun, over = (sorted(r[i] for r in rows if r[1] <= r[2]) for i in (1, 2))
+    spans = [(a, b, bisect_left(begun, b) - bisect_right(over, a)) for a, b in zip(edges, edges[1:])]
     tries = 0
     for level in LEVELS:
         runs: list[list[float]] = []
@@ -336,7 +337,8 @@ def _column_gap(rows: list, least: int, gap: float = 6.0) -> float | None:
             low, high = max(min(r[3] for r in side) for side in (left, right)), min(max(r[3] for r in side) for side in (left, right))
             if high - low < 0.4 * min(max(r[3] for r in side) - min(r[3] for r in side) for side in (left, right)):
                 continue
-            wide = [sum(r[2] - r[1] >= 0.5 * (max(q[2] for q in side) - min(q[1] for q in side)) for r in side) for side in (left, right)]
+            half = [0.5 * (max(q[2] for q in side) - min(q[1] for q in side)) for side in (left, right)]
+            wide = [sum(r[2] - r[1] >= least_width for r in side) for least_width, side in zip(half, (left, right))]
             if all(n >= min(4, 0.15 * len(side)) for n, side in zip(wide, (left, right))):
                 return x
     return None
@@ -362,15 +364,16 @@ def _regions(rows: list, depth: int, least: int) -> list[list]:
 
 
 def xy_cut(frags: DataFrame, depth: int = 3, least: int = 5) -> DataFrame:
-    """Region of each fragment by a recursive search for column gaps, `depth` times at most, in reading order. One group a page."""
+    """Region of each fragment by a recursive search for column gaps, `depth` times at most, in reading order. A task folds its pages one by one."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x0", "line", "frag"]).reset_index(drop=True)
-        regions = _regions(list(zip(page.index, page["x0"], page["x1"], page["y"])), depth, least)
-        place = {r[0]: i for i, region in enumerate(regions) for r in region}
-        return page.assign(region=[place[i] for i in page.index])[["doc_id", "page", "line", "frag", "region"]]
+    def run(lefts: list, rights: list, ys: list, lines: list, frags: list) -> tuple:
+        place = [0] * len(ys)
+        for i, region in enumerate(_regions(list(zip(range(len(ys)), lefts, rights, ys)), depth, least)):
+            for r in region:
+                place[r[0]] = i
+        return lines, frags, place
 
-    return frags.groupBy(*PAGE).applyInPandas(run, "doc_id long, page long, line long, frag long, region long")
+    return by_page(frags, ("y", "x0", "line", "frag"), ("x0", "x1", "y", "line", "frag"), run, {"line": pa.int64(), "frag": pa.int64(), "region": pa.int64()})
 
 
 LIST_ITEM = rf"^{SPACE}*(?:[•‣▪●○*–—-]{SPACE}|\(?[0-9]{{1,3}}[.)]{SPACE}|[a-z][.)]{SPACE})"

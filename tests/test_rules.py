@@ -477,3 +477,53 @@ def test_gutters_without_a_row_for_each_bin(spark):
     rows = [(1, 1, i, k, 72.0 + 300 * k, 240.0 + 300 * k, 3) for i in range(9) for k in (0, 1)] + [(1, 2, i, 0, 72.0, 240.0, 3) for i in range(9)] + [(1, 3, i, k, 72.0 + 300 * k, 240.0 + 300 * k, 3) for i in range(7) for k in (0, 1)]
     frags = spark.createDataFrame([*rows, (1, 1, 9, 0, 400.0, 80.0, 1), (1, 1, 10, 0, None, None, 1)], "doc_id long, page long, line long, frag long, x0 double, x1 double, n long")
     assert [tuple(r) for r in layout.gutters(frags).collect()] == [(1, 1, 79, 120, (79 + 121) / 2 * 612.0 / 200)]
+
+
+def test_column_gaps_by_counting_edges(spark):
+    """Rows in columns, crossing rows, rows of no width and from right to left, against a count of all rows between two edges."""
+    import random
+
+    def covered(rows, a, b):
+        return sum(r[1] < b and r[2] > a for r in rows)
+
+    def gap(rows, least, gap=6.0):
+        edges = sorted({r[1] for r in rows} | {r[2] for r in rows})
+        spans = [(a, b, covered(rows, a, b)) for a, b in zip(edges, edges[1:])]
+        tries = 0
+        for level in layout.LEVELS:
+            runs = []
+            for a, b, n in spans:
+                if n <= level * len(rows):
+                    if runs and runs[-1][1] == a:
+                        runs[-1][1] = b
+                    else:
+                        runs.append([a, b])
+            for a, b in sorted((r for r in runs if r[1] - r[0] >= gap), key=lambda r: (r[0] - r[1], r[0])):
+                tries += 1
+                if tries > layout.MOST_TRIES:
+                    return None
+                x = (a + b) / 2
+                sides = [[r for r in rows if r[2] <= x], [r for r in rows if r[1] >= x]]
+                if min(map(len, sides)) < least or len(rows) - sum(map(len, sides)) > 0.35 * len(rows):
+                    continue
+                tops, lows = [min(r[3] for r in s) for s in sides], [max(r[3] for r in s) for s in sides]
+                if min(lows) - max(tops) < 0.4 * min(b - a for a, b in zip(tops, lows)):
+                    continue
+                extents = [max(r[2] for r in s) - min(r[1] for r in s) for s in sides]
+                if all(sum(r[2] - r[1] >= 0.5 * e for r in s) >= min(4, 0.15 * len(s)) for e, s in zip(extents, sides)):
+                    return x
+        return None
+
+    rng, told = random.Random(11), 0
+    for _ in range(300):
+        rows = []
+        for i in range(rng.randrange(2, 60)):
+            x0 = rng.choice([72.0, 330.0, rng.randrange(60, 500)])
+            rows.append((i, x0, x0 + rng.choice([0.0, 200.0, 30.0, 230.0, -20.0, 400.0] if rng.random() < 0.3 else [200.0]), float(rng.randrange(0, 40))))
+        got = layout._column_gap(rows, 5)
+        assert got == gap(rows, 5)
+        told += got is not None
+    assert told > 20
+    from folioflow.plans import layout as plans
+
+    assert not in_groups(plans.l7_xy_cut(spark, "/root/testdata/sf0.001"))
