@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import RTL, SPACE
+from folioflow.sources.scratch import written
 
 PAGE = ("doc_id", "page")
 
@@ -221,31 +222,42 @@ def block_text(lines: DataFrame, tight: float = 1.45, loose: float = 2.2, dehyph
     return rows.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "line", "piece"))), lambda s: s["piece"]), "").alias("text"))
 
 
-def _edge_lines(lines: DataFrame, height: float, most: int) -> DataFrame:
-    """The first line of a page in its top tenth, and the last in its bottom tenth, with their key."""
-    first, last = F.min(F.struct("y", "line")).alias("e"), F.max(F.struct("y", "line")).alias("e")
-    ends = lines.groupBy(*PAGE).agg(first).where(F.col("e.y") <= 0.1 * height).select(*PAGE, F.lit("header").alias("kind"), F.col("e.line").alias("line"))
-    ends = ends.unionByName(lines.groupBy(*PAGE).agg(last).where(F.col("e.y") >= 0.9 * height).select(*PAGE, F.lit("footer").alias("kind"), F.col("e.line").alias("line")))
-    key = F.regexp_replace(F.lower("text"), "[0-9]+", "#")
-    return ends.join(lines.select(*PAGE, "line", "text", "x0", "x1"), [*PAGE, "line"]).where(F.length("text") <= most).withColumn("key", key)
+def _edges_told(lines: DataFrame, height: float, most: int) -> DataFrame:
+    """Lines with `kind` and `key` where they are the first line of a page in its top tenth or the last in its bottom tenth, and with `first`, which
+    one line a page is. One pass, as all lines of a page are together, in which only lines at the edges carry a text."""
+    top, bottom = F.col("y") <= 0.1 * height, F.col("y") >= 0.9 * height
+    rows = lines.withColumn("key", F.when((F.length("text") <= most) & (top | bottom), F.regexp_replace(F.lower("text"), "[0-9]+", "#")))
+    w, place = Window.partitionBy(*PAGE), F.struct("y", "line")
+    rows = rows.withColumns({"first": F.min(place).over(w)["line"] == F.col("line"), "last": F.max(place).over(w)["line"] == F.col("line")})
+    rows = rows.withColumn("kind", F.when(F.col("key").isNotNull(), F.when(F.col("first") & top, "header").when(F.col("last") & bottom, "footer")))
+    return rows.withColumn("key", F.when(F.col("kind").isNotNull(), F.col("key"))).drop("last")
 
 
-def running_headers(lines: DataFrame, share: float = 0.6, most: int = 120, height: float = 792.0, width: float = 612.0) -> DataFrame:
-    """Headers and footers: first and last lines in the top and bottom tenth of the pages, with digits as #, that repeat on
-    max(2, share x pages) pages of a document of several pages, aligned by their mean centre at 38 and 62 % of the width."""
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages")).where("pages >= 2")
+def _running(told: DataFrame, share: float, width: float) -> DataFrame:
+    pages = told.groupBy("doc_id").agg(F.count(F.when(F.col("first"), F.col("page"))).alias("pages")).where("pages >= 2")
     centre = F.avg((F.col("x0") + F.col("x1")) / 2) / width
-    counts = _edge_lines(lines, height, most).groupBy("doc_id", "kind", "key").agg(F.count("*").alias("n"), centre.alias("centre"))
+    counts = told.where("kind is not null").groupBy("doc_id", "kind", "key").agg(F.count("*").alias("n"), centre.alias("centre"))
     found = counts.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * share)))
     align = F.when(F.col("centre") < 0.38, "left").when(F.col("centre") > 0.62, "right").otherwise("centre")
     return found.select("doc_id", "kind", "key", "n", "pages", align.alias("align"))
 
 
-def without_running(lines: DataFrame, share: float = 0.6, most: int = 120, height: float = 792.0, width: float = 612.0) -> DataFrame:
-    """The lines without running headers and footers."""
-    found = running_headers(lines, share, most, height, width).select("doc_id", "kind", "key")
-    gone = _edge_lines(lines, height, most).join(found, ["doc_id", "kind", "key"], "left_semi").select(*PAGE, "line")
-    return lines.join(gone, [*PAGE, "line"], "left_anti")
+def running_headers(lines: DataFrame, share: float = 0.6, most: int = 120, height: float = 792.0, width: float = 612.0) -> DataFrame:
+    """Headers and footers: first and last lines in the top and bottom tenth of the pages, with digits as #, that repeat on
+    max(2, share x pages) pages of a document of several pages, aligned by their mean centre at 38 and 62 % of the width."""
+    return _running(_edges_told(lines, height, most), share, width)
+
+
+def without_running(lines: DataFrame, share: float = 0.6, most: int = 120, height: float = 792.0, width: float = 612.0, keep: tuple | None = None) -> DataFrame:
+    """The lines without running headers and footers, with the columns `keep` (all, if None). Lines are made once and written with these, since
+    they are asked for several times."""
+    keep = list(lines.columns if keep is None else keep)
+    told, edge = _edges_told(lines, height, most), F.col("kind").isNotNull()
+    need = ["doc_id", "page", "first", "kind", "key", F.when(edge, F.col("x0")).alias("x0"), F.when(edge, F.col("x1")).alias("x1")]
+    told = written(told.select(F.struct(*keep).alias("row"), *need))
+    gone = _running(told, share, width).select("doc_id", "kind", "key")
+    edges = told.where("kind is not null").join(gone, ["doc_id", "kind", "key"], "left_anti")
+    return told.where("kind is null").select("row.*").unionByName(edges.select("row.*"))
 
 
 def stitch_columns(blocks: DataFrame) -> DataFrame:

@@ -527,3 +527,23 @@ def test_column_gaps_by_counting_edges(spark):
     from folioflow.plans import layout as plans
 
     assert not in_groups(plans.l7_xy_cut(spark, "/root/testdata/sf0.001"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_lines_are_made_once(spark):
+    from folioflow.plans import layout as plans
+
+    out = plans.l12_without_running(spark, "/root/testdata/sf0.001")
+    assert plan_of(out).count("posexplode") <= 1 and out.columns == ["doc_id", "page", "line"]
+    heads = [(d, p, 1, "Report 7" if d == 1 else f"unlike {chr(97 + p)}", 72.0, 130.0, 40.0, 12.0) for d in (1, 2) for p in range(3)]
+    body = [(d, p, i, "same words", 72.0, 300.0, 100.0 + 16 * i, 12.0) for d in (1, 2) for p in range(3) for i in (2, 3)]
+    long = [(3, p, 1, "x" * 121, 72.0, 130.0, 40.0, 12.0) for p in range(3)] + [(4, 0, 1, "Report 7", 72.0, 130.0, 40.0, 12.0), (5, 0, 1, None, 1.0, 2.0, 40.0, 12.0), (5, 1, 1, None, 1.0, 2.0, 40.0, 12.0)]
+    foot = [(6, p, 1, f"{p} / 3", 300.0, 320.0, 760.0, 12.0) for p in range(3)]
+    lines = spark.createDataFrame(heads + body + long + foot, "doc_id long, page long, line long, text string, x0 double, x1 double, y double, size double")
+    left = layout.without_running(lines)
+    assert left.columns == lines.columns
+    assert sorted((r.doc_id, r.page, r.line) for r in left.collect()) == sorted((r[0], r[1], r[2]) for r in heads[3:] + body + long)
+    assert [tuple(r) for r in layout.running_headers(lines).orderBy("doc_id").collect()] == [(1, "header", "report #", 3, 3, "left"), (6, "footer", "# / #", 3, 3, "centre")]
