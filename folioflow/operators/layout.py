@@ -14,6 +14,7 @@ from folioflow.functions.text import RTL, SPACE
 from folioflow.sources.scratch import written
 
 PAGE = ("doc_id", "page")
+SPARK_TYPE = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string"}
 
 
 def by_page(rows: DataFrame, order: tuple, columns: tuple, fold: Callable, made: dict) -> DataFrame:
@@ -43,7 +44,7 @@ def by_page(rows: DataFrame, order: tuple, columns: tuple, fold: Callable, made:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), *made.values()))], names=names)
 
     placed = rows.select(*PAGE, *dict.fromkeys([*columns, *order])).repartition(*PAGE).sortWithinPartitions(*PAGE, *order).select(*PAGE, *columns)
-    return placed.mapInArrow(run, ", ".join(f"{n} {'double' if t == pa.float64() else 'long'}" for n, t in zip(names, (pa.int64(), pa.int64(), *made.values()))))
+    return placed.mapInArrow(run, ", ".join(f"{n} {SPARK_TYPE[t]}" for n, t in zip(names, (pa.int64(), pa.int64(), *made.values()))))
 
 
 def cluster_lines(items: DataFrame, share: float = 0.45) -> DataFrame:
@@ -451,49 +452,52 @@ def designed_pages(frags: DataFrame, boxes: DataFrame, width: float = 612.0, hei
     return rows.withColumn("exact", F.avg(F.col("designed").cast("int")).over(Window.partitionBy("doc_id")) >= 0.5)
 
 
+SIGNS = frozenset("|·¦*•")
+
+
 def structure_ocr(words: DataFrame) -> DataFrame:
     """Boxes of recognised words in reading order (place). Words that overlap the first of a row by more than 60 % in height are a row; it is
     cut at gaps above 1.25 heights, and a row of three boxes or more anew at 1.5 times its median gap. Lone separator signs become •. Runs
     of rows that are two boxes on either side of the page's middle are read left first. level tells headings by their height, 1.9, 1.3
-    or 1.16 times the body's. Rows are a fold over the page's words in order, for a row's height is its first word's; all else is
-    windows over page and row."""
-    folded = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "x", "w", "size", "str"))).alias("all"))
-    rows_of = """aggregate(all, named_struct('top', cast(null as double), 'low', cast(null as double), 'rows', cast(array() as array<bigint>)), (a, v) ->
-      if(a.top is not null and least(a.low, v.y) - greatest(a.top, v.y - v.size) > 0.6D * least(a.low - a.top, v.size),
-        named_struct('top', a.top, 'low', a.low, 'rows', array_append(a.rows, element_at(a.rows, -1))),
-        named_struct('top', cast(v.y - v.size as double), 'low', cast(v.y as double), 'rows', array_append(a.rows, coalesce(try_element_at(a.rows, -1), -1L) + 1))),
-      a -> a.rows)"""
-    rows = folded.select(*PAGE, F.explode(F.arrays_zip(F.col("all").alias("v"), F.expr(rows_of).alias("row"))).alias("z")).select(*PAGE, "z.row", "z.v.*")
-    page, row = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE, "row")
-    order = ("x", "y", "w", "str")
-    across = row.orderBy(*order)
-    rows = rows.withColumn("end", F.col("x") + F.col("w"))
-    rows = rows.withColumns({
-        "gap": F.col("x") - F.lag("end").over(across), "head": F.first("size").over(across), "n": F.count("*").over(row),
-        "body": _nth(F.col("size"), F.floor(F.count("*").over(page) / 2), page), "middle": (F.min("x").over(page) + F.max("end").over(page)) / 2,
-    })
-    rows = rows.withColumns({
-        "body": F.max("body").over(page), "median": _nth(F.col("gap"), F.floor((F.col("n") - 1) / 2), row),
-        "parts": F.sum((F.col("gap") > 1.25 * F.col("head")).cast("long")).over(row) + 1,
-    })
-    limit = F.when(F.col("parts") >= 3, F.greatest(1.25 * F.col("head"), 1.5 * F.max("median").over(row))).otherwise(1.25 * F.col("head"))
-    rows = rows.withColumn("cuts", F.coalesce(F.col("gap") > limit, F.lit(False)).cast("long"))
-    rows = rows.withColumn("box", F.sum("cuts").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    sign = F.when(F.col("str").isin("|", "·", "¦", "*", "•"), "•").otherwise(F.col("str")).alias("sign")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, sign))), lambda v: v["sign"]), " ")
-    boxes = rows.groupBy(*PAGE, "row", "box").agg(
-        text.alias("text"), F.min("x").alias("x"), F.max_by("end", F.struct(*order)).alias("end"), F.max("middle").alias("middle"), (F.max("size") / F.max("body")).alias("share")
-    )
-    beside = (F.max("box").over(row) == 1) & (F.max(F.when(F.col("box") == 0, F.col("end"))).over(row) <= F.col("middle")) & (F.max(F.when(F.col("box") == 1, F.col("x"))).over(row) >= F.col("middle"))
-    boxes = boxes.withColumn("two", beside)
-    # rows of two columns that follow each other are an island; of two rows or more, its left boxes are read before its right ones
-    alike = Window.partitionBy(*PAGE, "two")
-    boxes = boxes.withColumn("island", F.col("row") - F.dense_rank().over(alike.orderBy("row")))
-    island = Window.partitionBy(*PAGE, "two", "island")
-    boxes = boxes.withColumn("from", F.when(F.col("two"), F.min("row").over(island)).otherwise(F.col("row")))
-    level = F.when(F.col("share") >= 1.9, 1).when(F.col("share") >= 1.3, 2).when(F.col("share") >= 1.16, 3).otherwise(0).cast("long")
-    place = (F.row_number().over(page.orderBy("from", "box", "row")) - 1).cast("long")
-    return boxes.select(*PAGE, place.alias("place"), "row", "box", "text", level.alias("level"))
+    or 1.16 times the body's. A row's height is its first word's and a box depends on all gaps of its row, so a task folds its pages one by one. A
+    word without a text, a place or a size belongs to no row."""
+
+    def run(ys: list, xs: list, ws: list, sizes: list, texts: list) -> tuple:
+        rows: list[list] = []
+        top = low = 0.0
+        for y, x, w, size, text in zip(ys, xs, ws, sizes, texts):
+            if rows and min(low, y) - max(top, y - size) > 0.6 * min(low - top, size):
+                rows[-1].append((x, y, w, text, size))
+            else:
+                top, low = y - size, y
+                rows.append([(x, y, w, text, size)])
+        body, middle = sorted(sizes)[len(sizes) // 2], (min(xs) + max(x + w for x, w in zip(xs, ws))) / 2
+        told, beside = [], []  # of each row: its boxes, and whether they are two on either side of the middle
+        for words in rows:
+            words.sort()
+            gaps = [b[0] - (a[0] + a[2]) for a, b in zip(words, words[1:])]
+            limit = 1.25 * words[0][4]
+            if sum(g > limit for g in gaps) >= 2:
+                limit = max(limit, 1.5 * sorted(gaps)[len(gaps) // 2])
+            cuts = [0, *(i for i, g in enumerate(gaps, 1) if g > limit), len(words)]
+            told.append([words[a:b] for a, b in zip(cuts, cuts[1:])])
+            beside.append(len(cuts) == 3 and words[cuts[1] - 1][0] + words[cuts[1] - 1][2] <= middle <= words[cuts[1]][0])
+        order, out = [], ([], [], [], [], [])
+        # rows of two columns that follow each other are an island; its left boxes are read before its right ones
+        for two, island in itertools.groupby(range(len(rows)), beside.__getitem__):
+            island = list(island)
+            order += [(r, box) for box in (0, 1) for r in island] if two else [(r, box) for r in island for box in range(len(told[r]))]
+        for place, (r, box) in enumerate(order):
+            words = told[r][box]
+            share = max(w[4] for w in words) / body if body else 0.0
+            text = " ".join("•" if w[3] in SIGNS else w[3] for w in words)
+            for column, value in zip(out, (place, r, box, text, 1 if share >= 1.9 else 2 if share >= 1.3 else 3 if share >= 1.16 else 0)):
+                column.append(value)
+        return out
+
+    order = ("y", "x", "w", "size", "str")
+    made = {"place": pa.int64(), "row": pa.int64(), "box": pa.int64(), "text": pa.string(), "level": pa.int64()}
+    return by_page(words.dropna(subset=order), order, order, run, made)
 
 
 def rejoin_paragraphs(paras: DataFrame, near: float = 0.8) -> DataFrame:

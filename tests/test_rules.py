@@ -559,3 +559,15 @@ def test_words_of_a_page_tree_are_not_shuffled(spark, tmp_path):
     out = plans.g4_flatten_ocr(spark, str(tmp_path))
     assert "hashpartitioning" not in plan_of(out)
     assert differences(out, ORACLES["g4_flatten_ocr"], connect(str(tmp_path))) == ""
+
+
+def test_recognised_words_of_a_long_row(spark):
+    """A page of one row of 3,000 words in two parts and one of two columns of 200 rows, without a sort of all words for each thing asked."""
+    row = [(1, 1, i, "|" if i % 1000 == 0 else f"w{i}", 10.0 * i + (500.0 if i >= 1500 else 0.0), 100.0, 8.0, 12.0) for i in range(3000)]
+    columns = [(1, 2, 2 * r + k, f"{'lr'[k]}{r}", 10.0 + 300 * k, 20.0 * (r + 1), 50.0, 24.0 if r == 0 else 12.0) for r in range(200) for k in (0, 1)]
+    out = layout.structure_ocr(spark.createDataFrame(row + columns, "doc_id long, page long, seq long, str string, x double, y double, w double, size double"))
+    assert "Window" not in plan_of(out) and out.columns == ["doc_id", "page", "place", "row", "box", "text", "level"]
+    got = [tuple(r) for r in out.orderBy("page", "place").collect()]
+    signs = [w[3].replace("|", "•") for w in row]
+    assert got[:2] == [(1, 1, 0, 0, 0, " ".join(signs[:1500]), 0), (1, 1, 1, 0, 1, " ".join(signs[1500:]), 0)]
+    assert got[2:] == [(1, 2, r + 200 * k, r, k, f"{'lr'[k]}{r}", 1 if r == 0 else 0) for k in (0, 1) for r in range(200)]
